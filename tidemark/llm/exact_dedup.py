@@ -83,8 +83,9 @@ def verified_recipes(made: DataFrame) -> DataFrame:
 def exact_classes(docs: DataFrame, least: int = MIN_CHUNK, most: int = MAX_CHUNK, hashed=F.xxhash64) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: a row for each input row."""
     made = kept(recipes(docs, least, most, hashed), "recipes")
-    each = verified_recipes(made)
-    best = each.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
+    each = kept(verified_recipes(made), "verified-recipes")
+    # a table of its own: so both sides of the join below are plain exchanges, and a hot recipe's rows can be split
+    best = kept(each.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size")), "classes")
     return (
         each.join(best, "recipe")
         .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -94,7 +95,7 @@ def exact_classes(docs: DataFrame, least: int = MIN_CHUNK, most: int = MAX_CHUNK
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_classes() drops (rows repeated whole stay once)."""
+    """docs without the rows that exact_classes() drops (of rows repeated whole all stay or go)."""
     stay = exact_classes(docs).filter("kept").select(F.col("doc_id").alias("_stays"), "text_sha256").distinct()
     digest = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
     one = docs.withColumn("_digest", digest)

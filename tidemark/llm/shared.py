@@ -67,11 +67,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+        # tables of their own: both sides of each join are plain exchanges then, so a hub's links can be split
+        least = kept(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")), "least")
         # large star: every larger neighbour u of v is tied to the smallest of v's neighbourhood
-        large = both.join(least, "v").filter("u > v and u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        large = kept(both.join(least, "v").filter("u > v and u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct(), "large")
         # small star: every smaller neighbour of v, and v itself, is tied to the smallest of them
-        down = large.groupBy("v").agg(F.min("u").alias("m"))
+        down = kept(large.groupBy("v").agg(F.min("u").alias("m")), "down")
         small = (
             large.join(down, "v")
             .select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
@@ -81,7 +82,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         )
         following = kept(small, "links")
         now = following.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")).first()
-        dropped(links)
+        dropped(links, least, large, down)
         links = following
         if now == seen:
             break

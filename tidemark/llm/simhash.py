@@ -27,8 +27,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import components, documents, kept  # noqa: F401
 from .blocks import U64
+from .shared import components, kept
 
 SHINGLE, SEED, MAX_BITS, TILE = 3, 42, 3, 4096
 _NO_ID = 2**63 - 1
@@ -197,7 +197,7 @@ def near_classes(docs: DataFrame, tile: int = TILE) -> DataFrame:
     fps = kept(each.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     joined = components(links(fps, tile)).withColumnRenamed("node", "fp")
     whole = fps.join(joined, "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    least = whole.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    least = kept(whole.groupBy("component").agg(F.min("least_id").alias("component_id")), "component-ids")
     ids = whole.join(least, "component").select("fp", "component_id")
     return each.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
