@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, sharding, simhash
+from . import decontaminate, exact_dedup, pii, secret_scan, sharding, simhash
 from .shared import documents
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.reported(documents(spark, sf_dir))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir))[0]
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(documents(spark, sf_dir))
 
@@ -25,7 +33,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op7_exact_dedup, op8_decontamination, op9_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secret_scan, op2_sharding, op5_pii, op7_exact_dedup, op8_decontamination, op9_simhash)
+}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
