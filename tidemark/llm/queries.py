@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, pii, secret_scan, sharding, simhash
+from . import decontaminate, exact_dedup, packing, pii, secret_scan, sharding, simhash
 from .shared import documents
 
 
@@ -33,9 +33,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(documents(spark, sf_dir))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_sharding, op5_pii, op7_exact_dedup, op8_decontamination, op9_simhash)
+    for f in (op1_secret_scan, op2_sharding, op5_pii, op7_exact_dedup, op8_decontamination, op9_simhash, op10_packing)
 }
 
 ORACLE_SQL = {
