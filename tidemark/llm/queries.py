@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, packing, pii, secret_scan, sharding, simhash
+from . import decontaminate, exact_dedup, packing, pii, secret_scan, sharding, simhash, substring_dedup
 from .shared import documents
 
 
@@ -16,6 +16,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir))[0]
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digested(documents(spark, sf_dir))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
@@ -39,10 +43,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_sharding, op5_pii, op7_exact_dedup, op8_decontamination, op9_simhash, op10_packing)
+    for f in (op1_secret_scan, op2_sharding, op3_substring_dedup, op5_pii, op7_exact_dedup, op8_decontamination, op9_simhash, op10_packing)
 }
 
 ORACLE_SQL = {
+    "op3_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p : p + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM g) WHERE k > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM r),
+o AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM d),
+k AS (SELECT o.doc_id, count(*) FILTER (c.q IS NOT NULL) AS cut, string_agg(o.x, ' ' ORDER BY o.q) FILTER (c.q IS NULL) AS rest
+      FROM o LEFT JOIN c ON o.doc_id = c.doc_id AND o.q = c.q GROUP BY o.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(cut, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
     "op7_exact_dedup": """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
