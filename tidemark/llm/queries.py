@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, packing, pii, secret_scan, sharding, simhash, substring_dedup
+from . import decontaminate, exact_dedup, packing, pii, secret_scan, sharding, simhash, substring_dedup, toxicity
 from .shared import documents
 
 
@@ -20,6 +20,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digested(documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_sharding, op3_substring_dedup, op5_pii, op7_exact_dedup, op8_decontamination, op9_simhash, op10_packing)
+    for f in (op1_secret_scan, op2_sharding, op3_substring_dedup, op4_toxicity, op5_pii, op7_exact_dedup, op8_decontamination, op9_simhash, op10_packing)
 }
 
 ORACLE_SQL = {
