@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, packing, pii, secret_scan, sharding, simhash, substring_dedup, toxicity
+from . import decontaminate, exact_dedup, packing, pii, secret_scan, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from .shared import documents
 
 
@@ -28,6 +28,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digested(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(documents(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_sharding, op3_substring_dedup, op4_toxicity, op5_pii, op7_exact_dedup, op8_decontamination, op9_simhash, op10_packing)
+    for f in (op1_secret_scan, op2_sharding, op3_substring_dedup, op4_toxicity, op5_pii, op6_suffix_dedup, op7_exact_dedup, op8_decontamination, op9_simhash, op10_packing)
 }
 
 ORACLE_SQL = {
