@@ -69,7 +69,7 @@ def block_runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: in
         pieces = -(-(stop - lo) // MOST)
         pick = np.repeat(np.arange(len(lo)), pieces)
         lo2 = lo[pick] + MOST * (np.arange(len(pick)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-        lo, stop, many = lo2, np.minimum(lo2 + MOST, stop[pick]), np.ones(len(pick), bool)
+        lo, stop, many = lo2, np.minimum(lo2 + MOST, stop[pick]), many[pick] | (pieces[pick] > 1)
     n = stop - lo
     seg = B.mix(B.span_hash(c, lo, lo + n + window - 1))
     return np.searchsorted(starts, lo, "right") - 1, lo, n, anchor[lo], seg, many
