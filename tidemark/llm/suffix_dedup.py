@@ -33,7 +33,7 @@ from . import blocks as B
 from .shared import KEY, document_key, dropped, kept
 from .suffix_array import repeated_places
 
-WINDOW, GRAM, MOST, PART_BYTES = 200, 16, 4096, 3 << 20
+WINDOW, GRAM, MOST, PART_BYTES = 200, 32, 4096, 1 << 20
 _SLICE = 4 << 20  # of one text, worked on at a time; with the block below 2**24 places
 _SEGMENT = ["anchor", "band", "seg", "n", "off", "weight", "body"]
 _RUNS = "anchor bigint, seg bigint, key bigint, start bigint, n int, many boolean"
