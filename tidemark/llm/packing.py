@@ -31,7 +31,7 @@ from .shared import kept
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 BUCKETS = 512
 #: Words whose ids a worker remembers; beyond that it forgets them and goes on.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 #: Bytes of a text beyond which it is split into words a part at a time.
@@ -240,13 +240,8 @@ def packed(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY, end
     bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")
     each = kept(pieces(docs, name, capacity, end_id).withColumn("bucket", bucket), "pieces")
     counts = each.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    # capacity * buckets rows at most, whatever the input
-    found = sorted((r["length"], r["bucket"], r["n"]) for r in counts.collect())
-    histogram: dict[int, int] = defaultdict(int)
-    before = []
-    for length, b, n in found:
-        before.append((length, b, histogram[length]))
-        histogram[length] += n
+    # at most ``capacity`` rows, whatever the input
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rules = plan(histogram, capacity)
 
     def table(rows: list[tuple], schema: str) -> DataFrame:
@@ -256,14 +251,15 @@ def packed(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY, end
             *(F.col("r")[i].cast(t).alias(c) for i, (c, t) in enumerate(cols))
         )
 
-    offsets = table(before, "length bigint, bucket int, before bigint")
+    sofar = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(sofar), F.lit(0)).alias("before"))
     steps = table(rules, "length bigint, lo bigint, hi bigint, first bigint, each bigint, used bigint")
     # a rule's ranks are looked up by the places where rules begin, kept sorted in an array for each length
     starts = steps.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("lo", "first", "each", "used"))).alias("rules"))
     own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
         each.withColumn("row", F.row_number().over(own))
-        .join(F.broadcast(offsets), ["length", "bucket"])
+        .join(offsets, ["length", "bucket"])
         .withColumn("rank", F.col("before") + F.col("row") - 1)
     )
     rule = F.element_at(F.filter("rules", lambda r: r["lo"] <= F.col("rank")), -1)
