@@ -52,8 +52,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def ngrams(text: Column, n: int) -> Column:
     """All character n-grams in order, repeats included, the last one too."""
-    count = F.length(text) - (n - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))  # once, so that the whole is linear in the text
+    count = F.size(chars) - (n - 1)
+    made = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
+    return F.when(count > 0, made).otherwise(F.array().cast("array<string>"))
 
 
 def bigrams(text: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions.columns import ngrams
+
 #: Dictionary rows up to which a substring join goes as a map of literals; beyond that n-grams prefilter it.
 SMALL_DICTIONARY = 2000
 
@@ -11,21 +13,25 @@ SMALL_DICTIONARY = 2000
 def substring_hits(texts: DataFrame, text: str, words: DataFrame, keep: list[str], gram: int = 3) -> DataFrame:
     """Theta join on "text contains word" (words: group, word, pos): (keep..., group, word, pos).
 
-    Words are looked up by their first ``gram`` characters among the text's n-grams, an equi-join, and
-    verified; words shorter than that are few and short and go through a literal list, checked below.
+    A small dictionary (its size is checked) goes along as a literal list. Otherwise words of ``gram``
+    characters or more are looked up by their first ``gram`` characters among the text's n-grams, an
+    equi-join, and verified; the shorter ones, which must be few, go as a list.
     """
-    short = words.filter(F.length("word") < gram)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (gram - 1), F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(gram))))
-    keyed = words.filter(F.length("word") >= gram).withColumn("_g", F.substring("word", 1, gram))
-    found = texts.withColumn("_g", F.explode(grams)).join(keyed, "_g").filter(F.contains(F.col(text), F.col("word"))).select(*keep, "group", "word", "pos")
-    listed = [(r["group"], r["word"], r["pos"]) for r in short.limit(SMALL_DICTIONARY + 1).collect()]
+    small = words.limit(SMALL_DICTIONARY + 1).collect()
+    long = len(small) > SMALL_DICTIONARY
+    listed = words.filter(F.length("word") < gram).limit(SMALL_DICTIONARY + 1).collect() if long else small
     if len(listed) > SMALL_DICTIONARY:
         raise ValueError(f"more than {SMALL_DICTIONARY} words are shorter than {gram} characters")
+    found = None
     if listed:
-        options = F.array(*(F.struct(F.lit(g).alias("group"), F.lit(w).alias("word"), F.lit(p).alias("pos")) for g, w, p in listed))
-        hits = F.filter(options, lambda o: F.contains(F.col(text), o["word"]))
-        found = found.unionByName(texts.select(*keep, F.inline(hits)))
-    return found
+        options = F.array(*(F.struct(F.lit(r["group"]).alias("group"), F.lit(r["word"]).alias("word"), F.lit(r["pos"]).alias("pos")) for r in listed))
+        found = texts.select(*keep, F.inline(F.filter(options, lambda o: F.contains(F.col(text), o["word"]))))
+    if long:
+        keyed = words.filter(F.length("word") >= gram).withColumn("_g", F.substring("word", 1, gram))
+        grams = F.array_distinct(ngrams(F.col(text), gram))
+        by_gram = texts.withColumn("_g", F.explode(grams)).join(keyed, "_g").filter(F.contains(F.col(text), F.col("word"))).select(*keep, "group", "word", "pos")
+        found = by_gram if found is None else found.unionByName(by_gram)
+    return found if found is not None else texts.join(words, F.lit(False)).select(*keep, "group", "word", "pos")
 
 
 def first_hit(hits: DataFrame, by: list[str]) -> DataFrame:

@@ -80,8 +80,8 @@ def ks_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {AXIS}, d AS (SELECT x - (SELECT avg(x) FROM axis) AS y, t - (SELECT avg(t) FROM axis) AS a, ln(total) - (SELECT avg(ln(total)) FROM axis) AS b FROM axis),
-s AS (SELECT sum(a * a) + 1 AS aa, sum(b * b) + 1 AS bb, sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS by FROM d)
-SELECT round((bb * ay - ab * by) / (aa * bb - ab * ab), 7) AS w_t, round((aa * by - ab * ay) / (aa * bb - ab * ab), 7) AS w_total FROM s""")
+s AS (SELECT sum(a * a) + 1 AS aa, sum(b * b) + 1 AS bb, sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS vy FROM d)
+SELECT round((bb * ay - ab * vy) / (aa * bb - ab * ab), 7) AS w_t, round((aa * vy - ab * ay) / (aa * bb - ab * ab), 7) AS w_total FROM s""")
 def ridge_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge (alpha 1) of the axis on time and log volume, from one pass of moments."""
     a = axis(spark, sf_dir).select("x", F.col("t").cast("double").alias("t"), F.ln("total").alias("total"))

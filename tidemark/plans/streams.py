@@ -1 +1,49 @@
-"""Queries."""
+"""Streaming jobs run to the end over a table, so that their results can be held against SQL."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidemark.catalog import query
+from tidemark.plans.bindings import SIG
+from tidemark.sources.tables import working_dir
+from tidemark.streaming import jobs
+
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a file source wants a pattern or a folder; the pattern suits a table that is one file as well
+    return jobs.events(spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parquet*"))
+
+
+def _finished(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
+    """The rows of all batches, kept in the working folder."""
+    at = f"{working_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append").parquet(f"{at}/out")
+
+    spark.createDataFrame([], df.schema).write.parquet(f"{at}/out")
+    jobs.run_available(df, write, f"{at}/checkpoint", mode)
+    return spark.read.schema(df.schema).parquet(f"{at}/out")
+
+
+@query(f"""WITH {SIG}, m AS (SELECT max(ts) - INTERVAL 1 DAY AS w FROM sig), d AS (SELECT date_trunc('day', ts) AS s, meme, count(*) AS n, min(rank) AS best FROM sig GROUP BY 1, 2)
+SELECT strftime(s, '%Y-%m-%d') AS day, meme, n, best FROM d, m WHERE s + INTERVAL 1 DAY <= w""")
+def stream_tumbling_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete days only, as the watermark closes them."""
+    return _finished(spark, jobs.tumbling(_stream(spark, sf_dir)), "append").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "meme", "n", "best")
+
+
+@query(f"WITH {SIG} SELECT DISTINCT user_id, meme FROM sig")
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _finished(spark, jobs.once(_stream(spark, sf_dir), ["user_id", "meme"], "400 days"), "append").select("user_id", "meme")
+
+
+@query(f"WITH {SIG} SELECT meme, min(rank)::INT AS best, round(0.3 * 4 / greatest(min(rank), 1), 6) AS level FROM sig GROUP BY meme")
+def stream_live_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One micro-batch, so one step."""
+    return _finished(spark, jobs.live_levels(_stream(spark, sf_dir)), "update").select("meme", "best", F.round("level", 6).alias("level"))
