@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import blocks as B
 from .shared import kept
 
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
@@ -65,8 +66,10 @@ class WordTokenizer:
     """Ids of whole texts from ids of their words.
 
     The tokenizer's normaliser and pre-tokeniser never look across ASCII white space, and drop it; so a
-    text's ids are its words' ids in a row. Words and their parts seen before are looked up; a new plain
-    part goes straight to the tokenizer's model, any other new word through the whole tokenizer.
+    text's ids are its words' ids in a row. A block's words are hashed together; ids of words seen before
+    are gathered from one array. A new word's parts are looked up or go straight to the tokenizer's model
+    when they are plain, any other new word goes through the whole tokenizer. Two words count as one if hash,
+    length and first eight bytes agree.
     """
 
     def __init__(self, path: str):
@@ -75,30 +78,58 @@ class WordTokenizer:
         self.encoder = Tokenizer.from_file(path)
         self.model = self.encoder.model
         self.alphabet = byte_characters()
-        self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots: dict[int, int] = {}  # hash -> place in the three arrays
+        self.begin = np.zeros(1 << 16, np.int64)
+        self.count = np.zeros(1 << 16, np.int32)
+        self.check = np.zeros(1 << 16, B.U64)
+        self.flat = np.zeros(1 << 18, "<u4")
+        self.used = 0
 
     def part(self, text: str) -> bytes:
         symbols = text if text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
         got = self.parts[text] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(symbols)])
         return got
 
-    def learn(self, words: set[bytes]) -> None:
-        known, parts, plain, split = self.known, self.parts, _PLAIN.fullmatch, _PARTS.findall
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids."""
+        parts, plain, split = self.parts, _PLAIN.fullmatch, _PARTS.findall
         if len(parts) > REMEMBERED:
             parts.clear()
+        out: list[bytes] = []
         other = []
         for w in words:
             text = w.decode()
             if plain(text) and "<|" not in text:
-                known[w] = b"".join([parts.get(p) or self.part(p) for p in split(text.lower())])
+                out.append(b"".join([parts.get(p) or self.part(p) for p in split(text.lower())]))
             else:
-                other.append(w)
+                other.append(len(out))
+                out.append(w)
         for lo in range(0, len(other), 4096):
             some = other[lo : lo + 4096]
-            made = self.encoder.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            for w, e in zip(some, made, strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            made = self.encoder.encode_batch_fast([out[i].decode() for i in some], add_special_tokens=False)
+            for i, e in zip(some, made, strict=True):
+                out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def learn(self, hashes: list[int], words: list[bytes], check: np.ndarray) -> None:
+        made = self.encoded(words)
+        first = len(self.slots)
+        last = first + len(made)
+        sizes = np.array([len(m) // 4 for m in made], np.int64)
+        ids = np.frombuffer(b"".join(made), "<u4")
+        while last > len(self.begin):
+            self.begin, self.count, self.check = (np.concatenate((a, np.zeros_like(a))) for a in (self.begin, self.count, self.check))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.begin[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.count[first:last], self.check[first:last] = sizes, check
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.slots.update(zip(hashes, range(first, last), strict=True))
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -109,19 +140,56 @@ class WordTokenizer:
                 lo += 1
                 continue
             hi, held = lo, 0
-            while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= 1 << 20):
+            while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= 2 << 20) and len(texts[hi]) <= LONG:
                 held += len(texts[hi])
                 hi += 1
-            split = [t.split() for t in texts[lo:hi]]
-            new = set().union(*split) - self.known.keys()
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = set().union(*split)
-            self.learn(new)
-            for w in split:
-                yield b"".join(map(self.known.__getitem__, w))
+            yield from self.block(texts[lo:hi])
             lo = hi
 
+    def block(self, texts: list[bytes]) -> Iterator[bytes]:
+        buf, at = B.joined([*texts, b"       "])  # so that eight bytes can be read from the start of any word
+        starts, ends = B.word_spans(buf)
+        if not len(starts):
+            yield from (b"" for _ in texts)
+            return
+        h = B.word_hashes(buf, starts, ends)
+        n = (ends - starts).astype(B.U64)
+        eight = np.zeros(len(starts), B.U64)
+        for k in range(8):
+            eight |= np.where(n > k, buf[starts + k], 0).astype(B.U64) << B.U64(8 * k)
+        check = eight ^ (n << B.U64(56))
+        order = np.argsort(h)
+        sorted_h = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = sorted_h[1:] != sorted_h[:-1]
+        pick = order[new]
+        own = h[pick].tolist()
+        if len(self.slots) + len(own) > REMEMBERED:
+            self.forget()
+        got = list(map(self.slots.get, own))
+        miss = [i for i, g in enumerate(got) if g is None]
+        if miss:
+            where = pick[miss]
+            text = buf.tobytes()
+            words = [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+            first = len(self.slots)
+            self.learn([own[i] for i in miss], words, check[where])
+            for k, i in enumerate(miss):
+                got[i] = first + k
+        slot = np.empty(len(h), np.int64)
+        slot[order] = np.array(got, np.int64)[np.cumsum(new) - 1]
+        odd = np.flatnonzero(self.check[slot] != check)
+        if len(odd):  # a word that shares its hash with another one: the texts go word by word
+            for t in texts:
+                yield b"".join(self.encoded(t.split()))
+            return
+        sizes = self.count[slot].astype(np.int64)
+        past = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.flat[np.repeat(self.begin[slot] - past[:-1], sizes) + np.arange(past[-1])]
+        edge = past[np.searchsorted(starts, at)].tolist()
+        for a, b in zip(edge[: len(texts)], edge[1:], strict=False):
+            yield ids[a:b].tobytes()
+
 
 _tokenizers: dict[str, WordTokenizer] = {}
 

@@ -82,34 +82,52 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: an expression inside a lambda would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def prefix_sums(lengths: Column) -> Column:
-    """Sums of all values before each; linear but for one term of n * n / STEP**2."""
+    """Sums of all values before each; linear but for one term of n * n / STEP**2. lengths: a bound variable."""
     add = lambda a, x: a + x
     zero = F.lit(0)
     blocks = F.transform(
         F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _STEP).cast("int")),
         lambda b: F.aggregate(F.slice(lengths, b * _STEP + 1, F.lit(_STEP)), zero, add),
     )
-    before = F.transform(blocks, lambda _, i: F.aggregate(F.slice(blocks, F.lit(1), i), zero, add))
-    return F.transform(
+    before = lambda bs: F.transform(bs, lambda _, i: F.aggregate(F.slice(bs, F.lit(1), i), zero, add))
+    inside = lambda bf: F.transform(
         lengths,
-        lambda _, i: F.element_at(before, F.floor(i / _STEP).cast("int") + 1)
+        lambda _, i: F.element_at(bf, F.floor(i / _STEP).cast("int") + 1)
         + F.aggregate(F.slice(lengths, i - i % _STEP + 1, i % _STEP), zero, add),
     )
+    return let(blocks, lambda bs: let(before(bs), inside))
 
 
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order, end, kind) of a rule's matches that are long enough."""
     pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    value = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    gaps = F.transform(F.split(text, rule.pattern, -1), lambda p: F.length(p))
-    size = F.transform(found, lambda m: F.length(m))
-    begin = prefix_sums(F.zip_with(F.slice(gaps, F.lit(1), F.size(size)), size, lambda g, m: g + m))
-    start = F.zip_with(begin, F.slice(gaps, F.lit(1), F.size(size)), lambda b, g: b + g)
-    made = F.zip_with(start, size, lambda s, n: F.struct(s.alias("start"), F.lit(order).alias("order"), (s + n).alias("end"), F.lit(rule.kind).alias("kind")))
-    long_enough = F.filter(F.zip_with(made, value, lambda s, v: F.struct(s.alias("s"), v.alias("v"))), lambda x: F.length(x["v"]) >= rule.least)
-    return F.transform(long_enough, lambda x: x["s"])
+    lengths = lambda a: F.transform(a, lambda p: F.length(p))
+    part = F.struct(
+        lengths(F.split(text, rule.pattern, -1)).alias("gap"),
+        lengths(F.regexp_extract_all(text, pattern, F.lit(0))).alias("size"),
+        lengths(F.regexp_extract_all(text, pattern, F.lit(rule.group))).alias("value"),
+    )
+
+    def placed(p: Column) -> Column:
+        gap = F.slice(p["gap"], F.lit(1), F.size(p["size"]))
+        begin = lambda sums: F.zip_with(
+            F.arrays_zip(sums.alias("before"), gap.alias("gap")),
+            F.arrays_zip(p["size"].alias("size"), p["value"].alias("value")),
+            lambda a, b: F.struct(
+                (a["before"] + a["gap"]).alias("start"), F.lit(order).alias("order"), (a["before"] + a["gap"] + b["size"]).alias("end"),
+                F.lit(rule.kind).alias("kind"), b["value"].alias("value"),
+            ),
+        )
+        return let(F.zip_with(gap, p["size"], lambda g, m: g + m), lambda moves: begin(prefix_sums(moves)))
+
+    found = F.filter(let(part, placed), lambda s: s["value"] >= rule.least)
+    return F.transform(found, lambda s: F.struct(s["start"], s["order"], s["end"], s["kind"]))
 
 
 _SPAN = "array<struct<start:int,order:int,end:int,kind:string>>"
