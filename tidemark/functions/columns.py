@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: an expression inside a lambda would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clip(x: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
 
@@ -52,10 +57,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def ngrams(text: Column, n: int) -> Column:
     """All character n-grams in order, repeats included, the last one too."""
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))  # once, so that the whole is linear in the text
-    count = F.size(chars) - (n - 1)
-    made = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
-    return F.when(count > 0, made).otherwise(F.array().cast("array<string>"))
+    def made(chars: Column) -> Column:
+        count = F.size(chars) - (n - 1)
+        grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
+        return F.when(count > 0, grams).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), made)  # linear in the text
 
 
 def bigrams(text: Column) -> Column:
