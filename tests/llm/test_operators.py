@@ -1,0 +1,294 @@
+"""Each operator over nulls, empty and very long texts, ties, repeated rows, clashing columns, and no rows at all."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, exact_dedup, packing, pii, secret_scan, sharding, simhash, substring_dedup, suffix_dedup, toxicity
+
+SECRETS = [
+    (1, 'token=token: abcdef é PASSWORD: "abc123=x" ſecret=abcdefgh'), (2, None), (3, ""), (4, "ü " * 3 + "api_key = zzzzzzz " * 700),
+    (5, "0123456789abcdef01234567" * 2), (6, "AKIA" + "Z" * 15 + " AKIA" + "Z" * 16), (7, "nothing"), (7, "nothing"), (None, "passwd:'hunter22'"),
+]
+
+
+def sha(b):
+    return hashlib.sha256(b if isinstance(b, bytes) else b.encode()).hexdigest()
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id bigint, text string, _key int, rules int")
+
+
+def same(got, want):
+    """As multisets of rows."""
+    assert Counter(map(tuple, got)) == Counter(map(tuple, want))
+
+
+def test_op1_secret_scan(spark, empty):
+    rules = {
+        "assign": (re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 6),
+        "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20), "hex": (re.compile(r"[0-9a-f]+"), 0, 24),
+    }
+    want = []
+    for d, t in SECRETS:
+        found = sorted((m.start(), i, f"{k}:{m.start()}:{m.end()}") for i, (k, (r, g, n)) in enumerate(rules.items()) for m in r.finditer(t or "") if len(m[g]) >= n)
+        counts = [sum(x[1] == i for x in found) for i in range(3)]
+        want.append((d, *counts, sha(",".join(x[2] for x in found))))
+    got = secret_scan.reported(frame(spark, SECRETS))
+    same(got.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect(), want)
+    assert secret_scan.reported(empty).count() == 0
+    extra = frame(spark, [(1, "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a1" * 20)])
+    assert [s.split(":")[0] for s in secret_scan.reported(extra).first()["spans"].split(",")] == ["key_block", "forge_token", "hex"]
+
+
+def test_op2_sharding(spark, docs, rows, empty):
+    got, table = sharding.sharded(docs, 8, 64)
+    out = got.collect()
+    assert len(out) == len(rows) and sorted(Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out).items(), key=str) == sorted(
+        Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows).items(), key=str
+    )
+    for k in range(8):
+        own = sorted(r["slot"] for r in out if r["shard"] == k)
+        assert own == list(range(len(own)))
+    assert table.select("version").distinct().count() == 2 and table.count() == 128
+    got, _ = sharding.sharded(empty, 8, 64)
+    assert got.count() == 0
+
+
+def test_op2_bytes_are_nearly_equal(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', cast(1 + id % 900 as int))").alias("text"))
+    load = [r["b"] for r in sharding.sharded(docs)[0].groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(load) == 8 and max(load) - min(load) < 0.002 * sum(load)
+
+
+def removed_words(rows, window):
+    docs = sorted({(d is not None, d or 0, xx(d, t)): (d, (t or "").encode().split()) for d, t in rows}.items())
+    seen, out = set(), {}
+    for key, (d, w) in docs:
+        cut = set()
+        for i in range(len(w) - window + 1):
+            g = tuple(w[i : i + window])
+            if g in seen:
+                cut |= set(range(i, i + window))
+            seen.add(g)
+        rest = [x for i, x in enumerate(w) if i not in cut]
+        out[(d, b" ".join(w), len(w))] = (len(w), len(w) - len(rest), sha(b" ".join(rest)))
+    return out
+
+
+def xx(d, t):
+    """Order of rows that share a doc_id; immaterial here but for being fixed."""
+    return xxhash.xxh64_intdigest((t or "").encode())
+
+
+def test_op3_substring_dedup(docs, rows, empty):
+    # rows without an id share it: they are left out here, as their order among each other is a hash's
+    some = [(d, t) for d, t in rows if d is not None]
+    want = removed_words(some, 20)
+    got = substring_dedup.digested(docs.filter("doc_id is not null")).collect()
+    same(got, [(d, *want[d, b" ".join((t or "").encode().split()), len((t or "").encode().split())]) for d, t in some])
+    assert substring_dedup.digested(empty).count() == 0
+    assert substring_dedup.digested(docs).count() == len(rows)
+
+
+def test_op3_one_word_over_and_over(spark):
+    rows = [(1, "z " * 70000), (2, "z " * 30)]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.digested(frame(spark, rows)).collect()}
+    assert got == {1: 70000 - 1, 2: 30} or got == {1: 69999, 2: 30}
+
+
+def test_op4_toxicity(spark, docs, rows, empty):
+    labels = spark.createDataFrame([(10, 1, 0), (11, 1, None), (None, 1, 1), (13, 0, 1), (13, 0, 0), (100, 1, 0), (4, 0, 1)], "doc_id bigint, quality int, toxic int")
+    out = toxicity.toxicity(docs, labels).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in out)
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
+    assert toxicity.toxicity(empty, labels).count() == 0
+    assert {r["score"] for r in toxicity.toxicity(docs, labels.filter("false")).collect()} == {0.0}
+    assert toxicity.accepted(docs, labels.filter("false")).columns == docs.columns
+
+
+def test_op5_pii(spark, docs, rows, empty):
+    text = "ä mail bob@x.org, +49 (30) 123-4567, 10.0.0.256 10.0.0.255, 4111-1111-1111-1111"
+    out = pii.personal_data(frame(spark, [(1, text), (2, None), (2, None)])).collect()
+    first = out[0]
+    assert [first[c] for c in ("n_email", "n_ip", "n_card", "n_phone")] == [1, 1, 1, 1]
+    assert first["spans"] == "email:7:16,phone:18:35,ip:48:58,card:60:79" and sha(first["spans"]) == first["base_sha256"]
+    assert out[1]["base_sha256"] == sha("") and out[1] == out[2]
+    assert pii.personal_data(docs).count() == len(rows) and pii.personal_data(empty).count() == 0
+
+
+def test_op6_suffix_dedup(spark, docs, rows, empty):
+    texts = [(t or "").encode() for _, t in rows]
+    n = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    want = []
+    for (d, _), t in zip(rows, texts):
+        out = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            if n[t[i : i + 200]] > 1:
+                out[i : i + 200] = True
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], out.view(np.int8), [0]))) == 1)
+        want.append((d, len(t), int(out.sum()), len(edge), sha(bytes(np.frombuffer(t, np.uint8)[~out]))))
+    same(suffix_dedup.digested(docs).collect(), want)
+    same(suffix_dedup.deduplicated(docs, most=400).select("doc_id", "n_bytes", "n_removed", "n_spans").collect(), [w[:4] for w in want])
+    assert suffix_dedup.digested(empty).count() == 0
+
+
+@pytest.mark.parametrize("hashed", [F.xxhash64, lambda c: F.length(c).cast("bigint") % 3])
+def test_op7_exact_dedup(docs, rows, empty, hashed):
+    """With a hash that collides all the time, too: identifiers are verified."""
+    norm = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    group = defaultdict(list)
+    for d, t in rows:
+        group[norm(t)].append(d)
+    want = []
+    for d, t in rows:
+        ids = group[norm(t)]
+        keep = max((i for i in ids if i is not None), default=None)
+        want.append((d, keep, len(ids), d == keep, sha(norm(t))))
+    same(exact_dedup.exact_classes(docs, 8, 64, hashed).collect(), want)
+    assert exact_dedup.exact_classes(empty).count() == 0
+    kept = exact_dedup.without_copies(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(w[3] for w in want)
+
+
+def test_op7_chunks_are_the_text(spark, rows):
+    df = spark.createDataFrame([(t,) for _, t in rows if t is not None], "text string")
+    for least, most in ((512, 8192), (8, 64)):
+        assert df.filter(F.array_join(exact_dedup.chunks(F.col("text"), least, most), "") != F.col("text")).count() == 0
+        assert df.select(F.explode(exact_dedup.chunks(F.col("text"), least, most)).alias("c")).filter(F.length("c") > most + 1).count() == 0
+
+
+def contaminated(rows, items):
+    words = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower())
+    out = []
+    for d, t in rows:
+        w, hit, met = words(t), set(), set()
+        for i, x in items:
+            b = words(x)
+            k = min(13, len(b))
+            grams = {tuple(b[p : p + k]) for p in range(len(b) - k + 1)} if k else set()
+            for p in range(len(w) - k + 1) if k else ():
+                if tuple(w[p : p + k]) in grams:
+                    hit |= set(range(p, p + k))
+                    met.add("" if i is None else str(i))
+        out.append((d, len(w), len(hit), len(met), sha(",".join(sorted(met))), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+def test_op8_decontamination(spark, docs, rows, empty):
+    from conftest import BASE, PASSAGE
+
+    items = [(1, PASSAGE[:300]), (2, "Étoile étoile"), (3, None), (4, "..."), (None, "one"), (5, " ".join(BASE.split()[5:30])), (5, "text of a third"), (6, "word " * 20)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = contaminated(rows, items)
+    same(decontaminate.judged(decontaminate.contamination(docs, bench)).collect(), want)
+    same(decontaminate.judged(decontaminate.contamination(docs, bench, most=120)).collect(), want)
+    assert decontaminate.judged(decontaminate.contamination(empty, bench)).count() == 0
+    assert not any(r["contaminated"] for r in decontaminate.judged(decontaminate.contamination(docs, bench.filter("false"))).collect())
+    clean = decontaminate.clean(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == sum(not w[5] for w in want)
+
+
+def linked(rows):
+    fps = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        g = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else ([b" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(x, 42) for x in g]
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    at = list(range(len(rows)))
+
+    def root(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                at[root(i)] = root(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)].append(d)
+    return [(d, f"{fps[i]:016x}", min(least[root(i)], default=None)) for i, (d, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("tile", [4096, 2])
+def test_op9_simhash(docs, rows, empty, tile):
+    same(simhash.near_classes(docs, tile).collect(), linked(rows))
+    if tile == 2:
+        assert simhash.near_classes(empty).count() == 0
+
+
+def test_op9_clusters_in_tiles(spark):
+    import random
+
+    rnd, points = random.Random(1), set()
+    for _ in range(25):
+        c = rnd.getrandbits(64)
+        for _ in range(15):
+            x = c
+            for _ in range(rnd.randint(0, 4)):
+                x ^= 1 << rnd.randrange(64)
+            points.add(x)
+    a = np.array(sorted(points), np.uint64)
+    at = list(range(len(a)))
+    for i in range(len(a)):
+        for j in np.flatnonzero(np.bitwise_count(a ^ a[i]) <= 3).tolist():
+            x, y = at[i], at[j]
+            at = [y if k == x else k for k in at] if x != y else at
+    signed = a.view(np.int64).tolist()
+    fps = spark.createDataFrame([(x,) for x in signed], "fp bigint")
+    found = {r["node"]: r["component"] for r in simhash.components(simhash.links(fps, 7)).collect()}
+    parts = lambda f: sorted(sorted(k) for k in _groups(f).values())
+    assert parts({x: found.get(x, x) for x in signed}) == parts(dict(zip(signed, at)))
+
+
+def _groups(f):
+    out = defaultdict(list)
+    for k, v in f.items():
+        out[v].append(k)
+    return out
+
+
+def test_op10_packing(spark, docs, rows, empty):
+    out = packing.packed(docs).collect()
+    assert sum(r["length"] for r in out) > 0 and Counter(r["doc_id"] for r in out if r["piece"] == 0) == Counter(d for d, _ in rows)
+    seq = defaultdict(list)
+    for r in out:
+        seq[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert r["start"] == 2048 * r["piece"] and 0 < r["length"] <= 2048
+    for v in seq.values():
+        at = 0
+        for o, n in sorted(v):
+            assert o == at
+            at += n
+        assert at <= 2048
+    assert [r for r in out if r["doc_id"] == 2][0]["length"] == 1
+    assert packing.packed(empty).count() == 0
+
+
+def test_pipeline_keeps_what_it_should(spark, tmp_path):
+    import corpus_pipeline as P
+
+    good = [(i, " ".join(f"clean{i}x{k} plain{k * i}" for k in range(60))) for i in range(40)]
+    bench = " ".join(f"item{k}" for k in range(30))
+    rows = [*good, (50, good[0][1]), (51, good[1][1].upper()), (60, "intro " + bench), (61, None), (62, "")]
+    spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, bench)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    left = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert left == {*range(2, 40), 50, 51, 62}
+    assert {r["doc_id"] for r in P.run(spark, str(tmp_path)).collect()} == left

@@ -182,7 +182,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, guarantee: int = GUARAN
 
 def merged_parts(made: list[DataFrame]) -> DataFrame:
     """Results for several parts of the items, put together per document."""
-    one = made[0]
+    one, parts = made[0], len(made)
     for x in made[1:]:
         one = one.unionByName(x)
 
@@ -200,7 +200,7 @@ def merged_parts(made: list[DataFrame]) -> DataFrame:
                 out += [a, b]
         items = sorted({i for x in pdf["items"] for i in x})
         row = (pdf["doc_id"].iloc[0], pdf["n_words"].iloc[0], out, items)
-        return pd.DataFrame([row] * (len(pdf) // len(made)), columns=["doc_id", "n_words", "hit_spans", "items"])
+        return pd.DataFrame([row] * (len(pdf) // parts), columns=["doc_id", "n_words", "hit_spans", "items"])
 
     return one.groupBy("_key").applyInPandas(union_of, "doc_id bigint, n_words bigint, hit_spans array<bigint>, items array<string>")
 
@@ -222,5 +222,5 @@ def judged(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones."""
     found = judged(contamination(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.xxhash64("doc_id", "text") == F.col("_bad"), "left_anti")
+    bad = found.filter("contaminated").select("doc_id").distinct()
+    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == bad["doc_id"], "left_anti")

@@ -96,10 +96,6 @@ def exact_classes(docs: DataFrame, least: int = MIN_CHUNK, most: int = MAX_CHUNK
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_classes() drops (of rows repeated whole all stay or go)."""
-    stay = exact_classes(docs).filter("kept").select(F.col("doc_id").alias("_stays"), "text_sha256").distinct()
-    digest = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
-    one = docs.withColumn("_digest", digest)
-    return (
-        one.join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")) & (F.col("_digest") == F.col("text_sha256")), "left_semi")
-        .drop("_digest")
-    )
+    stay = exact_classes(docs).filter("kept").select("doc_id", "text_sha256").distinct()
+    digest = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]) & (digest == stay["text_sha256"]), "left_semi")

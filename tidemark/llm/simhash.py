@@ -14,8 +14,8 @@ own; nothing is capped. A tile returns a spanning forest of its links, not the l
 of the forests are the components of all links.
 
 Edge cases: null text counts as empty; a text without words has fingerprint zero and links like
-any other; rows repeated whole get the same row each; null doc_id is the largest, so a component's
-id is null only if all its members' are. Empty tables give empty results.
+any other; rows repeated whole get the same row each; a component's id is null only if all its members'
+are. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -205,5 +205,5 @@ def near_classes(docs: DataFrame, tile: int = TILE) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: the one with the smallest doc_id."""
     classes = near_classes(docs)
-    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    stay = kept(classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "representatives")
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")

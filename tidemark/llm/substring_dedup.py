@@ -155,6 +155,9 @@ def repeated_in(blobs: list[bytes], tails: list[bytes], window: int) -> pa.Recor
     r, start, hp = r[rank], start[rank], hashes[pick][rank]
     later = np.zeros(len(r), bool)
     later[1:] = (hp[1:] == hp[:-1]) & (r["min"][1:] == r["min"][:-1])
+    # a row repeated whole in another block is the same document: not later than itself
+    head = np.maximum.accumulate(np.where(later, 0, np.arange(len(r))))
+    later &= (r["doc"] != r["doc"][head]) | (r["key"] != r["key"][head]) | (start != start[head])
     r, start = r[later], start[later]
     rank = np.lexsort((start, r["key"], r["doc"]))
     r, start = r[rank], start[rank]
