@@ -56,11 +56,11 @@ p AS (SELECT *, min(CASE WHEN value = peak THEN i END) OVER (PARTITION BY keywor
 f AS (SELECT *, min(CASE WHEN i > ip AND value < 0.1 * peak THEN i END) OVER (PARTITION BY keyword) AS fell FROM p)
 SELECT keyword, round(max(peak), 2) AS peak, min(CASE WHEN i = ip THEN month END) AS peak_at, count(*) AS n,
        min(CASE WHEN value >= greatest(0.5, 0.1 * peak) THEN i END) AS first_i, max(CASE WHEN value >= greatest(0.5, 0.1 * peak) THEN i END) AS last_i,
-       round(coalesce(sum(trap), 0), 2) AS area, coalesce(bool_or(i > fell AND value > 0.3 * peak), false) AS resurgence
+       round(coalesce(sum(trap), 0), 4) AS area, coalesce(bool_or(i > fell AND value > 0.3 * peak), false) AS resurgence
 FROM f GROUP BY keyword""")
 def keyword_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = A.life_cycle(attention(spark, sf_dir), "keyword", "month")
-    return c.select("keyword", F.round("peak", 2).alias("peak"), "peak_at", "n", F.col("first_i").cast("long"), F.col("last_i").cast("long"), F.round("area", 2).alias("area"), "resurgence")
+    return c.select("keyword", F.round("peak", 2).alias("peak"), "peak_at", "n", F.col("first_i").cast("long"), F.col("last_i").cast("long"), F.round("area", 4).alias("area"), "resurgence")
 
 
 _STAGES = f"""{ATT}, i AS (SELECT *, (row_number() OVER (PARTITION BY keyword ORDER BY month) - 1)::INT AS i, max(value) OVER (PARTITION BY keyword) AS peak FROM att),

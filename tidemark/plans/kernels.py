@@ -1 +1,159 @@
-"""Queries."""
+"""Queries that run numpy kernels: spectra, mixtures, resampling, simulation, indicators. SQL can't express them; tests do."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidemark.catalog import query
+from tidemark.functions import numerics as N
+from tidemark.operators import indicators as I, replicates as R, simulation as S
+from tidemark.plans.bindings import attention, axis, regime_sequence, vectors
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, list[str]]:
+    """The month x keyword matrix (80 x 25) on the driver."""
+    keys = [f"NATION_{k}" for k in range(25)]
+    w = attention(spark, sf_dir).groupBy("month").pivot("keyword", keys).agg(F.sum("value")).na.fill(0.0)
+    return R.matrix(w, "month", keys), keys
+
+
+def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame([tuple(v.item() if isinstance(v, np.generic) else v for v in r) for r in rows], schema)
+
+
+@query()
+def state_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components for 90, 95 and 99 % of the variance of the standardised keyword matrix."""
+    x, _ = _wide(spark, sf_dir)
+    ratio = N.pca(N.standardised(x))[2]
+    d = N.dimensions(ratio)
+    return _frame(spark, [(len(x), x.shape[1], *d, round(float(ratio[0]), 6))], "n int, features int, d90 int, d95 int, d99 int, first double")
+
+
+@query()
+def state_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, _ = _wide(spark, sf_dir)
+    s = N.pca(N.standardised(x))[0][:, :5]
+    v = N.varx(s)
+    return _frame(spark, [(v["alpha"], v["r2"], v["r2_last"])], "alpha double, r2 double, r2_last double")
+
+
+@query()
+def regimes_by_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, _ = _wide(spark, sf_dir)
+    k, label = N.mixture_by_bic(N.pca(N.standardised(x))[0][:, :3])
+    return _frame(spark, [(t, int(v), k) for t, v in enumerate(label)], "t int, label int, k int")
+
+
+@query()
+def control_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, _ = _wide(spark, sf_dir)
+    z = N.diffusion_map(N.standardised(x))
+    return _frame(spark, [(t, *map(float, r)) for t, r in enumerate(z)], "t int, z1 double, z2 double, z3 double")
+
+
+@query()
+def axis_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each control axis the eight keywords whose own series go with it most."""
+    x, keys = _wide(spark, sf_dir)
+    z = N.diffusion_map(N.standardised(x))
+    r = np.corrcoef(z.T, x.T)[:3, 3:]
+    rows = [(a + 1, i + 1, keys[j], float(r[a, j])) for a in range(3) for i, j in enumerate(np.argsort(-np.abs(r[a]))[:8])]
+    return _frame(spark, rows, "axis int, rank int, keyword string, r double")
+
+
+@query()
+def transition_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = R.matrix(regime_sequence(spark, sf_dir), "t", ["label"])[:, 0].astype(int)
+    return R.transition_bootstrap(spark, label, 5, 2000)
+
+
+@query()
+def nyblom_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.nyblom_test(spark, R.matrix(axis(spark, sf_dir), "t", ["x"])[:, 0], 400)
+
+
+@query()
+def drifting_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = R.matrix(axis(spark, sf_dir), "t", ["x"])[:, 0]
+    p = N.ar_order(y)
+    d = N.drifting_ar(y, p)
+    return _frame(spark, [(p, d["q"], d["lr"], d["root_first"], d["root_second"])], "order int, q double, lr double, root_first double, root_second double")
+
+
+@query()
+def cluster_discreteness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, _ = _wide(spark, sf_dir)
+    s = N.pca(N.standardised(x))[0][:, :3]
+    k, gap = N.gap_statistic(s, 5, 10)
+    rows = [(i + 1, k, g, N.silverman(s[:, i], 40) if i < 3 else None) for i, g in enumerate(gap)]
+    return _frame(spark, rows, "k int, chosen int, gap double, silverman_p double")
+
+
+@query()
+def curation_jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, _ = _wide(spark, sf_dir)
+    return R.jackknife(spark, x, 40)
+
+
+@query()
+def slice_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, _ = _wide(spark, sf_dir)
+    return R.block_null(spark, x[:, :8], 24, 200)
+
+
+@query()
+def keyword_attractors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = attention(spark, sf_dir)
+    return R.by_group(a, "keyword", "month", ["value"], lambda m: N.attractor(m[:, 0]), "delay int, dim int, rec double, det double, lyapunov double, regime string")
+
+
+@query()
+def outbreak_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contact by recovery rate, 12 x 5."""
+    grid = spark.range(60).select("id", (0.05 + F.floor(F.col("id") / 5) * 0.08).alias("beta"), (0.05 + F.col("id") % 5 * 0.05).alias("gamma"), F.lit(0.0).alias("sigma"))
+    return S.outbreaks(grid.repartition(8))
+
+
+@query()
+def curve_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = attention(spark, sf_dir).filter("month < '1997-01'")
+    return S.fits(a, "keyword", "month", "value")
+
+
+@query()
+def crowd_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.range(24).select("id", (0.02 + F.col("id") % 8 * 0.05).alias("contagion"), (F.floor(F.col("id") / 8) * 0.4).cast("double").alias("chaos"), (F.col("id") % 2 == 0).alias("scale_free"), F.col("id").alias("seed"))
+    return S.crowds(c.repartition(8))
+
+
+def indicator_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(t, month, x, u, stage shares, mutation, drift) as the indicators take them."""
+    from tidemark.operators import attention as A
+    from tidemark.plans.regimes import state
+
+    a = attention(spark, sf_dir)
+    placed = A.stage_of(a, A.stage_intervals(a, "keyword", "month"), "keyword", "month").groupBy("month").agg(
+        *(F.avg((F.col("stage") == s).cast("double")).alias(s) for s in ("origin", "emergence", "fixation"))
+    )
+    m = axis(spark, sf_dir)
+    s = state(spark, sf_dir).drop("t").join(placed, "month", "left").na.fill(0.0, ["origin", "emergence", "fixation"])
+    own = m.select("t", "month", F.array("x", F.ln("total")).alias("u"), F.abs("x").alias("mutation"), F.abs("x").alias("drift"))
+    return own.join(s.select("month", "x", "origin", "emergence", "fixation"), "month")
+
+
+@query()
+def indicator_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.labelled(I.history(indicator_states(spark, sf_dir)))
+
+
+@query()
+def engine_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query interface: every vector's projection with the latest month's state."""
+    from tidemark.operators.semantic import means
+
+    v = vectors(spark, sf_dir)
+    nodes = means(v, ["label"]).select(F.col("label").alias("node"), F.col("mean").alias("v"))
+    engine = I.Engine(I.history(indicator_states(spark, sf_dir)), regime_sequence(spark, sf_dir), nodes)
+    return engine.query("full", vectors=v.select(F.col("vec_id").alias("id"), "e"))
