@@ -9,7 +9,8 @@ pieces, a function of its bytes alone.
    90 bytes; a run of more than MOST windows is cut (windows are never cut).
 2. Anchors that occur once cannot hold a repeat; counting drops them (partial aggregation, then a
    semi-join whose hot keys Spark can split).
-3. Of equal segments one stands for all, with their number as its weight. Its bytes go to a part chosen by
+3. Of equal segments one stands for all, with their number as its weight. One that is alone under its
+   anchor shares no window with another; its weight settles it. The bytes of the others go to a part chosen by
    anchor; parts hold about PART_BYTES, and an anchor with more than that is split by the windows' offset
    from their anchor, which equal windows share too.
 4. In each part: suffix array, Burrows-Wheeler transform, and breadth-first backward extension, which
@@ -123,18 +124,23 @@ def bands(body: bytes, width: int, window: int, gram: int) -> list[tuple[int, in
     return list(zip(band[lo].tolist(), lo.tolist(), hi.tolist(), strict=True))
 
 
-def segments(docs: DataFrame, occ: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = PART_BYTES) -> tuple[DataFrame, int]:
-    """(anchor, band, seg, n, off, weight, bytes) of the distinct segments, and their number of bytes."""
+def segments(docs: DataFrame, occ: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = PART_BYTES) -> tuple[DataFrame, int, DataFrame]:
+    """(anchor, band, seg, n, off, weight, bytes) of the distinct segments to sort, their number of bytes, and
+    (anchor, seg, n, spans) of those that are settled: alone under their anchor and without a repeat of
+    it inside, so that no other string shares a window with them and their windows repeat just as they do."""
     at = F.min(F.struct("key", "start")).alias("at")
-    distinct = kept(occ.groupBy("anchor", "seg", "n").agg(F.count("*").alias("weight"), at), "segments")
-    total = distinct.agg(F.coalesce(F.sum(F.col("n") + window - 1), F.lit(0)).alias("b")).first()["b"]
-    heavy = kept(distinct.groupBy("anchor").agg(F.sum(F.col("n") + window - 1).alias("b")).filter(F.col("b") > most), "heavy-anchors")
+    distinct = kept(occ.groupBy("anchor", "seg", "n").agg(F.count("*").alias("weight"), F.max("many").alias("many"), at), "segments")
+    bytes_ = F.col("n") + window - 1
+    anchors = kept(distinct.groupBy("anchor").agg(F.sum(bytes_).alias("b"), F.count("*").alias("kinds")), "anchor-sizes")
+    known = kept(distinct.join(anchors, "anchor"), "known-segments")
+    alone = (F.col("kinds") == 1) & ~F.col("many")
+    settled = known.filter(alone & (F.col("weight") > 1)).select("anchor", "seg", "n", F.array(F.lit(0).cast("bigint"), bytes_.cast("bigint")).alias("spans"))
+    rest = known.filter(~alone)
+    total = rest.agg(F.coalesce(F.sum(bytes_), F.lit(0)).alias("b")).first()["b"]
     # 0: whole; else so many anchor offsets of its windows go to a part together
-    width = F.when(F.col("b").isNull(), 0).when(F.col("b") <= 8 * most, 16).otherwise(1)
-    wanted = (
-        distinct.join(heavy, "anchor", "left")
-        .groupBy("at.key")
-        .agg(F.collect_list(F.struct("anchor", "seg", "n", "weight", F.col("at.start").alias("start"), width.alias("width"))).alias("cut"))
+    width = F.when(F.col("b") <= most, 0).when(F.col("b") <= 8 * most, 16).otherwise(1)
+    wanted = rest.groupBy("at.key").agg(
+        F.collect_list(F.struct("anchor", "seg", "n", "weight", F.col("at.start").alias("start"), width.alias("width"))).alias("cut")
     )
     rows = docs.select(document_key().alias("key"), "text").join(wanted.hint("shuffle_hash"), "key").select("text", "cut")
 
@@ -158,7 +164,7 @@ def segments(docs: DataFrame, occ: DataFrame, window: int = WINDOW, gram: int =
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
         return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=_SEGMENT)
 
-    return rows.mapInArrow(task, "anchor bigint, band int, seg bigint, n int, off int, weight bigint, body binary"), total
+    return rows.mapInArrow(task, "anchor bigint, band int, seg bigint, n int, off int, weight bigint, body binary"), total, settled
 
 
 def covered(parts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -200,11 +206,11 @@ def covered(parts: DataFrame, window: int = WINDOW) -> DataFrame:
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = PART_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_bytes: a row for each input row."""
     occ = occurrences(docs, window, gram)
-    cut, total = segments(docs, occ, window, gram, most)
+    cut, total, settled = segments(docs, occ, window, gram, most)
     parts = max(1, -(-total // most))
     part = F.pmod(F.xxhash64("anchor", "band"), F.lit(parts)).cast("int")
     laid = cut.select(part.alias("part"), "anchor", "seg", "n", "off", "weight", "body").repartition("part").sortWithinPartitions("part")
-    found = kept(covered(laid, window), "covered")
+    found = kept(covered(laid, window).unionByName(settled), "covered")
     spans = (
         occ.join(found, ["anchor", "seg", "n"])
         .select("key", F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
