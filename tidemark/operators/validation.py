@@ -88,13 +88,13 @@ def gradient_z(df: DataFrame, value: str, order: str) -> DataFrame:
 
 def step_violations(df: DataFrame, by: str, order: str, vector: str, dim: float = 0.35, norm: float = 0.5, rise: float = 0.15) -> DataFrame:
     """(by, order, problem): steps of a dimension over ``dim``, of the norm over ``norm``; a warning where two rise together."""
-    prev = F.lag(vector).over(Window.partitionBy(by).orderBy(order))
-    step = F.zip_with(vector, prev, lambda a, b: a - b)
+    pairs = df.withColumn("_p", F.lag(vector).over(Window.partitionBy(by).orderBy(order))).filter("_p is not null")
+    step = F.zip_with(vector, "_p", lambda a, b: a - b)
     size = F.sqrt(F.aggregate(step, F.lit(0.0), lambda s, x: s + x * x))
     notes = F.array(
         F.when(F.exists(step, lambda x: F.abs(x) > dim), "dimension"), F.when(size > norm, "norm"), F.when(F.size(F.filter(step, lambda x: x > rise)) >= 2, "co-rise"),
     )
-    return df.withColumn("_p", prev).filter("_p is not null").select(by, order, F.explode(F.array_compact(notes)).alias("problem"))
+    return pairs.select(by, order, F.explode(F.array_compact(notes)).alias("problem"))
 
 
 def phase_violations(df: DataFrame, by: str, order: str, phase: str, phases: tuple[str, ...]) -> DataFrame:
