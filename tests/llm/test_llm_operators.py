@@ -183,7 +183,7 @@ def contaminated(rows, items):
 
 
 def test_op8_decontamination(spark, docs, rows, empty):
-    from conftest import BASE, PASSAGE
+    from llm_samples import BASE, PASSAGE
 
     items = [(1, PASSAGE[:300]), (2, "Étoile étoile"), (3, None), (4, "..."), (None, "one"), (5, " ".join(BASE.split()[5:30])), (5, "text of a third"), (6, "word " * 20)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
