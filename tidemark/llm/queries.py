@@ -54,7 +54,42 @@ QUERIES = {
     for f in (op1_secret_scan, op2_sharding, op3_substring_dedup, op4_toxicity, op5_pii, op6_suffix_dedup, op7_exact_dedup, op8_decontamination, op9_simhash, op10_packing)
 }
 
+def _secrets_sql() -> str:
+    """The rules in SQL: a match's place is what splitting leaves before it plus the matches before it."""
+    either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)  # noqa: E731  RE2 folds case beyond ASCII
+    words = "|".join(either(w) for w in ("password", "passwd", "secret", "token")) + "|" + either("api") + "_?" + either("key")
+    parts, counts = [], []
+    for order, r in enumerate(secret_scan.RULES):
+        pattern = r.pattern.replace("(?i:password|passwd|secret|token|api_?key)", words).replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, '{r.kind}' AS kind, {order} AS o, {str(r.base).lower()} AS base, regexp_split_to_array(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', 0) AS m, "
+            f"regexp_extract_all(t, '{pattern}', {r.group}) AS v, {r.least} AS least FROM d"
+        )
+        if r.base:
+            counts.append(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}")
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(parts)}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
+s AS (SELECT doc_id, kind, o, base, list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS a, length(m[i]) AS n
+      FROM i WHERE length(v[i]) >= least),
+n AS (SELECT *, kind || ':' || a || ':' || (a + n) AS name FROM s),
+x AS (SELECT doc_id, {", ".join(counts)}, string_agg(name, ',' ORDER BY a, o) FILTER (base) AS b, string_agg(name, ',' ORDER BY a, o) AS spans FROM n GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in secret_scan.RULES if r.base)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN x USING (doc_id)"""
+
+
 ORACLE_SQL = {
+    "op1_secret_scan": _secrets_sql(),
+    "op6_suffix_dedup": """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM b WHERE length(h) >= 400)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY g) AS n FROM w) WHERE n > 1),
+e AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM r),
+k AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM e),
+s AS (SELECT doc_id, run, min(p) AS lo, max(p) + 200 AS hi FROM k GROUP BY doc_id, run),
+c AS (SELECT s.doc_id, lo, hi, substr(h, 2 * coalesce(lag(hi) OVER (PARTITION BY s.doc_id ORDER BY lo), 0) + 1, 2 * (lo - coalesce(lag(hi) OVER (PARTITION BY s.doc_id ORDER BY lo), 0))) AS piece FROM s JOIN b ON s.doc_id = b.doc_id),
+a AS (SELECT doc_id, sum(hi - lo) AS cut, count(*) AS spans, max(hi) AS tail, string_agg(piece, '' ORDER BY lo) AS rest FROM c GROUP BY doc_id)
+SELECT b.doc_id, length(h) // 2 AS n_bytes, coalesce(cut, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(rest, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256 FROM b LEFT JOIN a ON a.doc_id = b.doc_id""",
     "op3_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, p, array_to_string(w[p : p + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20)),
