@@ -47,12 +47,11 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def collected_garbage(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of plans that are no longer reachable."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+def partitions_for(df: DataFrame, factor: float, each: int = 64 << 20) -> int:
+    """How many shuffle partitions of about ``each`` bytes hold ``factor`` times the plan's estimated input; never under the session's number."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, int(size * factor / each)) if size < 1 << 58 else least  # beyond: Spark does not know
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

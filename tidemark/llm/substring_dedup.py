@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import blocks as B
-from .shared import KEY, document_key, kept
+from .shared import KEY, document_key, kept, partitions_for
 
 WINDOW, GRAM, PARTS = 20, 5, 1024
 _NULL_ID = -(2**63)
@@ -186,8 +186,10 @@ def counted(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
 
 def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, parts: int = PARTS) -> DataFrame:
     """(doc, key, lo, hi): word intervals to remove; those of a document may overlap."""
+    tasks = partitions_for(docs, 2.7)
+    parts = max(parts, 8 * tasks)
     rows = docs.select("doc_id", document_key().alias(KEY), "text").mapInArrow(lambda it: shipped(it, window, gram, parts), _ROW)
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(
+    return rows.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(
         lambda it: counted(it, window), "doc bigint, key bigint, lo bigint, hi bigint"
     )
 
@@ -205,8 +207,9 @@ def remaining(words: list[bytes], intervals: list[tuple[int, int]]) -> list[byte
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, parts: int = PARTS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (what is left, one space between words): a row for each input row."""
     spans = kept(repeated_intervals(docs, window, gram, parts), "repeated-windows")
-    own = spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("cut"))
-    rows = docs.select("doc_id", document_key().alias("key"), "text").join(own.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "cut")
+    own = spans.groupBy("key", "doc").agg(F.collect_set(F.struct("lo", "hi")).alias("cut"))
+    rows = docs.select("doc_id", document_key().alias("key"), F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"), "text")
+    rows = rows.join(own.hint("shuffle_hash"), ["key", "doc"], "left").select("doc_id", "text", "cut")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -208,8 +208,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most:
     occ = occurrences(docs, window, gram)
     cut, total, settled = segments(docs, occ, window, gram, most)
     parts = max(1, -(-total // most))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (32 << 20)))
     part = F.pmod(F.xxhash64("anchor", "band"), F.lit(parts)).cast("int")
-    laid = cut.select(part.alias("part"), "anchor", "seg", "n", "off", "weight", "body").repartition("part").sortWithinPartitions("part")
+    laid = cut.select(part.alias("part"), "anchor", "seg", "n", "off", "weight", "body").repartition(tasks, "part").sortWithinPartitions("part")
     found = kept(covered(laid, window).unionByName(settled), "covered")
     spans = (
         occ.join(found, ["anchor", "seg", "n"])
