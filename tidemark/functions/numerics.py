@@ -480,3 +480,118 @@ def attractor(x: np.ndarray) -> dict:
     lam = lyapunov(z, dim, delay)
     kind = "chaotic" if lam > 0.01 else "periodic" if det > 0.8 else "quasi-periodic" if det > 0.4 else "fixed point"
     return {"delay": delay, "dim": dim, "rec": rec, "det": det, "lyapunov": lam, "regime": kind}
+
+
+# tests of order and of separation
+
+
+def time_reversal(x: np.ndarray, shuffles: int = 500, seed: int = 0) -> dict:
+    """Signs of a direction in time: mean step by dimension (t), step length against shuffled order, cosine of steps in a row."""
+    step = np.diff(x, axis=0)
+    t = [mean_t_test(step[:, j]) for j in range(x.shape[1])]
+    rng = np.random.default_rng(seed)
+    own = np.linalg.norm(step, axis=1).mean()
+    null = np.array([np.linalg.norm(np.diff(x[rng.permutation(len(x))], axis=0), axis=1).mean() for _ in range(shuffles)])
+    a, b = step[:-1], step[1:]
+    cos = (a * b).sum(1) / np.maximum(np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1), 1e-12)
+    half = len(step) // 2
+    d1, d2 = step[:half].mean(0), step[half:].mean(0)
+    return {
+        "significant_dims": sum(p < 0.05 for _, p in t), "mean_step": float(own), "shuffled": float(null.mean()), "p": float((null <= own).mean()),
+        "step_cosine": float(cos.mean()), "cosine_p": mean_t_test(cos)[1], "half_drift_cosine": float(d1 @ d2 / max(np.linalg.norm(d1) * np.linalg.norm(d2), 1e-12)),
+    }
+
+
+def drift_within(x: np.ndarray, chosen: np.ndarray) -> list[dict]:
+    """Per dimension, over the chosen rows: correlation with time and its p, variance ratio of the halves, end-to-end move over sd * sqrt(n)."""
+    out = []
+    z = x[chosen]
+    t = np.arange(len(z))
+    for v in z.T:
+        r = float(np.corrcoef(t, v)[0, 1]) if v.std() > 0 else 0.0
+        stat = r * math.sqrt((len(v) - 2) / max(1 - r * r, 1e-12))
+        half = len(v) // 2
+        steps = np.diff(v)
+        out.append({"r": r, "p": t_sf2(stat, len(v) - 2), "variance_ratio": float(v[half:].var() / max(v[:half].var(), 1e-12)), "excess": float(abs(v[-1] - v[0]) / max(steps.std() * math.sqrt(len(v)), 1e-12))})
+    return out
+
+
+def manifold_shift(base: np.ndarray, other: np.ndarray, reset: int, labels: np.ndarray) -> dict:
+    """After turning ``other`` onto ``base``: mean row drift before and after the reset, their ratio, largest centroid shift, and whether it counts."""
+    turned = rotated(base - base.mean(0), other - other.mean(0)) + base.mean(0)
+    d = np.linalg.norm(base - turned, axis=1)
+    shift = max(float(np.linalg.norm(base[labels == k].mean(0) - turned[labels == k].mean(0))) for k in np.unique(labels))
+    scale = pairwise(base)[np.triu_indices(len(base), 1)].mean()
+    return {"before": float(d[:reset].mean()), "after": float(d[reset:].mean()), "ratio": float(d[reset:].mean() / max(d[:reset].mean(), 1e-12)), "shift": shift, "significant": bool(shift > 0.1 * scale)}
+
+
+def matrix_difference(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.linalg.norm(a - b))
+
+
+def persistence(labels: np.ndarray, k: int) -> float:
+    """Chance to stay of the label that stays most."""
+    n = np.zeros((k, k))
+    np.add.at(n, (labels[:-1], labels[1:]), 1)
+    return float((np.diag(n) / np.maximum(n.sum(1), 1)).max())
+
+
+# a predictor of monthly states
+
+
+class StatePredictor:
+    """Ridge of the next state on a lookback, and a second ridge of what the first leaves on outer components; one scaler for all uses."""
+
+    def __init__(self, lookback: int = 6, alpha: float = 10.0, outer_alpha: float = 50.0):
+        self.lookback, self.alpha, self.outer_alpha = lookback, alpha, outer_alpha
+
+    def fit(self, x: np.ndarray, outer: np.ndarray | None = None) -> StatePredictor:
+        self.m, self.s = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
+        f, y = lagged((x - self.m) / self.s, self.lookback)
+        self.w, self.b = ridge(f, y, self.alpha)
+        self.outer = None
+        if outer is not None:
+            self.outer = ridge(outer[self.lookback - 1 : -1], y - (f @ self.w + self.b), self.outer_alpha)
+        return self
+
+    def predict(self, x: np.ndarray, outer: np.ndarray | None = None) -> np.ndarray:
+        """The state after the last row."""
+        p = ((x[-self.lookback :] - self.m) / self.s).ravel() @ self.w + self.b
+        if self.outer is not None and outer is not None:
+            p = p + outer[-1] @ self.outer[0] + self.outer[1]
+        return p * self.s + self.m
+
+    def forecast(self, x: np.ndarray, steps: int) -> np.ndarray:
+        rows = list(x)
+        for _ in range(steps):
+            rows.append(self.predict(np.array(rows)))
+        return np.array(rows[len(x) :])
+
+    def backtest(self, x: np.ndarray, k: int = 5, outer: np.ndarray | None = None) -> dict:
+        """R2 and mean absolute error over expanding folds, beside those of the last value."""
+        got, last, true = [], [], []
+        for i, j in folds(len(x), k):
+            if i <= self.lookback + 2:
+                continue
+            m = StatePredictor(self.lookback, self.alpha, self.outer_alpha).fit(x[:i], None if outer is None else outer[:i])
+            for t in range(i, j):
+                got.append(m.predict(x[:t], None if outer is None else outer[:t]))
+                last.append(x[t - 1])
+                true.append(x[t])
+        g, n, y = np.array(got), np.array(last), np.array(true)
+        return {"r2": r2(y.ravel(), g.ravel()), "mae": float(np.abs(y - g).mean()), "mae_last": float(np.abs(y - n).mean())}
+
+
+def nearest_form(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(form, confidence): nearest centre, confidence 1 - distance, 0 at least."""
+    d = pairwise(x, centres)
+    return d.argmin(1), np.maximum(0, 1 - d.min(1))
+
+
+def importance_noise(x: np.ndarray, label: np.ndarray, sd: float, draws: int, seed: int = 0) -> float:
+    """Share of rows that keep their nearest group mean under noise."""
+    rng = np.random.default_rng(seed)
+    kinds = np.unique(label)
+    centres = np.array([x[label == k].mean(0) for k in kinds])
+    base = pairwise(x, centres).argmin(1)
+    return float(np.mean([(pairwise(x + rng.normal(0, sd, x.shape), centres).argmin(1) == base).mean() for _ in range(draws)]))

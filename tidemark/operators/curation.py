@@ -100,3 +100,65 @@ def interest(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
     """(key, month, value): monthly means; keys that are all zero are left out."""
     m = df.groupBy(key, F.date_format(time, "yyyy-MM").alias("month")).agg(F.avg(value).alias(value))
     return m.join(m.groupBy(key).agg(F.max(value).alias("_top")).filter("_top > 0").select(key), key, "left_semi")
+
+
+def ranked_by(trajectories: DataFrame, metric: str) -> DataFrame:
+    """Entries by a metric of their second node (the first where there is one alone), largest first, then by name."""
+    node = F.coalesce(F.get("nodes", F.lit(1)), F.get("nodes", F.lit(0)))
+    return trajectories.withColumn("metric", node[metric]).orderBy(F.desc("metric"), "name")
+
+
+def trajectory_nodes(narratives: DataFrame, phases: dict[str, str]) -> DataFrame:
+    """(name, nodes): one node for each phase under its mapped name; fixation closes every trajectory.
+
+    narratives: (name, spread_phases array of struct(phase, intensity)). A phase without a mapping counts as
+    emergence; an entry without phases gets origin and fixation.
+    """
+    table = F.create_map(*(F.lit(x) for kv in phases.items() for x in kv))
+    node = lambda phase, intensity: F.struct(phase.alias("phase"), intensity.cast("double").alias("intensity"))
+    made = F.transform("spread_phases", lambda p: node(F.coalesce(F.try_element_at(table, p["phase"]), F.lit("emergence")), p["intensity"]))
+    made = F.when(F.size("spread_phases") > 0, made).otherwise(F.array(node(F.lit("origin"), F.lit(0.1))))
+    ends = F.element_at(made, -1)["phase"] == "fixation"
+    return narratives.select("name", F.when(ends, made).otherwise(F.concat(made, F.array(node(F.lit("fixation"), F.lit(0.1))))).alias("nodes"))
+
+
+def mutation_months(narratives: DataFrame, markers: list[str], after: int = 6) -> DataFrame:
+    """(name, month): months of mutation events and the ``after`` following, and of phases whose name has a marker.
+
+    narratives: (name, mutations array of struct(month), phases array of struct(phase, month)), months as yyyy-MM.
+    """
+    from tidemark.functions.columns import has_any
+
+    events = narratives.select("name", F.explode("mutations.month").alias("m")).select("name", F.explode(F.sequence(F.lit(0), F.lit(after))).alias("k"), "m")
+    spread = events.select("name", F.date_format(F.add_months(F.to_date("m", "yyyy-MM"), F.col("k")), "yyyy-MM").alias("month"))
+    marked = narratives.select("name", F.inline("phases")).filter(has_any(F.col("phase"), markers)).select("name", "month")
+    return spread.unionByName(marked).filter("month is not null").distinct()
+
+
+def phase_shares(curves: DataFrame, key: str, order: str, value: str, threshold: float = 0.1) -> DataFrame:
+    """(key, growth, peak, decay): shares of a curve's rows before it first exceeds a share of its peak, while it does, and after."""
+    w = Window.partitionBy(key)
+    top = F.max(value).over(w)
+    d = curves.withColumn("_on", F.col(value) >= threshold * top).withColumn("_a", F.min(F.when(F.col("_on"), F.col(order))).over(w)).withColumn("_b", F.max(F.when(F.col("_on"), F.col(order))).over(w))
+    share = lambda c: F.avg(c.cast("double"))
+    return d.groupBy(key).agg(share(F.col(order) < F.col("_a")).alias("growth"), share(F.col(order).between(F.col("_a"), F.col("_b"))).alias("peak"), share(F.col(order) > F.col("_b")).alias("decay"))
+
+
+def name_of_folder(folder: Column) -> Column:
+    """A meme's name out of a folder's: what stands in quotes or brackets, else the first part without its number."""
+    quoted = F.regexp_extract(folder, r"[「『\"【\[]([^」』\"】\]]+)[」』\"】\]]", 1)
+    return F.when(quoted != "", quoted).otherwise(F.trim(F.regexp_extract(folder, r"^(?:[0-9]+[_\-. ]*)?([^_\-]+)", 1)))
+
+
+def rank_weighted(signals: DataFrame, by: str, score: Column) -> DataFrame:
+    """(by, n, level): mean score with weights 1 / max(rank, 1): the current state where no month is complete."""
+    w = 1 / F.greatest(F.col("rank"), F.lit(1))
+    return signals.groupBy(by).agg(F.count("*").alias("n"), (F.sum(score * w) / F.sum(w)).alias("level"))
+
+
+def priority(stored: Column, soft: Column, default: Column, least_sd: float = 0.03) -> Column:
+    """A constraint by precedence: stored scores, soft scores that vary enough, the category's default (arrays of numbers)."""
+    n = F.size(soft)
+    mean = F.aggregate(soft, F.lit(0.0), lambda a, x: a + x) / n
+    var = F.aggregate(soft, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
+    return F.coalesce(stored, F.when((n > 0) & (F.sqrt(var) > least_sd), soft), default)

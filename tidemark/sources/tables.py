@@ -111,3 +111,57 @@ def transcript(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema("transcript array<struct<text: string, start_sec: double, end_sec: double>>").option("multiLine", True).json(path)
     x = raw.select(F.explode("transcript").alias("t"))
     return x.select("t.text", F.col("t.start_sec").alias("start"), (F.coalesce("t.end_sec", F.col("t.start_sec") + 5) - F.col("t.start_sec")).alias("duration"))
+
+
+def interest_snapshot(landed: DataFrame) -> DataFrame:
+    """(keyword, avg_interest, max_interest) of landed (keyword, value) rows."""
+    return landed.groupBy("keyword").agg(F.avg("value").alias("avg_interest"), F.max("value").alias("max_interest"))
+
+
+def joined_chunks(chunks: DataFrame) -> DataFrame:
+    """(keyword, day, value) of overlapping chunks (keyword, chunk, day, value): the earliest chunk's value of each day; zeros are not stored."""
+    return chunks.groupBy("keyword", "day").agg(F.min_by("value", "chunk").alias("value")).filter("value > 0")
+
+
+def publish_months(pages: DataFrame) -> DataFrame:
+    """(keyword, month, n) of paged search results (keyword, pubdate in epoch seconds)."""
+    month = F.date_format(F.timestamp_seconds("pubdate"), "yyyy-MM").alias("month")
+    return pages.groupBy("keyword", month).agg(F.count("*").alias("n"))
+
+
+def curated(spark: SparkSession, path: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Curated entries with defaults for what is missing."""
+    schema = "name string, aliases array<string>, category string, year int, tags array<string>, platforms array<string>, duration_months double, chaos double"
+    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    none = F.array().cast("array<string>")
+    return raw.filter(~F.col("name").isin(*exclude) if exclude else F.lit(True)).select(
+        "name", F.coalesce("aliases", none).alias("aliases"), F.coalesce("category", F.lit("unknown")).alias("category"), "year",
+        F.coalesce("tags", none).alias("tags"), F.coalesce("platforms", none).alias("platforms"),
+        F.when(F.col("duration_months") >= 999, 18.0).otherwise(F.coalesce("duration_months", F.lit(3.0))).alias("duration_months"), F.coalesce("chaos", F.lit(0.0)).alias("chaos"),
+    )
+
+
+def months_available(spark: SparkSession, *paths: str) -> DataFrame:
+    """Distinct months of several day-partitioned folders."""
+    out = None
+    for p in paths:
+        m = spark.read.parquet(p).select(F.date_format("dt", "yyyy-MM").alias("month"))
+        out = m if out is None else out.unionByName(m)
+    return out.distinct()
+
+
+def by_stem(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """Narratives keyed by their file's name without its ending."""
+    raw = spark.read.schema(schema).option("multiLine", True).json(paths)
+    return raw.withColumn("stem", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1))
+
+
+def captured_at(field: str, path: str):
+    """Capture time from a field or else the file's name (yyyyMMdd_HHmmss)."""
+    stamp = F.coalesce(F.nullif(F.substring(field, 1, 15), F.lit("")), F.regexp_extract(path, r"([0-9]{8}_[0-9]{6})", 1))
+    return F.try_to_timestamp(stamp, F.lit("yyyyMMdd_HHmmss"))
+
+
+def versioned_json(df: DataFrame, path: str, version: str = "2.1") -> None:
+    """A JSON sink whose records carry their schema's version."""
+    df.withColumn("schema_version", F.lit(version)).write.mode("overwrite").json(path)
