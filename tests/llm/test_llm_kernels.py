@@ -125,6 +125,18 @@ def test_tokenizer_by_words_equals_the_whole():
     assert b"".join(packing.slices(long, 500)) == long
 
 
+@pytest.mark.parametrize("word", ["kGx9aQ/+", "\u6f6e\u6c50\u8a18\u865f"])
+def test_tokenizer_takes_long_texts_without_white_space(word):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    text = "some words first " + word * (packing.LONG // len(word.encode()) + 1) + " and after"
+    assert len(text.encode()) > packing.LONG
+    got = list(packing.tokenizer(packing.TOKENIZER).ids([b"a b", text.encode(), b"c"]))
+    assert len(got) == 3 and np.frombuffer(got[1], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_pii_proposals():
     rules = {
         "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),

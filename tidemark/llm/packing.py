@@ -135,8 +135,8 @@ class WordTokenizer:
         """Little-endian 32-bit ids of each text."""
         lo = 0
         while lo < len(texts):
-            if len(texts[lo]) > LONG:  # a very long text a part at a time
-                yield b"".join(self.ids(list(slices(texts[lo], LONG // 2))))
+            if len(texts[lo]) > LONG:  # a very long text a part at a time; a part that is still as long has no white space to cut at
+                yield b"".join(b"".join(self.block([part])) for part in slices(texts[lo], LONG // 2))
                 lo += 1
                 continue
             hi, held = lo, 0
