@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.catalog import query
 from tidemark.functions.columns import r6
 from tidemark.operators import attention as A, windows as W
-from tidemark.plans.bindings import ATT, AXIS, CATEGORY_SCORE, SCORE, attention, axis, score_of
+from tidemark.plans.bindings import ATT, AXIS, CATEGORY_SCORE, SCORE, attention, axis, score_of, table
 
 
 @query(f"WITH {ATT} SELECT month, keyword, round(value, 2) AS value FROM att")
@@ -145,20 +145,44 @@ def locf_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.carried_forward(grid.join(v, ["month", "keyword"], "left"), "value", "month", ["keyword"]).select("month", "keyword", F.round("value", 2).alias("value"))
 
 
+def _volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("v"))
+
+
+def _stitched(windows: DataFrame) -> DataFrame:
+    own = windows.select("w", "day", (F.col("v") * (1 + F.col("w") * 0.5)).alias("v"))
+    return A.stitched(own, "w", "day", "v").select(F.col("day").cast("string").alias("day"), F.round("v", 2).alias("value"))
+
+
 @query("""WITH d AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS v FROM orders WHERE o_orderdate < '1996-01-01' GROUP BY 1),
 s AS (SELECT w, day, v * (1 + w * 0.5) AS v FROM d, (SELECT unnest(range(0, 8)) AS w) WHERE day >= DATE '1995-01-01' + (w * 45)::INT AND day < DATE '1995-01-01' + (w * 45 + 75)::INT),
 o AS (SELECT b.w, avg(a.v) AS x, avg(b.v) AS y, count(*) AS c FROM s a JOIN s b ON a.w + 1 = b.w AND a.day = b.day GROUP BY b.w),
 f AS (SELECT w, exp(sum(ln(coalesce(CASE WHEN c >= 5 THEN x / y END, 1))) OVER (ORDER BY w)) AS f FROM (SELECT DISTINCT w FROM s) LEFT JOIN o USING (w))
 SELECT day::VARCHAR AS day, round(arg_min(v * f, w), 2) AS value FROM s JOIN f USING (w) GROUP BY day""")
 def stitch_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight overlapping 75-day windows of 1995's daily volume, each on a scale of its own, stitched."""
-    from tidemark.plans.bindings import table
-
-    d = table(spark, sf_dir, "orders").filter("o_orderdate < '1996-01-01'").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("v"))
+    """Eight overlapping 75-day windows of 1995's daily volume, each on a scale of its own, stitched; stitch_scale_all has every day."""
+    d = _volume(spark, sf_dir).filter("day < '1996-01-01'")
     first = F.to_date(F.lit("1995-01-01"))
     k = F.datediff("day", first)
     windows = d.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(7)))).filter((k >= F.col("w") * 45) & (k < F.col("w") * 45 + 75))
-    return A.stitched(windows.select("w", "day", (F.col("v") * (1 + F.col("w") * 0.5)).alias("v")), "w", "day", "v").select(F.col("day").cast("string").alias("day"), F.round("v", 2).alias("value"))
+    return _stitched(windows)
+
+
+@query("""WITH d AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS v FROM orders GROUP BY 1), e AS (SELECT min(day) AS a, max(day) AS b FROM d),
+n AS (SELECT unnest(range(0, greatest(0, ceil((b - a - 74) / 45))::BIGINT + 1)) AS w FROM e),
+s AS (SELECT w, day, v * (1 + w * 0.5) AS v FROM d, e, n WHERE day - a >= w * 45 AND day - a < w * 45 + 75),
+o AS (SELECT b.w, avg(a.v) AS x, avg(b.v) AS y, count(*) AS c FROM s a JOIN s b ON a.w + 1 = b.w AND a.day = b.day GROUP BY b.w),
+f AS (SELECT w, exp(sum(ln(coalesce(CASE WHEN c >= 5 THEN x / y END, 1))) OVER (ORDER BY w)) AS f FROM (SELECT DISTINCT w FROM s) LEFT JOIN o USING (w))
+SELECT day::VARCHAR AS day, round(arg_min(v * f, w), 2) AS value FROM s JOIN f USING (w) GROUP BY day""")
+def stitch_scale_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping 75-day windows, 45 days apart, from the first day's daily volume to the last one's, each on a scale of its own, stitched."""
+    d = _volume(spark, sf_dir)
+    ends = d.agg(F.min("day").alias("first"), F.max("day").alias("final"))
+    k, span = F.datediff("day", "first"), F.datediff("final", "first")
+    most = F.greatest(F.lit(0), F.ceil((span - 74) / 45)).cast("int")  # the window that reaches the last day is the last one
+    lo = F.greatest(F.lit(0), F.floor((k - 75) / 45) + 1).cast("int")
+    hi = F.least(F.floor(k / 45).cast("int"), most)
+    return _stitched(d.join(ends).withColumn("w", F.explode(F.sequence(lo, hi))))
 
 
 @query(f"WITH {AXIS} SELECT round(regr_slope(x, t), 9) AS slope, round(corr(x, t), 6) AS r, count(*) AS n FROM axis")
