@@ -17,3 +17,12 @@ def test_dates_reach_the_last_day(spark):
     days = {r[0] for r in orders.selectExpr("cast(to_date(o_orderdate) as string)").distinct().collect()}
     assert {r["month"] for r in QUERIES["anchor_rescale_all"](spark, DIR).collect()} == months and max(months) > "2001"
     assert {r["day"] for r in QUERIES["stitch_scale_all"](spark, DIR).collect()} == days and max(days) > "2001"
+
+
+def test_curves_are_fitted_to_the_whole_series(spark, monkeypatch):
+    from tidemark.plans import kernels
+
+    taken = []
+    monkeypatch.setattr(kernels.S, "fits", lambda df, *a: taken.append(df))
+    QUERIES["curve_fits"](spark, DIR)
+    assert {r[0] for r in taken[0].select("month").distinct().collect()} == {r["month"] for r in QUERIES["attention_monthly"](spark, DIR).collect()}

@@ -118,8 +118,8 @@ def outbreak_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def curve_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = attention(spark, sf_dir).filter("month < '1997-01'")
-    return S.fits(a, "keyword", "month", "value")
+    """Each keyword's whole series."""
+    return S.fits(attention(spark, sf_dir), "keyword", "month", "value")
 
 
 @query()
