@@ -26,3 +26,16 @@ def test_curves_are_fitted_to_the_whole_series(spark, monkeypatch):
     monkeypatch.setattr(kernels.S, "fits", lambda df, *a: taken.append(df))
     QUERIES["curve_fits"](spark, DIR)
     assert {r[0] for r in taken[0].select("month").distinct().collect()} == {r["month"] for r in QUERIES["attention_monthly"](spark, DIR).collect()}
+
+
+def test_replicates_and_columns_are_the_surveys(spark, monkeypatch):
+    from tidemark.plans import kernels
+
+    drawn, columns = [], []
+    replicated, block_null = kernels.R.replicated, kernels.R.block_null
+    monkeypatch.setattr(kernels.R, "replicated", lambda spark, n, *a, **b: drawn.append(n) or replicated(spark, n, *a, **b))
+    monkeypatch.setattr(kernels.R, "block_null", lambda spark, x, *a: columns.append(x.shape[1]) or block_null(spark, x, *a))
+    for name in ("transition_bootstrap", "nyblom_stability", "curation_jackknife", "slice_null"):
+        QUERIES[name](spark, DIR)
+    assert drawn == [10_000, 2000, 100, 800] and columns == [25]
+    assert [r["k"] for r in QUERIES["cluster_discreteness"](spark, DIR).orderBy("k").collect()] == [1, 2, 3, 4, 5, 6]

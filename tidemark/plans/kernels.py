@@ -66,12 +66,12 @@ def axis_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def transition_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = R.matrix(regime_sequence(spark, sf_dir), "t", ["label"])[:, 0].astype(int)
-    return R.transition_bootstrap(spark, label, 5, 2000)
+    return R.transition_bootstrap(spark, label, 5)
 
 
 @query()
 def nyblom_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.nyblom_test(spark, R.matrix(axis(spark, sf_dir), "t", ["x"])[:, 0], 400)
+    return R.nyblom_test(spark, R.matrix(axis(spark, sf_dir), "t", ["x"])[:, 0])
 
 
 @query()
@@ -86,21 +86,21 @@ def drifting_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_discreteness(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, _ = _wide(spark, sf_dir)
     s = N.pca(N.standardised(x))[0][:, :3]
-    k, gap = N.gap_statistic(s, 5, 10)
-    rows = [(i + 1, k, g, N.silverman(s[:, i], 40) if i < 3 else None) for i, g in enumerate(gap)]
+    k, gap = N.gap_statistic(s, 6, 100)
+    rows = [(i + 1, k, g, N.silverman(s[:, i], 500) if i < 3 else None) for i, g in enumerate(gap)]
     return _frame(spark, rows, "k int, chosen int, gap double, silverman_p double")
 
 
 @query()
 def curation_jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, _ = _wide(spark, sf_dir)
-    return R.jackknife(spark, x, 40)
+    return R.jackknife(spark, x)
 
 
 @query()
 def slice_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, _ = _wide(spark, sf_dir)
-    return R.block_null(spark, x[:, :8], 24, 200)
+    return R.block_null(spark, x, 24)
 
 
 @query()
