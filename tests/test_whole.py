@@ -39,3 +39,11 @@ def test_replicates_and_columns_are_the_surveys(spark, monkeypatch):
         QUERIES[name](spark, DIR)
     assert drawn == [10_000, 2000, 100, 800] and columns == [25]
     assert [r["k"] for r in QUERIES["cluster_discreteness"](spark, DIR).orderBy("k").collect()] == [1, 2, 3, 4, 5, 6]
+
+
+def test_signals_take_every_event(spark):
+    events = spark.read.parquet(f"{DIR}/events.parquet")
+    memes = {r[0] for r in events.select("event_type").distinct().collect()}
+    assert {r["meme"] for r in QUERIES["platform_expanding_all"](spark, DIR).collect()} == memes
+    assert sum(r["signals"] for r in QUERIES["daily_turnover_jaccard_all"](spark, DIR).collect()) == events.count()
+    assert QUERIES["micro_burst_all"](spark, DIR).count() == 1
