@@ -2,12 +2,14 @@
 
 Of the K-gram hashes of a text, the smallest of each GUARANTEE - K + 1 consecutive ones is kept.
 A span of GUARANTEE words that a document and an item share has the same K-grams in both, hence the
-same minima, hence at least one fingerprint in common; so joining the two fingerprint sets finds
-every such span, and extending each hit word by word finds the whole of it. Items shorter than
-GUARANTEE words are one window of their own length; there all n-grams of that length are the
-fingerprints.
-
-Documents' fingerprints are first held against the sorted set of the benchmark's, which goes to
+same minima, hence at least one fingerprint in common. Only the items are winnowed: every K-gram of
+a document, not its minima alone, is looked up in the items' fingerprints, and the two sets are not
+joined. That finds every such span too, as the minima are among all grams, and keeps no document
+fingerprints; a hit counts once it is extended, word by word, to GUARANTEE words, so the further
+grams add none. Items shorter than GUARANTEE words are one window of their own length; there all
+n-grams of that length are the fingerprints.
+
+Documents' grams are held against the sorted set of the benchmark's fingerprints, which goes to
 the tasks when the benchmark has at most ITEM_BYTES of text (checked before). Above that the same
 kernel runs for one part of the items after another, so memory stays bounded and no item is left out;
 each part passes once more over the documents.
