@@ -11,26 +11,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _SLICE = 1 << 20
+#: Powers that a worker keeps: enough for a slice or a block and one word or window more. Longer runs make their own.
+_KEPT = (1 << 20) + (1 << 16)
+#: Words of more bytes are hashed by XXH64: polynomials modulo 2**64 collide on some long texts of two letters.
+LONG_WORD = 512
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n (kept, grown by doubling)."""
+    """base**i and base**-i modulo 2**64 for i < n."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = 1 << max(10, int(n - 1).bit_length())
+        size = max(n, _KEPT)
         inverse = pow(base, -1, 1 << 64)
         out = []
         for b in (base, inverse):
             p = np.ones(size, U64)
             p[1:] = U64(b & (2**64 - 1))
             out.append(np.multiply.accumulate(p))
-        _powers[base] = have = (out[0], out[1])
+        have = (out[0], out[1])
+        if size == _KEPT:
+            _powers[base] = have
     return have[0][:n], have[1][:n]
 
 
@@ -75,14 +82,18 @@ def word_spans(buf: np.ndarray, kind: str = "space") -> tuple[np.ndarray, np.nda
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each word; works through the block in slices so that temporaries stay small."""
-    out = np.empty(len(starts), U64)
+    out = np.zeros(len(starts), U64)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SLICE, "right")))
         lo, hi = int(starts[i]), int(ends[j - 1])
-        c = rolling_prefix(buf[lo:hi].astype(U64) + U64(1))
-        out[i:j] = span_hash(c, starts[i:j] - lo, ends[i:j] - lo)
+        if hi - lo <= _SLICE:  # else it is one long word
+            c = rolling_prefix(buf[lo:hi].astype(U64) + U64(1))
+            out[i:j] = span_hash(c, starts[i:j] - lo, ends[i:j] - lo)
         i = j
+    for i in long.tolist():
+        out[i] = xxhash.xxh64_intdigest(buf[starts[i] : ends[i]].tobytes())
     return mix(out)
 
 

@@ -27,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import blocks as B
-from .shared import kept
+from .shared import kept, mapped
 
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 BUCKETS = 512
-#: Words whose ids a worker remembers; beyond that it forgets them and goes on.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, and parts of words; beyond that it forgets them and goes on.
+REMEMBERED, PARTS = 300_000, 300_000
+#: Bytes of texts whose words are looked up together.
+TOGETHER = 1 << 20
 
 
 #: Bytes of a text beyond which it is split into words a part at a time.
-LONG = 8 << 20
+LONG = 4 << 20
 
 
 def slices(text: bytes, size: int) -> Iterator[bytes]:
@@ -97,7 +99,7 @@ class WordTokenizer:
     def encoded(self, words: list[bytes]) -> list[bytes]:
         """Each word's ids."""
         parts, plain, split = self.parts, _PLAIN.fullmatch, _PARTS.findall
-        if len(parts) > REMEMBERED:
+        if len(parts) > PARTS:
             parts.clear()
         out: list[bytes] = []
         other = []
@@ -140,7 +142,7 @@ class WordTokenizer:
                 lo += 1
                 continue
             hi, held = lo, 0
-            while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= 2 << 20) and len(texts[hi]) <= LONG:
+            while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= TOGETHER) and len(texts[hi]) <= LONG:
                 held += len(texts[hi])
                 hi += 1
             yield from self.block(texts[lo:hi])
@@ -215,10 +217,9 @@ def pieces(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY, end
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(name)
-        for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.large_binary())]
+        for keys, texts in B.text_blocks(batches, TOGETHER):
             cols: list[list] = [[] for _ in range(5)]
-            for doc, ids in zip(batch.column(0).to_pylist(), own.ids(texts), strict=True):
+            for (doc,), ids in zip(keys, own.ids(texts), strict=True):
                 ids += tail
                 for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[lo : lo + 4 * capacity]
@@ -227,7 +228,7 @@ def pieces(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY, end
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in PIECE.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(task, PIECE)
+    return mapped(docs.select("doc_id", "text"), task, PIECE)
 
 
 class OpenBins:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The internal document key: rows with equal doc_id and text are one document, other rows never are.
@@ -15,26 +20,54 @@ def document_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+#: Bytes of keys up to which a table of keys goes to all tasks; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table of documents, dealt anew where a few files would leave cores idle (never on a large input)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(2 * cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
+    """The folder that all executors share. One of our own only in a single process whose session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tidemark-")
+        if current.isDefined():
+            at = current.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            at = tempfile.mkdtemp(prefix="tidemark-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+_scopes: list[list[DataFrame]] = []
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that kept() makes inside are removed at the end. A result that is to stay is written outside, or last by its caller."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        dropped(*_scopes.pop())
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -47,6 +80,42 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def copies(df: DataFrame, n: str, together: int = 4096) -> DataFrame:
+    """Each row n times, with its number ``_copy`` from 0; in two steps, so that no array follows n."""
+    some = df.withColumn("_some", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(n) - 1) / together))))
+    last = F.least(F.col(n) - F.col("_some") * together, F.lit(together)) - 1
+    return some.withColumn("_one", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")))).withColumn("_copy", F.col("_some") * together + F.col("_one")).drop("_some", "_one")
+
+
+def few(keys: DataFrame, row_bytes: int, otherwise: str = "") -> DataFrame:
+    """keys (a kept table) marked for broadcast if its rows, counted here, take BROADCAST_BYTES at most; else as it is, or with a hint."""
+    if keys.count() * row_bytes <= BROADCAST_BYTES:
+        return F.broadcast(keys)
+    return keys.hint(otherwise) if otherwise else keys
+
+
+def released() -> None:
+    """Give memory that this Python worker has freed back to the machine: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library, which has no such call
+            pass
+
+
+def mapped(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow(); the worker gives its memory back at the end of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            released()
+
+    return df.mapInArrow(run, schema)
+
+
 def partitions_for(df: DataFrame, factor: float, each: int = 64 << 20) -> int:
     """How many shuffle partitions of about ``each`` bytes hold ``factor`` times the plan's estimated input; never under the session's number."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
