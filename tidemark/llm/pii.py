@@ -6,11 +6,12 @@ are leftmost and non-overlapping, over the whole text; a match that fails its ch
 not tried again from a later place. Positions are code points, ends exclusive.
 
 A span's score starts at its kind's prior (a confirmed checksum tells more than a shape) and moves by
-CONTEXT_WEIGHT when one of the kind's context words stands within CONTEXT_CHARS before or after it, and
+CONTEXT_WEIGHT when one of the kind's context words stands, as a whole word, within CONTEXT_CHARS before or after it, and
 down by as much when a word of the counter-list does. The score is reported; no span is dropped for it.
 
-Edge cases: null text is empty and has no spans; rows repeated whole get the same row each; an
-empty table gives an empty result; other columns are ignored.
+Edge cases: null text is empty and has no spans; a text of any length is searched whole, in time linear in
+it; spans of several kinds may overlap and are listed by start, then kind; rows repeated whole get the same row
+each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +23,19 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import mapped
+
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
-_CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+# A match begins where a run of digits does (one that ended before it ended with its run), and no run is read
+# again from its middle: time is linear in the text.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
+# The contract's pattern but for a digit alone, which fails its check and stands next to no other digit.
+_CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", re.ASCII)
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
@@ -94,7 +100,7 @@ def proposals(text: str) -> Iterator[tuple[int, int, str]]:
             yield a, b, "email"
     if "." in text:
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                 yield m.start(), m.end(), "ip"
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -110,9 +116,19 @@ def proposals(text: str) -> Iterator[tuple[int, int, str]]:
             yield m.start(), m.end(), "iban"
 
 
+def whole_word(words: tuple[str, ...]) -> str:
+    """A pattern of any of the words, in lower case, not inside a longer ASCII word."""
+    return rf"(?:^|[^a-z0-9])(?:{'|'.join(words)})(?:[^a-z0-9]|$)"
+
+
+_NEAR = {k: (re.compile(whole_word(CONTEXT[k])), re.compile(whole_word(COUNTER[k]))) for k in CONTEXT}
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
 def score(text: str, start: int, end: int, kind: str) -> float:
-    near = f"{text[max(0, start - CONTEXT_CHARS):start]} {text[end:end + CONTEXT_CHARS]}".lower()
-    up = any(w in near for w in CONTEXT[kind]) - any(w in near for w in COUNTER[kind])
+    near = f"{text[max(0, start - CONTEXT_CHARS):start]} {text[end:end + CONTEXT_CHARS]}".translate(_LOWER)
+    more, less = _NEAR[kind]
+    up = (more.search(near) is not None) - (less.search(near) is not None)
     return round(min(1.0, max(0.0, PRIOR[kind] + CONTEXT_WEIGHT * up)), 2)
 
 
@@ -143,4 +159,4 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(task, SCHEMA)
+    return mapped(docs.select("doc_id", "text"), task, SCHEMA)
