@@ -8,12 +8,16 @@
    combine): a window that is everywhere costs a row for each block, not for each occurrence.
 4. In a part equal windows are counted by minimiser and hash together, 128 bits; all but the first (by
    doc_id, then start) are repeated. Repeated windows of a document merge into maximal intervals.
-5. Each document meets its intervals, loses the words in them, and the rest is put together.
+5. A part is sorted in memory, so it must be bounded. A pass before the others counts the windows of each part (a
+   number for each part and task). Where a part has more than MOST windows and four times the mean (a frequent
+   phrase is the minimiser of very many windows, alike or not), its windows do not travel as runs: each is a row,
+   and Spark counts them by (minimiser, hash), with partial aggregation, and joins the repeated ones back.
+6. Each document meets its intervals, loses the words in them, and the rest is put together.
 
 Edge cases: null text has no words; texts shorter than a window lose nothing; rows repeated whole
 are one document (none of them loses words to its own repeats) and each gets its row; rows that share a
-doc_id but not the text are ordered by a hash of the text; null doc_id comes first. An empty table
-gives an empty result; other columns are ignored.
+doc_id but not the text are ordered by a hash of the text; null doc_id comes first. Texts are read whole,
+however long. An empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import blocks as B
-from .shared import KEY, document_key, kept, partitions_for
+from .shared import KEY, document_key, kept, mapped, partitions_for
 
 WINDOW, GRAM, PARTS = 20, 5, 1024
+#: Parts at most: their counts are an array in each task of the first pass. Windows of a part that is sorted in memory.
+MOST_PARTS, MOST = 1 << 22, 2_000_000
 _NULL_ID = -(2**63)
 _RUN = np.dtype([("min", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("start", "<u4"), ("n", "<u2")])
 #: Rows on their way: part and a packed array of runs with their hashes, or (kind 1) one settled interval.
@@ -53,14 +59,14 @@ def runs_of(starts: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(([0], edge)), np.concatenate((edge, [len(starts)]))
 
 
-def first_of_equal(hashes: np.ndarray) -> np.ndarray:
-    """For each place whether an equal hash stands at an earlier one."""
+def first_of_equal(hashes: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each place whether an equal window, by hash and minimiser, stands at an earlier one."""
     order = np.argsort(hashes)
-    h = hashes[order]
-    same = h[1:] == h[:-1]
+    h, m = hashes[order], least[order]
+    same = (h[1:] == h[:-1]) & (m[1:] == m[:-1])
     repeated = np.zeros(len(h), bool)
     if same.any():
-        lo, hi = runs_of(np.arange(len(h)), h)
+        lo, hi = runs_of(np.arange(len(h)), h, m)
         lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
         member = np.concatenate([order[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
         least = np.repeat(np.minimum.reduceat(member, np.concatenate(([0], np.cumsum(hi - lo)[:-1]))), hi - lo)
@@ -68,7 +74,33 @@ def first_of_equal(hashes: np.ndarray) -> np.ndarray:
     return repeated
 
 
-def shipped(batches: Iterator[pa.RecordBatch], window: int, gram: int, parts: int) -> Iterator[pa.RecordBatch]:
+def part_of(least: np.ndarray, parts: int) -> np.ndarray:
+    return (B.mix(least) % B.U64(parts)).astype(np.int64)
+
+
+def loads(batches: Iterator[pa.RecordBatch], window: int, gram: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, n): the windows of each part, a row for each part that the task has met."""
+    n = np.zeros(parts, np.int32)
+    for _, texts in B.text_blocks(batches):
+        buf, at = B.joined(texts)
+        starts, ends = B.word_spans(buf)
+        if len(starts) < window:
+            continue
+        edge = np.searchsorted(starts, at)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(edge))
+        inside = doc[: len(doc) - window + 1] == doc[window - 1 :]
+        least = B.sliding_min(B.window_hashes(B.word_hashes(buf, starts, ends), gram), window - gram + 1)[inside]
+        which, count = np.unique(part_of(least, parts), return_counts=True)
+        n[which] += count.astype(np.int32)
+    met = np.flatnonzero(n)
+    yield pa.record_batch([pa.array(met.astype(np.int32)), pa.array(n[met].astype(np.int64))], names=["part", "n"])
+
+
+_WINDOW = "h bigint, m bigint, doc bigint, key bigint, start bigint"
+
+
+def shipped(batches: Iterator[pa.RecordBatch], window: int, gram: int, parts: int, crowded: np.ndarray, apart: bool = False) -> Iterator[pa.RecordBatch]:
+    """Runs of the windows of parts that are not crowded, and settled intervals. Apart: the other windows, each as a row."""
     for keys, texts in B.text_blocks(batches):
         ids = np.array([[k[0] if k[0] is not None else _NULL_ID, k[1]] for k in keys], np.int64).reshape(-1, 2)
         order = np.lexsort((ids[:, 1], ids[:, 0]))
@@ -89,19 +121,29 @@ def shipped(batches: Iterator[pa.RecordBatch], window: int, gram: int, parts: in
         hashes = B.window_hashes(words, window)[where]
         least = B.sliding_min(B.window_hashes(words, gram), window - gram + 1)[where]
         doc = doc[where]
-        again = first_of_equal(hashes)
+        again = first_of_equal(hashes, least)
+        if len(crowded):
+            alone = np.isin(part_of(least, parts), crowded)
+            if apart:
+                own = alone & ~again
+                d = doc[own]
+                cols = hashes[own].view(np.int64), least[own].view(np.int64), ids[d, 0], ids[d, 1], where[own] - edge[d]
+                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in cols], names=[f.split()[0] for f in _WINDOW.split(", ")])
+                continue
+        else:
+            alone = np.zeros(len(hashes), bool)
         if again.any():
             lo, hi = runs_of(where[again], doc[again])
             a, d = where[again], doc[again][lo]
             yield _settled(parts, ids[d, 0], ids[d, 1], a[lo] - edge[d], a[hi - 1] - edge[d] + window)
-        new = ~again
+        new = ~again & ~alone
         where, hashes, least, doc = where[new], hashes[new], least[new], doc[new]
         lo, hi = runs_of(where, least, doc)
         run = np.zeros(len(lo), _RUN)
         d = doc[lo]
         run["min"], run["doc"], run["key"] = least[lo], ids[d, 0], ids[d, 1]
         run["start"], run["n"] = where[lo] - edge[d], 0
-        part = (B.mix(run["min"]) % B.U64(parts)).astype(np.int32)
+        part = part_of(run["min"], parts).astype(np.int32)
         # a run is cut where its count no longer fits (one word over and over)
         if len(lo) and (hi - lo).max() > 60000:
             cut = [(i, k) for i, (x, y) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)) for k in range(x, y, 60000)]
@@ -184,14 +226,32 @@ def counted(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         yield repeated_in(blobs, tails, window).select(_FIELDS[1:5])
 
 
-def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, parts: int = PARTS) -> DataFrame:
+def crowded_parts(docs: DataFrame, window: int, gram: int, parts: int, most: int) -> np.ndarray:
+    """The parts with more windows than are sorted in memory together: ``parts`` numbers at most, far fewer as a rule."""
+    counts = mapped(docs.select("doc_id", "text"), lambda it: loads(it, window, gram, parts), "part int, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
+    counts = kept(counts, "window-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    return np.array(sorted(r["part"] for r in counts.filter(F.col("n") > max(most, 4 * total // parts)).select("part").collect()), np.int64)
+
+
+def crowded_intervals(docs: DataFrame, window: int, gram: int, parts: int, crowded: np.ndarray) -> DataFrame:
+    """The windows of crowded parts that are not the first of their kind, counted by Spark."""
+    each = kept(mapped(docs, lambda it: shipped(it, window, gram, parts, crowded, True), _WINDOW), "crowded-windows")
+    first = each.groupBy("h", "m").agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "start")).alias("first")).filter("n > 1")
+    later = each.join(kept(first, "repeated-hashes"), ["h", "m"]).filter(F.struct("doc", "key", "start") != F.col("first"))
+    return later.select("doc", "key", F.col("start").alias("lo"), (F.col("start") + window).alias("hi"))
+
+
+def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, parts: int = PARTS, most: int = MOST) -> DataFrame:
     """(doc, key, lo, hi): word intervals to remove; those of a document may overlap."""
     tasks = partitions_for(docs, 2.7)
-    parts = max(parts, 8 * tasks)
-    rows = docs.select("doc_id", document_key().alias(KEY), "text").mapInArrow(lambda it: shipped(it, window, gram, parts), _ROW)
-    return rows.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(
-        lambda it: counted(it, window), "doc bigint, key bigint, lo bigint, hi bigint"
-    )
+    parts = min(MOST_PARTS, max(parts, 8 * tasks))
+    crowded = crowded_parts(docs, window, gram, parts, most)
+    docs = docs.select("doc_id", document_key().alias(KEY), "text")
+    rows = mapped(docs, lambda it: shipped(it, window, gram, parts, crowded), _ROW)
+    dealt = rows.repartition(tasks, "part").sortWithinPartitions("part")
+    out = mapped(dealt, lambda it: counted(it, window), "doc bigint, key bigint, lo bigint, hi bigint")
+    return out.unionByName(crowded_intervals(docs, window, gram, parts, crowded)) if len(crowded) else out
 
 
 def remaining(words: list[bytes], intervals: list[tuple[int, int]]) -> list[bytes]:
@@ -204,9 +264,9 @@ def remaining(words: list[bytes], intervals: list[tuple[int, int]]) -> list[byte
     return out + words[at:]
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, parts: int = PARTS) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, parts: int = PARTS, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (what is left, one space between words): a row for each input row."""
-    spans = kept(repeated_intervals(docs, window, gram, parts), "repeated-windows")
+    spans = kept(repeated_intervals(docs, window, gram, parts, most), "repeated-windows")
     own = spans.groupBy("key", "doc").agg(F.collect_set(F.struct("lo", "hi")).alias("cut"))
     rows = docs.select("doc_id", document_key().alias("key"), F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"), "text")
     rows = rows.join(own.hint("shuffle_hash"), ["key", "doc"], "left").select("doc_id", "text", "cut")
@@ -222,7 +282,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, parts:
                 left.append(len(words) - len(rest))
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(left, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return rows.mapInArrow(task, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    return mapped(rows, task, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
 def digested(docs: DataFrame) -> DataFrame:
