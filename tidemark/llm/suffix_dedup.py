@@ -5,21 +5,23 @@ together first, without loss: a WINDOW-byte string's anchor is the smallest hash
 pieces, a function of its bytes alone.
 
 1. Consecutive window starts with one anchor are a run; a run with the bytes its windows cover is
-   a segment. Each scan emits (anchor, segment hash, document, start, count), about one row in
-   90 bytes; a run of more than MOST windows is cut (windows are never cut).
+   a segment. Each scan emits (anchor, XXH3-128 of the segment, document, start, count), about one row in
+   90 bytes; a run of more than MOST windows is cut (windows are never cut). Documents are told apart by 128 bits too.
 2. Anchors that occur once cannot hold a repeat; counting drops them (partial aggregation, then a
    semi-join whose hot keys Spark can split).
 3. Of equal segments one stands for all, with their number as its weight. One that is alone under its
    anchor shares no window with another; its weight settles it. The bytes of the others go to a part chosen by
    anchor; parts hold about PART_BYTES, and an anchor with more than that is split by the windows' offset
-   from their anchor, which equal windows share too.
+   from their anchor, and one with more than eight times that by a hash of each window, both of which equal windows
+   share too.
 4. In each part: suffix array, Burrows-Wheeler transform, and breadth-first backward extension, which
    yields common prefixes by increasing value and stops at WINDOW (suffix_array.py).
 5. The repeated places go back to all occurrences of the segments, and from there to the documents.
 
 Edge cases: null text is empty; texts shorter than a window lose nothing; rows repeated whole are
-documents like any other, so each repeats the other; an empty table gives an empty result; other
-columns are ignored. Bytes that are removed may split a character: what is left is bytes, not text.
+documents like any other, so each repeats the other; a very long text is read in slices that overlap by a
+window; ties (equal strings) all lose their bytes; an empty table gives an empty result; other columns are
+ignored, whatever their names. Bytes that are removed may split a character: what is left is bytes, not text.
 """
 
 from __future__ import annotations
@@ -28,20 +30,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import blocks as B
-from .shared import KEY, document_key, dropped, kept
+from .shared import dropped, kept, mapped
 from .suffix_array import repeated_places
 
 WINDOW, GRAM, MOST, PART_BYTES = 200, 32, 4096, 1 << 20
-_SLICE = 4 << 20  # of one text, worked on at a time; with the block below 2**24 places
-_SEGMENT = ["anchor", "band", "seg", "n", "off", "weight", "body"]
-_RUNS = "anchor bigint, seg bigint, key bigint, start bigint, n int, many boolean"
+_SLICE = 1 << 20  # of one text, worked on at a time; with the block below 2**24 places
+#: A segment's name: its hash in two halves and its number of windows. A document's: two hashes of doc_id and text.
+_SEG, _DOC = ["anchor", "seg", "seg2", "n"], ["key", "key2"]
+_SEGMENT = ["anchor", "band", "seg", "seg2", "n", "off", "weight", "body"]
+_RUNS = "anchor bigint, seg bigint, seg2 bigint, key bigint, key2 bigint, start bigint, n int, many boolean"
+
+
+def document() -> tuple:
+    return F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "doc_id", "text").alias("key2")
+
+
 
 
 def block_runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of the texts buf[starts:ends]: text, first start in buf, count, anchor, hash, and whether the anchor stands there more than once."""
+    """Runs of the texts buf[starts:ends]: text, first start in buf, count, anchor, hash (two halves), and whether the anchor stands there more than once."""
     c = B.rolling_prefix(buf.astype(B.U64) + B.U64(1))
     at = np.arange(len(buf) - gram + 1)
     h = B.mix(B.span_hash(c, at, at + gram))
@@ -72,15 +83,17 @@ def block_runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: in
         lo2 = lo[pick] + MOST * (np.arange(len(pick)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         lo, stop, many = lo2, np.minimum(lo2 + MOST, stop[pick]), many[pick] | (pieces[pick] > 1)
     n = stop - lo
-    seg = B.mix(B.span_hash(c, lo, lo + n + window - 1))
+    whole, digest = memoryview(buf), xxhash.xxh3_128_digest
+    seg = np.frombuffer(b"".join([digest(whole[a:b]) for a, b in zip(lo.tolist(), (lo + n + window - 1).tolist(), strict=True)]), np.int64).reshape(-1, 2)
     return np.searchsorted(starts, lo, "right") - 1, lo, n, anchor[lo], seg, many
 
 
 def runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in _RUNS.split(", ")]
         for keys, texts in B.text_blocks(batches):
             # a long text in slices that share window - 1 bytes
-            part = [(k[0], lo, t[lo : lo + _SLICE + window - 1]) for k, t in zip(keys, texts, strict=True) for lo in range(0, max(1, len(t) - window + 1), _SLICE)]
+            part = [(k, lo, t[lo : lo + _SLICE + window - 1]) for k, t in zip(keys, texts, strict=True) for lo in range(0, max(1, len(t) - window + 1), _SLICE)]
             group: list = []
             held = 0
             for p in [*part, None]:
@@ -89,17 +102,17 @@ def runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
                     if len(buf) > window:
                         doc, lo, n, anchor, seg, many = block_runs(buf, at[:-1], at[1:] - 1, window, gram)
                         key = np.array([g[0] for g in group], np.int64)[doc]
+                        halves = (np.ascontiguousarray(x) for x in (seg[:, 0], seg[:, 1], key[:, 0], key[:, 1]))
                         start = lo - at[doc] + np.array([g[1] for g in group], np.int64)[doc]
                         yield pa.record_batch(
-                            [pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(key), pa.array(start), pa.array(n.astype(np.int32)), pa.array(many)],
-                            names=[f.split()[0] for f in _RUNS.split(", ")],
+                            [pa.array(anchor.view(np.int64)), *map(pa.array, halves), pa.array(start), pa.array(n.astype(np.int32)), pa.array(many)], names=names
                         )
                     group, held = [], 0
                 if p is not None:
                     group.append(p)
                     held += len(p[2])
 
-    return docs.select(document_key().alias(KEY), "text").mapInArrow(task, _RUNS)
+    return mapped(docs.select(*document(), "text"), task, _RUNS)
 
 
 def occurrences(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -125,24 +138,24 @@ def bands(body: bytes, width: int, window: int, gram: int) -> list[tuple[int, in
 
 
 def segments(docs: DataFrame, occ: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = PART_BYTES) -> tuple[DataFrame, int, DataFrame]:
-    """(anchor, band, seg, n, off, weight, bytes) of the distinct segments to sort, their number of bytes, and
-    (anchor, seg, n, spans) of those that are settled: alone under their anchor and without a repeat of
+    """(anchor, band, seg, seg2, n, off, weight, bytes) of the distinct segments to sort, their number of bytes, and
+    (anchor, seg, seg2, n, spans) of those that are settled: alone under their anchor and without a repeat of
     it inside, so that no other string shares a window with them and their windows repeat just as they do."""
-    at = F.min(F.struct("key", "start")).alias("at")
-    distinct = kept(occ.groupBy("anchor", "seg", "n").agg(F.count("*").alias("weight"), F.max("many").alias("many"), at), "segments")
+    at = F.min(F.struct(*_DOC, "start")).alias("at")
+    distinct = kept(occ.groupBy(*_SEG).agg(F.count("*").alias("weight"), F.max("many").alias("many"), at), "segments")
     bytes_ = F.col("n") + window - 1
     anchors = kept(distinct.groupBy("anchor").agg(F.sum(bytes_).alias("b"), F.count("*").alias("kinds")), "anchor-sizes")
     known = kept(distinct.join(anchors, "anchor"), "known-segments")
     alone = (F.col("kinds") == 1) & ~F.col("many")
-    settled = known.filter(alone & (F.col("weight") > 1)).select("anchor", "seg", "n", F.array(F.lit(0).cast("bigint"), bytes_.cast("bigint")).alias("spans"))
+    settled = known.filter(alone & (F.col("weight") > 1)).select(*_SEG, F.array(F.lit(0).cast("bigint"), bytes_.cast("bigint")).alias("spans"))
     rest = known.filter(~alone)
     total = rest.agg(F.coalesce(F.sum(bytes_), F.lit(0)).alias("b")).first()["b"]
-    # 0: whole; else so many anchor offsets of its windows go to a part together
+    # 0: whole; 1: by window; else so many anchor offsets of its windows go to a part together
     width = F.when(F.col("b") <= most, 0).when(F.col("b") <= 8 * most, 16).otherwise(1)
-    wanted = rest.groupBy("at.key").agg(
-        F.collect_list(F.struct("anchor", "seg", "n", "weight", F.col("at.start").alias("start"), width.alias("width"))).alias("cut")
+    wanted = rest.groupBy("at.key", "at.key2").agg(
+        F.collect_list(F.struct(*_SEG, "weight", F.col("at.start").alias("start"), width.alias("width"))).alias("cut")
     )
-    rows = docs.select(document_key().alias("key"), "text").join(wanted.hint("shuffle_hash"), "key").select("text", "cut")
+    rows = docs.select(*document(), "text").join(wanted.hint("shuffle_hash"), _DOC).select("text", "cut")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -151,27 +164,31 @@ def segments(docs: DataFrame, occ: DataFrame, window: int = WINDOW, gram: int =
                 text = t.as_py() or b""
                 for c in cut.as_py():
                     body = text[c["start"] : c["start"] + c["n"] + window - 1]
-                    parts = [(-1, 0, c["n"])] if not c["width"] else bands(body, c["width"], window, gram)
+                    if c["width"] == 1:  # a very crowded anchor: window by window
+                        digest = xxhash.xxh32_intdigest
+                        parts = [((digest(body[lo : lo + window]) >> 1), lo, lo + 1) for lo in range(c["n"])]
+                    else:
+                        parts = [(-1, 0, c["n"])] if not c["width"] else bands(body, c["width"], window, gram)
                     for band, lo, hi in parts:
-                        out.append((c["anchor"], band, c["seg"], c["n"], lo, c["weight"], body[lo : hi + window - 1]))
+                        out.append((c["anchor"], band, c["seg"], c["seg2"], c["n"], lo, c["weight"], body[lo : hi + window - 1]))
                         if len(out) >= 8192:
                             yield table(out)
                             out = []
         yield table(out)
 
     def table(out: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) or [()] * 7
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        cols = list(zip(*out, strict=True)) or [()] * 8
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
         return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=_SEGMENT)
 
-    return rows.mapInArrow(task, "anchor bigint, band int, seg bigint, n int, off int, weight bigint, body binary"), total, settled
+    return mapped(rows, task, "anchor bigint, band int, seg bigint, seg2 bigint, n int, off int, weight bigint, body binary"), total, settled
 
 
 def covered(parts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows sorted by part -> (anchor, seg, n, spans): byte intervals of each segment that repeated windows cover."""
+    """Rows sorted by part -> (anchor, seg, seg2, n, spans): byte intervals of each segment that repeated windows cover."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        seen = {(a, s, n, o): (w, b) for a, s, n, o, w, b in rows}  # a text that is there twice brings its segments twice
+        seen = {(a, s, s2, n, o): (w, b) for a, s, s2, n, o, w, b in rows}  # a text that is there twice brings its segments twice
         made = repeated_places([b for _, b in seen.values()], [w for w, _ in seen.values()], window)
         keys, spans = [], []
         for k, where in zip(seen, made, strict=True):
@@ -179,12 +196,11 @@ def covered(parts: DataFrame, window: int = WINDOW) -> DataFrame:
                 edge = np.flatnonzero(np.diff(where) > window) + 1
                 lo = where[np.concatenate(([0], edge))]
                 hi = where[np.append(edge, len(where)) - 1] + window
-                keys.append(k[:3])
-                spans.append((np.column_stack([lo, hi]).reshape(-1) + k[3]).tolist())
-        cols = list(zip(*keys, strict=True)) or [(), (), ()]
+                keys.append(k[:4])
+                spans.append((np.column_stack([lo, hi]).reshape(-1) + k[4]).tolist())
+        cols = list(zip(*keys, strict=True)) or [(), (), (), ()]
         return pa.record_batch(
-            [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(spans, pa.list_(pa.int64()))],
-            names=["anchor", "seg", "n", "spans"],
+            [*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.int32()), pa.array(spans, pa.list_(pa.int64()))], names=[*_SEG, "spans"]
         )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +216,7 @@ def covered(parts: DataFrame, window: int = WINDOW) -> DataFrame:
         if rows:
             yield solve(rows)
 
-    return parts.mapInArrow(task, "anchor bigint, seg bigint, n int, spans array<bigint>")
+    return mapped(parts, task, "anchor bigint, seg bigint, seg2 bigint, n int, spans array<bigint>")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = PART_BYTES) -> DataFrame:
@@ -210,15 +226,15 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most:
     parts = max(1, -(-total // most))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (32 << 20)))
     part = F.pmod(F.xxhash64("anchor", "band"), F.lit(parts)).cast("int")
-    laid = cut.select(part.alias("part"), "anchor", "seg", "n", "off", "weight", "body").repartition(tasks, "part").sortWithinPartitions("part")
+    laid = cut.select(part.alias("part"), *_SEG, "off", "weight", "body").repartition(tasks, "part").sortWithinPartitions("part")
     found = kept(covered(laid, window).unionByName(settled), "covered")
     spans = (
-        occ.join(found, ["anchor", "seg", "n"])
-        .select("key", F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
-        .groupBy("key")
+        occ.join(found, _SEG)
+        .select(*_DOC, F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
+        .groupBy(*_DOC)
         .agg(F.flatten(F.collect_list("spans")).alias("spans"))
     )
-    rows = docs.select("doc_id", document_key().alias("key"), "text").join(kept(spans, "spans").hint("shuffle_hash"), "key", "left").select("doc_id", "text", "spans")
+    rows = docs.select("doc_id", *document(), "text").join(kept(spans, "spans").hint("shuffle_hash"), _DOC, "left").select("doc_id", "text", "spans")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +249,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes"],
             )
 
-    return rows.mapInArrow(task, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_bytes binary")
+    return mapped(rows, task, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_bytes binary")
 
 
 def removed(text: bytes, spans: np.ndarray | None) -> tuple[bytes, int]:
