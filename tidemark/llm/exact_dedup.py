@@ -1,7 +1,7 @@
 """Exact dedup by content-defined chunk recipes (DataFrame functions only).
 
 1. Every normalised text is cut where its content says so: after a white-space character that
-   follows one of a few letter pairs, never before MIN_CHUNK and always before MAX_CHUNK characters.
+   follows one of the letters CUT_AFTER, never before MIN_CHUNK and always before MAX_CHUNK characters.
    Equal texts are cut alike. Only hashes, lengths and digests of the chunks leave the scan.
 2. The chunk dictionary has a row for each distinct (hash, length) with the sorted SHA-256 digests
    seen under it. A verified identifier is (hash, length, place of the digest in that list): two chunks
@@ -12,15 +12,16 @@
 
 Edge cases: null text is the empty text, whose recipe is the empty list. Of equal texts the largest
 doc_id stays; a null doc_id is smaller than any other. Rows repeated whole count as rows of the
-group and all of them carry ``kept`` where their doc_id is the one that stays. An empty table gives
-an empty result. Input columns other than doc_id and text are ignored.
+group and all of them carry ``kept`` where their doc_id is the one that stays; ties (equal texts with
+one doc_id) stay or go together. A text of any length is read whole. An empty table gives an empty result.
+Input columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import KEY, document_key, kept
+from .shared import KEY, copies, document_key, few, kept
 
 MIN_CHUNK, MAX_CHUNK = 512, 8192
 #: A cut may follow white space after one of these characters; about one word in ten ends so.
@@ -89,13 +90,16 @@ def exact_classes(docs: DataFrame, least: int = MIN_CHUNK, most: int = MAX_CHUNK
     return (
         each.join(best, "recipe")
         .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-                F.lower(F.hex("digest")).alias("text_sha256"), F.explode(F.sequence(F.lit(1), F.col("n_rows"))).alias("_copy"))
-        .drop("_copy")
+                F.lower(F.hex("digest")).alias("text_sha256"), "n_rows")
+        .transform(lambda df: copies(df, "n_rows"))
+        .drop("n_rows", "_copy")
     )
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_classes() drops (of rows repeated whole all stay or go)."""
-    stay = exact_classes(docs).filter("kept").select("doc_id", "text_sha256").distinct()
-    digest = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]) & (digest == stay["text_sha256"]), "left_semi")
+    """docs without the rows that exact_classes() drops (of rows repeated whole all stay or go). What travels are the
+    rejected rows' keys; texts do only where those are too many to broadcast."""
+    gone = exact_classes(docs).filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.unhex("text_sha256").alias("_gone_text")).distinct()
+    gone = few(kept(gone, "rejected"), 96)
+    digest = F.unhex(F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (digest == gone["_gone_text"]), "left_anti")

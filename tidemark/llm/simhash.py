@@ -20,6 +20,7 @@ are. Empty tables give empty results.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from . import blocks as B
 from .blocks import U64
-from .shared import components, kept
+from .shared import components, few, kept, mapped
 
 SHINGLE, SEED, MAX_BITS, TILE = 3, 42, 3, 4096
 _NO_ID = 2**63 - 1
@@ -54,15 +56,15 @@ def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), a row for each input row."""
+    """doc_id, text_key (MD5 of the text), fp (the 64 bits as a signed long), a row for each input row."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column(1).cast(pa.large_binary())
-            fp = np.array([fingerprint(t.as_py() or b"") for t in text], U64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+        for keys, texts in B.text_blocks(batches):
+            fp = np.array([fingerprint(t) for t in texts], U64).view(np.int64)
+            digest = pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())
+            yield pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), digest, pa.array(fp)], names=["doc_id", "text_key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id bigint, fp bigint")
+    return mapped(docs.select("doc_id", "text"), task, "doc_id bigint, text_key binary, fp bigint")
 
 
 def syndrome(x: np.ndarray) -> np.ndarray:
@@ -118,7 +120,7 @@ def replicated(fps: DataFrame) -> DataFrame:
                         names=["half", "anchor", "fp", "home"],
                     )
 
-    return fps.select("fp").mapInArrow(task, "half tinyint, anchor bigint, fp bigint, home boolean")
+    return mapped(fps.select("fp"), task, "half tinyint, anchor bigint, fp bigint, home boolean")
 
 
 def tile_forest(fp: np.ndarray, home: np.ndarray, most: int = MAX_BITS) -> list[tuple[int, int]]:
@@ -169,7 +171,7 @@ def forests(tiles: DataFrame) -> DataFrame:
         if kept_rows:
             yield solve(np.concatenate(kept_rows))
 
-    return tiles.mapInArrow(task, "a bigint, b bigint")
+    return mapped(tiles, task, "a bigint, b bigint")
 
 
 def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
@@ -190,20 +192,33 @@ def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     return forests(tiles.repartition("half", "anchor", "row", "col").sortWithinPartitions("half", "anchor", "row", "col"))
 
 
-def near_classes(docs: DataFrame, tile: int = TILE) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id: a row for each input row."""
+def classes(docs: DataFrame, tile: int = TILE) -> DataFrame:
+    """doc_id, text_key, fp, component_id: a row for each input row."""
     each = kept(fingerprinted(docs), "fingerprints")
     # the smallest doc_id of a fingerprint stands for it
     fps = kept(each.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     joined = components(links(fps, tile)).withColumnRenamed("node", "fp")
     whole = fps.join(joined, "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     least = kept(whole.groupBy("component").agg(F.min("least_id").alias("component_id")), "component-ids")
-    ids = whole.join(least, "component").select("fp", "component_id")
-    return each.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    ids = whole.join(least, "component").select("fp", "component", "component_id")
+    return each.join(ids, "fp")
+
+
+def near_classes(docs: DataFrame, tile: int = TILE) -> DataFrame:
+    """doc_id, fingerprint (hex), component_id: a row for each input row."""
+    return classes(docs, tile).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id."""
-    classes = near_classes(docs)
-    stay = kept(classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "representatives")
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    """docs with one document of each component: of those with its smallest doc_id the one whose text has the smallest MD5.
+
+    A document is a doc_id with a text: rows repeated whole are one, and all of them stay or go. What travels are
+    the rejected documents' keys; texts do only where those are too many to broadcast.
+    """
+    each = kept(classes(docs).select("component", "component_id", "doc_id", "text_key").distinct(), "near-classes")
+    own = each.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = own.groupBy("component").agg(F.min("text_key").alias("stay_key"))
+    gone = each.join(stay, "component").filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("text_key") != F.col("stay_key")))
+    gone = few(kept(gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_text")).distinct(), "rejected"), 80)
+    key = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_text"]), "left_anti")
