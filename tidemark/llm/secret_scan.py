@@ -4,13 +4,15 @@ From each rule's regular expression comes a Boolean query over mandatory trigram
 the postings (trigram, document) of those trigrams; a clause's postings are intersected by counting
 distinct trigrams per document, with partial aggregation, so no posting list is ever gathered. The
 documents that satisfy a rule's query are its candidates; they are verified with the regular
-expression over the whole text. A rule without mandatory trigrams (the bare hex run) scans every text.
+expression over the whole text. A rule without mandatory trigrams (the bare hex run) scans every text. The
+candidates' keys go to the texts; only where they are too many to broadcast does a shuffle bring the two together.
 
 Positions are code points. Spark gives matches but no offsets, so a match's place is the length of
 what split() leaves before it plus the matches before it, summed in two levels.
 
-Edge cases: null text is empty and has no spans; rows repeated whole get the same row each; an
-empty table gives an empty result; other columns are ignored.
+Edge cases: null text is empty and has no spans; a text of any length is scanned whole; spans of several kinds
+may overlap and are listed by start, then kind; rows repeated whole get the same row each; an empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import trigrams
-from .shared import KEY, document_key, kept
+from .shared import KEY, document_key, few, kept
 
 
 @dataclass(frozen=True)
@@ -137,7 +139,7 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, the sorted spans of the base rules and of all rules, a row for each input row."""
     found = kept(candidates(docs, rules), "secret-candidates")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(document_key().alias(KEY), "doc_id", text.alias("text")).join(found.hint("shuffle_hash"), KEY, "left")
+    rows = docs.select(document_key().alias(KEY), "doc_id", text.alias("text")).join(few(found, 200, "shuffle_hash"), KEY, "left")
     nothing = F.expr(f"cast(array() as {_SPAN})")
     each = []
     for order, r in enumerate(rules):
