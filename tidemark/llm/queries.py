@@ -77,8 +77,46 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for
 FROM d LEFT JOIN x USING (doc_id)"""
 
 
+def _pii_sql() -> str:
+    """Patterns and checks in SQL; places as in the secrets' SQL; the score from the words within 40 characters."""
+    digits = "regexp_replace(x, '[^0-9]', '', 'g')"
+    at = f"({digits})[length({digits}) + 1 - i]::INT"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {at} WHEN {at} > 4 THEN 2 * {at} - 9 ELSE 2 * {at} END)) % 10 = 0"
+    moved = "replace(x, ' ', '')[5:] || replace(x, ' ', '')[1:4]"
+    mod97 = (
+        f"list_reduce(list_transform(regexp_extract_all({moved}, '.'), lambda c: CASE WHEN c <= '9' THEN c::INT ELSE ord(c) - 55 END), "
+        "lambda a, v: (a * (CASE WHEN v > 9 THEN 100 ELSE 10 END) + v) % 97) = 1"
+    )
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+               "list_bool_and(list_transform(string_split(x, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(ltrim(p, '0') AS INT), 0) <= 255))"),
+        "card": (r"[0-9]([ -]?[0-9])+", f"length({digits}) BETWEEN 12 AND 19 AND {luhn}"),
+        "phone": (r"\+[0-9][ ().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
+        "iban": (r"\b[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}\b", mod97),
+    }
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, t, '{k}' AS kind, {o} AS o, a, x FROM (SELECT doc_id, t, list_sum(list_transform(g[1:i], lambda y: length(y)))::BIGINT "
+        f"+ coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0)::BIGINT AS a, m[i] AS x "
+        f"FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, t, regexp_split_to_array(t, '{p}') AS g, regexp_extract_all(t, '{p}', 0) AS m FROM d))) WHERE {check}"
+        for o, (k, (p, check)) in enumerate(kinds.items())
+    )
+    case = lambda f: "CASE kind " + " ".join(f"WHEN '{k}' THEN {f(k)}" for k in kinds) + " END"
+    near = lambda words: f"regexp_matches(near, {case(lambda k: repr(pii.whole_word(words[k])))})::INT"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.KINDS)
+    n = pii.CONTEXT_CHARS
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
+w AS (SELECT *, translate(substr(t, greatest(a - {n}, 0) + 1, least(a, {n})) || ' ' || substr(t, a + length(x) + 1, {n}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS near FROM f),
+s AS (SELECT doc_id, kind, o, a, kind || ':' || a || ':' || (a + length(x)) AS name,
+      least(1.0, greatest(0.0, {case(lambda k: pii.PRIOR[k])} + {pii.CONTEXT_WEIGHT} * ({near(pii.CONTEXT)} - {near(pii.COUNTER)})))::DECIMAL(4, 2)::VARCHAR AS score FROM w),
+x AS (SELECT doc_id, {counts}, string_agg(name, ',' ORDER BY a, o) FILTER (kind <> 'iban') AS b, string_agg(name, ',' ORDER BY a, o) AS spans, string_agg(score, ',' ORDER BY a, o) AS scores FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM d LEFT JOIN x USING (doc_id)"""
+
+
 ORACLE_SQL = {
     "op1_secret_scan": _secrets_sql(),
+    "op5_pii": _pii_sql(),
     "op6_suffix_dedup": """
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM b WHERE length(h) >= 400)),
