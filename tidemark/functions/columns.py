@@ -81,3 +81,8 @@ def soft_score(text: Column, anchors: Column) -> Column:
 def has_any(text: Column, words: list[str]) -> Column:
     """Whether the text holds one of the words."""
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+
+
+def rounded(e: Column, digits: int = 6) -> Column:
+    """A vector as a JSON sink stores it."""
+    return F.transform(e, lambda x: F.round(x.cast("double"), digits))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.columns import clip, entropy_term, has_any, sigmoid
 
@@ -130,6 +130,40 @@ def out_of_domain(inertia: Column, resilience: Column, sensitivity: Column) -> C
     return (inertia > 0.85).cast("int") + (resilience < 0.15).cast("int") + (sensitivity > 0.70).cast("int") >= 2
 
 
+#: Collective states by R0 (above) and the chaos axis (from, to; none: open), in order of precedence, and the moves between them.
+STATES = (
+    ("constructive_irony", 1.5, -0.4, 0.1),
+    ("aggressive_venting", 1.5, None, -0.4),
+    ("nihilistic_retreat", 1.0, None, -0.5),
+    ("identity_construction", 1.0, 0.2, None),
+    ("neutral_entertainment", None, -0.2, 0.2),
+)
+MOVES = (
+    ("constructive_irony", "aggressive_venting"),
+    ("aggressive_venting", "nihilistic_retreat"),
+    ("nihilistic_retreat", "constructive_irony"),
+    ("identity_construction", "constructive_irony"),
+)
+
+
+def collective_state(r0: Column, chaos: Column) -> Column:
+    """The first state whose conditions hold: closed where the range has two ends, open where it has one; none else."""
+    tests = []
+    for name, above, lo, hi in STATES:
+        closed = lo is not None and hi is not None
+        ok = r0 > above if above is not None else F.lit(True)
+        if lo is not None:
+            ok = ok & (chaos >= lo if closed else chaos > lo)
+        if hi is not None:
+            ok = ok & (chaos <= hi if closed else chaos < hi)
+        tests.append(F.when(ok, name))
+    return F.coalesce(*tests)
+
+
+def state_moves(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(MOVES), "src string, dst string")
+
+
 def inertia(origin: Column, emergence: Column, fixation: Column, corr: Column) -> Column:
     stage = clip(fixation / (F.greatest(origin + emergence, F.lit(0.01)) + fixation + 0.05), 0.0, 1.0)
     return 0.4 * stage + 0.3 * F.greatest(F.lit(0.0), corr) + 0.3 * fixation

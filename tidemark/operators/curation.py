@@ -162,3 +162,8 @@ def priority(stored: Column, soft: Column, default: Column, least_sd: float = 0.
     mean = F.aggregate(soft, F.lit(0.0), lambda a, x: a + x) / n
     var = F.aggregate(soft, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
     return F.coalesce(stored, F.when((n > 0) & (F.sqrt(var) > least_sd), soft), default)
+
+
+def duration_months(stored: Column) -> Column:
+    """A curated duration: three months where there is none, eighteen for an endless one (999 or more)."""
+    return F.when(stored >= 999, 18.0).otherwise(F.coalesce(stored, F.lit(3.0)))
