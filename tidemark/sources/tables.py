@@ -14,9 +14,11 @@ HOURLY = "version string, timestamp string, counts map<string,int>, headlines_em
 
 
 def working_dir(spark: SparkSession) -> str:
-    """A folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """A folder that all executors share: spark.checkpoint.dir; one of our own only in a single process that names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -36,11 +38,15 @@ def nested_list(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.posexplode("data.target").alias("p", "x")).select((F.col("p") + 1).alias("rank"), F.col("x.title").alias("title"), F.lit(0).cast("bigint").alias("hot_score"), F.col("x.url").alias("url"), F.lit("nested").alias("platform"))
 
 
-def html_list(spark: SparkSession, path: str, title: str, score: str, url: str, most: int = 50) -> DataFrame:
-    """Items of HTML pages: three lists of matches (group 1 of each pattern) put together by place."""
-    raw = spark.read.text(path, wholetext=True)
+def html_items(pages: DataFrame, title: str, score: str, url: str, most: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Items of HTML texts (value): three lists of matches (group 1 of each pattern) put together by place."""
     lists = F.arrays_zip(*(F.regexp_extract_all("value", F.lit(p), F.lit(1)).alias(n) for n, p in (("title", title), ("score", score), ("url", url))))
-    return raw.select(F.posexplode(lists).alias("p", "x")).filter(F.col("p") < most).select((F.col("p") + 1).alias("rank"), F.col("x.title").alias("title"), F.col("x.score").try_cast("bigint").alias("hot_score"), F.col("x.url").alias("url"), F.lit("html").alias("platform"))
+    found = pages.select(*keep, F.posexplode(lists).alias("p", "x")).filter(F.col("p") < most)
+    return found.select(*keep, (F.col("p") + 1).alias("rank"), F.col("x.title").alias("title"), F.col("x.score").try_cast("bigint").alias("hot_score"), F.col("x.url").alias("url"), F.lit("html").alias("platform"))
+
+
+def html_list(spark: SparkSession, path: str, title: str, score: str, url: str, most: int = 50) -> DataFrame:
+    return html_items(spark.read.text(path, wholetext=True), title, score, url, most)
 
 
 def hit_count(html: str = "value"):
