@@ -9,7 +9,8 @@ import numpy as np
 
 
 def rk4(field, y0: np.ndarray, t: np.ndarray) -> np.ndarray:
-    out = np.empty((len(t), len(y0)))
+    """States over time (times x variables, or x runs as well when y0 has a column for each run)."""
+    out = np.empty((len(t), *np.shape(y0)))
     out[0] = y = np.asarray(y0, float)
     for i, h in enumerate(np.diff(t)):
         a = field(y)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import dynamics as D
 
@@ -21,16 +22,70 @@ def per_row(df: DataFrame, solve: Callable[[dict], dict], schema: str) -> DataFr
     return df.mapInPandas(run, schema)
 
 
-def outbreaks(df: DataFrame, key: str = "id") -> DataFrame:
-    """(key, r0, peak, peak_day, total, duration, entropy, status) of rows (key, beta, gamma, sigma)."""
+TOGETHER = 256
+_OUTBREAK = "r0 double, peak double, peak_day double, total double, duration double, entropy double, birth double, ended double, status string"
+
+
+def outbreaks(df: DataFrame, key: str = "id", threshold: float = 0.01) -> DataFrame:
+    """(key, r0, peak, peak_day, total, duration, entropy, birth, ended, status) of rows (key, beta, gamma, sigma, mu), some hundreds solved together."""
+
+    def solved(f: pd.DataFrame) -> pd.DataFrame:
+        s = D.Spread(*(f[c].to_numpy(float) for c in ("beta", "gamma", "sigma", "mu")))
+        t = np.linspace(0, 200.0, 1000)
+        n = len(f)
+        y = D.rk4(s.field, np.array([np.full(n, 0.999), np.full(n, 0.001), np.zeros(n)]), t)
+        i = y[:, 1]
+        peak = i.max(0)
+        up, on = i > 0.01 * peak, i >= threshold
+        first, last = on.argmax(0), len(t) - 1 - on[::-1].argmax(0)
+        ever, still = on.any(0), on[-1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            e = -np.where(y > 0, y * np.log(y), 0).sum(1)
+        return pd.DataFrame({
+            key: f[key], "r0": s.beta / s.gamma, "peak": peak, "peak_day": t[i.argmax(0)], "total": 1 - y[:, 0].min(0), "duration": t[len(t) - 1 - up[::-1].argmax(0)] - t[up.argmax(0)], "entropy": e.max(0),
+            "birth": np.where(ever, t[first], np.nan), "ended": np.where(ever & ~still, t[last], np.nan), "status": np.where(~ever, "never", np.where(still, "endemic", "died")),
+        })
+
+    def run(frames):
+        for f in frames:
+            for lo in range(0, len(f), TOGETHER):
+                yield solved(f.iloc[lo : lo + TOGETHER])
+
+    made = df.select(key, "beta", "gamma", "sigma", "mu").mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {_OUTBREAK}")
+    return made.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("birth", "ended")})
+
+
+def fields(df: DataFrame) -> DataFrame:
+    """(id, ds, di, dr): the model's field at rows (id, s, i, r, beta, gamma, sigma, mu)."""
+
+    def run(frames):
+        for f in frames:
+            s = D.Spread(*(f[c].to_numpy() for c in ("beta", "gamma", "sigma", "mu")))
+            d = s.field(np.array([f["s"], f["i"], f["r"]]))
+            yield pd.DataFrame({"id": f["id"], "ds": d[0], "di": d[1], "dr": d[2]})
+
+    return df.mapInPandas(run, "id bigint, ds double, di double, dr double")
+
+
+def two_populations(df: DataFrame) -> DataFrame:
+    """(id, core_peak, mass_peak, core_day, mass_day) of rows (id, beta, mass, gamma, across)."""
+
+    def solve(r: dict) -> dict:
+        t, y = D.two_populations(D.Spread(r["beta"], r["gamma"]), D.Spread(r["mass"], r["gamma"]), r["across"])
+        core, mass = y[:, 1], y[:, 4]
+        return {"id": r["id"], "core_peak": core.max(), "mass_peak": mass.max(), "core_day": t[core.argmax()], "mass_day": t[mass.argmax()]}
+
+    return per_row(df, solve, "id bigint, core_peak double, mass_peak double, core_day double, mass_day double")
+
+
+def divergences(df: DataFrame, first: float, second: float) -> DataFrame:
+    """(id, rate) of rows (id, beta, gamma, sigma): growth of the distance of two runs from two starts."""
 
     def solve(r: dict) -> dict:
-        s = D.Spread(r["beta"], r["gamma"], r.get("sigma") or 0.0)
-        t, y = s.solve()
-        return {key: r[key], "r0": s.r0, **D.summarised(t, y), "status": D.life_cycle(t, y)["status"]}
+        s = D.Spread(r["beta"], r["gamma"], r["sigma"])
+        return {"id": r["id"], "rate": D.divergence(s.solve(i0=first)[1], s.solve(i0=second)[1], 200.0)}
 
-    kind = dict(df.dtypes)[key]
-    return per_row(df, solve, f"{key} {kind}, r0 double, peak double, peak_day double, total double, duration double, entropy double, status string")
+    return per_row(df, solve, "id bigint, rate double")
 
 
 def crowds(df: DataFrame) -> DataFrame:
@@ -45,8 +100,6 @@ def crowds(df: DataFrame) -> DataFrame:
 
 def fits(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """(key, beta, gamma, r0) fitted to each key's curve, scaled to its share of the peak."""
-    import numpy as np
-
     from tidemark.operators.replicates import by_group
 
     def kernel(x: np.ndarray) -> dict:

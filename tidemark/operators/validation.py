@@ -112,3 +112,10 @@ def dynamics_violations(df: DataFrame, by: str, order: str, r0: str, phase: str)
     steps = df.withColumn("_bad", jump & ~exempt).filter("_bad").select(by, order, F.lit("jump").alias("problem"))
     low = df.groupBy(by).agg(F.max(F.struct(r0, order)).alias("m")).filter(F.col(f"m.{r0}") < 1).select(by, F.col(f"m.{order}").alias(order), F.lit("peak").alias("problem"))
     return steps.unionByName(low)
+
+
+def trajectories_valid(df: DataFrame, by: str, order: str, vector: str, phase: str, r0: str, phases: tuple[str, ...]) -> DataFrame:
+    """(by, valid): whether none of the three validators finds a violation (warnings and co-rises are none)."""
+    bad = step_violations(df, by, order, vector).filter("problem <> 'co-rise'").select(by)
+    bad = bad.unionByName(phase_violations(df, by, order, phase, phases).filter("problem = 'violation'").select(by)).unionByName(dynamics_violations(df, by, order, r0, phase).select(by))
+    return df.select(by).distinct().join(bad.distinct().withColumn("_bad", F.lit(True)), by, "left").select(by, F.col("_bad").isNull().alias("valid"))

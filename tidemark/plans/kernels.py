@@ -109,13 +109,6 @@ def keyword_attractors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.by_group(a, "keyword", "month", ["value"], lambda m: N.attractor(m[:, 0]), "delay int, dim int, rec double, det double, lyapunov double, regime string")
 
 
-@query()
-def outbreak_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contact by recovery rate, 12 x 5."""
-    grid = spark.range(60).select("id", (0.05 + F.floor(F.col("id") / 5) * 0.08).alias("beta"), (0.05 + F.col("id") % 5 * 0.05).alias("gamma"), F.lit(0.0).alias("sigma"))
-    return S.outbreaks(grid.repartition(8))
-
-
 @query()
 def curve_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each keyword's whole series."""
