@@ -132,3 +132,22 @@ def stitched(parts: DataFrame, window: str, day: str, value: str, least: int = 5
     factors = chain.select(window, F.exp(F.sum(F.ln("r")).over(w)).alias("f"))
     scaled = parts.join(factors, window).select(day, window, (F.col(value) * F.col("f")).alias(value))
     return scaled.groupBy(day).agg(F.min_by(value, window).alias(value))
+
+
+def topic_report(att: DataFrame, key: str, order: str, category: str, value: str = "value") -> DataFrame:
+    """(key, category, peak_month, recent, before, direction, n_peers): the last three rows' mean against the three before, and the number of keys of the category."""
+    w = Window.partitionBy(key)
+    df = att.withColumn("k", F.row_number().over(w.orderBy(F.desc(order)))).withColumn("top", F.first(order).over(w.orderBy(F.desc(value), order)))
+    mean = lambda lo, hi: F.avg(F.when(F.col("k").between(lo, hi), F.col(value)))
+    t = df.groupBy(key).agg(F.max(category).alias(category), F.max("top").alias("peak_month"), mean(1, 3).alias("recent"), mean(4, 6).alias("before"))
+    t = t.withColumn("direction", F.when(F.col("recent") > 1.1 * F.col("before"), "rising").when(F.col("recent") < 0.9 * F.col("before"), "falling").otherwise("steady"))
+    return t.join(t.groupBy(category).agg((F.count("*") - 1).alias("n_peers")), category)
+
+
+def side_by_side(reports: DataFrame, key: str, first: str, second: str) -> DataFrame:
+    """Two topics' reports in one row."""
+    a, b = (reports.filter(F.col(key) == name).select(*(F.col(c).alias(f"{side}_{c}") for c in reports.columns)) for name, side in ((first, "a"), (second, "b")))
+    return a.join(b).select(
+        F.col(f"a_{key}").alias("first"), F.col(f"b_{key}").alias("second"), F.col("a_peak_month").alias("first_peak"), F.col("b_peak_month").alias("second_peak"),
+        (F.col("a_recent") / F.col("b_recent")).alias("ratio"), (F.col("a_category") == F.col("b_category")).alias("peers"),
+    )

@@ -31,6 +31,25 @@ def entries(spark: SparkSession, rows: tuple[Entry, ...] = ENTRIES) -> DataFrame
     return spark.createDataFrame([(e.id, e.grade, list(e.depends), e.value, e.status) for e in rows], SCHEMA)
 
 
+GRADES = ("E0", "E1", "E2", "E3", "E4")
+
+
+def checked(table: DataFrame) -> DataFrame:
+    """A ledger from a table with at least id, grade and depends; other columns of the ledger are null where it has none. Unknown grades count as conjecture."""
+    missing = {"id", "grade", "depends"} - set(table.columns)
+    if missing:
+        raise ValueError(f"a ledger needs {sorted(missing)}")
+    grade = F.when(F.col("grade").isin(*GRADES), F.col("grade")).otherwise(F.lit(GRADES[-1]))
+    rest = [(F.col(c) if c in table.columns else F.lit(None)).cast("string").alias(c) for c in ("value", "status")]
+    return table.select(F.col("id").cast("string").alias("id"), grade.alias("grade"), F.coalesce("depends", F.array().cast("array<string>")).alias("depends"), *rest)
+
+
+def by_grade(ledger: DataFrame) -> DataFrame:
+    """(grade, n, free, mean): entries, those that rest on nothing, and the mean number of assumptions."""
+    n = F.size("depends")
+    return ledger.groupBy("grade").agg(F.count("*").alias("n"), F.count_if(n == 0).alias("free"), F.avg(n).alias("mean"))
+
+
 def cascade(ledger: DataFrame, assumption: str) -> DataFrame:
     """Adds what becomes of each entry if the assumption falls."""
     rests = F.array_contains("depends", assumption)

@@ -77,9 +77,9 @@ def against(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     return queries.join(F.broadcast(nodes)).withColumn("cos", cosine(F.col("e"), F.col("v")))
 
 
-def similarities(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per node mean and largest cosine over the queries and how many exceed .5."""
-    return against(queries, nodes).groupBy("node").agg(F.avg("cos").alias("mean_sim"), F.max("cos").alias("max_sim"), F.count_if(F.col("cos") > 0.5).alias("n_hits"))
+def similarities(queries: DataFrame, nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Per node (and ``by``) mean and largest cosine over the queries and how many exceed .5."""
+    return against(queries, nodes).groupBy(*(by or []), "node").agg(F.avg("cos").alias("mean_sim"), F.max("cos").alias("max_sim"), F.count_if(F.col("cos") > 0.5).alias("n_hits"))
 
 
 def project(queries: DataFrame, nodes: DataFrame, temperature: float = 0.1, noise: float = 0.30, ambiguous: float = 0.03) -> DataFrame:

@@ -142,3 +142,8 @@ def category_entropy(df: DataFrame, by: str, category: str, weight: str) -> Data
     sums = df.groupBy(by, category).agg(F.sum(weight).alias("w"))
     share = F.col("w") / F.sum("w").over(Window.partitionBy(by))
     return sums.select(by, entropy_term(share).alias("e")).groupBy(by).agg(F.sum("e").alias("entropy"))
+
+
+def at_places(df: DataFrame, order: str, places: list[int]) -> DataFrame:
+    """The rows of a series at the given places."""
+    return df.filter(F.col(order).isin(*places))
