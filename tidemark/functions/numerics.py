@@ -326,6 +326,14 @@ def ar_order(y: np.ndarray, most: int = 4) -> int:
     return min(range(1, most + 1), key=aic)
 
 
+def ar_forecast(y: np.ndarray, p: int, steps: int) -> np.ndarray:
+    """Steps ahead, each from the ones before."""
+    b, rows = ar_fit(y, p)[0], list(y)
+    for _ in range(steps):
+        rows.append(b[0] + b[1:] @ np.array(rows[: -p - 1 : -1]))
+    return np.array(rows[len(y) :])
+
+
 def ljung_box(e: np.ndarray, lags: int = 10, params: int = 1) -> tuple[float, float]:
     c, n = e - e.mean(), len(e)
     r = [float((c[k:] * c[:-k]).sum() / (c**2).sum()) for k in range(1, lags + 1)]

@@ -243,3 +243,9 @@ def calibrated_votes(order: Column, consistency: Column, troll: Column, contradi
     ok = F.filter(votes, lambda x: x["v"].isNotNull())
     add = lambda f: F.aggregate(ok, F.lit(0.0), lambda a, x: a + f(x))
     return clip(add(lambda x: x["v"] * x["w"]) / add(lambda x: x["w"]), -1.0, 1.0)
+
+
+def overall_verdict(split: Column, modulated: Column, drift: Column) -> tuple[Column, Column]:
+    """(number of significant tests, verdict): two or more proceed, one is a weak signal."""
+    n = split.cast("int") + modulated.cast("int") + drift.cast("int")
+    return n, F.when(n >= 2, "PROCEED_TO_PHASE_2").when(n == 1, "WEAK_SIGNAL").otherwise("NO_EVIDENCE")

@@ -167,3 +167,10 @@ def priority(stored: Column, soft: Column, default: Column, least_sd: float = 0.
 def duration_months(stored: Column) -> Column:
     """A curated duration: three months where there is none, eighteen for an endless one (999 or more)."""
     return F.when(stored >= 999, 18.0).otherwise(F.coalesce(stored, F.lit(3.0)))
+
+
+def described(df: DataFrame, label: str, human: str, axes: list[str]) -> DataFrame:
+    """(label, n, mean of each axis, dominant): clusters with the outside label that most of their members have, the first on a tie."""
+    c = df.groupBy(label, human).agg(F.count("*").alias("_c"))
+    top = c.groupBy(label).agg(F.min_by(human, F.struct(-F.col("_c"), F.col(human))).alias("dominant"))
+    return df.groupBy(label).agg(F.count("*").alias("n"), *(F.avg(a).alias(a) for a in axes)).join(top, label)

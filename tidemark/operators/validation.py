@@ -119,3 +119,31 @@ def trajectories_valid(df: DataFrame, by: str, order: str, vector: str, phase: s
     bad = step_violations(df, by, order, vector).filter("problem <> 'co-rise'").select(by)
     bad = bad.unionByName(phase_violations(df, by, order, phase, phases).filter("problem = 'violation'").select(by)).unionByName(dynamics_violations(df, by, order, r0, phase).select(by))
     return df.select(by).distinct().join(bad.distinct().withColumn("_bad", F.lit(True)), by, "left").select(by, F.col("_bad").isNull().alias("valid"))
+
+
+def within_dispersion(df: DataFrame, by: str, axes: list[str]) -> DataFrame:
+    """(by, n, dispersion): sum of squared distances to the group's centre, from sums alone."""
+    parts = [F.var_pop(a) * F.count("*") for a in axes]
+    return df.groupBy(by).agg(F.count("*").alias("n"), sum(parts[1:], parts[0]).alias("dispersion"))
+
+
+def rolling_backtest(df: DataFrame, by: str, value: str, year: str, cuts: list[int]) -> DataFrame:
+    """(train_end, n, mae, rmse, r, covered): for each cut the group means of the years up to it against the later years.
+
+    Sums of each group and year are taken once; the training side of a cut is a sum of those.
+    """
+    y = df.groupBy(by, year).agg(F.count(value).alias("c"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
+    at = F.explode(F.array(*map(F.lit, cuts))).alias("train_end")
+    t = y.select("*", at).filter(F.col(year) <= F.col("train_end")).groupBy("train_end", by).agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    m = F.col("s") / F.col("c")
+    t = t.select("train_end", by, m.alias("m"), F.sqrt(F.greatest(F.col("q") / F.col("c") - m * m, F.lit(0.0))).alias("sd"))
+    e = F.col(value) - F.col("m")
+    return df.join(t, by).filter(F.col(year) > F.col("train_end")).groupBy("train_end").agg(
+        F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.corr(value, "m").alias("r"), F.avg((F.abs(e) <= 2 * F.col("sd")).cast("double")).alias("covered")
+    )
+
+
+def rank_correlation(df: DataFrame, by: str, a: str, b: str, tie: str) -> DataFrame:
+    """(by, r): correlation of ranks within each group, ties by ``tie``."""
+    rank = lambda c: F.row_number().over(Window.partitionBy(by).orderBy(c, tie))
+    return df.select(by, rank(a).alias("_a"), rank(b).alias("_b")).groupBy(by).agg(F.corr("_a", "_b").alias("r"))
