@@ -41,6 +41,16 @@ def plain_form(text: str) -> str:
     return re.sub(r"[\W_]+", "", (text or "").lower())
 
 
+def plain(text: Column | str) -> Column:
+    """plain_form() of a column, by Arrow batches; put a transliteration in its place where one is at hand."""
+
+    @pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(plain_form)
+
+    return run(text)
+
+
 def distance_at_most_one(a: str, b: str) -> bool:
     if abs(len(a) - len(b)) > 1:
         return False

@@ -88,6 +88,19 @@ def divergences(df: DataFrame, first: float, second: float) -> DataFrame:
     return per_row(df, solve, "id bigint, rate double")
 
 
+def agent_paths(df: DataFrame, events: list[float], noise: float = 0.0, seed: int = 42) -> DataFrame:
+    """(id, step, x) of agents (id, lean, openness, memory) under a row of events."""
+    v = np.array(events)
+
+    def run(frames):
+        for f in frames:
+            for r in f.to_dict("records"):
+                x = D.individual(np.array([r["lean"], r["openness"], noise, r["memory"]]), v, seed)
+                yield pd.DataFrame({"id": r["id"], "step": np.arange(1, len(v) + 1, dtype=np.int32), "x": x})
+
+    return df.mapInPandas(run, "id bigint, step int, x double")
+
+
 def crowds(df: DataFrame) -> DataFrame:
     """(id, peak, reached, final, mood_sd) of rows (id, contagion, chaos, scale_free, seed)."""
 
