@@ -59,6 +59,9 @@ def test_matching(spark):
     many = few.unionByName(spark.range(2500).select(F.lit("n").alias("group"), F.format_string("none%d", "id").alias("word"), F.lit(9).alias("pos")))
     got = M.first_hit(M.substring_hits(texts, "text", many, ["id"]), ["id", "group"])
     assert sorted((r["id"], r["group"], r["word"]) for r in got.collect()) == want
+    got = M.first_hit(M.substring_hits(texts, "text", few, ["id"], small=0), ["id", "group"])  # short words too by equality of n-grams
+    assert sorted((r["id"], r["group"], r["word"]) for r in got.collect()) == want
+    assert M.substring_hits(texts, "text", few.filter("false"), ["id"]).count() == 0
     old = spark.createDataFrame([("a", 1)], "k string, v int")
     assert sorted(map(tuple, M.upsert_if_absent(old, spark.createDataFrame([("a", 2), ("b", 3)], old.schema), "k").collect())) == [("a", 1), ("b", 3)]
     assert value(spark, M.normalised_match(F.col("a"), F.col("b")), a="New York", b="new_york") and value(spark, M.either_contains(F.col("a"), F.col("b")), a="Cat", b="a cat here")
@@ -193,3 +196,46 @@ def test_engine(spark):
     assert e.query("full", "2001-01", v).count() == 3
     with pytest.raises(ValueError):
         e.query("other")
+
+
+def test_stated_sets_meet_in_blocks(spark, monkeypatch):
+    points = spark.createDataFrame([(i, float(i % 17)) for i in range(60)], "k int, x double")
+    centres = spark.createDataFrame([(f"c{i:02d}", float(i)) for i in range(17)], "c string, y double")
+    near = lambda: sorted(map(tuple, M.nearest(points, centres, F.abs(F.col("x") - F.col("y")), "k", "c").collect()))
+    want = [(i, f"c{i % 17:02d}", 0.0) for i in range(60)]
+    assert near() == want
+    monkeypatch.setattr(M, "MOST_AT_ONCE", 5)
+    monkeypatch.setattr(M, "BLOCK", 4)
+    assert near() == want
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [("a", float(v)) for v in rng.normal(size=500).round(1)] + [("b", 7.0)] * 40 + [("c", 1.0), ("c", 2.0)] + [("d", float(v)) for v in rng.exponential(size=301)] + [("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = {"q0": 0.0, "q1": 0.25, "q5": 0.5, "q9": 0.9, "q10": 1.0}
+    for bins in (1, 7, 4096):
+        got = {r["g"]: [r[n] for n in shares] for r in S.exact_quantiles(df, ["g"], "v", shares, bins).collect()}
+        for g in "abcd":
+            v = [x for k, x in rows if k == g and x is not None]
+            assert got[g] == pytest.approx(np.quantile(v, list(shares.values())).tolist(), abs=1e-12)
+
+
+def test_a_ledger_from_a_table(spark):
+    from tidemark.operators import ledger as L
+
+    t = spark.createDataFrame([("a", "E3", ["A1"]), ("b", "odd", None), ("c", "E0", ["A1", "A2"])], "id string, grade string, depends array<string>")
+    led = L.checked(t)
+    assert {r["id"]: (r["grade"], r["outcome"]) for r in L.cascade(led, "A1").collect()} == {"a": ("E3", "invalidated"), "b": ("E4", "clean"), "c": ("E0", "survives, flagged")}
+    assert {r["grade"]: (r["n"], r["free"]) for r in L.by_grade(led).collect()} == {"E3": (1, 0), "E4": (1, 1), "E0": (1, 0)}
+    with pytest.raises(ValueError):
+        L.checked(t.drop("depends"))
+
+
+def test_collective_states(spark):
+    of = lambda r0, c: value(spark, rules.collective_state(F.col("r"), F.col("c")), r=r0, c=c)
+    assert [of(2.0, -0.4), of(2.0, -0.41), of(1.2, -0.6), of(1.2, 0.3), of(0.5, 0.2), of(0.5, 0.9), of(1.5, 0.1)] == [
+        "constructive_irony", "aggressive_venting", "nihilistic_retreat", "identity_construction", "neutral_entertainment", None, "neutral_entertainment"
+    ]

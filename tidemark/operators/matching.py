@@ -10,28 +10,25 @@ from tidemark.functions.columns import ngrams
 SMALL_DICTIONARY = 2000
 
 
-def substring_hits(texts: DataFrame, text: str, words: DataFrame, keep: list[str], gram: int = 3) -> DataFrame:
+def substring_hits(texts: DataFrame, text: str, words: DataFrame, keep: list[str], gram: int = 3, small: int = SMALL_DICTIONARY) -> DataFrame:
     """Theta join on "text contains word" (words: group, word, pos): (keep..., group, word, pos).
 
-    A small dictionary (its size is checked) goes along as a literal list. Otherwise words of ``gram``
-    characters or more are looked up by their first ``gram`` characters among the text's n-grams, an
-    equi-join, and verified; the shorter ones, which must be few, go as a list.
+    A dictionary of ``small`` rows at most (its size is checked) goes along as a literal list. Of a larger one, words
+    of ``gram`` characters or more are looked up by their first ``gram`` characters among the text's n-grams, an
+    equi-join, and verified; a shorter one is among the text's n-grams of its own length, or not in it.
     """
-    small = words.limit(SMALL_DICTIONARY + 1).collect()
-    long = len(small) > SMALL_DICTIONARY
-    listed = words.filter(F.length("word") < gram).limit(SMALL_DICTIONARY + 1).collect() if long else small
-    if len(listed) > SMALL_DICTIONARY:
-        raise ValueError(f"more than {SMALL_DICTIONARY} words are shorter than {gram} characters")
-    found = None
-    if listed:
+    listed = words.limit(small + 1).collect()
+    if len(listed) <= small:
+        if not listed:
+            return texts.join(words, F.lit(False)).select(*keep, "group", "word", "pos")
         options = F.array(*(F.struct(F.lit(r["group"]).alias("group"), F.lit(r["word"]).alias("word"), F.lit(r["pos"]).alias("pos")) for r in listed))
-        found = texts.select(*keep, F.inline(F.filter(options, lambda o: F.contains(F.col(text), o["word"]))))
-    if long:
-        keyed = words.filter(F.length("word") >= gram).withColumn("_g", F.substring("word", 1, gram))
-        grams = F.array_distinct(ngrams(F.col(text), gram))
-        by_gram = texts.withColumn("_g", F.explode(grams)).join(keyed, "_g").filter(F.contains(F.col(text), F.col("word"))).select(*keep, "group", "word", "pos")
-        found = by_gram if found is None else found.unionByName(by_gram)
-    return found if found is not None else texts.join(words, F.lit(False)).select(*keep, "group", "word", "pos")
+        return texts.select(*keep, F.inline(F.filter(options, lambda o: F.contains(F.col(text), o["word"]))))
+    out = None
+    for n in range(1, gram + 1):
+        own = words.filter(F.length("word") == n if n < gram else F.length("word") >= gram).withColumn("_g", F.substring("word", 1, n))
+        met = texts.withColumn("_g", F.explode(F.array_distinct(ngrams(F.col(text), n)))).join(own, "_g").filter(F.contains(F.col(text), F.col("word"))).select(*keep, "group", "word", "pos")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def first_hit(hits: DataFrame, by: list[str]) -> DataFrame:
@@ -56,9 +53,10 @@ def cascade(names: DataFrame, key: str, dictionary: DataFrame, aliases: DataFram
     """Exact, alias and bidirectional prefix lookup of names in a dictionary (name, pos)."""
     exact = names.join(dictionary, names[key] == dictionary["name"]).select(key, F.col("name").alias("match"), "pos")
     by_alias = names.join(aliases, names[key] == aliases["alias"]).select(key, F.col("target").alias("name")).join(dictionary, "name").select(key, F.col("name").alias("match"), "pos")
-    heads = dictionary.withColumn("_h", F.substring("name", 1, prefix))
-    close = names.withColumn("_h", F.substring(key, 1, prefix)).join(heads, "_h").filter(F.contains(F.col(key), F.col("_h")) | F.contains(F.col("name"), F.col("_h")))
-    return first_match(names, key, [*((by_alias, exact) if alias_first else (exact, by_alias)), close.select(key, F.col("name").alias("match"), "pos")])
+    # of the names with one prefix the first alone can be the match, so a frequent prefix makes one row
+    heads = dictionary.groupBy(F.substring("name", 1, prefix).alias("_h")).agg(F.min(F.struct("pos", "name")).alias("m"))
+    close = names.withColumn("_h", F.substring(key, 1, prefix)).join(heads, "_h").select(key, F.col("m.name").alias("match"), F.col("m.pos").alias("pos"))
+    return first_match(names, key, [*((by_alias, exact) if alias_first else (exact, by_alias)), close])
 
 
 def normalised_match(left: Column, right: Column) -> Column:
@@ -72,12 +70,25 @@ def either_contains(a: Column, b: Column) -> Column:
     return F.contains(F.lower(a), F.lower(b)) | F.contains(F.lower(b), F.lower(a))
 
 
+#: Rows of the stated side that go to all tasks at once.
+MOST_AT_ONCE, BLOCK = 10_000, 256
+
+
+def in_blocks(rows: DataFrame, stated: DataFrame) -> DataFrame:
+    """Each row with each row of a stated set. A set whose size, checked here, allows it goes to all tasks; a larger one meets
+    the rows in blocks of BLOCK, dealt by a hash of its rows, so that no task holds more of it than a block."""
+    n = stated.count()
+    if n <= MOST_AT_ONCE:
+        return rows.join(F.broadcast(stated))
+    block = F.pmod(F.xxhash64(*stated.columns), F.lit(-(-n // BLOCK)))
+    packed = stated.groupBy(block.alias("_block")).agg(F.collect_list(F.struct(*stated.columns)).alias("_set")).drop("_block")
+    return rows.join(packed).select(*rows.columns, F.inline("_set"))
+
+
 def nearest(points: DataFrame, centres: DataFrame, distance: Column, key: str, centre: str) -> DataFrame:
-    """Each point's nearest of a small set of centres (the lowest name on a tie); centres are broadcast behind a size check."""
-    if centres.limit(10_001).count() > 10_000:
-        raise ValueError("nearest() takes at most 10000 centres")
+    """Each point's nearest of a set of centres (the lowest name on a tie): every point meets every centre, block by block."""
     best = F.min(F.struct(distance.alias("d"), F.col(centre).alias("c")))
-    return points.join(F.broadcast(centres)).groupBy(key).agg(best.alias("m")).select(key, F.col("m.c").alias(centre), F.col("m.d").alias("d"))
+    return in_blocks(points, centres).groupBy(key).agg(best.alias("m")).select(key, F.col("m.c").alias(centre), F.col("m.d").alias("d"))
 
 
 def overwritten(df: DataFrame, key: str, month: str, value: str, chosen: Column, baseline_end: str, reset: str) -> DataFrame:

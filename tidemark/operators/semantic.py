@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.columns import cosine, distance, norm
+from tidemark.operators.matching import in_blocks
 
 
 def long_form(df: DataFrame, keep: list[str], e: str = "e") -> DataFrame:
@@ -37,10 +38,37 @@ def dispersion(df: DataFrame, by: list[str], e: str = "e") -> DataFrame:
     return g.select(*by, "trace", (F.col("trace") + away * away).alias("dispersion_about_unit_mean"))
 
 
+def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
+    """(by..., a column for each share): exact interpolated quantiles of each group, however large.
+
+    A histogram of ``bins`` equal bins says which bin each wanted place is in; the values of those bins alone are
+    numbered, by a sort that can spill. No task holds a group's distinct values.
+    """
+    own = Window.partitionBy(*by)
+    ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
+    wide = F.col("_hi") > F.col("_lo")
+    at = F.when(wide, F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
+    placed = df.filter(F.col(value).isNotNull()).join(ends, by).withColumn("_bin", at)
+    counts = placed.groupBy(*by, "_bin", "_n").agg(F.count("*").alias("_c"))
+    before = counts.withColumn("_before", F.sum("_c").over(own.orderBy("_bin")) - F.col("_c"))
+    rank = {n: F.col("_n") - 1 for n in shares}
+    wanted = [w for n, q in shares.items() for w in (F.floor(rank[n] * q), F.ceil(rank[n] * q))]
+    met = before.filter(F.exists(F.array(*wanted), lambda w: (w >= F.col("_before")) & (w < F.col("_before") + F.col("_c")))).select(*by, "_bin", "_before")
+    order = Window.partitionBy(*by, "_bin").orderBy(value)
+    numbered = placed.join(met, [*by, "_bin"]).select(*by, "_n", value, (F.col("_before") + F.row_number().over(order) - 1).alias("_k"))
+    at_rank = lambda w: F.max(F.when(F.col("_k") == w, F.col(value)))
+    out = []
+    for n, q in shares.items():
+        x = rank[n] * F.lit(q)
+        lo, hi = at_rank(F.floor(x)), at_rank(F.ceil(x))
+        out.append((lo + (hi - lo) * F.max(x - F.floor(x))).alias(n))
+    return numbered.groupBy(*by).agg(*out)
+
+
 def distance_quantiles(df: DataFrame, by: list[str], e: str = "e") -> DataFrame:
     """Median, p90 and p99 of the distance to the group's mean, p90 over the median, and an alert above 2."""
     j = df.join(means(df, by, e).select(*by, "mean"), by)
-    d = j.select(*by, distance(F.col(e), F.col("mean")).alias("d")).groupBy(*by).agg(*(F.percentile("d", q).alias(n) for n, q in (("median", 0.5), ("p90", 0.9), ("p99", 0.99))))
+    d = exact_quantiles(j.select(*by, distance(F.col(e), F.col("mean")).alias("d")), by, "d", {"median": 0.5, "p90": 0.9, "p99": 0.99})
     return d.withColumn("ratio", F.col("p90") / F.col("median")).withColumn("alert", F.col("ratio") > 2.0)
 
 
@@ -66,15 +94,9 @@ def drift(df: DataFrame, order: str, e: str = "mean") -> DataFrame:
     return df.withColumn("drift", F.when(prev.isNotNull(), 1 - cosine(F.col(e), prev)))
 
 
-#: Nodes are a fixed vocabulary; they are broadcast only after their number is checked.
-MOST_NODES = 10_000
-
-
 def against(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Every query vector (id, e) with every node (node, v) and their cosine."""
-    if nodes.limit(MOST_NODES + 1).count() > MOST_NODES:
-        raise ValueError(f"at most {MOST_NODES} nodes")
-    return queries.join(F.broadcast(nodes)).withColumn("cos", cosine(F.col("e"), F.col("v")))
+    """Every query vector (id, e) with every node (node, v) and their cosine; nodes are the stated side."""
+    return in_blocks(queries, nodes).withColumn("cos", cosine(F.col("e"), F.col("v")))
 
 
 def similarities(queries: DataFrame, nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
