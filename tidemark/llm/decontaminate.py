@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import blocks as B
-from .shared import few, kept, mapped
+from .shared import few, kept, mapped, scratch
 
 GUARANTEE, K = 13, 8
 #: 64-bit words of the bitmap at most (16 MB).
@@ -213,12 +213,22 @@ def text_key(text: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, guarantee: int = GUARANTEE, k: int = K, most: int = FILTER_WORDS, size: int = _PIECE) -> DataFrame:
     """doc_id, text_key, n_words, n_hit, spans (word positions, start and end in turn) and the items met, a row for each input row."""
+    with scratch():
+        each, found = contaminated_texts(docs, benchmark, guarantee, k, most, size)
+    none = F.array().cast("array<bigint>"), F.array().cast("array<string>")
+    return each.select("doc_id", "text_key", "n_words").join(found, "text_key", "left").select(
+        "doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items")
+    )
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, guarantee: int, k: int, most: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """The scanned documents (doc_id, text_key, n_words, runs), and (text_key, n_hit, spans, items) of the texts that hold a window."""
     of_items = kept(item_windows(benchmark, guarantee, k), "item-windows")
     prints = kept(of_items.select("n", "h").distinct(), "item-fingerprints")
     short = sorted(r["n"] for r in prints.filter(F.col("n") < guarantee).select("n").distinct().collect())  # under ``guarantee`` numbers
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(prints, most))
     schema = "doc_id bigint, text_key binary, n_words bigint, runs array<struct<n:int,h:bigint,lo:bigint,words:string>>"
-    each = kept(mapped(docs.select("doc_id", "text"), lambda it: scanned(it, shared.value, short, guarantee, k, size), schema), "document-fingerprints")
+    each = kept(mapped(docs.select("doc_id", "text"), lambda it: scanned(it, shared.value, short, guarantee, k, size), schema), "document-fingerprints", stay=True)
     # both sides' fingerprints meet; then windows, word by word
     met = each.select("text_key", F.inline("runs")).join(prints, ["n", "h"], "left_semi")
     words = met.select("text_key", "n", "lo", F.split("words", " ").alias("w"))
@@ -242,11 +252,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, guarantee: int = GUARAN
     of_kind = listed.join(grams, ["n", "gram"]).select(*kind, "item").distinct()
     items = hits.select("text_key", *kind).distinct().join(of_kind, list(kind)).select("text_key", "item").distinct()
     items = items.groupBy("text_key").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    found = kept(spans.join(items, "text_key"), "contaminated-texts")
-    none = F.array().cast("array<bigint>"), F.array().cast("array<string>")
-    return each.select("doc_id", "text_key", "n_words").join(found, "text_key", "left").select(
-        "doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items")
-    )
+    return each, kept(spans.join(items, "text_key"), "contaminated-texts", stay=True)
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -263,6 +269,7 @@ def contaminated() -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones. Whether a text is contaminated depends on its words alone, so the rejected texts' keys suffice."""
-    bad = contamination(docs, benchmark).filter(contaminated()).select(F.col("text_key").alias("_bad_text")).distinct()
-    bad = few(kept(bad, "rejected"), 64)
+    with scratch():
+        bad = contamination(docs, benchmark).filter(contaminated()).select(F.col("text_key").alias("_bad_text")).distinct()
+        bad = few(kept(bad, "rejected", stay=True), 64)
     return docs.join(bad, text_key(docs["text"]) == bad["_bad_text"], "left_anti")

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import KEY, copies, document_key, few, kept
+from .shared import KEY, copies, document_key, few, kept, scratch
 
 MIN_CHUNK, MAX_CHUNK = 512, 8192
 #: A cut may follow white space after one of these characters; about one word in ten ends so.
@@ -83,8 +83,8 @@ def verified_recipes(made: DataFrame) -> DataFrame:
 
 def exact_classes(docs: DataFrame, least: int = MIN_CHUNK, most: int = MAX_CHUNK, hashed=F.xxhash64) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: a row for each input row."""
-    made = kept(recipes(docs, least, most, hashed), "recipes")
-    each = kept(verified_recipes(made), "verified-recipes")
+    with scratch():
+        each = kept(verified_recipes(kept(recipes(docs, least, most, hashed), "recipes")), "verified-recipes", stay=True)
     # a table of its own: so both sides of the join below are plain exchanges, and a hot recipe's rows can be split
     best = kept(each.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size")), "classes")
     return (
@@ -99,7 +99,8 @@ def exact_classes(docs: DataFrame, least: int = MIN_CHUNK, most: int = MAX_CHUNK
 def without_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_classes() drops (of rows repeated whole all stay or go). What travels are the
     rejected rows' keys; texts do only where those are too many to broadcast."""
-    gone = exact_classes(docs).filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.unhex("text_sha256").alias("_gone_text")).distinct()
-    gone = few(kept(gone, "rejected"), 96)
+    with scratch():
+        gone = exact_classes(docs).filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.unhex("text_sha256").alias("_gone_text")).distinct()
+        gone = few(kept(gone, "rejected", stay=True), 96)
     digest = F.unhex(F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (digest == gone["_gone_text"]), "left_anti")

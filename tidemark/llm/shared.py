@@ -49,20 +49,22 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes: list[list[DataFrame]] = []
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
+def kept(df: DataFrame, name: str, stay: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage and survives lost executors. Inside scratch() it is removed
+    at the end, unless it is to ``stay``: then with the scratch() around that one, if any."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    if _scopes:
-        _scopes[-1].append(out)
+    scopes = _scopes[:-1] if stay else _scopes
+    if scopes:
+        scopes[-1].append(out)
     return out
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Tables that kept() makes inside are removed at the end. A result that is to stay is written outside, or last by its caller."""
+    """Tables that kept() makes inside are removed at the end, whatever happens."""
     _scopes.append([])
     try:
         yield
@@ -116,11 +118,16 @@ def mapped(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
+#: Shuffle partitions at most: beyond, partitions grow, which their sorts spill for; millions of them would burden the driver.
+MOST_PARTITIONS = 100_000
+
+
 def partitions_for(df: DataFrame, factor: float, each: int = 64 << 20) -> int:
-    """How many shuffle partitions of about ``each`` bytes hold ``factor`` times the plan's estimated input; never under the session's number."""
+    """How many shuffle partitions of about ``each`` bytes hold ``factor`` times the plan's estimated input; never under the session's
+    number, and over MOST_PARTITIONS only if that is."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, int(size * factor / each)) if size < 1 << 58 else least  # beyond: Spark does not know
+    return max(least, min(MOST_PARTITIONS, int(size * factor / each))) if size < 1 << 58 else least  # beyond: Spark does not know
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

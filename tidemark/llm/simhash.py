@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import blocks as B
 from .blocks import U64
-from .shared import components, few, kept, mapped
+from .shared import components, few, kept, mapped, scratch
 
 SHINGLE, SEED, MAX_BITS, TILE = 3, 42, 3, 4096
 _NO_ID = 2**63 - 1
@@ -196,11 +196,12 @@ def classes(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """doc_id, text_key, fp, component_id: a row for each input row."""
     each = kept(fingerprinted(docs), "fingerprints")
     # the smallest doc_id of a fingerprint stands for it
-    fps = kept(each.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    joined = components(links(fps, tile)).withColumnRenamed("node", "fp")
-    whole = fps.join(joined, "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    least = kept(whole.groupBy("component").agg(F.min("least_id").alias("component_id")), "component-ids")
-    ids = whole.join(least, "component").select("fp", "component", "component_id")
+    with scratch():
+        fps = kept(each.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
+        joined = components(links(fps, tile)).withColumnRenamed("node", "fp")
+        whole = fps.join(joined, "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
+        least = kept(whole.groupBy("component").agg(F.min("least_id").alias("component_id")), "component-ids")
+        ids = kept(whole.join(least, "component").select("fp", "component", "component_id"), "fingerprint-components", stay=True)
     return each.join(ids, "fp")
 
 
@@ -215,10 +216,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     A document is a doc_id with a text: rows repeated whole are one, and all of them stay or go. What travels are
     the rejected documents' keys; texts do only where those are too many to broadcast.
     """
+    with scratch():
+        gone = few(kept(rejected(docs), "rejected", stay=True), 80)
+    key = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_text"]), "left_anti")
+
+
+def rejected(docs: DataFrame) -> DataFrame:
+    """(_gone_id, _gone_text): the documents that one_of_each() leaves out."""
     each = kept(classes(docs).select("component", "component_id", "doc_id", "text_key").distinct(), "near-classes")
     own = each.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = own.groupBy("component").agg(F.min("text_key").alias("stay_key"))
     gone = each.join(stay, "component").filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("text_key") != F.col("stay_key")))
-    gone = few(kept(gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_text")).distinct(), "rejected"), 80)
-    key = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_text"]), "left_anti")
+    return gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_text")).distinct()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import blocks as B
-from .shared import KEY, document_key, kept, mapped, partitions_for
+from .shared import KEY, document_key, kept, mapped, partitions_for, scratch
 
 WINDOW, GRAM, PARTS = 20, 5, 1024
 #: Parts at most: their counts are an array in each task of the first pass. Windows of a part that is sorted in memory.
@@ -266,7 +266,8 @@ def remaining(words: list[bytes], intervals: list[tuple[int, int]]) -> list[byte
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, parts: int = PARTS, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (what is left, one space between words): a row for each input row."""
-    spans = kept(repeated_intervals(docs, window, gram, parts, most), "repeated-windows")
+    with scratch():
+        spans = kept(repeated_intervals(docs, window, gram, parts, most), "repeated-windows", stay=True)
     own = spans.groupBy("key", "doc").agg(F.collect_set(F.struct("lo", "hi")).alias("cut"))
     rows = docs.select("doc_id", document_key().alias("key"), F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"), "text")
     rows = rows.join(own.hint("shuffle_hash"), ["key", "doc"], "left").select("doc_id", "text", "cut")

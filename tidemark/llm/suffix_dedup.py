@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import blocks as B
-from .shared import dropped, kept, mapped
+from .shared import MOST_PARTITIONS, dropped, kept, mapped, scratch
 from .suffix_array import repeated_places
 
 WINDOW, GRAM, MOST, PART_BYTES = 200, 32, 4096, 1 << 20
@@ -221,20 +221,9 @@ def covered(parts: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = PART_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_bytes: a row for each input row."""
-    occ = occurrences(docs, window, gram)
-    cut, total, settled = segments(docs, occ, window, gram, most)
-    parts = max(1, -(-total // most))
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (32 << 20)))
-    part = F.pmod(F.xxhash64("anchor", "band"), F.lit(parts)).cast("int")
-    laid = cut.select(part.alias("part"), *_SEG, "off", "weight", "body").repartition(tasks, "part").sortWithinPartitions("part")
-    found = kept(covered(laid, window).unionByName(settled), "covered")
-    spans = (
-        occ.join(found, _SEG)
-        .select(*_DOC, F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
-        .groupBy(*_DOC)
-        .agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    )
-    rows = docs.select("doc_id", *document(), "text").join(kept(spans, "spans").hint("shuffle_hash"), _DOC, "left").select("doc_id", "text", "spans")
+    with scratch():
+        spans = kept(removed_spans(docs, window, gram, most), "spans", stay=True)
+    rows = docs.select("doc_id", *document(), "text").join(spans.hint("shuffle_hash"), _DOC, "left").select("doc_id", "text", "spans")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,6 +241,23 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most:
     return mapped(rows, task, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_bytes binary")
 
 
+def removed_spans(docs: DataFrame, window: int, gram: int, most: int) -> DataFrame:
+    """(key, key2, spans): the byte intervals that each document loses, start and end in turn; they may overlap."""
+    occ = occurrences(docs, window, gram)
+    cut, total, settled = segments(docs, occ, window, gram, most)
+    parts = max(1, -(-total // most))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, -(-total // (32 << 20))))
+    part = F.pmod(F.xxhash64("anchor", "band"), F.lit(parts)).cast("int")
+    laid = cut.select(part.alias("part"), *_SEG, "off", "weight", "body").repartition(tasks, "part").sortWithinPartitions("part")
+    found = kept(covered(laid, window).unionByName(settled), "covered")
+    return (
+        occ.join(found, _SEG)
+        .select(*_DOC, F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
+        .groupBy(*_DOC)
+        .agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    )
+
+
 def removed(text: bytes, spans: np.ndarray | None) -> tuple[bytes, int]:
     """(what is left without the intervals, the number of maximal runs that went)."""
     if spans is None or not len(spans):
