@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, exact_dedup, packing, simhash, toxicity
-from tidemark.llm.shared import documents, kept
+from tidemark.llm.shared import documents, dropped, kept, scratch
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch():  # what a stage has written on its way goes; so does its input once its result is there
+            docs = kept(stage(spark, docs, sf_dir), f"stage-{name}", stay=True)
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
