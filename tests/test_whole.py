@@ -15,8 +15,8 @@ def test_dates_reach_the_last_day(spark):
     lines, orders = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("lineitem", "orders"))
     months = {r[0] for r in lines.selectExpr("date_format(l_shipdate, 'yyyy-MM')").distinct().collect()}
     days = {r[0] for r in orders.selectExpr("cast(to_date(o_orderdate) as string)").distinct().collect()}
-    assert {r["month"] for r in QUERIES["anchor_rescale_all"](spark, DIR).collect()} == months and max(months) > "2001"
-    assert {r["day"] for r in QUERIES["stitch_scale_all"](spark, DIR).collect()} == days and max(days) > "2001"
+    assert {r["month"] for r in QUERIES["anchor_rescale"](spark, DIR).collect()} == months and max(months) > "2001"
+    assert {r["day"] for r in QUERIES["stitch_scale"](spark, DIR).collect()} == days and max(days) > "2001"
 
 
 def test_curves_are_fitted_to_the_whole_series(spark, monkeypatch):
@@ -44,6 +44,6 @@ def test_replicates_and_columns_are_the_surveys(spark, monkeypatch):
 def test_signals_take_every_event(spark):
     events = spark.read.parquet(f"{DIR}/events.parquet")
     memes = {r[0] for r in events.select("event_type").distinct().collect()}
-    assert {r["meme"] for r in QUERIES["platform_expanding_all"](spark, DIR).collect()} == memes
-    assert sum(r["signals"] for r in QUERIES["daily_turnover_jaccard_all"](spark, DIR).collect()) == events.count()
-    assert QUERIES["micro_burst_all"](spark, DIR).count() == 1
+    assert {r["meme"] for r in QUERIES["platform_expanding"](spark, DIR).collect()} == memes
+    assert sum(r["signals"] for r in QUERIES["daily_turnover_jaccard"](spark, DIR).collect()) == events.count()
+    assert QUERIES["micro_burst"](spark, DIR).count() == 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.catalog import query
 from tidemark.functions.columns import r6
@@ -35,28 +35,20 @@ def steady_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.steady_runs(axis(spark, sf_dir), "x", "t").select("run", "n", r6(F.col("mean")).alias("mean"), "first", "last")
 
 
-def _anchored(spark: SparkSession, sf_dir: str, days: Column) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter(days).select("l_partkey", "l_shipdate", "l_quantity").join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("k")), F.col("l_partkey") == F.col("p_partkey"))
+def _anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_quantity").join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("k")), F.col("l_partkey") == F.col("p_partkey"))
     daily = lines.groupBy("k", F.to_date("l_shipdate").alias("day")).agg(F.sum("l_quantity").alias("v"))
     monthly = lines.groupBy("k", F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.count("*").cast("double").alias("anchor"))
     return C.anchored(daily, monthly, "k", "day", "v", "anchor").groupBy("k", "month").agg(F.round(F.sum("v"), 4).alias("scaled"))
 
 
-@query("""WITH d AS (SELECT p_brand AS k, strftime(l_shipdate, '%Y-%m') AS month, l_shipdate::DATE AS day, sum(l_quantity) AS v FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate < '1996-01-01' GROUP BY ALL),
-m AS (SELECT k, month, avg(v) AS mv FROM d GROUP BY ALL), a AS (SELECT p_brand AS k, strftime(l_shipdate, '%Y-%m') AS month, count(*)::DOUBLE AS anchor FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate < '1996-01-01' GROUP BY ALL)
-SELECT k, month, round(sum(v * anchor / mv), 4) AS scaled FROM d JOIN m USING (k, month) JOIN a USING (k, month) GROUP BY k, month""")
-def anchor_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily quantities by brand on the scale of monthly counts, before 1996 alone, as in its SQL; anchor_rescale_all has every month."""
-    return _anchored(spark, sf_dir, F.col("l_shipdate") < "1996-01-01")
-
-
 @query("""WITH l AS (SELECT p_brand AS k, l_shipdate::DATE AS day, l_quantity AS v FROM lineitem JOIN part ON l_partkey = p_partkey),
 d AS (SELECT k, strftime(day, '%Y-%m') AS month, day, sum(v) AS v FROM l GROUP BY ALL), m AS (SELECT k, month, avg(v) AS mv FROM d GROUP BY ALL),
 a AS (SELECT k, strftime(day, '%Y-%m') AS month, count(*)::DOUBLE AS anchor FROM l GROUP BY ALL)
 SELECT k, month, round(sum(v * anchor / mv), 4) AS scaled FROM d JOIN m USING (k, month) JOIN a USING (k, month) GROUP BY k, month""")
-def anchor_rescale_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def anchor_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily quantities by brand on the scale of monthly counts."""
-    return _anchored(spark, sf_dir, F.lit(True))
+    return _anchored(spark, sf_dir)
 
 
 @query("""WITH l AS (SELECT p_brand AS k, l_shipdate, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey), m AS (SELECT k, strftime(l_shipdate, '%Y-%m') AS month, avg(l_quantity) AS a, count(*) AS b FROM l GROUP BY ALL)

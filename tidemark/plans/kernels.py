@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.catalog import query
 from tidemark.functions import numerics as N
 from tidemark.operators import indicators as I, replicates as R, simulation as S
-from tidemark.plans.bindings import attention, axis, regime_sequence, vectors
+from tidemark.plans.bindings import attention, axis, regime_sequence, table, vectors
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, list[str]]:
-    """The month x keyword matrix (80 x 25) on the driver."""
-    keys = [f"NATION_{k}" for k in range(25)]
+    """The month x keyword matrix on the driver: a row for each month, a column for each name in the table of nations."""
+    keys = [r["n_name"] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").collect()]
     w = attention(spark, sf_dir).groupBy("month").pivot("keyword", keys).agg(F.sum("value")).na.fill(0.0)
     return R.matrix(w, "month", keys), keys
 

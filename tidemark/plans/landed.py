@@ -109,11 +109,11 @@ def chunked_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.joined_chunks(first.unionByName(d.select("keyword", F.date_add("day", 3).alias("day"), F.lit(1).alias("chunk"), (F.col("n") * 10).alias("value"))))
 
 
-@query("""WITH t AS (SELECT c_custkey, c_name AS v FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT c_custkey, 'new' AS v FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH t AS (SELECT c_custkey, c_name AS v FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT c_custkey, 'new' AS v FROM customer)
 SELECT * FROM t UNION ALL SELECT * FROM n WHERE c_custkey NOT IN (SELECT c_custkey FROM t)""")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    return T.upsert_if_absent(c.filter("c_custkey % 3 = 0").select("c_custkey", F.col("c_name").alias("v")), c.filter("c_custkey % 2 = 0").select("c_custkey", F.lit("new").alias("v")), "c_custkey")
+    return T.upsert_if_absent(c.filter("c_custkey % 3 = 0").select("c_custkey", F.col("c_name").alias("v")), c.select("c_custkey", F.lit("new").alias("v")), "c_custkey")
 
 
 @query("SELECT event_type AS keyword, strftime(ts, '%Y-%m') AS month, count(*) AS n FROM events GROUP BY 1, 2")

@@ -26,15 +26,6 @@ def platform_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.platform_transitions(signals(spark, sf_dir), "meme", ["ts", "event_id"])
 
 
-@query(f"""WITH {SIG}, s AS (SELECT user_id % 97 AS u, platform, row_number() OVER (PARTITION BY user_id % 97 ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id % 97) AS n FROM sig WHERE rank < 12),
-h AS (SELECT u, arg_min(platform, i) AS entry, count(DISTINCT platform) FILTER (i < n // 2) AS early, count(DISTINCT platform) FILTER (i >= n // 2) AS late FROM s WHERE n >= 2 GROUP BY u),
-w AS (SELECT u, count(*) AS new FROM (SELECT DISTINCT u, platform FROM s WHERE n >= 2 AND i >= n // 2 EXCEPT SELECT DISTINCT u, platform FROM s WHERE n >= 2 AND i < n // 2) GROUP BY u)
-SELECT u, entry, early, late, coalesce(new, 0) AS new, late > early AS expanding FROM h LEFT JOIN w USING (u)""")
-def platform_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks under 12 by user_id % 97 alone, as in its SQL; platform_expanding_all has every event by meme."""
-    return _expanding(signals(spark, sf_dir).filter("rank < 12").withColumn("u", F.col("user_id") % 97), "u")
-
-
 def _expanding(s: DataFrame, by: str) -> DataFrame:
     f = S.flow_patterns(s, by, ["ts", "event_id"])
     return f.select(by, "entry", *(F.size(c).cast("long").alias(c) for c in ("early", "late", "new")), "expanding")
@@ -44,11 +35,11 @@ def _expanding(s: DataFrame, by: str) -> DataFrame:
 h AS (SELECT meme, arg_min(platform, i) AS entry, count(DISTINCT platform) FILTER (i < n // 2) AS early, count(DISTINCT platform) FILTER (i >= n // 2) AS late FROM s WHERE n >= 2 GROUP BY meme),
 w AS (SELECT meme, count(*) AS new FROM (SELECT DISTINCT meme, platform FROM s WHERE n >= 2 AND i >= n // 2 EXCEPT SELECT DISTINCT meme, platform FROM s WHERE n >= 2 AND i < n // 2) GROUP BY meme)
 SELECT meme, entry, early, late, coalesce(new, 0) AS new, late > early AS expanding FROM h LEFT JOIN w USING (meme)""")
-def platform_expanding_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def platform_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _expanding(signals(spark, sf_dir), "meme")
 
 
-_TOPIC = f"""{SIG}, tp AS (SELECT day, ts, event_id, meme || ':' || (rank // 10) AS topic, score FROM sig WHERE score > 12),
+_TOPIC = f"""{SIG}, tp AS (SELECT day, ts, event_id, meme || ':' || (rank // 10) AS topic, score FROM sig),
 per AS (SELECT day, topic, sum(score) AS s, count(*) AS n FROM tp GROUP BY 1, 2), sh AS (SELECT *, s / sum(s) OVER (PARTITION BY day) AS p FROM per),
 d AS (SELECT day, count(*) AS k, sum(n) AS signals, sum(-p * ln(p)) AS h FROM sh GROUP BY day),
 c AS (SELECT a.day, count(*) AS c FROM per a JOIN per b ON a.topic = b.topic AND b.day = a.day - 1 GROUP BY a.day),
@@ -57,35 +48,19 @@ m AS (SELECT d.day, d.k, d.signals, CASE WHEN p.day IS NULL THEN 1 ELSE 1 - coal
 mb AS (SELECT *, least(greatest(0.3 * turnover + 0.25 * (1 - entropy) + 0.25 * novelty + 0.2 * least(signals / 10, 1.0), 0), 1) AS score FROM m)"""
 
 
-_TOPIC_ALL = _TOPIC.replace(" WHERE score > 12", "")
-
-
-def _topics(spark: SparkSession, sf_dir: str, which: str = "score > 12") -> DataFrame:
-    s = signals(spark, sf_dir).filter(which)
+def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = signals(spark, sf_dir)
     return s.withColumn("topic", F.concat_ws(":", "meme", F.floor(F.col("rank") / 10).cast("string")))
 
 
-@query(f"WITH {_TOPIC} SELECT day::VARCHAR AS day, k AS topics, round(turnover, 6) AS turnover, round(entropy, 6) AS entropy, round(novelty, 6) AS novelty, signals::BIGINT AS signals, round(score, 6) AS score FROM mb")
-def daily_turnover_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores over 12 alone, as in its SQL; daily_turnover_jaccard_all has every event."""
-    return _daily(_topics(spark, sf_dir))
-
-
 def _daily(topics: DataFrame) -> DataFrame:
     m = S.daily_metrics(topics, "topic")
     return m.select(F.col("day").cast("string").alias("day"), "topics", *(r6(F.col(c)).alias(c) for c in ("turnover", "entropy", "novelty", "score")), "signals")
 
 
-@query(f"WITH {_TOPIC_ALL} SELECT day::VARCHAR AS day, k AS topics, round(turnover, 6) AS turnover, round(entropy, 6) AS entropy, round(novelty, 6) AS novelty, signals::BIGINT AS signals, round(score, 6) AS score FROM mb")
-def daily_turnover_jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _daily(_topics(spark, sf_dir, "true"))
-
-
-@query(f"""WITH {_TOPIC}, l AS (SELECT * FROM mb ORDER BY day DESC LIMIT 3), a AS (SELECT avg(score) AS m, arg_max(score, day) > arg_min(score, day) AS r FROM l)
-SELECT round(m, 6) AS mean3, r AS rising, round(CASE WHEN m > 0.5 AND r THEN 1 + 0.3 * m WHEN m > 0.4 THEN 1 + 0.15 * m WHEN m < 0.2 THEN 0.85 ELSE 1 END, 6) AS factor FROM a""")
-def micro_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores over 12 alone, as in its SQL; micro_burst_all has every event."""
-    return _burst(_topics(spark, sf_dir))
+@query(f"WITH {_TOPIC} SELECT day::VARCHAR AS day, k AS topics, round(turnover, 6) AS turnover, round(entropy, 6) AS entropy, round(novelty, 6) AS novelty, signals::BIGINT AS signals, round(score, 6) AS score FROM mb")
+def daily_turnover_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _daily(_topics(spark, sf_dir))
 
 
 def _burst(topics: DataFrame) -> DataFrame:
@@ -93,10 +68,10 @@ def _burst(topics: DataFrame) -> DataFrame:
     return m.select(r6(F.col("mean3")).alias("mean3"), "rising", r6(F.col("factor")).alias("factor"))
 
 
-@query(f"""WITH {_TOPIC_ALL}, l AS (SELECT * FROM mb ORDER BY day DESC LIMIT 3), a AS (SELECT avg(score) AS m, arg_max(score, day) > arg_min(score, day) AS r FROM l)
+@query(f"""WITH {_TOPIC}, l AS (SELECT * FROM mb ORDER BY day DESC LIMIT 3), a AS (SELECT avg(score) AS m, arg_max(score, day) > arg_min(score, day) AS r FROM l)
 SELECT round(m, 6) AS mean3, r AS rising, round(CASE WHEN m > 0.5 AND r THEN 1 + 0.3 * m WHEN m > 0.4 THEN 1 + 0.15 * m WHEN m < 0.2 THEN 0.85 ELSE 1 END, 6) AS factor FROM a""")
-def micro_burst_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _burst(_topics(spark, sf_dir, "true"))
+def micro_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _burst(_topics(spark, sf_dir))
 
 
 @query(f"""WITH {SIG}, g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM sig),
