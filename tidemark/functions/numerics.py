@@ -288,6 +288,22 @@ def silhouette(x: np.ndarray, label: np.ndarray) -> float:
     return float(np.where(alone, 0, (b - a) / np.maximum(np.maximum(a, b), 1e-300)).mean())
 
 
+def density_clusters(x: np.ndarray, eps: float, least: int) -> np.ndarray:
+    """Clusters of rows with ``least`` neighbours within eps (themselves included) that reach each other, by the smallest place
+    in each; rows near such a one join the smallest of theirs, others are -1."""
+    near = pairwise(x) <= eps
+    core = near.sum(1) >= least
+    label = np.where(core, np.arange(len(x)), -1)
+    while True:
+        seen = np.where(near & core[None], label[None], len(x)).min(1)
+        new = np.where(core, seen, -1)
+        if (new == label).all():
+            break
+        label = new
+    reached = np.where(near & core[None], label[None], len(x)).min(1)
+    return np.where(core, label, np.where(reached < len(x), reached, -1))
+
+
 def ward(x: np.ndarray, k: int) -> np.ndarray:
     """Agglomerative labels: the pair whose union adds least variance is joined until k are left."""
     groups = [[i] for i in range(len(x))]
