@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import blocks as B
-from .shared import kept, mapped
+from .shared import kept_between, batches_of, kept, mapped
 
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 BUCKETS = 512
@@ -194,6 +194,7 @@ class WordTokenizer:
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
+kept_between["packing"] = _tokenizers.clear
 
 
 def tokenizer(name: str) -> WordTokenizer:
@@ -228,7 +229,7 @@ def pieces(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY, end
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in PIECE.split(", ")])
 
-    return mapped(docs.select("doc_id", "text"), task, PIECE)
+    return mapped(docs.select("doc_id", "text"), task, PIECE, "packing")
 
 
 class OpenBins:
@@ -307,7 +308,8 @@ def packed(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY, end
     """The pieces with sequence_id and offset."""
     spark = docs.sparkSession
     bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")
-    each = kept(pieces(docs, name, capacity, end_id).withColumn("bucket", bucket), "pieces")
+    with batches_of(spark, 1000):
+        each = kept(pieces(docs, name, capacity, end_id).withColumn("bucket", bucket), "pieces")
     counts = each.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     # at most ``capacity`` rows, whatever the input
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

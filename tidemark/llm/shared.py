@@ -96,6 +96,29 @@ def few(keys: DataFrame, row_bytes: int, otherwise: str = "") -> DataFrame:
     return keys.hint(otherwise) if otherwise else keys
 
 
+#: Of each kind of task that keeps something between its tasks, how to drop it.
+kept_between: dict[str, Callable[[], None]] = {}
+
+
+def only(owner: str = "") -> None:
+    """Drop what tasks of other kinds have left in this Python worker."""
+    for name, drop in kept_between.items():
+        if name != owner:
+            drop()
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most, for what is run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before) if int(before) > 0 else rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def released() -> None:
     """Give memory that this Python worker has freed back to the machine: workers live on between stages."""
     pa.default_memory_pool().release_unused()
@@ -106,10 +129,11 @@ def released() -> None:
             pass
 
 
-def mapped(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow(); the worker gives its memory back at the end of each task."""
+def mapped(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, owner: str = "") -> DataFrame:
+    """mapInArrow(); the worker drops what tasks of another ``owner`` keep, and gives its memory back at the end of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(owner)
         try:
             yield from task(batches)
         finally:
