@@ -47,19 +47,19 @@ def topic_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REPORT = f"""{ATT}, r AS (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY month DESC) AS k, first_value(month) OVER (PARTITION BY keyword ORDER BY value DESC, month) AS top FROM att),
 t AS (SELECT keyword, max(category) AS category, any_value(top) AS peak_month, avg(value) FILTER (k <= 3) AS recent, avg(value) FILTER (k BETWEEN 4 AND 6) AS before FROM r GROUP BY keyword),
-rep AS (SELECT keyword, category, peak_month, round(recent, 2) AS recent, round(before, 2) AS before, CASE WHEN recent > 1.1 * before THEN 'rising' WHEN recent < 0.9 * before THEN 'falling' ELSE 'steady' END AS direction, count(*) OVER (PARTITION BY category) - 1 AS n_peers FROM t)"""
+rep AS (SELECT keyword, category, peak_month, round(recent, 4) AS recent, round(before, 4) AS before, CASE WHEN recent > 1.1 * before THEN 'rising' WHEN recent < 0.9 * before THEN 'falling' ELSE 'steady' END AS direction, count(*) OVER (PARTITION BY category) - 1 AS n_peers FROM t)"""
 
 
 @query(f"WITH {_REPORT} SELECT keyword, peak_month, recent, before, direction, n_peers FROM rep")
 def topic_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each topic: its peak, its last three rows against the three before, and how many peers it has."""
     r = A.topic_report(attention(spark, sf_dir), "keyword", "month", "category")
-    return r.select("keyword", "peak_month", F.round("recent", 2).alias("recent"), F.round("before", 2).alias("before"), "direction", "n_peers")
+    return r.select("keyword", "peak_month", F.round("recent", 4).alias("recent"), F.round("before", 4).alias("before"), "direction", "n_peers")
 
 
 @query(f"WITH {_REPORT} SELECT a.keyword AS first, b.keyword AS second, a.peak_month AS first_peak, b.peak_month AS second_peak, round(a.recent / b.recent, 4) AS ratio, a.category = b.category AS peers FROM rep a, rep b WHERE a.keyword = 'NATION_1' AND b.keyword = 'NATION_7'")
 def compared_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = A.topic_report(attention(spark, sf_dir), "keyword", "month", "category").withColumn("recent", F.round("recent", 2))
+    r = A.topic_report(attention(spark, sf_dir), "keyword", "month", "category").withColumn("recent", F.round("recent", 4))
     return A.side_by_side(r, "keyword", "NATION_1", "NATION_7").select("first", "second", "first_peak", "second_peak", F.round("ratio", 4).alias("ratio"), "peers")
 
 
