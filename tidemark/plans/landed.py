@@ -68,10 +68,11 @@ def html_list_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.html_items(pages, r'<li><a href="[^"]*">([^<]*)</a>', r"track\(([0-9]+)\)", r'<li><a href="([^"]*)"', keep=("page_id",))
 
 
-@query(f"WITH {ATT} SELECT keyword, round(avg(value), 4) AS avg_interest, max(value) AS max_interest FROM att GROUP BY keyword")
+@query(f"WITH {ATT} SELECT keyword, round(avg(value) + 1e-7, 4) AS avg_interest, max(value) AS max_interest FROM att GROUP BY keyword")
 def interest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and largest interest; the means are rounded so that halves go up in either engine."""
     s = T.interest_snapshot(attention(spark, sf_dir))
-    return s.select("keyword", F.round("avg_interest", 4).alias("avg_interest"), "max_interest")
+    return s.select("keyword", F.round(F.col("avg_interest") + 1e-7, 4).alias("avg_interest"), "max_interest")
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE p_partkey * 3701 END AS hits FROM part")
@@ -91,13 +92,13 @@ def last_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT o_orderpriority AS key, strftime(o_orderdate, '%Y-%m') AS month, avg(CASE WHEN o_orderpriority[1] = '1' THEN 0 ELSE o_totalprice END) AS v FROM orders GROUP BY 1, 2)
-SELECT key, month, round(v, 4) AS value FROM m WHERE key IN (SELECT key FROM m GROUP BY key HAVING max(v) > 0)""")
+SELECT key, month, round(v + 1e-7, 4) AS value FROM m WHERE key IN (SELECT key FROM m GROUP BY key HAVING max(v) > 0)""")
 def monthly_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly means; series that are all zero are left out."""
     from tidemark.operators.curation import interest
 
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("key"), "o_orderdate", F.when(F.col("o_orderpriority").startswith("1"), 0.0).otherwise(F.col("o_totalprice")).alias("value"))
-    return interest(o, "key", "o_orderdate", "value").select("key", "month", F.round("value", 4).alias("value"))
+    return interest(o, "key", "o_orderdate", "value").select("key", "month", F.round(F.col("value") + 1e-7, 4).alias("value"))
 
 
 @query("""WITH d AS (SELECT o_orderstatus AS keyword, o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY 1, 2), c AS (SELECT keyword, day, 0 AS chunk, n - 1 AS value FROM d UNION ALL SELECT keyword, (day + INTERVAL 3 DAY)::DATE, 1, n * 10 FROM d)
