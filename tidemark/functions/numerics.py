@@ -103,7 +103,7 @@ def pairwise(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
 def diffusion_map(x: np.ndarray, k: int = 3, neighbour: int = 30) -> np.ndarray:
     """Leading non-trivial eigenvectors of the symmetrically normalised Gaussian kernel, each scaled by its own eigenvalue."""
     d = pairwise(x)
-    sigma = np.median(np.sort(d, axis=1)[:, min(neighbour, len(x)) - 1]) or 1.0
+    sigma = np.median(np.sort(d, axis=1)[:, min(neighbour, len(x) - 1)]) or 1.0
     w = np.exp(-(d**2) / (2 * sigma**2))
     s = 1 / np.sqrt(w.sum(1))
     values, vectors = np.linalg.eigh(w * s[:, None] * s[None])
