@@ -32,7 +32,7 @@ from .shared import kept_between, batches_of, kept, mapped
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 BUCKETS = 512
 #: Words whose ids a worker remembers, and parts of words; beyond that it forgets them and goes on.
-REMEMBERED, PARTS = 300_000, 300_000
+REMEMBERED, PARTS = 500_000, 50_000
 #: Bytes of texts whose words are looked up together.
 TOGETHER = 1 << 20
 
@@ -84,7 +84,7 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[int, int] = {}  # hash -> place in the three arrays
+        self.keys, self.place = np.zeros(0, B.U64), np.zeros(0, np.int32)  # hashes in order, and their places in the three arrays
         self.begin = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int32)
         self.check = np.zeros(1 << 16, B.U64)
@@ -117,9 +117,10 @@ class WordTokenizer:
                 out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def learn(self, hashes: list[int], words: list[bytes], check: np.ndarray) -> None:
+    def learn(self, hashes: np.ndarray, words: list[bytes], check: np.ndarray) -> None:
+        """hashes: in order, none of them known."""
         made = self.encoded(words)
-        first = len(self.slots)
+        first = len(self.keys)
         last = first + len(made)
         sizes = np.array([len(m) // 4 for m in made], np.int64)
         ids = np.frombuffer(b"".join(made), "<u4")
@@ -131,7 +132,15 @@ class WordTokenizer:
         self.count[first:last], self.check[first:last] = sizes, check
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.slots.update(zip(hashes, range(first, last), strict=True))
+        at = np.searchsorted(self.keys, hashes)
+        self.keys = np.insert(self.keys, at, hashes)
+        self.place = np.insert(self.place, at, np.arange(first, last, dtype=np.int32))
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes are known."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)] == hashes
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -165,21 +174,18 @@ class WordTokenizer:
         new = np.ones(len(h), bool)
         new[1:] = sorted_h[1:] != sorted_h[:-1]
         pick = order[new]
-        own = h[pick].tolist()
-        if len(self.slots) + len(own) > REMEMBERED:
-            self.forget()
-        got = list(map(self.slots.get, own))
-        miss = [i for i, g in enumerate(got) if g is None]
-        if miss:
+        own = h[pick]
+        miss = ~self.known(own)
+        if miss.any():
+            if len(self.keys) + int(miss.sum()) > REMEMBERED:
+                self.forget()
+                miss[:] = True
             where = pick[miss]
             text = buf.tobytes()
             words = [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-            first = len(self.slots)
-            self.learn([own[i] for i in miss], words, check[where])
-            for k, i in enumerate(miss):
-                got[i] = first + k
+            self.learn(own[miss], words, check[where])
         slot = np.empty(len(h), np.int64)
-        slot[order] = np.array(got, np.int64)[np.cumsum(new) - 1]
+        slot[order] = self.place[np.searchsorted(self.keys, own)][np.cumsum(new) - 1]
         odd = np.flatnonzero(self.check[slot] != check)
         if len(odd):  # a word that shares its hash with another one: the texts go word by word
             for t in texts:
