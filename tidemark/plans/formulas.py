@@ -84,10 +84,10 @@ def mutation_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH t AS (SELECT p_partkey, {TEXT_SQL} AS text FROM part), w AS (SELECT p_partkey, text, {any_of(R.INSTITUTION_WORDS, 'text')} AS institutional,
   coalesce({', '.join(f"nullif(instr(text, '{w}'), 0)" for w in R.INSTITUTION_WORDS)}) AS pos FROM t)
-SELECT p_partkey, institutional, CASE WHEN pos IS NOT NULL THEN try_cast(nullif(regexp_extract(substr(text, greatest(pos - 50, 1)::INT, 150), '((19|20)[0-9][0-9])', 1), '') AS INT) END AS year FROM w""")
+SELECT p_partkey, institutional, coalesce(CASE WHEN pos IS NOT NULL THEN try_cast(nullif(regexp_extract(substr(text, greatest(pos - 50, 1)::INT, 150), '((19|20)[0-9][0-9])', 1), '') AS INT) END, 0) AS year FROM w""")
 def institutional_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = noted(spark, sf_dir)
-    return t.select("p_partkey", R.institutional(F.col("text")).alias("institutional"), R.institutional_year(F.col("text")).alias("year"))
+    return t.select("p_partkey", R.institutional(F.col("text")).alias("institutional"), F.coalesce(R.institutional_year(F.col("text")), F.lit(0)).alias("year"))
 
 
 _ANCHORS = ("cold", "widget", "promo", "official", "report")
@@ -177,7 +177,7 @@ def active_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concept_scores(spark, sf_dir).select("p_partkey", F.array_join(R.active_concepts(F.col("scores")), ",").alias("active"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL WHEN p_partkey % 4 = 2 THEN 22 ELSE 3 END::INT AS n, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE round((p_partkey % 10) / 10.0, 6)::DOUBLE END AS first FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 0 WHEN p_partkey % 4 = 2 THEN 22 ELSE 3 END::INT AS n, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE round((p_partkey % 10) / 10.0, 6)::DOUBLE END AS first FROM part""")
 def reply_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores from replies: plain JSON, fenced JSON, at least twenty name-number pairs, or nothing usable."""
     v = F.format_string("%.1f", F.col("p_partkey") % 10 / F.lit(10.0))
@@ -187,7 +187,7 @@ def reply_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.concat(F.lit("scores - "), *(x for i, n in enumerate(names) for x in (F.lit(f"{n}: "), v if i == 0 else F.lit(f"0.{i % 10}"), F.lit("; "))))
     text = F.get(F.array(plain, fenced, pairs, F.lit("no numbers here")), (F.col("p_partkey") % 4).cast("int"))
     s = table(spark, sf_dir, "part").select("p_partkey", R.parsed_scores(text).alias("s"))
-    return s.select("p_partkey", F.when(F.col("s").isNotNull(), F.size("s")).alias("n"), r6(F.try_element_at("s", F.lit("aa"))).alias("first"))
+    return s.select("p_partkey", F.when(F.col("s").isNotNull(), F.size("s")).otherwise(0).alias("n"), r6(F.try_element_at("s", F.lit("aa"))).alias("first"))
 
 
 _CON = [f"((p_partkey * {k + 1}) % 10 / 10.0::DOUBLE)" for k in range(5)]
@@ -310,10 +310,10 @@ def agent_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, *map(float, v)) for n, v in PRESETS.items()], "name string, lean double, openness double, noise double, memory double")
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 4)) AS e FROM embeddings")
+@query("SELECT vec_id, unnest(range(1, len(embedding) + 1))::INT AS i, round(unnest(embedding)::DOUBLE, 4) AS x FROM embeddings")
 def rounded_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as a JSON sink stores them: rounded."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", C.rounded(F.col("embedding"), 4).alias("e"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(C.rounded(F.col("embedding"), 4)).alias("p", "x")).select("vec_id", (F.col("p") + 1).alias("i"), "x")
 
 
 @query("""WITH p AS (SELECT p_partkey, p_brand, p_type, CASE WHEN p_size > 45 THEN 18.0 WHEN p_size % 10 = 0 THEN 3.0 ELSE p_size % 24 + 1.0 END::DOUBLE AS months, (p_size % 7 + 1)::DOUBLE AS circles, (p_retailprice % 100) / 100 AS peak FROM part),

@@ -61,11 +61,11 @@ def nested_list_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS t, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS u, regexp_extract_all(html, 'track\\(([0-9]+)\\)', 1) AS s FROM pages),
 x AS (SELECT page_id, t, u, s, unnest(range(1, greatest(len(t), len(u), len(s)) + 1)) AS i FROM p)
-SELECT page_id, i::INT AS rank, t[i] AS title, try_cast(s[i] AS BIGINT) AS hot_score, u[i] AS url, 'html' AS platform FROM x WHERE i <= 50""")
+SELECT page_id, i::INT AS rank, t[i] AS title, coalesce(try_cast(s[i] AS BIGINT), -1) AS hot_score, u[i] AS url, 'html' AS platform FROM x WHERE i <= 50""")
 def html_list_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of web pages: three lists of matches put together by place, the shorter ones filled with nulls."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value"))
-    return T.html_items(pages, r'<li><a href="[^"]*">([^<]*)</a>', r"track\(([0-9]+)\)", r'<li><a href="([^"]*)"', keep=("page_id",))
+    return T.html_items(pages, r'<li><a href="[^"]*">([^<]*)</a>', r"track\(([0-9]+)\)", r'<li><a href="([^"]*)"', keep=("page_id",)).na.fill(-1, ["hot_score"])
 
 
 @query(f"WITH {ATT} SELECT keyword, round(avg(value) + 1e-7, 4) AS avg_interest, max(value) AS max_interest FROM att GROUP BY keyword")
@@ -102,12 +102,13 @@ def monthly_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT o_orderstatus AS keyword, o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY 1, 2), c AS (SELECT keyword, day, 0 AS chunk, n - 1 AS value FROM d UNION ALL SELECT keyword, (day + INTERVAL 3 DAY)::DATE, 1, n * 10 FROM d)
-SELECT keyword, day, arg_min(value, chunk)::BIGINT AS value FROM c GROUP BY 1, 2 HAVING arg_min(value, chunk) > 0""")
+SELECT keyword, day::VARCHAR AS day, arg_min(value, chunk)::BIGINT AS value FROM c GROUP BY keyword, c.day HAVING arg_min(value, chunk) > 0""")
 def chunked_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping chunks: the earliest one's value of each day; zeros are not stored."""
     d = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("keyword"), F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
     first = d.select("keyword", "day", F.lit(0).alias("chunk"), (F.col("n") - 1).alias("value"))
-    return T.joined_chunks(first.unionByName(d.select("keyword", F.date_add("day", 3).alias("day"), F.lit(1).alias("chunk"), (F.col("n") * 10).alias("value"))))
+    second = d.select("keyword", F.date_add("day", 3).alias("day"), F.lit(1).alias("chunk"), (F.col("n") * 10).alias("value"))
+    return T.joined_chunks(first.unionByName(second)).select("keyword", F.col("day").cast("string").alias("day"), "value")
 
 
 @query("""WITH t AS (SELECT c_custkey, c_name AS v FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT c_custkey, 'new' AS v FROM customer)

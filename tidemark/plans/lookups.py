@@ -102,9 +102,9 @@ def normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", M.normalised_match(n, b).alias("matches"))
 
 
-@query(f"WITH {SIG} SELECT event_id, platform, lead(platform) OVER (PARTITION BY meme ORDER BY ts, event_id) AS next FROM sig")
+@query(f"WITH {SIG} SELECT event_id, platform, coalesce(lead(platform) OVER (PARTITION BY meme ORDER BY ts, event_id), -1) AS next FROM sig")
 def platform_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.platform_sequences(signals(spark, sf_dir), "meme", ["ts", "event_id"]).select("event_id", "platform", "next")
+    return G.platform_sequences(signals(spark, sf_dir), "meme", ["ts", "event_id"]).na.fill(-1, ["next"]).select("event_id", "platform", "next")
 
 
 @query(f"""WITH {_X}, j AS (SELECT r0 AS a, r0 + (p_partkey % 7 - 3) / 10.0 AS b FROM r WHERE p_partkey % 3 <> 0) SELECT count(*) AS n, round(corr(a, b), 6) AS r, round(avg(abs(a - b)), 6) AS mae FROM j""")
@@ -116,14 +116,14 @@ def estimate_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT p_name AS name, min(p_partkey) AS pos FROM part GROUP BY 1), c AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'red widget' WHEN 1 THEN 'RED WIDGET' ELSE 'unknown ' || c_custkey END AS asked FROM customer)
-SELECT c_custkey, name AS match, CASE WHEN name IS NULL THEN NULL WHEN asked = name THEN 0 ELSE 1 END AS rank FROM c LEFT JOIN n ON asked = name OR asked = upper(name)""")
+SELECT c_custkey, name AS match, CASE WHEN name IS NULL THEN -1 WHEN asked = name THEN 0 ELSE 1 END AS rank FROM c LEFT JOIN n ON asked = name OR asked = upper(name)""")
 def merged_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records meet curated entries by name, else by alias."""
     n = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("match")).agg(F.min("p_partkey").alias("pos"))
     k = F.col("c_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 3 == 0, F.lit("red widget")).when(k % 3 == 1, F.lit("RED WIDGET")).otherwise(F.concat(F.lit("unknown "), k)).alias("asked"))
     exact, alias = c.join(n, c["asked"] == n["match"]), c.join(n, c["asked"] == F.upper(n["match"]))
-    return M.first_match(c, "c_custkey", [x.select("c_custkey", "match", "pos") for x in (exact, alias)]).select("c_custkey", "match", "rank")
+    return M.first_match(c, "c_custkey", [x.select("c_custkey", "match", "pos") for x in (exact, alias)]).na.fill(-1, ["rank"]).select("c_custkey", "match", "rank")
 
 
 # aggregations
