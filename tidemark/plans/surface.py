@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.catalog import query
 from tidemark.functions import columns as C, numerics as N, udfs as U
 from tidemark.functions.columns import r6
-from tidemark.operators import curation as K, replicates as P, simulation as S
+from tidemark.operators import attention as A, curation as K, replicates as P, signals as G, simulation as S
+from tidemark.plans.attention import _STAGES
 from tidemark.plans.bindings import ATT, AXIS, attention, axis, regime_sequence, table, vectors
 from tidemark.plans.series import _STATES, frame, states
 
@@ -124,3 +125,26 @@ def axis_at_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = j.withColumn("p", F.lag("label").over(Window.partitionBy(F.lit(0)).orderBy("t")))
     at = w.filter("p <> label").agg(F.count("*").alias("switches"), r6(F.avg("x")).alias("mean_at_switches"))
     return at.join(j.agg(r6(F.avg("x")).alias("mean")))
+
+
+_KEPT = _STAGES.replace("att AS (", "att0 AS (", 1).replace("GROUP BY 1, 2, 3)", "GROUP BY 1, 2, 3),\natt AS (SELECT * FROM att0 WHERE category <> 2)", 1)
+
+
+@query(f"""WITH {_KEPT}, o AS (SELECT month, stage, row_number() OVER (PARTITION BY i.keyword, i.i ORDER BY pos) AS k FROM i JOIN st ON i.keyword = st.keyword AND i.i BETWEEN lo AND hi)
+SELECT month, stage, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY month), 6) AS share FROM o WHERE k = 1 GROUP BY month, stage""")
+def kept_stage_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of stages where one axis of the curation is left out (the jackknife's inner step)."""
+    a = attention(spark, sf_dir).filter("category <> 2")
+    n = A.stage_of(a, A.stage_intervals(a, "keyword", "month"), "keyword", "month").filter("stage is not null").groupBy("month", "stage").agg(F.count("*").alias("n"))
+    total = n.groupBy("month").agg(F.sum("n").alias("t"))
+    return n.join(total, "month").select("month", "stage", "n", r6(F.col("n") / F.col("t")).alias("share"))
+
+
+@query(rf"""WITH k(keyword) AS (VALUES {', '.join(f"('{w}')" for w in _HEARD)}), h AS (SELECT keyword, least(turn // 2, 9) AS bin, count(*) AS level FROM conversations, k
+WHERE contains(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', '', 'g'), replace(keyword, ' ', '')) GROUP BY 1, 2), g AS (SELECT keyword, b AS bin FROM (SELECT DISTINCT keyword FROM h), range(10) AS r(b)), f AS (SELECT keyword, bin, coalesce(level, 0) AS level FROM g LEFT JOIN h USING (keyword, bin))
+SELECT keyword, bin::INT AS bin, level::BIGINT AS level, round(avg(level) OVER (PARTITION BY keyword ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS smooth FROM f""")
+def keyword_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heard keywords over the course of the conversations, in bins of two turns, and the centred mean of three."""
+    h = heard_keywords(spark, sf_dir).select("keyword", F.least(F.col("turn"), F.lit(19)).alias("at"), F.lit(1).alias("one"))
+    t = G.binned(h, "keyword", "at", "one", 2, 10)
+    return t.select("keyword", "bin", F.col("level").cast("bigint").alias("level"), r6(F.col("smooth")).alias("smooth"))
