@@ -540,6 +540,29 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert len({r["sequence_id"] for r in out}) == best_fit_decreasing([w[3] for w in want])
 
 
+def test_keys_by_broadcast_or_by_shuffle_give_the_same(spark, docs, monkeypatch):
+    from tidemark.llm import shared
+
+    bench = spark.createDataFrame([(1, "word " * 20), (2, "hot text of a third")], "item_id bigint, text string")
+
+    def results():
+        frames = (simhash.one_of_each(docs), exact_dedup.without_copies(docs), decontaminate.clean(docs, bench), secret_scan.reported(docs))
+        return [Counter(map(tuple, df.collect())) for df in frames]
+
+    few = results()
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
+    assert results() == few
+
+
+def test_copies_in_two_steps(spark):
+    from tidemark.llm import shared
+
+    df = spark.createDataFrame([("a", 1), ("b", 7), ("c", 20)], "k string, n bigint")
+    for together in (1, 3, 7, 4096):
+        got = sorted((r["k"], r["_copy"]) for r in shared.copies(df, "n", together).collect())
+        assert got == [(k, i) for k, n in (("a", 1), ("b", 7), ("c", 20)) for i in range(n)]
+
+
 def test_intermediate_tables_are_removed(spark, docs, tmp_path):
     import os
 
