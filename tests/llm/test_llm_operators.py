@@ -563,22 +563,41 @@ def test_copies_in_two_steps(spark):
         assert got == [(k, i) for k, n in (("a", 1), ("b", 7), ("c", 20)) for i in range(n)]
 
 
-def test_intermediate_tables_are_removed(spark, docs, tmp_path):
+def test_intermediate_tables_are_removed(spark, docs, tmp_path, monkeypatch):
     import os
 
     from tidemark.llm import shared
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        bench = spark.createDataFrame([(1, "word " * 20)], "item_id bigint, text string")
-        with shared.scratch():
-            for df in (simhash.one_of_each(docs), exact_dedup.without_copies(docs), decontaminate.clean(docs, bench), substring_dedup.digested(docs), suffix_dedup.digested(docs)):
-                df.count()
-            assert os.listdir(f"{tmp_path}/tidemark")
-        assert not os.listdir(f"{tmp_path}/tidemark")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    bench = spark.createDataFrame([(1, "word " * 20)], "item_id bigint, text string")
+    with shared.scratch():
+        for df in (simhash.one_of_each(docs), exact_dedup.without_copies(docs), decontaminate.clean(docs, bench), substring_dedup.digested(docs), suffix_dedup.digested(docs)):
+            df.count()
+        left = os.listdir(f"{tmp_path}/tidemark")
+        assert left and all(n.rsplit("-", 1)[0] in ("rejected", "repeated-windows", "spans") for n in left), left
+    assert not os.listdir(f"{tmp_path}/tidemark")
+
+
+def test_a_session_without_a_shared_folder(spark, monkeypatch):
+    """A single process gets a folder of its own, the same each time; the session's settings stay as they are."""
+    from types import SimpleNamespace
+
+    from tidemark.llm import shared
+
+    class Unset:
+        def isDefined(self):
+            return False
+
+    def session(master):
+        scala = SimpleNamespace(getCheckpointDir=lambda: Unset())
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}", _jsc=SimpleNamespace(sc=lambda: scala))
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+
+    first = shared.shared_dir(session("local[4]"))
+    assert first == shared.shared_dir(session("local[4]"))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            shared.shared_dir(session(master))
 
 
 def test_pipeline_keeps_what_it_should(spark, tmp_path):

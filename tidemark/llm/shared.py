@@ -31,19 +31,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(2 * cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
+#: The folder of a single process that names none, by application.
+_own_dir: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. One of our own only in a single process whose session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            at = current.get()
-        elif spark.sparkContext.master.split("[")[0] == "local":
-            at = tempfile.mkdtemp(prefix="tidemark-")
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if at:
+        return at
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if context.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own_dir:
+        _own_dir[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+    return _own_dir[context.applicationId]
 
 
 _scopes: list[list[DataFrame]] = []
