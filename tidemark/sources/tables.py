@@ -13,14 +13,20 @@ NESTED_LIST = "data array<struct<target: struct<title: string, url: string>>>"
 HOURLY = "version string, timestamp string, counts map<string,int>, headlines_embedded array<struct<title: string, platform: string, e: array<float>>>, top_per_platform map<string,array<struct<rank:int,title:string,hot_score:bigint>>>"
 
 
+#: The folder of a single process that names none, by application.
+_own_dir: dict[str, str] = {}
+
+
 def working_dir(spark: SparkSession) -> str:
     """A folder that all executors share: spark.checkpoint.dir; one of our own only in a single process that names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if spark.sparkContext.master.split("[")[0] != "local":
+        context = spark.sparkContext
+        if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if context.applicationId not in _own_dir:
+            _own_dir[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+        at = _own_dir[context.applicationId]
     return at.rstrip("/")
 
 
