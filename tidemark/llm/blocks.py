@@ -68,7 +68,12 @@ _WS[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of [^\x00-\x2F\x3A-\x60\x7B-\x7F]: digits, a-z and whatever is not ASCII.
 _ALNUM_GAP = np.ones(256, bool)
 _ALNUM_GAP[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
-SEPARATORS = {"space": _WS, "alnum": _ALNUM_GAP}
+#: What ends a phrase: marks and line ends.
+PHRASE_END = np.zeros(256, bool)
+PHRASE_END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
+_PHRASE_GAP = PHRASE_END.copy()
+_PHRASE_GAP[[0x20, 0x09]] = True
+SEPARATORS = {"space": _WS, "alnum": _ALNUM_GAP, "phrase": _PHRASE_GAP}
 
 
 def word_spans(buf: np.ndarray, kind: str = "space") -> tuple[np.ndarray, np.ndarray]:

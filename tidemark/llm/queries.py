@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, packing, pii, secret_scan, sharding, simhash, substring_dedup, suffix_dedup, toxicity
+from . import alignment, collocations, decontaminate, exact_dedup, license_rules, license_scan, packing, pii, secret_scan, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from .shared import documents
 
 
@@ -49,10 +49,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(documents(spark, sf_dir))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.reported(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_sharding, op3_substring_dedup, op4_toxicity, op5_pii, op6_suffix_dedup, op7_exact_dedup, op8_decontamination, op9_simhash, op10_packing)
-}
+    for f in (
+        op1_secret_scan, op2_sharding, op3_substring_dedup, op4_toxicity, op5_pii, op6_suffix_dedup, op7_exact_dedup, op8_decontamination, op9_simhash, op10_packing,
+        op11_collocations, op12_alignment, op13_license_scan,
+    )
+}
 
 def _secrets_sql() -> str:
     """The rules in SQL: a match's place is what splitting leaves before it plus the matches before it."""
@@ -114,7 +129,52 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in pii.
 FROM d LEFT JOIN x USING (doc_id)"""
 
 
+def _licenses_sql() -> str:
+    """Signatures over words laid out with a space of their own on either side; places are counted in words."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rules = ", ".join(f"({i}, {quoted(r.label)}, {r.priority}, {r.weight}, {quoted(r.keyword)}, {quoted(r.pattern)}, {str(r.base).lower()})" for i, r in enumerate(license_rules.RULES))
+    n = lambda x: f"(length({x}) - length(replace({x}, ' ', ''))) // 2"
+    return f"""WITH r(rule, label, priority, weight, keyword, pattern, base) AS (VALUES {rules}),
+d AS (SELECT doc_id, row_number() OVER () AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT id, rule, label, priority, weight, base, pattern, ' ' || array_to_string(w, '  ') || ' ' AS t FROM d JOIN r ON list_contains(w, keyword)),
+m AS (SELECT * EXCLUDE (t, pattern), regexp_extract_all(t, pattern, 0) AS m, regexp_split_to_array(t, pattern) AS g FROM p),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m),
+f AS (SELECT id, rule, label, priority, weight, base, a, a + {n("m[i]")} AS b
+      FROM (SELECT *, list_sum(list_transform(g[1:i], lambda x: {n("x")}))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: {n("x")})), 0)::BIGINT AS a FROM i)),
+s AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f AS o WHERE o.id = f.id AND o.a <= f.a AND o.b >= f.b AND o.priority <= f.priority
+      AND (o.a < f.a OR o.b > f.b OR o.priority < f.priority OR o.rule < f.rule))),
+x AS (SELECT id, count(*) FILTER (base) AS n, min(a) FILTER (base) AS lo, max(a) FILTER (base) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS names FROM f GROUP BY id),
+y AS (SELECT id, max(weight) AS score FROM s GROUP BY id),
+z AS (SELECT id, string_agg(DISTINCT label, ',' ORDER BY label) AS names FROM (SELECT id, label FROM s UNION ALL SELECT id, label FROM f WHERE base) GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo AS first_word, hi AS last_word, coalesce(x.names, '') AS base_labels, coalesce(z.names, '') AS labels,
+       coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN x USING (id) LEFT JOIN y USING (id) LEFT JOIN z USING (id)"""
+
+
+def _collocations_sql() -> str:
+    """Windows of each piece counted; a candidate's cuts and the longer candidates it stands in by joins on its parts."""
+    t = collocations
+    windows = " UNION ALL ".join(
+        f"SELECT lang, {n} AS n, array_to_string(w[i : i + {n - 1}], ' ') AS p FROM (SELECT lang, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM w WHERE len(w) >= {n})" for n in range(1, t.LONGEST + 1)
+    )
+    inner = " UNION ALL ".join(
+        f"SELECT lang, a, array_to_string(w[{i} : {i + k - 1}], ' ') AS p FROM c WHERE n = {n}" for n in range(3, t.LONGEST + 1) for k in range(2, n) for i in range(1, n - k + 2)
+    )
+    return f"""WITH d AS (SELECT coalesce(lang, '{t.NO_LANGUAGE}') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS s FROM documents),
+w AS (SELECT lang, regexp_extract_all(s, '[^\\x20\\x09]+') AS w FROM d),
+f AS (SELECT lang, n, p, count(*) AS a FROM ({windows}) GROUP BY lang, n, p HAVING count(*) >= {t.LEAST}),
+c AS (SELECT *, string_split(p, ' ') AS w FROM f WHERE n > 1),
+k AS (SELECT lang, p, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:n], ' ') AS y FROM (SELECT *, unnest(range(1, n)) AS k FROM c)),
+s AS (SELECT k.lang, k.p, k.a, k.k, x.a AS l, y.a AS r, (k.a::HUGEINT * {t.UNIT} // (x.a::HUGEINT + y.a))::BIGINT AS score
+      FROM k JOIN f AS x ON x.lang = k.lang AND x.p = k.x JOIN f AS y ON y.lang = k.lang AND y.p = k.y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+o AS (SELECT lang, p, max(a) AS most FROM ({inner}) GROUP BY lang, p),
+r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.p) AS rank FROM b LEFT JOIN o USING (lang, p) WHERE most IS NULL OR 100 * most::HUGEINT < {t.COVER} * b.a::HUGEINT)
+SELECT r.lang, rank::BIGINT AS rank, p AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, t.n::BIGINT AS n, score FROM r JOIN (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang) AS t ON t.lang = r.lang WHERE rank <= {t.TOP}"""
+
+
 ORACLE_SQL = {
+    "op11_collocations": _collocations_sql(),
+    "op13_license_scan": _licenses_sql(),
     "op1_secret_scan": _secrets_sql(),
     "op5_pii": _pii_sql(),
     "op6_suffix_dedup": """
