@@ -62,8 +62,8 @@ cc-by-4.0 | cc | cc by( version)? 4 0(?: international)? | cc by 4 0 | creativec
 cc-by-3.0 | cc | cc by( version)? 3 0(?: unported)? | cc by 3 0 | creativecommons org licenses by 3 0
 cc-by-2.5 | cc | cc by( version)? 2 5 | cc by 2 5 | creativecommons org licenses by 2 5
 cc-attribution | attribution | creative commons attribution( [1234] [05])?( international| unported| generic)?( public)?( license| licence)? | cc by 1 0 | creativecommons org licenses by
-cc-attribution-sa | sharealike | creative commons attribution (sharealike|share alike)( [1234] [05])?( international| unported)?( license| licence)? | cc by sa 1 0 | creativecommons org licenses by sa
-cc-attribution-nc | noncommercial | creative commons attribution (noncommercial|non commercial)( sharealike| share alike| noderivatives| no derivatives| noderivs)?( [1234] [05])?( international)?( license| licence)? | cc by nc 1 0 | creativecommons org licenses by nc
+cc-attribution-sa | attribution | creative commons attribution (sharealike|share alike)( [1234] [05])?( international| unported)?( license| licence)? | cc by sa 1 0 | creativecommons org licenses by sa
+cc-attribution-nc | attribution | creative commons attribution (noncommercial|non commercial)( sharealike| share alike| noderivatives| no derivatives| noderivs)?( [1234] [05])?( international)?( license| licence)? | cc by nc 1 0 | creativecommons org licenses by nc
 odbl | odbl | odbl( v)?( 1 0)? | odbl 1 0 | opendatacommons org licenses odbl
 odc-by | odc | odc by( 1 0)? | odc by 1 0 | opendatacommons org licenses by
 pddl | pddl | pddl( 1 0)? | pddl 1 0 | opendatacommons org licenses pddl
@@ -83,7 +83,7 @@ json | json | json license | json | json org license
 beerware | beerware | beerware( license)? | beerware | people freebsd org phk
 afl-3.0 | academic | academic free license( version| v)?( [123] [012])? | afl 3 0 | opensource org licenses afl 3 0
 osl-3.0 | open | open software license( version| v)?( [123] [01])? | osl 3 0 | opensource org licenses osl 3 0
-qpl-1.0 | qpl | qpl( 1 0)? license|q public license( version)?( 1 0)? | qpl 1 0 | opensource org licenses qpl
+qpl-1.0 | qpl | qpl( 1 0)? license | qpl 1 0 | opensource org licenses qpl
 cecill | cecill | cecill( free software)?( license)?( agreement)?( [12] [01])? | cecill 2 1 | cecill info licences
 ms-pl | microsoft | microsoft public license | ms pl | opensource org licenses ms pl
 ms-rl | microsoft | microsoft reciprocal license | ms rl | opensource org licenses ms rl
@@ -125,9 +125,11 @@ cc-attribution | 2 | 0.8 | creative | licensed under( a| the)? creative commons
 public-domain | 2 | 0.8 | domain | (dedicated|released|placed)( \S+)? (to|into|in) the public domain |
 proprietary | 2 | 0.7 | confidential | (confidential and proprietary|proprietary and confidential) |
 proprietary | 2 | 0.7 | unauthorized | unauthorized (copying|use|reproduction|distribution)( \S+){0,8} is strictly prohibited |
-proprietary | 2 | 0.6 | prior | without( the)?( express)?( prior)? written (permission|consent) of |
+proprietary | 2 | 0.6 | written | without( the)?( express)?( prior)? written (permission|consent) of |
 no-redistribution | 2 | 0.6 | redistributed | may not be (published broadcast rewritten or )?redistributed |
-gpl | 3 | 0.6 | gpl | (gnu )?(gpl|gplv2|gplv3)( license| licence)? |
+gpl-2.0 | 3 | 0.6 | gplv2 | (gnu )?gplv2( license| licence)? |
+gpl-3.0 | 3 | 0.6 | gplv3 | (gnu )?gplv3( license| licence)? |
+gpl | 3 | 0.6 | gpl | (gnu )?gpl( license| licence)? |
 gpl | 3 | 0.6 | general | general public license | base
 cc-by | 3 | 0.6 | cc | cc by | base
 copyright | 4 | 0.4 | copyright | copyright( c)? (19|20)\d\d( (19|20)\d\d)? |
