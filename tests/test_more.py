@@ -65,10 +65,6 @@ def test_catalogue(spark):
     assert t == {"a": ["peak", "fixation"], "b": ["origin", "fixation"]}
     m = spark.createDataFrame([("a", [("2020-11",)], [("remix era", "2019-01"), ("calm", "2018-01")])], "name string, mutations array<struct<month:string>>, phases array<struct<phase:string,month:string>>")
     assert sorted(r["month"] for r in C.mutation_months(m, ["remix"], 2).collect()) == ["2019-01", "2020-11", "2020-12", "2021-01"]
-    c = spark.createDataFrame([("k", i, v) for i, v in enumerate([0.0, 0.01, 1.0, 0.5, 0.0])], "k string, t int, v double")
-    assert tuple(C.phase_shares(c, "k", "t", "v").first())[1:] == (0.4, 0.4, 0.2)
-    names = spark.createDataFrame([("03_「hello」x",), ("12-cat_dog",)], "f string").select(C.name_of_folder(F.col("f")).alias("n")).collect()
-    assert [r["n"] for r in names] == ["hello", "cat"]
     s = spark.createDataFrame([("a", 1, 1.0), ("a", 3, 0.0)], "k string, rank int, x double")
     assert C.rank_weighted(s, "k", F.col("x")).first()["level"] == pytest.approx(0.75)
     p = spark.range(1).select(C.priority(F.lit(None).cast("array<double>"), F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.4))).alias("p")).first()["p"]

@@ -81,12 +81,8 @@ def test_dates_most_specific_first(spark, text, first, n):
 
 
 def test_rules(spark):
-    assert value(spark, rules.institutional_year(F.col("t")), t="in 2019 the official account joined") == 2019 and value(spark, rules.institutional_year(F.col("t")), t="nothing") is None
-    arc = rules.sentiment_arc(F.array(F.lit(0.1), F.lit(0.9), F.lit(0.2)))
-    assert value(spark, arc) == "peak" and value(spark, rules.sentiment_entropy(F.array(F.lit(0.1), F.lit(1.0)))) == pytest.approx(0.693147 / 1.609438, abs=1e-5)
-    assert value(spark, rules.diagnosis(F.lit(0.7), F.lit(0.2), F.lit(0.5))) == "metastable" and value(spark, rules.risks(F.lit(0.7), F.lit(0.2), F.lit(0.1))) == "high inertia; low resilience"
-    c = value(spark, rules.moved(F.array(*(F.lit(0.5) for _ in range(5))), F.lit("origin"), F.lit("emergence")))
-    assert c == pytest.approx([0.55, 0.45, 0.6, 0.52, 0.53])
+    assert value(spark, rules.sentiment_entropy(F.array(F.lit(0.1), F.lit(1.0)))) == pytest.approx(0.693147 / 1.609438, abs=1e-5)
+    assert value(spark, rules.diagnosis(F.lit(0.7), F.lit(0.2), F.lit(0.5))) == "metastable"
     w = {"a": {"x": 1.0, "y": -1.0}}
     m = F.create_map(F.lit("x"), F.lit(1.0), F.lit("y"), F.lit(0.2))
     assert value(spark, rules.constraint_of(m, w)) == pytest.approx([0.66]) and value(spark, rules.active_concepts(m)) == ["x"]
@@ -95,10 +91,10 @@ def test_rules(spark):
 
 def test_validators(spark):
     d = spark.createDataFrame([("m", 0, [0.1] * 3, "origin", 3.0), ("m", 1, [0.5, 0.3, 0.1], "peak", 0.5), ("m", 2, [0.5, 0.3, 0.1], "emergence", 2.5)], "k string, t int, c array<double>, phase string, r double")
-    assert sorted((r["t"], r["problem"]) for r in V.step_violations(d, "k", "t", "c").collect()) == [(1, "co-rise"), (1, "dimension")]
+    assert sorted((r["t"], r["problem"]) for r in V.step_violations(d, "k", "t", "c").collect()) == [(1, "dimension")]
     phases = ("origin", "emergence", "peak", "controversy", "fixation")
     assert [(r["t"], r["problem"]) for r in V.phase_violations(d, "k", "t", "phase", phases).collect()] == [(2, "warning")]
-    assert [(r["t"], r["problem"]) for r in V.dynamics_violations(d, "k", "t", "r", "phase").collect()] == [(2, "jump")]
+    assert [(r["t"], r["problem"]) for r in V.dynamics_violations(d.withColumn("z", F.lit(-0.5)), "k", "t", "r", "phase", "z").collect()] == [(1, "peak"), (2, "jump")]
 
 
 def test_concentration_in_one_pass(spark):

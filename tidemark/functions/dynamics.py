@@ -199,10 +199,6 @@ def swept(base: Crowd, field: str, values: list[float]) -> list[Crowd]:
 # one agent
 
 
-#: Four presets of an agent's leaning, openness, noise and memory.
-PRESETS = {"observer": (0.0, 0.2, 0.05, 0.9), "booster": (0.6, 0.7, 0.10, 0.7), "contrarian": (-0.5, 0.4, 0.20, 0.6), "follower": (0.1, 0.9, 0.05, 0.5)}
-
-
 def individual(params: np.ndarray, events: np.ndarray, seed: int = 42) -> np.ndarray:
     """A path of leaning under events: memory keeps it, openness takes the event in, noise is seeded."""
     lean, openness, noise, memory = params

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.functions.columns import clip, entropy_term, has_any, sigmoid
+from tidemark.functions.columns import clip, entropy_term, has_any, let, sigmoid
 
 
 def total_infected(circles: Column, peak: Column, months: Column) -> Column:
@@ -50,32 +50,86 @@ def sentiment_entropy(values: Column, bins: int = 5) -> Column:
 
 
 def sentiment_arc(values: Column) -> Column:
-    """Shape of an intensity array: flat, rising, falling, peak, valley or oscillating."""
+    """Shape of an intensity array: halves' means, the middle value and the steps' signs decide, in this order."""
     n = F.size(values)
-    first, last = F.element_at(values, 1), F.element_at(values, -1)
-    top, low = F.array_max(values), F.array_min(values)
-    steps = F.zip_with(F.slice(values, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(values, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda a, b: F.signum(a - b))
-    turns = F.aggregate(F.zip_with(F.slice(steps, F.lit(2), F.greatest(n - 2, F.lit(0))), F.slice(steps, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda a, b: F.when(a * b < 0, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return (
-        F.when(n < 2, "flat").when(top - low < 0.1, "flat").when(turns == 0, F.when(last > first, "rising").otherwise("falling"))
-        .when((turns == 1) & (top > F.greatest(first, last)), "peak").when(turns == 1, "valley").otherwise("oscillating")
-    )
-
-
-#: Base deltas of the five constraint axes for phase moves.
+    some = lambda lo, m: F.slice(values, lo, m)
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    half = F.floor(n / 2).cast("int")
+    # nine digits: sums of tenths differ in the last bits, and the bounds are sharp
+    nine = lambda x: F.round(x, 9)
+    first, second = mean(some(F.lit(1), half)), mean(some(half + 1, n - half))
+    middle = F.when(n >= 3, F.try_element_at(values, half + 1)).otherwise(F.try_element_at(values, F.lit(1)))
+    steps = F.zip_with(some(F.lit(2), F.greatest(n - 1, F.lit(0))), some(F.lit(1), F.greatest(n - 1, F.lit(0))), lambda a, b: nine(a - b))
+    m = F.greatest(n - 2, F.lit(0))
+
+    def named(first: Column, second: Column, steps: Column) -> Column:
+        signs = F.transform(steps, lambda d: F.signum(d))
+        turns = F.aggregate(F.zip_with(F.slice(signs, F.lit(2), m), F.slice(signs, F.lit(1), m), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / 2
+        rise, bulge = nine(second - first), nine(middle - (first + second) / 2)
+        return (
+            F.when(turns >= 2, "oscillating").when((F.abs(rise) < 0.03) & (F.abs(bulge) < 0.03), "stable")
+            .when(F.forall(steps, lambda d: d >= -0.01), "monotonic_up").when(F.forall(steps, lambda d: d <= 0.01), "monotonic_down")
+            .when(bulge > 0.05, F.when(rise < 0, "inverted_U").otherwise("rise_fall")).when(bulge < -0.05, F.when(rise > 0, "U_shape").otherwise("fall_rise"))
+            .when(rise < 0, "rise_fall").otherwise("fall_rise")
+        )
+
+    return F.when(n < 2, "stable").otherwise(let(first, lambda a: let(second, lambda b: let(steps, lambda d: named(a, b, d)))))
+
+
+#: Base deltas of the five constraint axes (identity, humour, conflict, novelty, access) for phase moves.
 PHASE_DELTA = {
-    ("origin", "emergence"): (0.05, -0.05, 0.10, 0.02, 0.03),
-    ("emergence", "peak"): (0.10, -0.10, 0.15, 0.05, 0.05),
-    ("peak", "controversy"): (0.15, 0.05, -0.05, 0.10, 0.05),
-    ("controversy", "fixation"): (-0.05, 0.15, -0.10, -0.05, 0.10),
+    ("origin", "emergence"): (0.1, 0.0, 0.05, 0.15, 0.1),
+    ("emergence", "peak"): (0.2, 0.1, 0.1, -0.05, 0.2),
+    ("peak", "controversy"): (-0.15, -0.1, 0.3, -0.1, -0.2),
+    ("controversy", "fixation"): (0.05, 0.1, -0.2, -0.1, 0.05),
+    ("peak", "fixation"): (0.1, 0.05, -0.1, -0.1, 0.1),
+    ("emergence", "fixation"): (0.05, 0.0, -0.05, -0.1, 0.0),
 }
+#: Economic stress, polarisation and censorship: where they are neutral, where they stand by default, and what they add to each axis.
+SOCIAL = {"economic": (0.5, 0.5, (0.1, 0.0, 0.15, 0.0, -0.1)), "polarization": (0.5, 0.5, (0.05, 0.0, 0.2, 0.0, 0.0)), "censorship": (0.3, 0.2, (0.0, 0.0, -0.15, 0.0, 0.1))}
+#: Beyond these ends a move further out counts .3; no delta passes .4.
+ENDS, DAMPED, LARGEST_DELTA = (0.2, 0.8), 0.3, 0.4
 
 
-def moved(constraint: Column, src: Column, dst: Column) -> Column:
-    """Constraint after a phase move: the move's delta, damped near the ends, clipped to [0, 1]. Unknown moves change nothing."""
+def phase_delta(constraint: Column, src: Column, dst: Column, **social: Column) -> Column:
+    """What a phase move adds to the constraint axes: the move's base (unknown moves have none) and the social terms, damped near the ends, bounded.
+
+    social: economic, polarization, censorship; those not given stand at their default.
+    """
     table = F.create_map(*(x for (a, b), d in PHASE_DELTA.items() for x in (F.lit(f"{a}>{b}"), F.array(*map(F.lit, d)))))
-    delta = F.coalesce(F.try_element_at(table, F.concat_ws(">", src, dst)), F.array(*(F.lit(0.0) for _ in range(5))))
-    return F.zip_with(constraint, delta, lambda c, d: clip(c + d * (1 - F.abs(2 * c - 1) * 0.5), 0.0, 1.0))
+    base = F.coalesce(F.try_element_at(table, F.concat_ws(">", src, dst)), F.array(*(F.lit(0.0) for _ in range(5))))
+    terms = [sum((w[i] * (social.get(k, F.lit(default)) - neutral) for k, (neutral, default, w) in SOCIAL.items()), F.lit(0.0)) for i in range(5)]
+    outward = lambda c, d: ((c > ENDS[1]) & (d > 0)) | ((c < ENDS[0]) & (d < 0))
+    # nine digits: a base that its social terms cancel is no move
+    whole = F.transform(F.zip_with(base, F.array(*terms), lambda a, b: a + b), lambda d: F.round(d, 9))
+    return F.zip_with(constraint, whole, lambda c, d: clip(F.when(outward(c, d), d * DAMPED).otherwise(d), -LARGEST_DELTA, LARGEST_DELTA))
+
+
+def moved(constraint: Column, src: Column, dst: Column, **social: Column) -> Column:
+    """Constraint after a phase move, in [0, 1]."""
+    return F.zip_with(constraint, phase_delta(constraint, src, dst, **social), lambda c, d: clip(c + d, 0.0, 1.0))
+
+
+#: What concepts weigh on each constraint axis.
+CONSTRAINT_WEIGHTS = {
+    "identity": {
+        "identity_belonging": 0.4, "youth_dominant": 0.15, "white_collar": 0.1, "student": 0.1, "official_release": -0.2, "grassroots": 0.2, "hope": 0.15,
+        "mainstream_media": 0.1, "KOL_amplification": 0.15,
+    },
+    "humor": {"humor_laugh": 0.5, "irony": 0.3, "parody": 0.25, "remix": 0.15, "anger": -0.2, "nihilism": -0.1, "semantic_drift": 0.1, "cross_platform": 0.1},
+    "conflict": {
+        "class_conflict": 0.35, "gender_conflict": 0.3, "political_conflict": 0.3, "generation_conflict": 0.25, "value_conflict": 0.25, "anger": 0.2, "backlash": 0.2,
+        "algorithm_push": -0.1, "identity_belonging": -0.15,
+    },
+    "novelty": {
+        "parody": 0.3, "remix": 0.3, "semantic_drift": 0.25, "irony": 0.2, "accident_trigger": 0.2, "grassroots": 0.2, "official_release": -0.15, "cross_platform": 0.15,
+        "KOL_amplification": 0.1,
+    },
+    "access": {
+        "humor_laugh": 0.3, "remix": 0.25, "youth_dominant": 0.2, "algorithm_push": 0.25, "cross_platform": 0.2, "brand_hijack": 0.15, "political_conflict": -0.3,
+        "class_conflict": -0.1, "elite": -0.15,
+    },
+}
 
 
 def constraint_of(scores: Column, weights: dict[str, dict[str, float]]) -> Column:
@@ -88,12 +142,12 @@ def constraint_of(scores: Column, weights: dict[str, dict[str, float]]) -> Colum
     return F.array(*axes)
 
 
-def squashed(scores: Column, weights: dict[str, dict[str, float]]) -> Column:
-    """The other mapping: weighted sums clipped, then through a logistic curve into [.05, .95]."""
+def squashed(scores: Column, weights: dict[str, dict[str, float]] = CONSTRAINT_WEIGHTS) -> Column:
+    """The other mapping: .5 and the weighted sum, cut to [0, 1], through a logistic curve of slope 6 about .5, into [.05, .95]."""
     axes = []
     for w in weights.values():
         s = sum((F.coalesce(F.try_element_at(scores, F.lit(k)), F.lit(0.0)) * v for k, v in w.items()), F.lit(0.0))
-        axes.append(0.05 + 0.9 * sigmoid(clip(s, -3.0, 3.0)))
+        axes.append(0.05 + 0.9 * sigmoid(6.0 * (clip(s + 0.5, 0.0, 1.0) - 0.5)))
     return F.array(*axes)
 
 
@@ -120,9 +174,11 @@ def diagnosis(inertia: Column, resilience: Column, sensitivity: Column) -> Colum
     return F.when((inertia > 0.6) & (resilience < 0.3) & (sensitivity > 0.4), "metastable").when((inertia > 0.5) & (resilience < 0.5), "rigid").otherwise("balanced")
 
 
-def risks(inertia: Column, resilience: Column, sensitivity: Column) -> Column:
-    notes = F.array(F.when(inertia > 0.65, "high inertia"), F.when(resilience < 0.3, "low resilience"), F.when(sensitivity > 0.6, "high sensitivity"))
-    return F.array_join(F.array_compact(notes), "; ")
+def risks(inertia: Column, sensitivity: Column, regime: Column | None = None, dwell: Column | None = None) -> Column:
+    """Warnings: inertia over .65, sensitivity over .60, and more than 24 months in a row in regime 2; ``none`` without any."""
+    long = F.when((regime == 2) & (dwell > 24), F.concat(F.lit("dwell of "), dwell.cast("string"), F.lit(" months"))) if regime is not None and dwell is not None else F.lit(None).cast("string")
+    notes = F.array_compact(F.array(F.when(inertia > 0.65, "high inertia"), F.when(sensitivity > 0.60, "high sensitivity"), long))
+    return F.when(F.size(notes) > 0, F.array_join(notes, "; ")).otherwise("none")
 
 
 def out_of_domain(inertia: Column, resilience: Column, sensitivity: Column) -> Column:
@@ -173,20 +229,32 @@ def three_way(x: Column, high: float, mid: float, names: tuple[str, str, str] =
     return F.when(x > high, names[0]).when(x > mid, names[1]).otherwise(names[2])
 
 
-#: Markers of a mutation phase and of institutions' use.
-MUTATION_MARKERS = ["变异", "二创", "mutation", "remix"]
-INSTITUTION_WORDS = ["官方", "政府", "央视", "品牌", "政策", "official", "government", "brand", "policy"]
+#: The mark of a mutation phase, and the words that tell institutions' use.
+MUTATION_MARKERS = ["变异"]
+INSTITUTION_WORDS = [
+    "人民日报", "新华社", "央视", "CCTV", "光明日报", "中国青年报",
+    "环球时报", "官方", "国务院", "教育部", "广电", "网信办",
+    "政府", "两会", "人大代表", "政协委员", "政法委", "最高法",
+    "新闻联播", "焦点访谈", "中央", "国家", "部委", "党委",
+    "中国新闻周刊", "澎湃新闻", "新京报", "南方周末",
+]
+
+
+def institutional(*texts: Column) -> Column:
+    """Whether one of the texts (triggers, backlash, political sensitivity, summary, hint) names an institution; no text names none."""
+    return F.coalesce(has_any(F.concat_ws(" ", *texts), INSTITUTION_WORDS), F.lit(False))
 
 
-def institutional(text: Column) -> Column:
-    return has_any(text, INSTITUTION_WORDS)
+def institutional_month(*texts: Column) -> Column:
+    """January of the first year (four digits and 年) that stands from 50 characters before to 100 after an institution's first mention, by the words' order."""
+    whole = F.concat_ws(" ", *texts)
 
+    def near(word: str) -> Column:
+        at = F.locate(word, whole)
+        window = F.substring(whole, F.greatest(at - 50, F.lit(1)), F.least(at - 1, F.lit(50)) + 100)
+        return F.when(at > 0, F.nullif(F.regexp_extract(window, r"([0-9]{4})\s*年", 1), F.lit("")))
 
-def institutional_year(text: Column) -> Column:
-    """The first year from 50 characters before to 100 after the first institution word present."""
-    at = F.coalesce(*(F.when(F.locate(w, text) > 0, F.locate(w, text)) for w in INSTITUTION_WORDS))
-    near = F.substring(text, F.greatest(at - 50, F.lit(1)), F.lit(150))
-    return F.when(at.isNotNull(), F.nullif(F.regexp_extract(near, r"((?:19|20)[0-9]{2})", 1), F.lit("")).cast("int"))
+    return F.concat(F.coalesce(*map(near, INSTITUTION_WORDS)), F.lit("-01"))
 
 
 def year_months(text: Column) -> Column:
@@ -222,27 +290,29 @@ def months_between(a: Column, b: Column) -> Column:
     return F.transform(days, lambda d: F.date_format(d, "yyyy-MM"))
 
 
+#: Words of what sets a narrative off, by the level that they tell; the first level that has one counts, else the default.
+SOCIAL_WORDS = {
+    "economic": ((0.8, ["失业", "就业", "房价", "经济", "收入", "生存"]), (0.6, ["消费", "压力", "焦虑", "内卷"])),
+    "polarization": ((0.8, ["争议", "批判", "对立", "骂战", "反弹"]), (0.6, ["阶层", "差异", "不同群体"])),
+    "censorship": ((0.5, ["审查", "敏感", "官方", "政策", "收编"]),),
+}
+
+
 def social_context(text: Column) -> Column:
-    """(collective stress, media, tech) scores by keyword classes."""
-    pick = lambda words, hit, miss: F.when(has_any(text, words), hit).otherwise(miss)
-    return F.struct(pick(["压力", "焦虑", "stress"], 0.7, 0.4).alias("stress"), pick(["媒体", "短视频", "media"], 0.8, 0.5).alias("media"), pick(["算法", "平台", "algorithm"], 0.8, 0.5).alias("tech"))
+    """(economic, polarization, censorship) levels by words; the defaults where the text has none of them or is null."""
+    level = lambda k: F.coalesce(*(F.when(has_any(text, words), F.lit(x)) for x, words in SOCIAL_WORDS[k]), F.lit(SOCIAL[k][1])).alias(k)
+    return F.struct(*map(level, SOCIAL_WORDS))
 
 
-def coarse_tag(tag: Column) -> Column:
-    """Part-of-speech tag to a coarse class."""
-    return F.when(tag.startswith("n"), "noun").when(tag.startswith("v"), "verb").when(tag.startswith("a"), "adjective").when(tag.startswith("d"), "adverb").when(tag.startswith("r"), "pronoun").otherwise("other")
+#: Tags of particles; the classes that a tag's first letter tells.
+PARTICLES = ("p", "uj", "ul", "uv", "ud", "ug", "uz")
+TAG_CLASSES = {"n": "nominal", "v": "verbal", "a": "adjectival", "d": "adverbial"}
 
 
-def calibrated_votes(order: Column, consistency: Column, troll: Column, contradiction: Column, early: Column, resist: Column, own: Column) -> Column:
-    """Weighted mean of the votes that apply (the direct calibration's axis value), in [-1, 1]."""
-    votes = F.array(
-        F.struct(own.alias("v"), F.lit(3.0).alias("w")), F.struct((order * 1.2 - 0.1).alias("v"), F.lit(1.5).alias("w")), F.struct((consistency * 0.8 - 0.1).alias("v"), F.lit(1.0).alias("w")),
-        F.struct(F.when(troll > 0.15, -2 * troll).alias("v"), F.lit(1.5).alias("w")), F.struct((contradiction * -1.5).alias("v"), F.lit(1.0).alias("w")),
-        F.struct(F.when(early > 0.5, F.lit(0.4)).alias("v"), F.lit(1.0).alias("w")), F.struct(F.when(resist > 0.3, F.lit(-0.3)).alias("v"), F.lit(1.0).alias("w")),
-    )
-    ok = F.filter(votes, lambda x: x["v"].isNotNull())
-    add = lambda f: F.aggregate(ok, F.lit(0.0), lambda a, x: a + f(x))
-    return clip(add(lambda x: x["v"] * x["w"]) / add(lambda x: x["w"]), -1.0, 1.0)
+def coarse_tag(tag: Column) -> Column:
+    """Part-of-speech tag to a coarse class."""
+    by_letter = [F.when(tag.startswith(k), v) for k, v in TAG_CLASSES.items()]
+    return F.coalesce(*by_letter, F.when(tag == "c", "connective"), F.when(tag.isin(*PARTICLES), "particle"), F.when(tag.startswith("m"), "numeral"), F.lit("other"))
 
 
 def overall_verdict(split: Column, modulated: Column, drift: Column) -> tuple[Column, Column]:

@@ -93,54 +93,10 @@ def stage_of(att: DataFrame, stages: DataFrame, key: str, order: str) -> DataFra
 def anomalies(att: DataFrame, key: str, order: str, value: str = "value", recent: int = 3, least: int = 12, z: float = 2.0) -> DataFrame:
     """(key, recent, mean, sd, z) of keys whose last rows lie more than z population sd above the earlier ones."""
     w = Window.partitionBy(key)
-    df = att.withColumn("k", F.row_number().over(w.orderBy(F.desc(order)))).withColumn("n", F.count("*").over(w)).filter(F.col("n") >= least)
-    old = F.when(F.col("k") > recent, F.col(value))
-    got = df.groupBy(key).agg(F.avg(F.when(F.col("k") <= recent, F.col(value))).alias("recent"), F.avg(old).alias("mean"), F.stddev_pop(old).alias("sd"))
-    return got.filter("sd > 0").withColumn("z", (F.col("recent") - F.col("mean")) / F.col("sd")).filter(F.col("z") > z)
-
-
-def curve_shape(att: DataFrame, key: str, order: str, value: str = "value") -> DataFrame:
-    """(key, shape): persistent, pulse, rebound, fading or long tail, by ordered rules."""
-    w = Window.partitionBy(key)
-    df = att.withColumn("i", F.row_number().over(w.orderBy(order))).withColumn("n", F.count("*").over(w)).withColumn("peak", F.max(value).over(w))
-    df = df.withColumn("ip", F.min(F.when(F.col(value) == F.col("peak"), F.col("i"))).over(w))
-    got = df.groupBy(key).agg(
-        F.max("peak").alias("peak"), F.max("n").alias("n"), F.avg(F.when(F.col("i") > F.col("n") - 12, F.col(value))).alias("recent12"),
-        F.count_if(F.col(value) > 0.15 * F.col("peak")).alias("active"), F.coalesce(F.max(F.when(F.col("i") > F.col("ip"), F.col(value))), F.lit(0.0)).alias("after"),
-    )
-    shape = (
-        F.when((F.col("recent12") > 0.4 * F.col("peak")) & (F.col("n") > 24), "persistent")
-        .when((F.col("peak") > 50) & (F.col("active") < 6), "pulse")
-        .when(F.col("after") > 0.3 * F.col("peak"), "rebound")
-        .when(F.col("recent12") < 0.15 * F.col("peak"), "fading")
-        .otherwise("long tail")
-    )
-    return got.select(key, "peak", "recent12", "active", shape.alias("shape"))
-
-
-def stitched(parts: DataFrame, window: str, day: str, value: str, least: int = 5) -> DataFrame:
-    """Overlapping windows put on one scale: (day, value).
-
-    Each window is scaled by the ratio of overlap means with the one before (1 where fewer than ``least``
-    common days or no level); factors multiply along the windows, and the earliest window gives a day's value.
-    """
-    prev = parts.select((F.col(window) + 1).alias(window), day, F.col(value).alias("_before"))
-    overlap = parts.join(prev, [window, day]).groupBy(window).agg(F.count("*").alias("c"), F.avg("_before").alias("a"), F.avg(value).alias("b"))
-    ratio = F.when((F.col("c") >= least) & (F.col("b") > 1e-9) & (F.col("a") > 0), F.col("a") / F.col("b")).otherwise(F.lit(1.0))
-    chain = parts.select(window).distinct().join(overlap.select(window, ratio.alias("r")), window, "left").na.fill(1.0, ["r"])
-    w = Window.partitionBy(F.lit(0)).orderBy(window).rowsBetween(Window.unboundedPreceding, 0)  # windows are few
-    factors = chain.select(window, F.exp(F.sum(F.ln("r")).over(w)).alias("f"))
-    scaled = parts.join(factors, window).select(day, window, (F.col(value) * F.col("f")).alias(value))
-    return scaled.groupBy(day).agg(F.min_by(value, window).alias(value))
-
-
-def topic_report(att: DataFrame, key: str, order: str, category: str, value: str = "value") -> DataFrame:
-    """(key, category, peak_month, recent, before, direction, n_peers): the last three rows' mean against the three before, and the number of keys of the category."""
-    w = Window.partitionBy(key)
-    df = att.withColumn("k", F.row_number().over(w.orderBy(F.desc(order)))).withColumn("top", F.first(order).over(w.orderBy(F.desc(value), order)))
-    mean = lambda lo, hi: F.avg(F.when(F.col("k").between(lo, hi), F.col(value)))
-    t = df.groupBy(key).agg(F.max(category).alias(category), F.max("top").alias("peak_month"), mean(1, 3).alias("recent"), mean(4, 6).alias("before"))
-    t = t.withColumn("direction", F.when(F.col("recent") > 1.1 * F.col("before"), "rising").when(F.col("recent") < 0.9 * F.col("before"), "falling").otherwise("steady"))
+    df = att.withColumn("_k", F.row_number().over(w.orderBy(F.desc(order)))).withColumn("_top", F.first(order).over(w.orderBy(F.desc(value), order)))
+    total = lambda lo, hi: F.sum(F.when(F.col("_k").between(lo, hi), F.col(value)))
+    t = df.groupBy(key).agg(F.max(category).alias(category), F.max("_top").alias("peak_month"), F.count("*").alias("_n"), total(1, 3).alias("recent"), total(4, 6).alias("before"))
+    t = t.withColumn("direction", F.when((F.col("_n") > 6) & (F.col("recent") > F.col("before")), "rising").otherwise("falling")).drop("_n")
     return t.join(t.groupBy(category).agg((F.count("*") - 1).alias("n_peers")), category)
 
 

@@ -135,19 +135,27 @@ def mutation_months(narratives: DataFrame, markers: list[str], after: int = 6) -
     return spread.unionByName(marked).filter("month is not null").distinct()
 
 
-def phase_shares(curves: DataFrame, key: str, order: str, value: str, threshold: float = 0.1) -> DataFrame:
-    """(key, growth, peak, decay): shares of a curve's rows before it first exceeds a share of its peak, while it does, and after."""
-    w = Window.partitionBy(key)
-    top = F.max(value).over(w)
-    d = curves.withColumn("_on", F.col(value) >= threshold * top).withColumn("_a", F.min(F.when(F.col("_on"), F.col(order))).over(w)).withColumn("_b", F.max(F.when(F.col("_on"), F.col(order))).over(w))
-    share = lambda c: F.avg(c.cast("double"))
-    return d.groupBy(key).agg(share(F.col(order) < F.col("_a")).alias("growth"), share(F.col(order).between(F.col("_a"), F.col("_b"))).alias("peak"), share(F.col(order) > F.col("_b")).alias("decay"))
+def lifecycle_shares(curves: DataFrame, key: str, time: str, value: str, threshold: float = 0.1) -> DataFrame:
+    """(key, emergence, growth, decay, equilibrium): hundredths of a curve's time, one digit.
+
+    Emergence lasts until the curve first has ``threshold`` of its peak (0 where it has so at no time before the peak), growth from there to the
+    peak (the first of equal ones), decay until it is back at that share or less (the end where it never is). time counts from 0; a curve that ends at 0
+    has null shares.
+    """
+    c = curves.select(key, F.col(time).alias("_t"), F.col(value).alias("_v"))
+    top = c.groupBy(key).agg(F.max("_v").alias("_top"), F.min_by("_t", F.struct(-F.col("_v"), F.col("_t"))).alias("_peak"), F.max("_t").alias("_end"))
+    before, after = (F.col("_t") < F.col("_peak")) & (F.col("_v") >= threshold * F.col("_top")), (F.col("_t") >= F.col("_peak")) & (F.col("_v") <= threshold * F.col("_top"))
+    ends = c.join(top, key).groupBy(key, "_peak", "_end").agg(F.min(F.when(before, F.col("_t"))).alias("_lit"), F.min(F.when(after, F.col("_t"))).alias("_back"))
+    lit, back, peak, end = F.coalesce(F.col("_lit"), F.lit(0)), F.coalesce(F.col("_back"), F.col("_end")), F.col("_peak"), F.col("_end")
+    share = lambda x, name: F.round(x / F.nullif(end, F.lit(0)) * 100, 1).alias(name)
+    return ends.select(key, share(lit, "emergence"), share(peak - lit, "growth"), share(back - peak, "decay"), share(end - back, "equilibrium"))
 
 
 def name_of_folder(folder: Column) -> Column:
-    """A meme's name out of a folder's: what stands in quotes or brackets, else the first part without its number."""
-    quoted = F.regexp_extract(folder, r"[「『\"【\[]([^」』\"】\]]+)[」』\"】\]]", 1)
-    return F.when(quoted != "", quoted).otherwise(F.trim(F.regexp_extract(folder, r"^(?:[0-9]+[_\-. ]*)?([^_\-]+)", 1)))
+    """A meme's name out of a folder's: what stands between ``1.`` and ``(Av``, else the title without what is in its brackets, 30 characters."""
+    numbered = F.regexp_extract(folder, r"1\.(.+?)\(Av", 1)
+    title = F.substring(F.trim(F.regexp_replace(F.split(folder, " - ")[0], "【.*?】", "")), 1, 30)
+    return F.when(numbered != "", F.trim(numbered)).otherwise(title)
 
 
 def rank_weighted(signals: DataFrame, by: str, score: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import numerics as N, rules as R
 
@@ -69,7 +69,7 @@ def labelled(h: DataFrame) -> DataFrame:
     i, r, s = F.col("inertia"), F.col("resilience"), F.col("sensitivity")
     return h.select(
         "*", R.three_way(i, 0.65, 0.40).alias("inertia_label"), F.when(r < 0.30, "fragile").when(r > 0.60, "robust").otherwise("moderate").alias("resilience_label"),
-        R.three_way(s, 0.60, 0.35).alias("sensitivity_label"), R.diagnosis(i, r, s).alias("diagnosis"), R.risks(i, r, s).alias("risks"), R.out_of_domain(i, r, s).alias("out_of_domain"),
+        R.three_way(s, 0.60, 0.35).alias("sensitivity_label"), R.diagnosis(i, r, s).alias("diagnosis"), R.risks(i, s).alias("risks"), R.out_of_domain(i, r, s).alias("out_of_domain"),
     )
 
 
@@ -77,11 +77,18 @@ class Engine:
     """query(mode, month, vectors): macro state, projection of vectors onto nodes, or both."""
 
     def __init__(self, indicators: DataFrame, regimes: DataFrame, nodes: DataFrame):
-        self.indicators, self.regimes, self.nodes = labelled(indicators), regimes, nodes
+        from tidemark.operators.windows import over
+
+        # how many months in a row each month's regime has lasted by then
+        broken = F.max(F.when(F.col("_new"), F.col("_i"))).over(over("month").rowsBetween(Window.unboundedPreceding, 0))
+        seen = regimes.select("month", "label", F.row_number().over(over("month")).alias("_i"), (~F.lag("label").over(over("month")).eqNullSafe(F.col("label"))).alias("_new"))
+        self.indicators, self.nodes = labelled(indicators), nodes
+        self.regimes = seen.select("month", "label", (F.col("_i") - broken + 1).alias("dwell"))
 
     def macro(self, month: str | None = None) -> DataFrame:
         """One month's state; the latest where none is named."""
-        j = self.indicators.join(self.regimes.select("month", F.col("label").alias("regime")), "month", "left")
+        j = self.indicators.join(self.regimes.select("month", F.col("label").alias("regime"), "dwell"), "month", "left")
+        j = j.withColumn("risks", R.risks(F.col("inertia"), F.col("sensitivity"), F.col("regime"), F.col("dwell")))
         return j.filter(F.col("month") == month) if month else j.orderBy(F.desc("month")).limit(1)
 
     def persona(self, vectors: DataFrame, month: str | None = None) -> DataFrame:

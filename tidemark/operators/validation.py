@@ -86,38 +86,48 @@ def gradient_z(df: DataFrame, value: str, order: str) -> DataFrame:
     return g.join(g.agg(F.avg("g").alias("gm"), F.stddev_pop("g").alias("gs"))).withColumn("z", (F.col("g") - F.col("gm")) / F.col("gs"))
 
 
-def step_violations(df: DataFrame, by: str, order: str, vector: str, dim: float = 0.35, norm: float = 0.5, rise: float = 0.15) -> DataFrame:
-    """(by, order, problem): steps of a dimension over ``dim``, of the norm over ``norm``; a warning where two rise together."""
+def step_violations(df: DataFrame, by: str, order: str, vector: str, dim: float = 0.35, norm: float = 0.5, rise: float = 0.15, pair: tuple[int, int] = (0, 2)) -> DataFrame:
+    """(by, order, problem): steps of a dimension over ``dim``, of the norm over ``norm``; a warning where the two axes of ``pair`` (identity and conflict) rise together."""
     pairs = df.withColumn("_p", F.lag(vector).over(Window.partitionBy(by).orderBy(order))).filter("_p is not null")
-    step = F.zip_with(vector, "_p", lambda a, b: a - b)
-    size = F.sqrt(F.aggregate(step, F.lit(0.0), lambda s, x: s + x * x))
+    step = F.zip_with(vector, "_p", lambda a, b: F.round(a - b, 9))  # nine digits: the bounds are sharp
+    size = F.round(F.sqrt(F.aggregate(step, F.lit(0.0), lambda s, x: s + x * x)), 9)
+    a, b = (F.try_element_at(step, F.lit(i + 1)) for i in pair)
     notes = F.array(
-        F.when(F.exists(step, lambda x: F.abs(x) > dim), "dimension"), F.when(size > norm, "norm"), F.when(F.size(F.filter(step, lambda x: x > rise)) >= 2, "co-rise"),
+        F.when(F.exists(step, lambda x: F.abs(x) > dim), "dimension"), F.when(size > norm, "norm"), F.when((a > rise) & (b > rise), "co-rise"),
     )
     return pairs.select(by, order, F.explode(F.array_compact(notes)).alias("problem"))
 
 
 def phase_violations(df: DataFrame, by: str, order: str, phase: str, phases: tuple[str, ...]) -> DataFrame:
-    """(by, order, problem): phases that go back by more than one (violation), back by one or ahead by more than two (warning)."""
-    at = F.array_position(F.array(*map(F.lit, phases)), F.col(phase)).cast("int")
-    d = at - F.lag(at).over(Window.partitionBy(by).orderBy(order))
-    return df.withColumn("_d", d).withColumn("problem", F.when(F.col("_d") < -1, "violation").when((F.col("_d") == -1) | (F.col("_d") > 2), "warning")).filter("problem is not null").select(by, order, "problem")
+    """(by, order, problem): phases that are unknown, or come after one, or go back by more than one (violation), back by one or ahead by more than two (warning)."""
+    at = F.array_position(F.array(*map(F.lit, phases)), F.coalesce(F.col(phase), F.lit(""))).cast("int")
+    w = Window.partitionBy(by).orderBy(order)
+    d = df.withColumn("_at", at).withColumn("_before", F.lag(at).over(w)).filter("_before is not null").withColumn("_d", F.col("_at") - F.col("_before"))
+    unknown = (F.col("_at") == 0) | (F.col("_before") == 0)
+    problem = F.when(unknown | (F.col("_d") < -1), "violation").when((F.col("_d") == -1) | (F.col("_d") > 2), "warning")
+    return d.withColumn("problem", problem).filter("problem is not null").select(by, order, "problem")
 
 
-def dynamics_violations(df: DataFrame, by: str, order: str, r0: str, phase: str) -> DataFrame:
-    """(by, order, problem): jumps of R0 over 1.5 (but from origin, or to fixation under .1) and peaks under 1."""
+def dynamics_violations(df: DataFrame, by: str, order: str, r0: str, phase: str, chaos: str) -> DataFrame:
+    """(by, order, problem): peak nodes with R0 under 1, and jumps of R0 over 1.5 (but from origin, or to fixation under .1), are violations; controversy
+    without a drift of the chaos axis under -.1, and fixation that is still active (R0 of 2 or more, chaos axis within .1), are warnings."""
     w = Window.partitionBy(by).orderBy(order)
-    jump = F.abs(F.col(r0) - F.lag(r0).over(w)) > 1.5
-    exempt = (F.lag(phase).over(w) == "origin") | ((F.col(phase) == "fixation") & (F.col(r0) < 0.1))
-    steps = df.withColumn("_bad", jump & ~exempt).filter("_bad").select(by, order, F.lit("jump").alias("problem"))
-    low = df.groupBy(by).agg(F.max(F.struct(r0, order)).alias("m")).filter(F.col(f"m.{r0}") < 1).select(by, F.col(f"m.{order}").alias(order), F.lit("peak").alias("problem"))
-    return steps.unionByName(low)
+    p, r, c = F.col(phase), F.col(r0), F.col(chaos)
+    exempt = (F.lag(phase).over(w) == "origin") | ((p == "fixation") & (r < 0.1))
+    jump = (F.round(F.abs(r - F.lag(r0).over(w)), 9) > 1.5) & ~F.coalesce(exempt, F.lit(False))
+    calm = (r > 0.5) & (r < 2.0) & (F.abs(c) < 0.9)
+    notes = F.array(
+        F.when((p == "peak") & (r < 1), "peak"), F.when(jump, "jump"), F.when((p == "controversy") & (c > -0.1), "no drift"),
+        F.when((p == "fixation") & ~calm & (r >= 1) & (F.abs(c) < 0.1), "still active"),
+    )
+    return df.withColumn("_n", F.array_compact(notes)).select(by, order, F.explode("_n").alias("problem"))
 
 
-def trajectories_valid(df: DataFrame, by: str, order: str, vector: str, phase: str, r0: str, phases: tuple[str, ...]) -> DataFrame:
-    """(by, valid): whether none of the three validators finds a violation (warnings and co-rises are none)."""
-    bad = step_violations(df, by, order, vector).filter("problem <> 'co-rise'").select(by)
-    bad = bad.unionByName(phase_violations(df, by, order, phase, phases).filter("problem = 'violation'").select(by)).unionByName(dynamics_violations(df, by, order, r0, phase).select(by))
+def trajectories_valid(df: DataFrame, by: str, order: str, vector: str, phase: str, r0: str, chaos: str, phases: tuple[str, ...]) -> DataFrame:
+    """(by, valid): whether none of the three validators finds a violation (warnings are none)."""
+    bad = step_violations(df, by, order, vector).filter("problem in ('dimension', 'norm')").select(by)
+    bad = bad.unionByName(phase_violations(df, by, order, phase, phases).filter("problem = 'violation'").select(by))
+    bad = bad.unionByName(dynamics_violations(df, by, order, r0, phase, chaos).filter("problem in ('peak', 'jump')").select(by))
     return df.select(by).distinct().join(bad.distinct().withColumn("_bad", F.lit(True)), by, "left").select(by, F.col("_bad").isNull().alias("valid"))
 
 

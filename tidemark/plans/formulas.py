@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.catalog import query
-from tidemark.functions import columns as C, rules as R
+from tidemark.functions import calibration as B, columns as C, rules as R
 from tidemark.functions.columns import r6
 from tidemark.operators import curation as K
 from tidemark.plans.bindings import STAGES, table
 
 #: Notes by p_partkey % 7: the words the text rules look for, in several places.
-NOTES = ("official 2019 report", "brand policy since 2015", "remix of old news", "压力 媒体", "算法 平台 stress", "焦虑 短视频 government 1999", "")
+NOTES = ("央视 2019年 official report", "品牌 消费 焦虑", "remix of old news 就业 争议", "压力 媒体 官方 政策", "起于 1999 年 的旧闻，人民日报 审查", "阶层 差异 新京报 " + "长" * 120 + " 2020年", "")
 NOTE_SQL = "CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(NOTES)) + " END"
 TEXT_SQL = f"(p_name || ' ' || lower(p_type) || ' ' || {NOTE_SQL})"
 
@@ -82,12 +82,17 @@ def mutation_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 # texts
 
 
-@query(f"""WITH t AS (SELECT p_partkey, {TEXT_SQL} AS text FROM part), w AS (SELECT p_partkey, text, {any_of(R.INSTITUTION_WORDS, 'text')} AS institutional,
-  coalesce({', '.join(f"nullif(instr(text, '{w}'), 0)" for w in R.INSTITUTION_WORDS)}) AS pos FROM t)
-SELECT p_partkey, institutional, coalesce(CASE WHEN pos IS NOT NULL THEN try_cast(nullif(regexp_extract(substr(text, greatest(pos - 50, 1)::INT, 150), '((19|20)[0-9][0-9])', 1), '') AS INT) END, 0) AS year FROM w""")
+def _named(word: str) -> str:
+    window = f"substr(text, greatest(instr(text, '{word}') - 50, 1)::INT, (least(instr(text, '{word}') - 1, 50) + 100)::INT)"
+    return f"CASE WHEN instr(text, '{word}') > 0 THEN nullif(regexp_extract({window}, '([0-9]{{4}})\\s*年', 1), '') END"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {TEXT_SQL} AS text FROM part)
+SELECT p_partkey, {any_of(R.INSTITUTION_WORDS, 'text')} AS institutional, coalesce(coalesce({', '.join(map(_named, R.INSTITUTION_WORDS))}) || '-01', '') AS month FROM t""")
 def institutional_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = noted(spark, sf_dir)
-    return t.select("p_partkey", R.institutional(F.col("text")).alias("institutional"), F.coalesce(R.institutional_year(F.col("text")), F.lit(0)).alias("year"))
+    """Whether a text names an institution, and since when."""
+    t, text = noted(spark, sf_dir), F.col("text")
+    return t.select("p_partkey", R.institutional(text).alias("institutional"), F.coalesce(R.institutional_month(text), F.lit("")).alias("month"))
 
 
 _ANCHORS = ("cold", "widget", "promo", "official", "report")
@@ -105,23 +110,30 @@ def name_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", F.array_join(F.sort_array(C.bigrams(F.col("p_name"))), "|").alias("grams"))
 
 
-@query(f"""SELECT p_partkey, CASE WHEN {any_of(['压力', '焦虑', 'stress'])} THEN 0.7 ELSE 0.4 END::DOUBLE AS stress, CASE WHEN {any_of(['媒体', '短视频', 'media'])} THEN 0.8 ELSE 0.5 END::DOUBLE AS media,
-  CASE WHEN {any_of(['算法', '平台', 'algorithm'])} THEN 0.8 ELSE 0.5 END::DOUBLE AS tech FROM part""")
+def _level(name: str) -> str:
+    return "CASE " + " ".join(f"WHEN {any_of(words)} THEN {x}" for x, words in R.SOCIAL_WORDS[name]) + f" ELSE {R.SOCIAL[name][1]} END::DOUBLE AS {name}"
+
+
+@query(f"SELECT p_partkey, {', '.join(map(_level, R.SOCIAL_WORDS))} FROM part")
 def social_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return noted(spark, sf_dir).select("p_partkey", R.social_context(F.col("text")).alias("s")).select("p_partkey", "s.stress", "s.media", "s.tech")
+    """Economic stress, polarisation and censorship by the words of what set a narrative off."""
+    return noted(spark, sf_dir).select("p_partkey", R.social_context(F.col("text")).alias("s")).select("p_partkey", "s.*")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN split_part(p_name, ' ', 1) || ' x' ELSE p_name END AS name FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN substr(p_name || ' ' || p_name || ' ' || p_name, 1, 30) ELSE 'plain ' || p_name END AS name FROM part""")
 def folder_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names out of folders' names: in quotes, in brackets, or after a number."""
-    first = F.split("p_name", " ")[0]
-    forms = (F.concat(F.lit("12_「"), "p_name", F.lit("」_v")), F.concat(F.lit("07-"), first, F.lit(" x_take2")), F.concat(F.lit("[") , "p_name", F.lit("] old")))
+    """Names out of folders' names: between a number and an identifier, else the title without its brackets."""
+    n = F.col("p_name")
+    forms = (F.concat(F.lit("【guide】title - 1. "), n, F.lit(" (Av12)")), F.concat(F.lit("【a】"), n, F.lit(" "), n, F.lit(" "), n, F.lit("【b】 - 2."), n), F.concat(F.lit("plain "), n))
     folder = F.get(F.array(*forms), (F.col("p_partkey") % 3).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", K.name_of_folder(folder).alias("name"))
 
 
-_TAGS = ("n", "nr", "v", "vd", "a", "ad", "d", "r", "m", "x")
-_CLASS = "CASE WHEN tag[1] = 'n' THEN 'noun' WHEN tag[1] = 'v' THEN 'verb' WHEN tag[1] = 'a' THEN 'adjective' WHEN tag[1] = 'd' THEN 'adverb' WHEN tag[1] = 'r' THEN 'pronoun' ELSE 'other' END"
+_TAGS = ("n", "nr", "v", "vd", "a", "ad", "d", "r", "m", "x", "c", "cc", "p", "uj", "uz", "u", "mq")
+_CLASS = (
+    "CASE " + " ".join(f"WHEN tag[1] = '{k}' THEN '{v}'" for k, v in R.TAG_CLASSES.items())
+    + f" WHEN tag = 'c' THEN 'connective' WHEN tag IN ({', '.join(repr(t) for t in R.PARTICLES)}) THEN 'particle' WHEN tag[1] = 'm' THEN 'numeral' ELSE 'other' END"
+)
 
 
 @query(f"""WITH t AS (SELECT [{', '.join(f"'{t}'" for t in _TAGS)}][l_partkey % {len(_TAGS)} + 1] AS tag FROM lineitem), c AS (SELECT {_CLASS} AS class, count(*) AS n FROM t GROUP BY 1), s AS (SELECT class, n, n / sum(n) OVER () AS share FROM c)
@@ -151,7 +163,13 @@ def _weighted(w: dict[str, float]) -> str:
 
 
 _LINEAR = {a: f"round(least(greatest(0.5 + 0.4 * ({_weighted(w)}) / {sum(map(abs, w.values()))}, 0.1), 0.9)::DOUBLE, 6)" for a, w in WEIGHTS.items()}
-_SQUASHED = {a: f"round((0.05 + 0.9 / (1 + exp(-least(greatest({_weighted(w)}, -3.0), 3.0))))::DOUBLE, 6)" for a, w in WEIGHTS.items()}
+_NAMED = sorted({c for w in R.CONSTRAINT_WEIGHTS.values() for c in w})
+_NAMED_SCORE = {c: f"((p_partkey * {k + 3}) % 11 / 20.0::DOUBLE)" for k, c in enumerate(_NAMED)}
+
+
+def _curved(w: dict[str, float]) -> str:
+    total = " + ".join(f"({v}::DOUBLE * {_NAMED_SCORE[k]})" for k, v in w.items())
+    return f"round((0.05 + 0.9 / (1 + exp(-6 * (least(greatest({total} + 0.5, 0.0), 1.0) - 0.5))))::DOUBLE, 6)"
 
 
 @query("SELECT p_partkey, " + ", ".join(f"{x} AS {a}" for a, x in _LINEAR.items()) + " FROM part")
@@ -160,10 +178,12 @@ def constraint_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("p_partkey", *(r6(F.col("x")[i]).alias(a) for i, a in enumerate(WEIGHTS)))
 
 
-@query("SELECT p_partkey, " + ", ".join(f"{x} AS {a}" for a, x in _SQUASHED.items()) + " FROM part")
+@query("SELECT p_partkey, " + ", ".join(f"{_curved(w)} AS {a}" for a, w in R.CONSTRAINT_WEIGHTS.items()) + " FROM part")
 def constraint_squashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = concept_scores(spark, sf_dir).select("p_partkey", R.squashed(F.col("scores"), WEIGHTS).alias("x"))
-    return s.select("p_partkey", *(r6(F.col("x")[i]).alias(a) for i, a in enumerate(WEIGHTS)))
+    """Constraint axes from the scores of the concepts that weigh on them."""
+    scores = F.create_map(*(x for k, c in enumerate(_NAMED) for x in (F.lit(c), F.col("p_partkey") * (k + 3) % 11 / F.lit(20.0))))
+    s = table(spark, sf_dir, "part").select("p_partkey", R.squashed(scores).alias("x"))
+    return s.select("p_partkey", *(r6(F.col("x")[i]).alias(a) for i, a in enumerate(R.CONSTRAINT_WEIGHTS)))
 
 
 @query("SELECT p_partkey, " + ", ".join(f"round(({' + '.join(_SCORE[c] for c in names)}) / {len(names)}, 3) AS {g}" for g, names in GROUPS.items()) + " FROM part")
@@ -193,16 +213,29 @@ def reply_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CON = [f"((p_partkey * {k + 1}) % 10 / 10.0::DOUBLE)" for k in range(5)]
 _DELTAS = "m(src, dst, d) AS (VALUES " + ", ".join(f"('{a}', '{b}', [{', '.join(f'{x}::DOUBLE' for x in d)}])" for (a, b), d in R.PHASE_DELTA.items()) + ")"
 _STAGE_LIST = "[" + ", ".join(f"'{s}'" for s in STAGES) + "]"
-_MOVED = ", ".join(f"round(least(greatest(c[{i}] + coalesce(d[{i}], 0) * (1 - abs(2 * c[{i}] - 1) * 0.5), 0.0), 1.0)::DOUBLE, 6) AS x{i}" for i in range(1, 6))
+_LEVELS = {"economic": "(p_size % 11 / 10.0::DOUBLE)", "polarization": "(p_partkey % 11 / 10.0::DOUBLE)", "censorship": "((p_partkey + p_size) % 11 / 10.0::DOUBLE)"}
+
+
+def _delta(i: int) -> str:
+    return f"round(coalesce(d[{i}], 0) + " + " + ".join(f"({w[i - 1]}::DOUBLE * ({k} - {neutral}))" for k, (neutral, _, w) in R.SOCIAL.items()) + ", 9)"
+
 
+_DAMPED = ", ".join(f"{_delta(i)} * CASE WHEN (c[{i}] > 0.8 AND {_delta(i)} > 0) OR (c[{i}] < 0.2 AND {_delta(i)} < 0) THEN 0.3 ELSE 1 END" for i in range(1, 6))
+_MOVED = ", ".join(f"round(least(greatest(c[{i}] + least(greatest(e[{i}], -0.4), 0.4), 0.0), 1.0)::DOUBLE, 6) AS x{i}" for i in range(1, 6))
 
-@query(f"""WITH {_DELTAS}, p AS (SELECT p_partkey, [{', '.join(_CON)}] AS c, {_STAGE_LIST}[p_size % 5 + 1] AS src, {_STAGE_LIST}[(p_size + 1 + p_partkey % 2) % 5 + 1] AS dst FROM part)
-SELECT p_partkey, src, dst, {_MOVED} FROM p LEFT JOIN m USING (src, dst)""")
+
+@query(f"""WITH {_DELTAS}, p AS (SELECT p_partkey, [{', '.join(_CON)}] AS c, {_STAGE_LIST}[p_size % 5 + 1] AS src, {_STAGE_LIST}[(p_size + 1 + p_partkey % 3) % 5 + 1] AS dst, {', '.join(f'{x} AS {k}' for k, x in _LEVELS.items())} FROM part),
+q AS (SELECT p_partkey, src, dst, c, [{_DAMPED}] AS e FROM p LEFT JOIN m USING (src, dst)) SELECT p_partkey, src, dst, {_MOVED} FROM q""")
 def phase_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Constraints after a phase move, damped near the ends; unknown moves change nothing."""
+    """Constraints after a phase move under a social context, damped near the ends."""
+    k, s = F.col("p_partkey"), F.col("p_size")
     stage = lambda i: F.get(F.array(*map(F.lit, STAGES)), i.cast("int"))
-    p = table(spark, sf_dir, "part").select("p_partkey", F.array(*(F.col("p_partkey") * (k + 1) % 10 / F.lit(10.0) for k in range(5))).alias("c"), stage(F.col("p_size") % 5).alias("src"), stage((F.col("p_size") + 1 + F.col("p_partkey") % 2) % 5).alias("dst"))
-    return p.withColumn("x", R.moved(F.col("c"), F.col("src"), F.col("dst"))).select("p_partkey", "src", "dst", *(r6(F.col("x")[i]).alias(f"x{i + 1}") for i in range(5)))
+    p = table(spark, sf_dir, "part").select(
+        "p_partkey", F.array(*(k * (i + 1) % 10 / F.lit(10.0) for i in range(5))).alias("c"), stage(s % 5).alias("src"), stage((s + 1 + k % 3) % 5).alias("dst"),
+        (s % 11 / F.lit(10.0)).alias("economic"), (k % 11 / F.lit(10.0)).alias("polarization"), ((k + s) % 11 / F.lit(10.0)).alias("censorship"),
+    )
+    x = R.moved(F.col("c"), F.col("src"), F.col("dst"), economic=F.col("economic"), polarization=F.col("polarization"), censorship=F.col("censorship"))
+    return p.withColumn("x", x).select("p_partkey", "src", "dst", *(r6(F.col("x")[i]).alias(f"x{i + 1}") for i in range(5)))
 
 
 @query(f"""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN [{', '.join(_CON)}] END AS stored, CASE WHEN p_partkey % 5 = 0 THEN [0.4, 0.4, 0.41]::DOUBLE[] ELSE [{', '.join(_CON[1:4])}] END AS soft FROM part),
@@ -222,9 +255,10 @@ def constraint_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ARC = """v AS (SELECT p_partkey, p_brand, p_size, list_transform(range(0, (1 + p_size % 6)::BIGINT), lambda j: (p_partkey * (j + 2) * 7 + p_size * j) % 10 / 10.0::DOUBLE) AS v FROM part),
-s AS (SELECT *, len(v) AS n, v[1] AS a, v[-1] AS b, list_max(v) AS top, list_min(v) AS low, list_transform(range(2, len(v) + 1), lambda i: sign(v[i] - v[i - 1])) AS d FROM v),
-t AS (SELECT *, coalesce(list_sum(list_transform(range(2, len(d) + 1), lambda i: (d[i] * d[i - 1] < 0)::INT)), 0) AS turns FROM s),
-arc AS (SELECT p_partkey, p_brand, v, CASE WHEN n < 2 OR top - low < 0.1 THEN 'flat' WHEN turns = 0 AND b > a THEN 'rising' WHEN turns = 0 THEN 'falling' WHEN turns = 1 AND top > greatest(a, b) THEN 'peak' WHEN turns = 1 THEN 'valley' ELSE 'oscillating' END AS arc,
+s AS (SELECT *, len(v) AS n, list_avg(v[1 : len(v) // 2]) AS f, list_avg(v[len(v) // 2 + 1 :]) AS g, CASE WHEN len(v) >= 3 THEN v[len(v) // 2 + 1] ELSE v[1] END AS m, list_transform(range(2, len(v) + 1), lambda i: round(v[i] - v[i - 1], 9)) AS d FROM v),
+t AS (SELECT *, round(g - f, 9) AS rise, round(m - (f + g) / 2, 9) AS bulge, coalesce(list_sum(list_transform(range(2, len(d) + 1), lambda i: abs(sign(d[i]) - sign(d[i - 1])))), 0) / 2 AS turns FROM s),
+arc AS (SELECT p_partkey, p_brand, v, CASE WHEN n < 2 THEN 'stable' WHEN turns >= 2 THEN 'oscillating' WHEN abs(rise) < 0.03 AND abs(bulge) < 0.03 THEN 'stable' WHEN list_min(d) >= -0.01 THEN 'monotonic_up' WHEN list_max(d) <= 0.01 THEN 'monotonic_down'
+  WHEN bulge > 0.05 THEN CASE WHEN rise < 0 THEN 'inverted_U' ELSE 'rise_fall' END WHEN bulge < -0.05 THEN CASE WHEN rise > 0 THEN 'U_shape' ELSE 'fall_rise' END WHEN rise < 0 THEN 'rise_fall' ELSE 'fall_rise' END AS arc,
   coalesce(list_sum(list_transform(range(0, 5), lambda k: CASE WHEN list_sum(list_transform(v, lambda x: (least(floor(x * 5), 4) = k)::INT)) > 0
     THEN -(list_sum(list_transform(v, lambda x: (least(floor(x * 5), 4) = k)::INT)) / n) * ln(list_sum(list_transform(v, lambda x: (least(floor(x * 5), 4) = k)::INT)) / n) ELSE 0 END)), 0) / ln(5) AS e FROM t)"""
 
@@ -265,21 +299,22 @@ def state_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("p_partkey", r6(R.sir_entropy(F.col("s"), F.col("i"), F.col("r"))).alias("entropy"))
 
 
-_IND = "i AS (SELECT p_partkey, p_partkey % 21 / 20.0::DOUBLE AS inertia, p_size % 11 / 10.0::DOUBLE AS resilience, (p_partkey + p_size) % 11 / 10.0::DOUBLE AS sensitivity, p_size % 4 / 10.0::DOUBLE AS origin, p_partkey % 3 / 10.0::DOUBLE AS emergence, p_partkey % 6 / 10.0::DOUBLE AS fixation FROM part)"
+_IND = "i AS (SELECT p_partkey, p_partkey % 21 / 20.0::DOUBLE AS inertia, p_size % 11 / 10.0::DOUBLE AS resilience, (p_partkey + p_size) % 11 / 10.0::DOUBLE AS sensitivity, p_size % 4 / 10.0::DOUBLE AS origin, p_partkey % 3 / 10.0::DOUBLE AS emergence, p_partkey % 6 / 10.0::DOUBLE AS fixation, p_size % 4 AS regime, p_partkey % 40 AS dwell FROM part)"
 
 
 def indicator_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size")
     return table(spark, sf_dir, "part").select("p_partkey", (k % 21 / F.lit(20.0)).alias("inertia"), (s % 11 / F.lit(10.0)).alias("resilience"), ((k + s) % 11 / F.lit(10.0)).alias("sensitivity"),
-                                               (s % 4 / F.lit(10.0)).alias("origin"), (k % 3 / F.lit(10.0)).alias("emergence"), (k % 6 / F.lit(10.0)).alias("fixation"))
+                                               (s % 4 / F.lit(10.0)).alias("origin"), (k % 3 / F.lit(10.0)).alias("emergence"), (k % 6 / F.lit(10.0)).alias("fixation"), (s % 4).alias("regime"), (k % 40).alias("dwell"))
 
 
 @query(f"""WITH {_IND} SELECT p_partkey, CASE WHEN inertia > 0.6 AND resilience < 0.3 AND sensitivity > 0.4 THEN 'metastable' WHEN inertia > 0.5 AND resilience < 0.5 THEN 'rigid' ELSE 'balanced' END AS diagnosis,
-  array_to_string(list_filter([CASE WHEN inertia > 0.65 THEN 'high inertia' END, CASE WHEN resilience < 0.3 THEN 'low resilience' END, CASE WHEN sensitivity > 0.6 THEN 'high sensitivity' END], lambda x: x IS NOT NULL), '; ') AS risks,
+  coalesce(nullif(array_to_string(list_filter([CASE WHEN inertia > 0.65 THEN 'high inertia' END, CASE WHEN sensitivity > 0.60 THEN 'high sensitivity' END,
+    CASE WHEN regime = 2 AND dwell > 24 THEN 'dwell of ' || dwell || ' months' END], lambda x: x IS NOT NULL), '; '), ''), 'none') AS risks,
   (inertia > 0.85)::INT + (resilience < 0.15)::INT + (sensitivity > 0.70)::INT >= 2 AS out_of_domain FROM i""")
 def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, r, s = F.col("inertia"), F.col("resilience"), F.col("sensitivity")
-    return indicator_rows(spark, sf_dir).select("p_partkey", R.diagnosis(i, r, s).alias("diagnosis"), R.risks(i, r, s).alias("risks"), R.out_of_domain(i, r, s).alias("out_of_domain"))
+    return indicator_rows(spark, sf_dir).select("p_partkey", R.diagnosis(i, r, s).alias("diagnosis"), R.risks(i, s, F.col("regime"), F.col("dwell")).alias("risks"), R.out_of_domain(i, r, s).alias("out_of_domain"))
 
 
 @query(f"""WITH {_IND}, x AS (SELECT p_partkey, 0.4 * least(greatest(fixation / (greatest(origin + emergence, 0.01) + fixation + 0.05), 0), 1) + 0.3 * greatest(0, sensitivity - 0.5) + 0.3 * fixation AS x FROM i)
@@ -289,25 +324,83 @@ def inertia_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicator_rows(spark, sf_dir).select("p_partkey", x.alias("x")).select("p_partkey", r6(F.col("x")).alias("inertia"), R.three_way(F.col("x"), 0.65, 0.40).alias("label"))
 
 
-_VOTES = {"o": "p_size % 11 / 10.0", "c": "p_partkey % 11 / 10.0", "t": "p_size % 7 / 20.0", "k": "p_partkey % 5 / 10.0", "e": "p_size % 9 / 8.0", "r": "p_partkey % 8 / 10.0", "own": "(p_partkey % 21 - 10) / 10.0"}
+_SEEN = {"own": "(p_partkey % 21 - 10) / 10.0", "ord": "p_size % 11 / 10.0", "con": "p_partkey % 11 / 10.0", "tro": "p_size % 7 / 20.0", "cdc": "p_partkey % 5 / 10.0", "rsl": "p_size % 10 / 10.0", "inf": "p_partkey % 6 / 10.0"}
+_GONE = {"own": 4, "ord": 5, "con": 6, "tro": 7, "cdc": 8, "rsl": 2, "inf": 3}  # each signal is absent where p_partkey % this is 1
+_WAYS = ("early", "early_maj", "late_maj", "laggard", "never", "resister")
+_OBSERVED = (
+    "o AS (SELECT p_partkey AS id, " + ", ".join(f"CASE WHEN p_partkey % {_GONE[n]} <> 1 THEN ({x})::DOUBLE END AS {n}" for n, x in _SEEN.items())
+    + f", list_transform(range(0, (p_size % 5)::BIGINT), lambda j: [{', '.join(repr(w) for w in _WAYS)}][((p_partkey * (1 + j) + p_size) % 6 + 1)::BIGINT]) AS ways, p_partkey % 3 = 0 AS sen FROM part)"
+)
+
+
+def _profile(observed: str) -> str:
+    """The calibration in SQL: observed is (id, own, ord, con, tro, cdc, rsl, inf, ways, sen)."""
+    of = lambda *w: f"len(list_filter(ways, lambda x: x IN ({', '.join(repr(x) for x in w)})))::DOUBLE / nullif(len(ways), 0)"
+    kernel = ", ".join(f"coalesce(list_sum(list_transform(vs, lambda x: x.w * exp(-((x.v - ({c})) ** 2) / (2 * {B.KERNEL} ** 2)))), 0)" for c in B.BINS)
+    centres = f"[{', '.join(map(str, B.BINS))}]"
+    return f"""{observed},
+a AS (SELECT *, {of(*B.EARLY)} AS early, {of(B.RESISTER)} AS resist, {of(B.NEVER)} AS never FROM o),
+b AS (SELECT *, list_filter([{{'v': own, 'w': 3.0::DOUBLE}}, {{'v': CASE WHEN ord IS NOT NULL THEN least(greatest(ord * 1.2 - 0.1, -1), 1) END::DOUBLE, 'w': 1.5}}, {{'v': CASE WHEN con IS NOT NULL THEN least(greatest(con * 0.8 - 0.1, -1), 1) END::DOUBLE, 'w': 1.0}},
+  {{'v': CASE WHEN tro > 0.15 THEN tro * -2 END::DOUBLE, 'w': 1.5}}, {{'v': CASE WHEN cdc IS NOT NULL THEN least(greatest(cdc * -1.5, -1), 1) END::DOUBLE, 'w': 1.0}}, {{'v': CASE WHEN early > 0.5 THEN 0.4 END::DOUBLE, 'w': 1.0}}, {{'v': CASE WHEN resist > 0.3 THEN -0.3 END::DOUBLE, 'w': 1.0}}], lambda x: x.v IS NOT NULL) AS vs,
+  [0.3::DOUBLE, CASE WHEN ord > 0.6 AND con > 0.6 AND coalesce(tro, 1) < 0.15 THEN 0.4 ELSE 0 END, CASE WHEN tro > 0.15 THEN tro * 1.5 ELSE 0 END + CASE WHEN cdc > 0.4 THEN 0.3 ELSE 0 END + CASE WHEN resist > 0.3 THEN 0.3 ELSE 0 END,
+   CASE WHEN coalesce(ord, 0.5) < 0.3 AND coalesce(tro, 0) < 0.1 THEN 0.5 ELSE 0 END + CASE WHEN never > 0.6 THEN 0.4 ELSE 0 END] AS scores, coalesce(ord, con, tro, cdc) IS NOT NULL AS signals FROM a),
+c AS (SELECT *, [{kernel}] AS raw, list_transform(scores, lambda x: round(x / (list_sum(scores) + 1e-10), 3)) AS roles,
+  CASE WHEN len(vs) > 0 THEN least(greatest(list_sum(list_transform(vs, lambda x: x.v * x.w)) / list_sum(list_transform(vs, lambda x: x.w)), -1), 1) ELSE 0 END AS lean,
+  CASE WHEN len(vs) > 0 THEN sqrt(list_sum(list_transform(vs, lambda x: (x.v - list_avg(list_transform(vs, lambda y: y.v))) ** 2)) / len(vs)) ELSE 0.5 END AS off FROM b),
+d AS (SELECT *, list_transform(raw, lambda x: x / (list_sum(raw) + 1e-10)) AS p, [{', '.join(repr(r) for r in B.ROLES)}][list_position(roles, list_max(roles))] AS role FROM c),
+e AS (SELECT *, list_sum(list_transform(range(1, 6), lambda i: p[i] * {centres}[i])) AS mean FROM d)
+SELECT id, round(mean, 3) + 0.0 AS position, round(sqrt(list_sum(list_transform(range(1, 6), lambda i: p[i] * ({centres}[i] - mean) ** 2))), 3) AS position_sd,
+  {', '.join(f"CASE WHEN p[{i}] > {B.NEGLIGIBLE} THEN round(p[{i}], 4) ELSE 0 END AS p{i}" for i in range(1, 6))}, {', '.join(f"roles[{i + 1}] AS {r}" for i, r in enumerate(B.ROLES))}, role,
+  round(coalesce(rsl, CASE WHEN signals THEN least(greatest(coalesce(con, 0.5) * 0.7 + (1 - coalesce(cdc, 0.3)) * 0.3, 0.1), 0.95) END, 0.5)::DOUBLE, 3) AS resilience,
+  round(coalesce(inf, CASE WHEN signals THEN least(greatest(coalesce(ord, 0.5) * 0.15 + coalesce(tro, 0.05) * 0.2, 0.02), 0.5) END, 0.1)::DOUBLE, 3) AS influence,
+  CASE WHEN lean > 0.25 THEN 'early_adopter' WHEN lean > -0.25 THEN 'follower' ELSE 'resister' END AS pattern, round((0.5 + 0.3 * mean)::DOUBLE, 3) AS susceptibility,
+  CASE WHEN off < 0.15 THEN 'stable' WHEN off < 0.35 THEN 'oscillating' ELSE 'drifting' END AS stability,
+  round(least(greatest(0.4 * least(1.0, ((coalesce(own, 0) <> 0)::INT + signals::INT + (len(ways) > 0)::INT + sen::INT) / 4) + 0.4 * (1 - least(1.0, off / 0.5)) + 0.2 * CASE WHEN role <> 'normal' THEN 1.0 ELSE 0.5 END, 0.1), 0.95)::DOUBLE, 3) AS confidence FROM e"""
+
+
+def _flat(profile, *more):
+    x = lambda c: F.col(f"x.{c}")
+    return profile.select(
+        *more, (x("position") + F.lit(0.0)).alias("position"), "x.position_sd", *(F.coalesce(x("posterior")[i], F.lit(0.0)).alias(f"p{i + 1}") for i in range(5)),
+        *(x("roles")[i].alias(r) for i, r in enumerate(B.ROLES)), "x.role", "x.resilience", "x.influence", "x.pattern", "x.susceptibility", "x.stability", "x.confidence",
+    )
+
+
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts as individuals: what can be seen of them, each signal absent for some."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    value = {"own": (k % 21 - 10) / F.lit(10.0), "ord": s % 11 / F.lit(10.0), "con": k % 11 / F.lit(10.0), "tro": s % 7 / F.lit(20.0), "cdc": k % 5 / F.lit(10.0), "rsl": s % 10 / F.lit(10.0), "inf": k % 6 / F.lit(10.0)}
+    way = lambda j: F.get(F.array(*map(F.lit, _WAYS)), ((k * (1 + j) + s) % 6).cast("int"))
+    ways = F.when(s % 5 > 0, F.transform(F.sequence(F.lit(0), F.greatest(s % 5 - 1, F.lit(0))), way)).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), *(F.when(k % _GONE[n] != 1, x).alias(n) for n, x in value.items()), ways.alias("ways"), (k % 3 == 0).alias("sen"))
+
+
+@query(f"WITH {_profile(_OBSERVED)}")
+def calibrated_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The direct calibration whole: posterior, leaning, roles, and what follows from them."""
+    c = F.col
+    made = B.profile(c("own"), c("ord"), c("con"), c("tro"), c("cdc"), c("ways"), c("rsl"), c("inf"), c("sen"))
+    return _flat(observed(spark, sf_dir).select("id", made.alias("x")), "id")
 
 
-@query(f"""WITH v AS (SELECT p_partkey, {', '.join(f'({x})::DOUBLE AS {n}' for n, x in _VOTES.items())} FROM part),
-w AS (SELECT p_partkey, own * 3 + (o * 1.2 - 0.1) * 1.5 + (c * 0.8 - 0.1) + CASE WHEN t > 0.15 THEN -2 * t * 1.5 ELSE 0 END + k * -1.5 + CASE WHEN e > 0.5 THEN 0.4 ELSE 0 END + CASE WHEN r > 0.3 THEN -0.3 ELSE 0 END AS s,
-  6.5 + CASE WHEN t > 0.15 THEN 1.5 ELSE 0 END + (e > 0.5)::INT + (r > 0.3)::INT AS w FROM v)
-SELECT p_partkey, round(least(greatest(s / w, -1), 1)::DOUBLE, 6) + 0.0 AS axis FROM w""")
+@query(f"SELECT id AS p_partkey, round(CASE WHEN len(vs) > 0 THEN lean ELSE 0 END, 6) + 0.0 AS axis FROM (WITH {_profile(_OBSERVED).rsplit('SELECT id', 1)[0]} SELECT * FROM e)")
 def calibrated_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The direct calibration's weighted votes."""
-    k, s = F.col("p_partkey"), F.col("p_size")
-    v = R.calibrated_votes(s % 11 / F.lit(10.0), k % 11 / F.lit(10.0), s % 7 / F.lit(20.0), k % 5 / F.lit(10.0), s % 9 / F.lit(8.0), k % 8 / F.lit(10.0), (k % 21 - 10) / F.lit(10.0))
-    return table(spark, sf_dir, "part").select("p_partkey", r6(v).alias("axis"))
+    c = F.col
+    lean = B.leaning(B.votes(c("own"), c("ord"), c("con"), c("tro"), c("cdc"), c("ways")))
+    return observed(spark, sf_dir).select(c("id").alias("p_partkey"), (r6(lean) + F.lit(0.0)).alias("axis"))
 
 
-@query("SELECT name, round(lean, 6) AS lean, round(openness, 6) AS openness, round(noise, 6) AS noise, round(memory, 6) AS memory FROM (VALUES ('observer', 0.0::DOUBLE, 0.2::DOUBLE, 0.05::DOUBLE, 0.9::DOUBLE), ('booster', 0.6, 0.7, 0.10, 0.7), ('contrarian', -0.5, 0.4, 0.20, 0.6), ('follower', 0.1, 0.9, 0.05, 0.5)) AS t(name, lean, openness, noise, memory)")
-def agent_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.functions.dynamics import PRESETS
+_SCENES = "o AS (SELECT p_partkey AS id, s.*, NULL::DOUBLE AS rsl, NULL::DOUBLE AS inf, false AS sen FROM part JOIN (VALUES " + ", ".join(
+    f"({i}, {', '.join(f'{x}::DOUBLE' for x in v[:5])}, [{', '.join(repr(w) for w in v[5])}])" for i, v in enumerate(B.SCENARIOS.values())
+) + ") AS s(kind, own, ord, con, tro, cdc, ways) ON kind = p_partkey % 4)"
 
-    return spark.createDataFrame([(n, *map(float, v)) for n, v in PRESETS.items()], "name string, lean double, openness double, noise double, memory double")
+
+@query(f"WITH {_profile(_SCENES)}")
+def agent_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of individuals of whom only a scenario is known."""
+    name = F.get(F.array(*map(F.lit, B.SCENARIOS)), (F.col("p_partkey") % 4).cast("int"))
+    return _flat(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), B.scenario(name).alias("x")), "id")
 
 
 @query("SELECT vec_id, unnest(range(1, len(embedding) + 1))::INT AS i, round(unnest(embedding)::DOUBLE, 4) AS x FROM embeddings")

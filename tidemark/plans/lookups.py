@@ -46,8 +46,8 @@ def topic_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REPORT = f"""{ATT}, r AS (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY month DESC) AS k, first_value(month) OVER (PARTITION BY keyword ORDER BY value DESC, month) AS top FROM att),
-t AS (SELECT keyword, max(category) AS category, any_value(top) AS peak_month, avg(value) FILTER (k <= 3) AS recent, avg(value) FILTER (k BETWEEN 4 AND 6) AS before FROM r GROUP BY keyword),
-rep AS (SELECT keyword, category, peak_month, round(recent, 4) AS recent, round(before, 4) AS before, CASE WHEN recent > 1.1 * before THEN 'rising' WHEN recent < 0.9 * before THEN 'falling' ELSE 'steady' END AS direction, count(*) OVER (PARTITION BY category) - 1 AS n_peers FROM t)"""
+t AS (SELECT keyword, max(category) AS category, any_value(top) AS peak_month, count(*) AS n, sum(value) FILTER (k <= 3) AS recent, sum(value) FILTER (k BETWEEN 4 AND 6) AS before FROM r GROUP BY keyword),
+rep AS (SELECT keyword, category, peak_month, round(recent, 4) AS recent, round(before, 4) AS before, CASE WHEN n > 6 AND recent > before THEN 'rising' ELSE 'falling' END AS direction, count(*) OVER (PARTITION BY category) - 1 AS n_peers FROM t)"""
 
 
 @query(f"WITH {_REPORT} SELECT keyword, peak_month, recent, before, direction, n_peers FROM rep")

@@ -177,35 +177,41 @@ def ranked_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PLACE = "CASE phase " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(STAGES)) + " END"
-_PHASE_BAD = f"pv AS (SELECT id, j, d FROM (SELECT id, j, {_PLACE} - lag({_PLACE}) OVER (PARTITION BY id ORDER BY j) AS d FROM nodes) WHERE d < 0 OR d > 2)"
+_PHASE_BAD = f"""pv AS (SELECT id, j, CASE WHEN a IS NULL OR b IS NULL OR b - a < -1 THEN 'violation' WHEN b - a = -1 OR b - a > 2 THEN 'warning' END AS problem
+  FROM (SELECT id, j, {_PLACE} AS b, lag({_PLACE}) OVER w AS a, lag(j) OVER w AS before FROM nodes WINDOW w AS (PARTITION BY id ORDER BY j)) WHERE before IS NOT NULL)"""
 
 
-@query(f"WITH {_NODES}, {_PHASE_BAD} SELECT id, j::INT AS j, CASE WHEN d < -1 THEN 'violation' ELSE 'warning' END AS problem FROM pv")
+@query(f"WITH {_NODES}, {_PHASE_BAD} SELECT id, j::INT AS j, problem FROM pv WHERE problem IS NOT NULL")
 def phase_order_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phases that go back by more than one, or back by one or ahead by more than two."""
     return V.phase_violations(flat(trajectories(spark, sf_dir)), "id", "j", "phase", STAGES)
 
 
-_R0 = "(x * 4)"
-_DYNAMIC = f"""dv AS (SELECT id, j, 'jump' AS problem FROM (SELECT id, j, phase, {_R0} AS r0, lag({_R0}) OVER (PARTITION BY id ORDER BY j) AS p, lag(phase) OVER (PARTITION BY id ORDER BY j) AS f FROM nodes) WHERE abs(r0 - p) > 1.5 AND NOT (f = 'origin' OR (phase = 'fixation' AND r0 < 0.1))
-UNION ALL SELECT id, j, 'peak' FROM (SELECT id, j, {_R0} AS r0, row_number() OVER (PARTITION BY id ORDER BY {_R0} DESC, j DESC) AS k FROM nodes) WHERE k = 1 AND r0 < 1)"""
+_R0, _CHAOS = "(x * 4)", "((id + 5 * j) % 9 - 4) / 10.0::DOUBLE"
+_DYNAMIC = f"""dn AS (SELECT id, j, phase, {_R0} AS r0, {_CHAOS} AS c, lag({_R0}) OVER (PARTITION BY id ORDER BY j) AS p, lag(phase) OVER (PARTITION BY id ORDER BY j) AS f FROM nodes),
+dv AS (SELECT id, j, unnest(list_filter([CASE WHEN phase = 'peak' AND r0 < 1 THEN 'peak' END, CASE WHEN round(abs(r0 - p), 9) > 1.5 AND NOT (f = 'origin' OR (phase = 'fixation' AND r0 < 0.1)) THEN 'jump' END, CASE WHEN phase = 'controversy' AND c > -0.1 THEN 'no drift' END,
+  CASE WHEN phase = 'fixation' AND NOT (r0 > 0.5 AND r0 < 2 AND abs(c) < 0.9) AND r0 >= 1 AND abs(c) < 0.1 THEN 'still active' END], lambda x: x IS NOT NULL)) AS problem FROM dn)"""
+
+
+def dynamic(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("r0", F.col("x") * 4).withColumn("chaos", ((F.col("id") + 5 * F.col("j")) % 9 - 4) / F.lit(10.0))
 
 
 @query(f"WITH {_NODES}, {_DYNAMIC} SELECT id, j::INT AS j, problem FROM dv")
 def dynamics_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jumps of R0 that no phase explains, and peaks under one."""
-    return V.dynamics_violations(flat(trajectories(spark, sf_dir)).withColumn("r0", F.col("x") * 4), "id", "j", "r0", "phase")
+    """Peaks under one, jumps of R0 that no phase explains, controversy without drift, and fixation that is still active."""
+    return V.dynamics_violations(dynamic(flat(trajectories(spark, sf_dir))), "id", "j", "r0", "phase", "chaos")
 
 
 _CONS = "cn AS (SELECT id, j, list_transform(range(0, 5), lambda k: (id * (k + 2) + j * (k + 1) * (id % 3)) % 10 / 10.0::DOUBLE) AS c FROM nodes)"
-_STEP = """sv AS (SELECT id, j, unnest(list_filter([CASE WHEN list_max(list_transform(d, lambda x: abs(x))) > 0.35 THEN 'dimension' END, CASE WHEN sqrt(list_sum(list_transform(d, lambda x: x * x))) > 0.5 THEN 'norm' END,
-  CASE WHEN len(list_filter(d, lambda x: x > 0.15)) >= 2 THEN 'co-rise' END], lambda x: x IS NOT NULL)) AS problem
-  FROM (SELECT id, j, list_transform(range(1, 6), lambda k: c[k] - p[k]) AS d FROM (SELECT id, j, c, lag(c) OVER (PARTITION BY id ORDER BY j) AS p FROM cn) WHERE p IS NOT NULL))"""
+_STEP = """sv AS (SELECT id, j, unnest(list_filter([CASE WHEN list_max(list_transform(d, lambda x: abs(x))) > 0.35 THEN 'dimension' END, CASE WHEN round(sqrt(list_sum(list_transform(d, lambda x: x * x))), 9) > 0.5 THEN 'norm' END,
+  CASE WHEN d[1] > 0.15 AND d[3] > 0.15 THEN 'co-rise' END], lambda x: x IS NOT NULL)) AS problem
+  FROM (SELECT id, j, list_transform(range(1, 6), lambda k: round(c[k] - p[k], 9)) AS d FROM (SELECT id, j, c, lag(c) OVER (PARTITION BY id ORDER BY j) AS p FROM cn) WHERE p IS NOT NULL))"""
 
 
 def constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: (F.col("id") * (k + 2) + F.col("j") * (k + 1) * (F.col("id") % 3)) % 10 / F.lit(10.0))
-    return flat(trajectories(spark, sf_dir)).withColumn("c", c).withColumn("r0", F.col("x") * 4)
+    return dynamic(flat(trajectories(spark, sf_dir))).withColumn("c", c)
 
 
 @query(f"WITH {_NODES}, {_CONS}, {_STEP} SELECT id, j::INT AS j, problem FROM sv")
@@ -214,8 +220,8 @@ def constraint_step_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.step_violations(constrained(spark, sf_dir), "id", "j", "c")
 
 
-@query(f"""WITH {_NODES}, {_PHASE_BAD}, {_DYNAMIC}, {_CONS}, {_STEP}, a AS (SELECT id FROM pv WHERE d < -1 UNION SELECT id FROM dv UNION SELECT id FROM sv WHERE problem IN ('dimension', 'norm'))
+@query(f"""WITH {_NODES}, {_PHASE_BAD}, {_DYNAMIC}, {_CONS}, {_STEP}, a AS (SELECT id FROM pv WHERE problem = 'violation' UNION SELECT id FROM dv WHERE problem IN ('peak', 'jump') UNION SELECT id FROM sv WHERE problem IN ('dimension', 'norm'))
 SELECT DISTINCT n.id, a.id IS NULL AS valid FROM nodes n LEFT JOIN a USING (id)""")
 def valid_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether all three validators let a trajectory pass; warnings do not count."""
-    return V.trajectories_valid(constrained(spark, sf_dir), "id", "j", "c", "phase", "r0", STAGES)
+    return V.trajectories_valid(constrained(spark, sf_dir), "id", "j", "c", "phase", "r0", "chaos", STAGES)

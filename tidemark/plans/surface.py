@@ -24,11 +24,15 @@ def meaning_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(nxt, "vec_id").select("vec_id", r6(1 - C.cosine(F.col("e"), F.col("f"))).alias("drift"))
 
 
-@query(f"""WITH {ATT}, p AS (SELECT *, value >= 0.1 * max(value) OVER (PARTITION BY keyword) AS lit FROM att), b AS (SELECT *, min(month) FILTER (lit) OVER (PARTITION BY keyword) AS lo, max(month) FILTER (lit) OVER (PARTITION BY keyword) AS hi FROM p)
-SELECT keyword, round(avg((month < lo)::INT), 6) AS growth, round(avg((month BETWEEN lo AND hi)::INT), 6) AS peak, round(avg((month > hi)::INT), 6) AS decay FROM b GROUP BY keyword""")
+@query(f"""WITH {ATT}, m AS (SELECT keyword, value, month[1:4]::INT * 12 + month[6:7]::INT AS k FROM att), c AS (SELECT keyword, value, (k - min(k) OVER (PARTITION BY keyword))::DOUBLE AS t FROM m),
+p AS (SELECT keyword, max(value) AS top, max(t) AS fin FROM c GROUP BY keyword), q AS (SELECT p.keyword, top, fin, min(t) AS peak FROM p JOIN c ON c.keyword = p.keyword AND value = top GROUP BY 1, 2, 3),
+e AS (SELECT q.keyword, peak, nullif(fin, 0) AS fin, coalesce(min(t) FILTER (t < peak AND value >= 0.1 * top), 0) AS lit, coalesce(min(t) FILTER (t >= peak AND value <= 0.1 * top), fin) AS back FROM q JOIN c ON c.keyword = q.keyword GROUP BY 1, peak, fin)
+SELECT keyword, round(lit / fin * 100, 1) AS emergence, round((peak - lit) / fin * 100, 1) AS growth, round((back - peak) / fin * 100, 1) AS decay, round((fin - back) / fin * 100, 1) AS equilibrium FROM e""")
 def phase_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of a curve before, while and after it is above a tenth of its peak."""
-    return K.phase_shares(attention(spark, sf_dir), "keyword", "month", "value").select("keyword", *(r6(F.col(c)).alias(c) for c in ("growth", "peak", "decay")))
+    """Hundredths of each curve's time before it takes off, up to its peak, back down, and after."""
+    a = attention(spark, sf_dir).withColumn("k", F.substring("month", 1, 4).cast("int") * 12 + F.substring("month", 6, 2).cast("int"))
+    first = a.groupBy("keyword").agg(F.min("k").alias("lo"))
+    return K.lifecycle_shares(a.join(first, "keyword").withColumn("t", (F.col("k") - F.col("lo")).cast("double")), "keyword", "t", "value")
 
 
 @query(r"SELECT p_partkey, regexp_replace(lower(p_brand || ' ' || p_name), '[^\p{L}\p{N}]+', '', 'g') AS plain FROM part")
