@@ -282,3 +282,92 @@ def test_op13_many_detections(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
     got = license_scan.detections(docs).select(F.size("found").alias("n"), F.expr("size(filter(stay, x -> x.label = 'cc-by-nc'))").alias("a"), F.expr("size(filter(stay, x -> x.label = 'reserved'))").alias("b")).first()
     assert (got["a"], got["b"]) == (2000, 2000) and got["n"] >= 6000
+
+
+# Rows repeated whole, in bulk
+
+
+PASSAGE = " ".join(f"again{i}" for i in range(90))
+
+
+def bulk(spark, n, same):
+    """n rows, of which every third is one and the same, or (without ``same``) the same text under many doc_ids."""
+    rows = [(-1 if same else i, PASSAGE) if i % 3 == 0 else (i, f"{i} " + " ".join(f"own{i}x{k}" for k in range(40)) + (" " + PASSAGE if i % 300 == 1 else "")) for i in range(n)]
+    return spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id bigint, text string, copies string").repartition(4), rows
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_op6_rows_repeated_in_bulk(spark, same):
+    from tidemark.llm import suffix_dedup
+
+    docs, rows = bulk(spark, 1500, same)
+    places = Counter()
+    for d, t in rows:
+        b = t.encode()
+        places.update(b[i : i + 200] for i in range(len(b) - 199))
+    want = Counter()
+    for d, t in rows:
+        b, hit = t.encode(), bytearray(len(t.encode()))
+        for i in range(len(b) - 199):
+            if places[b[i : i + 200]] > 1:
+                hit[i : i + 200] = b"\1" * 200
+        kept_ = bytes(x for x, h in zip(b, hit) if not h)
+        want[d, len(b), sum(hit), len(re.findall(b"\1+", bytes(hit))), hashlib.sha256(kept_).hexdigest()] += 1
+    assert Counter(map(tuple, suffix_dedup.digested(docs).collect())) == want
+
+
+def test_op6_a_repeated_row_is_one_document_until_it_is_cut(spark):
+    """The spans of a document do not grow with the number of rows that are it."""
+    from tidemark.llm import suffix_dedup as S
+
+    spans = []
+    for n in (300, 1200):
+        docs, _ = bulk(spark, n, True)
+        got = S.removed_spans(docs, S.WINDOW, S.GRAM, S.PART_BYTES).collect()
+        spans.append(max(len(r["spans"]) for r in got))
+        again = S.repeated_rows(docs)
+        assert [r["copies"] for r in again.collect()] == [n // 3] and S.once(docs, again).count() == n - n // 3 + 1
+    assert spans[0] == spans[1]
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_op3_rows_repeated_in_bulk(spark, same):
+    from tidemark.llm import substring_dedup
+
+    docs, rows = bulk(spark, 1500, same)
+    first = {}
+    for d, t in rows:
+        w = t.split(" ")
+        for i in range(len(w) - 19):
+            g = tuple(w[i : i + 20])
+            first[g] = min(first.get(g, (d, i)), (d, i))
+    want = Counter()
+    for d, t in rows:
+        w = t.split(" ")
+        gone = {j for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] < (d, i) for j in range(i, i + 20)}
+        want[d, len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone))] += 1
+    assert Counter(map(tuple, substring_dedup.digested(docs).collect())) == want
+
+
+def test_op9_and_op10_rows_repeated_in_bulk(spark):
+    from tidemark.llm import packing, simhash
+
+    docs, rows = bulk(spark, 1500, True)
+    got = simhash.near_classes(docs).collect()
+    own = [r for r in got if r["doc_id"] == -1]
+    assert len(got) == 1500 and len(own) == 500 and {r["component_id"] for r in own} == {-1}
+    none = docs.withColumn("doc_id", F.when(F.col("doc_id") >= 0, F.col("doc_id")))  # a third without a doc_id
+    laid = packing.packed(none, buckets=7).collect()
+    assert len(laid) == 1500
+    by = {}
+    for r in laid:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    per = spark.createDataFrame([(r["length"],) for r in laid], "length bigint").groupBy("length").count().collect()
+    plan = packing.plan({r["length"]: r["count"] for r in per})
+    assert len(by) == max(first + -(-(hi - lo) // each) for _, lo, hi, first, each, _ in plan)

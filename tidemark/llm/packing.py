@@ -7,10 +7,11 @@ rows at most, whatever the input): equal bins are runs, equal pieces are placed
 segment tree over the remaining capacities finds the tightest open bin in logarithmic time. The plan is
 a table of rules (length, first rank, last rank, first bin, bins, pieces per bin, offset) whose size is
 bounded by CAPACITY as well. Pieces get their rank among those of their length in two levels (counts for
-each length and bucket, then a row number inside the bucket), so no length is gathered in one task.
+each length and bucket, then a row number inside the bucket), so no length is gathered in one task. Buckets follow the
+input, and pieces are dealt to them evenly, whatever they hold: equal rows and rows without a doc_id do not meet.
 
 Edge cases: null text is empty; an empty text is one piece, the end id alone; rows repeated whole are
-packed one by one; ties (equal lengths) go by bucket and doc_id; an empty table gives an empty result;
+packed one by one; ties (equal lengths) go by bucket, which is dealt, and doc_id; an empty table gives an empty result;
 null doc_ids are kept.
 """
 
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import blocks as B
-from .shared import kept_between, batches_of, kept, mapped
+from .shared import batches_of, kept, kept_between, mapped, partitions_for
 
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
-BUCKETS = 512
+BUCKETS = 512  # at least
 #: Words whose ids a worker remembers, and parts of words; beyond that it forgets them and goes on.
 REMEMBERED, PARTS = 500_000, 50_000
 #: Bytes of texts whose words are looked up together.
@@ -310,10 +311,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return rules
 
 
-def packed(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, buckets: int = BUCKETS) -> DataFrame:
+def packed(docs: DataFrame, name: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, buckets: int = 0) -> DataFrame:
     """The pieces with sequence_id and offset."""
     spark = docs.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")
+    buckets = buckets or max(BUCKETS, partitions_for(docs, 1))
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(buckets)).cast("int")  # fixed once the table is written
     with batches_of(spark, 1000):
         each = kept(pieces(docs, name, capacity, end_id).withColumn("bucket", bucket), "pieces")
     counts = each.groupBy("length", "bucket").agg(F.count("*").alias("n"))

@@ -268,7 +268,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, parts:
     """doc_id, n_words, n_removed, kept_text (what is left, one space between words): a row for each input row."""
     with scratch():
         spans = kept(repeated_intervals(docs, window, gram, parts, most), "repeated-windows", stay=True)
-    own = spans.groupBy("key", "doc").agg(F.collect_set(F.struct("lo", "hi")).alias("cut"))
+    # a table of its own: both sides of the join are plain exchanges then, so a document that is there many times can be split
+    own = kept(spans.groupBy("key", "doc").agg(F.collect_set(F.struct("lo", "hi")).alias("cut")), "cut-windows")
     rows = docs.select("doc_id", document_key().alias("key"), F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"), "text")
     rows = rows.join(own.hint("shuffle_hash"), ["key", "doc"], "left").select("doc_id", "text", "cut")
 

@@ -16,7 +16,8 @@ pieces, a function of its bytes alone.
    share too.
 4. In each part: suffix array, Burrows-Wheeler transform, and breadth-first backward extension, which
    yields common prefixes by increasing value and stops at WINDOW (suffix_array.py).
-5. The repeated places go back to all occurrences of the segments, and from there to the documents.
+5. The repeated places go back to all occurrences of the segments, and from there to the documents. Rows repeated whole are one
+   document with their number as weight until their texts are cut, so a row that is there a million times costs a row and a count.
 
 Edge cases: null text is empty; texts shorter than a window lose nothing; rows repeated whole are
 documents like any other, so each repeats the other; a very long text is read in slices that overlap by a
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import blocks as B
-from .shared import MOST_PARTITIONS, dropped, kept, mapped, scratch
+from .shared import MOST_PARTITIONS, dropped, few, kept, mapped, scratch
 from .suffix_array import repeated_places
 
 WINDOW, GRAM, MOST, PART_BYTES = 200, 32, 4096, 1 << 20
@@ -112,14 +113,33 @@ def runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
                     group.append(p)
                     held += len(p[2])
 
-    return mapped(docs.select(*document(), "text"), task, _RUNS)
+    return mapped(docs.select(*_DOC, "text"), task, _RUNS)
 
 
-def occurrences(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The runs whose anchor stands in another place as well."""
-    every = kept(runs(docs, window, gram), "runs")
-    shared = kept(every.groupBy("anchor").agg(F.count("*").alias("c"), F.max("many").alias("m")).filter("c > 1 or m").select("anchor"), "anchors")
-    out = kept(every.join(shared, "anchor", "left_semi"), "occurrences")
+def repeated_rows(docs: DataFrame) -> DataFrame | None:
+    """(key, key2, copies) of the rows that are there more than once, as a kept table; none where there are none."""
+    again = kept(docs.select(*document()).groupBy(*_DOC).agg(F.count("*").alias("copies")).filter("copies > 1"), "repeated-rows")
+    return again if again.take(1) else None
+
+
+def once(docs: DataFrame, again: DataFrame | None) -> DataFrame:
+    """(key, key2, text): a row for each document, rows repeated whole being one. Only their texts are shuffled, one from each task."""
+    rows = docs.select(*document(), "text")
+    if again is None:
+        return rows
+    keys = few(again.select(*_DOC), 32)
+    return rows.join(keys, _DOC, "left_anti").unionByName(rows.join(keys, _DOC, "left_semi").groupBy(*_DOC).agg(F.first("text").alias("text")))
+
+
+def occurrences(rows: DataFrame, again: DataFrame | None, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The runs whose anchor stands in another place as well, with the number of rows that are their document."""
+    every = kept(runs(rows, window, gram), "runs")
+    if again is None:
+        times = every.withColumn("copies", F.lit(1).cast("bigint"))
+    else:
+        times = every.join(few(again, 40), _DOC, "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("bigint")))
+    shared = kept(times.groupBy("anchor").agg(F.sum("copies").alias("c"), F.max("many").alias("m")).filter("c > 1 or m").select("anchor"), "anchors")
+    out = kept(times.join(shared, "anchor", "left_semi"), "occurrences")
     dropped(every, shared)
     return out
 
@@ -142,7 +162,7 @@ def segments(docs: DataFrame, occ: DataFrame, window: int = WINDOW, gram: int =
     (anchor, seg, seg2, n, spans) of those that are settled: alone under their anchor and without a repeat of
     it inside, so that no other string shares a window with them and their windows repeat just as they do."""
     at = F.min(F.struct(*_DOC, "start")).alias("at")
-    distinct = kept(occ.groupBy(*_SEG).agg(F.count("*").alias("weight"), F.max("many").alias("many"), at), "segments")
+    distinct = kept(occ.groupBy(*_SEG).agg(F.sum("copies").alias("weight"), F.max("many").alias("many"), at), "segments")
     bytes_ = F.col("n") + window - 1
     anchors = kept(distinct.groupBy("anchor").agg(F.sum(bytes_).alias("b"), F.count("*").alias("kinds")), "anchor-sizes")
     known = kept(distinct.join(anchors, "anchor"), "known-segments")
@@ -155,7 +175,7 @@ def segments(docs: DataFrame, occ: DataFrame, window: int = WINDOW, gram: int =
     wanted = rest.groupBy("at.key", "at.key2").agg(
         F.collect_list(F.struct(*_SEG, "weight", F.col("at.start").alias("start"), width.alias("width"))).alias("cut")
     )
-    rows = docs.select(*document(), "text").join(wanted.hint("shuffle_hash"), _DOC).select("text", "cut")
+    rows = docs.join(kept(wanted, "wanted-segments").hint("shuffle_hash"), _DOC).select("text", "cut")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -188,7 +208,7 @@ def covered(parts: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows sorted by part -> (anchor, seg, seg2, n, spans): byte intervals of each segment that repeated windows cover."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        seen = {(a, s, s2, n, o): (w, b) for a, s, s2, n, o, w, b in rows}  # a text that is there twice brings its segments twice
+        seen = {(a, s, s2, n, o): (w, b) for a, s, s2, n, o, w, b in rows}
         made = repeated_places([b for _, b in seen.values()], [w for w, _ in seen.values()], window)
         keys, spans = [], []
         for k, where in zip(seen, made, strict=True):
@@ -243,8 +263,10 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most:
 
 def removed_spans(docs: DataFrame, window: int, gram: int, most: int) -> DataFrame:
     """(key, key2, spans): the byte intervals that each document loses, start and end in turn; they may overlap."""
-    occ = occurrences(docs, window, gram)
-    cut, total, settled = segments(docs, occ, window, gram, most)
+    again = repeated_rows(docs)
+    rows = once(docs, again)
+    occ = occurrences(rows, again, window, gram)
+    cut, total, settled = segments(rows, occ, window, gram, most)
     parts = max(1, -(-total // most))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, -(-total // (32 << 20))))
     part = F.pmod(F.xxhash64("anchor", "band"), F.lit(parts)).cast("int")
