@@ -5,9 +5,9 @@ residual, always a suffix of the leader's last token. The side that lags gives t
 one: that is one link. The state (who leads, residual) and the token give the next state; transitions are remembered by state and
 token. An empty residual closes a group. So a group of a + b tokens has a + b - 1 links, in the order in which they are read.
 
-Where white space follows a character that is none, or a mark of MARKS a letter, either tokenizer's tokens end: A's pre-tokenizer
-cuts there, and no piece of B's goes across (checked against its pieces when the model is loaded; a model that has such pieces reads
-whole texts). Groups end there as well, so a stretch between such places, a *word*, is tokenized and aligned once and remembered;
+Where white space follows a character that is none, or a mark of MARKS a letter (of ASCII or Latin-1), either tokenizer's tokens end: A's
+pre-tokenizer cuts there, and no piece of B's goes across (checked against its pieces when the model is loaded; with a model that has such pieces
+a whole text is one word). Groups end there as well, so a stretch between such places, a *word*, is tokenized and aligned once and remembered;
 the new words of a block go through the transducer together.
 
 1. Each task counts its words, and from them its linked id pairs; Spark sums the pairs' counts.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +39,16 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of pairs (16 each) that go to all tasks at most.
 PAIR_BYTES = 64 << 20
 #: Words and bytes of words that a worker remembers; transitions that it remembers.
-REMEMBERED, REMEMBERED_BYTES, TRANSITIONS = 400_000, 64 << 20, 1_000_000
+REMEMBERED, REMEMBERED_BYTES, TRANSITIONS = 600_000, 80 << 20, 1_000_000
 #: What stands before a stretch of text that B reads; marks that may end a word.
 LEAD, MARKS = "\n", ".,;:!?)\"%*#$&"
 _LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 #: With fewer texts left, the transducer reads them one by one.
 FEW = 24
+#: Bytes of texts whose words are looked up together.
+TOGETHER = 2 << 20
 #: Pairs that a task holds before it gives them to Spark.
 HELD_PAIRS = 1 << 20
 _SHIFT, _LOW = 32, (1 << 32) - 1
@@ -213,45 +218,93 @@ class Words:
         self.lead = list(self.b.encode(LEAD))
         alone = any(self.b.is_byte(i) for i in self.lead[-1:]) and not any(LEAD in p for p in pieces)
         crossed = {(p[i + 1], bool(re.match(_LETTER, p[i]))) for p in pieces for i in range(len(p) - 1) if p[i] != "▁"}
-        spaces = "".join(c for c in " \t\n" if not crossed & {(c, True), (c, False)})
-        marks = "".join(m for m in MARKS if (m, True) not in crossed)
-        after = rf"|(?<={_LETTER})(?=[{re.escape(marks)}])" if marks else ""
-        self.borders = re.compile(rf"(?<=\S)(?=[{spaces}]){after}") if alone and ("▁", False) not in crossed and ("▁", True) not in crossed else None
+        self.spaces, self.marks = np.zeros(256, bool), np.zeros(256, bool)
+        self.spaces[[ord(c) for c in " \t\n" if not crossed & {(c, True), (c, False)}]] = True
+        self.marks[[ord(m) for m in MARKS if (m, True) not in crossed]] = True
+        self.divides = alone and ("▁", False) not in crossed and ("▁", True) not in crossed
+        self.score, self.rated = None, ""
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.keys, self.place = np.zeros(0, B.U64), np.zeros(0, np.int64)  # words' hashes in order, and their numbers
         self.groups: list[str] = []
         self.sizes = Grown(4)  # tokens of A and of B, groups, 1 if its bytes are not spelt
         self.begin = Grown()  # where its links begin; they end where the next word's begin
         self.links = Grown()
-        self.scores = Grown(2)  # by what step 2 sets: links that are highest, sum of counts
+        self.scores = Grown(2)  # by rate(): links that are highest, sum of counts
         self.held = 0
 
-    def cut(self, text: str) -> list[str]:
-        return self.borders.split(" " + text) if self.borders else [" " + text]
-
-    def numbers(self, texts: list[str], score=None) -> tuple[np.ndarray, np.ndarray]:
-        """The texts' words by number, and the text of each; a null or empty text has none, nor has one with a word that isn't spelt."""
-        if len(self.number) > REMEMBERED or self.held > REMEMBERED_BYTES:
+    def borders(self, buf: np.ndarray) -> np.ndarray:
+        """Where a word begins that isn't a text's first: a space after a character that is printable ASCII or one of U+00C0 to U+00FF, or a mark after a letter of these."""
+        before, here = buf[:-1], buf[1:]
+        two = np.zeros(len(before), bool)
+        two[1:] = buf[:-2] == 0xC3
+        solid = ((before > 0x20) & (before < 0x7F)) | two
+        letter = _ASCII_LETTER[before] | (two & (before != 0x97) & (before != 0xB7))  # not the signs of multiplication and division
+        return 1 + np.flatnonzero((self.spaces[here] & solid) | (self.marks[here] & letter))
+
+    def cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts, a space before each that isn't empty, in a row; where their words begin and end; the text of each word."""
+        size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        at = np.cumsum(size) - size
+        buf = np.frombuffer(b"".join([b" " + t for t in texts if t] + [bytes(8)]), np.uint8)  # so that eight bytes can be read from any word's start
+        n = int(size.sum())
+        first = np.zeros(n + 1, bool)
+        first[at[size > 0]] = True
+        if self.divides and n:
+            first[self.borders(buf[:n])] = True
+        starts = np.flatnonzero(first[:n])
+        return buf, starts, np.append(starts[1:], n)[: len(starts)], np.searchsorted(at[size > 0], starts, "right") - 1
+
+    def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' words by number, and the text of each; an empty text has none, nor has one with a word that isn't spelt. Words are told
+        apart by a 64-bit hash of their bytes, length and first eight bytes."""
+        if len(self.groups) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.forget()
-        cut = [self.cut(t) if t else [] for t in texts]
-        known = self.number
-        new = list(dict.fromkeys([w for words in cut for w in words if w not in known]))
-        if new:
-            self.learn(new, score)
-        got = np.array([known[w] for words in cut for w in words], np.int64)
-        text = np.repeat(np.arange(len(texts)), [len(words) for words in cut])
+        buf, starts, ends, text = self.cut(texts)
+        if not len(starts):
+            return starts, text
+        text = np.flatnonzero([bool(t) for t in texts])[text]
+        size = (ends - starts).astype(B.U64)
+        eight = np.zeros(len(starts), B.U64)
+        for k in range(8):
+            eight |= np.where(size > k, buf[starts + k], 0).astype(B.U64) << B.U64(8 * k)
+        h = B.mix(B.word_hashes(buf, starts, ends) ^ B.mix(eight + B.mix(size)))
+        own, where, back = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, own)
+        miss = np.ones(len(own), bool)
+        inside = at < len(self.keys)
+        miss[inside] = self.keys[at[inside]] != own[inside]
+        if miss.any():
+            whole, new = buf.tobytes(), where[miss]
+            first = len(self.groups)
+            self.learn([whole[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            self.keys = np.insert(self.keys, at[miss], own[miss])
+            self.place = np.insert(self.place, at[miss], np.arange(first, first + len(new)))
+            at = np.searchsorted(self.keys, own)
+        got = self.place[at][back]
         wrong = np.zeros(len(texts), bool)
         wrong[text[self.sizes.rows[got, 3] > 0]] = True
         return got[~wrong[text]], text[~wrong[text]]
 
-    def learn(self, words: list[str], score) -> None:
+    def rate(self, score, name: str) -> None:
+        """From now on words have scores by ``score`` of links; those known get theirs at once. name: what tells one such function from another."""
+        if name != self.rated:
+            self.score, self.rated, self.scores = score, name, Grown(2)
+            if score and self.groups:
+                size = self.sizes.rows[: self.sizes.n]
+                self.scores.add(self.rates(self.links.rows[: self.links.n], size[:, 0] + size[:, 1] - size[:, 2]))
+
+    def rates(self, links: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        best, n = self.score(links)
+        return np.stack([sums(best.astype(np.int64), sizes), sums(n, sizes)], axis=1)
+
+    def learn(self, words: list[str]) -> None:
         encoded = []
         for lo in range(0, len(words), 4096):
             some = words[lo : lo + 4096]
             a = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
-            b = [i[len(self.lead) :] for i in self.b.encode([LEAD + w for w in some], num_threads=1)] if self.borders else self.b.encode([w[1:] for w in some], num_threads=1)
+            b = [i[len(self.lead) :] for i in self.b.encode([LEAD + w for w in some], num_threads=1)] if self.divides else self.b.encode([w[1:] for w in some], num_threads=1)
             encoded += zip(a, b, strict=True)
         ids = tuple(np.array([t for e in encoded for t in e[side]], np.int64) for side in (0, 1))
         ends = tuple(np.cumsum([len(e[side]) for e in encoded]) for side in (0, 1))
@@ -259,17 +312,14 @@ class Words:
         a_bytes = self.transducer.bytes[0]
         good &= np.fromiter((b"".join([a_bytes[t] for t in e[0]]) == w.encode() for e, w in zip(encoded, words, strict=True)), bool, len(words))
         first = len(self.groups)
-        self.number |= zip(words, range(first, first + len(words)), strict=True)
         self.groups += group_texts(ids, ends, groups)
         a, b = (np.diff(e, prepend=0) for e in ends)
         n_links = np.bincount(word, minlength=len(words))
         self.sizes.add(np.stack([a, b, a + b - n_links, ~good], axis=1))
         self.begin.add(self.links.n + np.cumsum(n_links) - n_links)
         self.links.add(links)
-        if score:
-            best, n = score(links)
-            total = lambda x: np.bincount(word, x, len(words)) if len(x) else np.zeros(len(words))
-            self.scores.add(np.stack([total(best).astype(np.int64), sums(n, n_links)], axis=1))
+        if self.score:
+            self.scores.add(self.rates(links, n_links))
         self.held += sum(map(len, words)) + sum(map(len, self.groups[first:])) + 8 * len(links)
 
     def links_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,9 +365,10 @@ def link_counts(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) ->
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(a_file, b_file)
+        own.rate(None, "")
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for _, texts in B.text_blocks(batches):
-            words, times = np.unique(own.numbers([t.decode() for t in texts])[0], return_counts=True)
+        for _, texts in B.text_blocks(batches, TOGETHER):
+            words, times = np.unique(own.numbers(texts)[0], return_counts=True)
             links, size = own.links_of(words)
             held = merged([held[0], links], [held[1], np.repeat(times, size)])
             if len(held[0]) > HELD_PAIRS:
@@ -368,10 +419,10 @@ def by_words(docs: DataFrame, pairs: DataFrame, a_file: str, b_file: str) -> Dat
     table = pairs.orderBy("pair").toArrow()
     arrays = tuple(table.column(c).to_numpy() for c in ("pair", "n", "best"))
     shared = docs.sparkSession.sparkContext.broadcast(arrays)  # PAIR_BYTES at most
+    name = uuid.uuid4().hex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(a_file, b_file)
-        own.forget()  # scores come from these pairs
         keys, n, best = shared.value
 
         def score(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -379,8 +430,9 @@ def by_words(docs: DataFrame, pairs: DataFrame, a_file: str, b_file: str) -> Dat
             there = keys[at] == links if len(keys) else np.zeros(len(links), bool)  # not there: links of words in texts that aren't spelt
             return (best[at] & there, np.where(there, n[at], 0)) if len(keys) else (there, np.zeros(len(links), np.int64))
 
-        for ids, texts in B.text_blocks(batches):
-            words, text = own.numbers([t.decode() for t in texts], score)
+        own.rate(score, name)
+        for ids, texts in B.text_blocks(batches, TOGETHER):
+            words, text = own.numbers(texts)
             size = np.bincount(text, minlength=len(texts))
             scores = [sums(own.scores.rows[words, k], size).tolist() for k in (0, 1)]
             yield batch([[d for (d,) in ids], *counted(own, words, text, len(texts)), *scores], schema)
@@ -395,8 +447,9 @@ def by_pairs(docs: DataFrame, pairs: DataFrame, a_file: str, b_file: str) -> Dat
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(a_file, b_file)
-        for ids, texts in B.text_blocks(batches):
-            words, text = own.numbers([t.decode() for t in texts])
+        own.rate(None, "")
+        for ids, texts in B.text_blocks(batches, TOGETHER):
+            words, text = own.numbers(texts)
             ends = np.searchsorted(text, np.arange(len(texts) + 1))
             pairs = [np.unique(own.links_of(words[lo:hi])[0], return_counts=True) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
             own_rows = [[d for d, _ in ids], *counted(own, words, text, len(texts)), [r for _, r in ids]]
