@@ -1,15 +1,14 @@
-"""The Python surface: vectors of text, the phonetic matcher as a table function, and injected scorers."""
+"""The Python surface: vectors of text and injected scorers."""
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import pandas_udf
 
 DIM = 64
 
@@ -36,60 +35,6 @@ def embed(text: Column | str) -> Column:
     return run(text)
 
 
-def plain_form(text: str) -> str:
-    """Transliteration stand-in: lower case, letters and digits only."""
-    return re.sub(r"[\W_]+", "", (text or "").lower())
-
-
-def plain(text: Column | str) -> Column:
-    """plain_form() of a column, by Arrow batches; put a transliteration in its place where one is at hand."""
-
-    @pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(plain_form)
-
-    return run(text)
-
-
-def distance_at_most_one(a: str, b: str) -> bool:
-    if abs(len(a) - len(b)) > 1:
-        return False
-    if len(a) > len(b):
-        a, b = b, a
-    i = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
-    return a[i:] == b[i + 1 :] or (len(a) == len(b) and a[i + 1 :] == b[i + 1 :])
-
-
-def partial_ratio(word: str, text: str) -> float:
-    """Best share of equal places of the word over all places of the text."""
-    n = len(word)
-    if not n or len(text) < n:
-        return 0.0
-    return max(sum(x == y for x, y in zip(word, text[i : i + n], strict=True)) for i in range(len(text) - n + 1)) / n
-
-
-class ScanSegment:
-    """Keywords a transcript segment holds: exact (1.0), one edit away, or mostly there; one hit for each keyword."""
-
-    def eval(self, text: str, keywords: list[str]):
-        heard = plain_form(text)
-        for word in keywords or ():
-            w = plain_form(word)
-            if not w:
-                continue
-            if w in heard:
-                yield word, 1, 1.0
-                continue
-            near = [heard[i : i + k] for k in (len(w) - 1, len(w), len(w) + 1) if k > 0 for i in range(len(heard) - k + 1)]
-            best = max((0.7 - 0.3 * (abs(len(x) - len(w)) / len(w)) for x in near if len(x) >= 0.7 * len(w) and distance_at_most_one(w, x)), default=None)
-            if best is not None:
-                yield word, 2, best
-                continue
-            share = partial_ratio(w, heard)
-            if share > 0.85:
-                yield word, 3, 0.6 * share
-
-
 def register(spark: SparkSession) -> None:
     """The functions under SQL names."""
 
@@ -98,7 +43,6 @@ def register(spark: SparkSession) -> None:
         return texts.map(hashed_vector)
 
     spark.udf.register("embed_text", run)
-    spark.udtf.register("scan_segment", udtf(ScanSegment, returnType="keyword string, layer int, score double"))
 
 
 Scorer = Callable[[str], dict[str, float]]
@@ -127,14 +71,10 @@ def scored(df: DataFrame, text: str, scorer: Scorer, retries: int = 2) -> DataFr
 
 
 def weighted_score(value: Column | str, weight: Column | str) -> Column:
-    """Grouped aggregate: weighted mean, 0 without weight."""
-
-    @pandas_udf("double")
-    def run(v: pd.Series, w: pd.Series) -> float:
-        total = float(w.sum())
-        return float((v * w).sum() / total) if total else 0.0
-
-    return run(value, weight)
+    """Grouped aggregate: weighted mean, 0 without weight. Sums only, so it is combined before rows are shuffled."""
+    v, w = (F.col(c) if isinstance(c, str) else c for c in (value, weight))
+    total = F.sum(w)
+    return F.when(total != 0, F.sum(v * w) / total).otherwise(F.lit(0.0))
 
 
 def with_vectors(df: DataFrame, text: str, column: str = "e") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.catalog import query
 from tidemark.functions import columns as C, numerics as N, udfs as U
 from tidemark.functions.columns import r6
-from tidemark.operators import attention as A, curation as K, replicates as P, signals as G, simulation as S
+from tidemark.operators import attention as A, curation as K, hearing as H, replicates as P, signals as G, simulation as S
 from tidemark.plans.attention import _STAGES
 from tidemark.plans.bindings import ATT, AXIS, attention, axis, regime_sequence, table, vectors
 from tidemark.plans.series import _STATES, frame, states
@@ -38,21 +38,49 @@ def phase_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT p_partkey, regexp_replace(lower(p_brand || ' ' || p_name), '[^\p{L}\p{N}]+', '', 'g') AS plain FROM part")
 def plain_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names as the matcher hears them: letters and digits in lower case."""
-    return table(spark, sf_dir, "part").select("p_partkey", U.plain(F.concat_ws(" ", "p_brand", "p_name")).alias("plain"))
+    plain = F.regexp_replace(F.lower(F.concat_ws(" ", "p_brand", "p_name")), r"[^\p{L}\p{N}]+", "")
+    return table(spark, sf_dir, "part").select("p_partkey", plain.alias("plain"))
 
 
-_HEARD = ("the end", "that is", "or to")
+_HEARD = ("the and", "thonthe", "ationing", "einachich", "pour les", "mentelle", "queeau", "la ç", "LA CH", "thatat of the", "nich", "the")
 
 
-@query(rf"""WITH k(keyword) AS (VALUES {', '.join(f"('{w}')" for w in _HEARD)}) SELECT conv_id, turn, keyword FROM conversations, k
-WHERE contains(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', '', 'g'), replace(keyword, ' ', ''))""")
+def _less(text: str) -> str:
+    return f"list_transform(range(1, length({text}) + 1), lambda a: substr({text}, 1, (a - 1)::INT) || substr({text}, (a + 1)::INT))"
+
+
+def _pairs(text: str) -> str:
+    return f"list_transform(range(1, length({text})), lambda a: substr({text}, a::INT, 2))"
+
+
+#: Windows against keywords, each with each. A likeness over .85 leaves few ways: none missing, one missing and one added (7 characters or more), or
+#: an end of the window without one character (4 or more) or two (8).
+_HEARS = f"""k(keyword) AS (VALUES {', '.join(f"('{w}')" for w in _HEARD)}), c AS (SELECT conv_id, turn, text, length(text) AS n FROM conversations WHERE length(text) >= 2),
+w AS (SELECT conv_id, turn, keyword, i, substr(text, i + 1, length(keyword)) AS m FROM (SELECT *, unnest(range(0, n - length(keyword) + 1))::INT AS i FROM c JOIN k ON length(keyword) <= n)),
+near AS (SELECT * FROM (SELECT conv_id, turn, keyword, len(list_filter(range(1, length(keyword) + 1), lambda j: substr(lower(m), j::INT, 1) <> substr(lower(keyword), j::INT, 1))) AS d, i, m FROM w) WHERE d <= 1),
+v AS (SELECT conv_id, turn, n, i, substr(text, i + 1, 8) AS m FROM (SELECT *, unnest(range(0, greatest(1, n - 7)))::INT AS i FROM c)),
+p AS (SELECT conv_id, turn, keyword, i, m, CASE WHEN length(keyword) <= length(m) THEN keyword ELSE m END AS s, CASE WHEN length(keyword) <= length(m) THEN m ELSE keyword END AS t
+  FROM v JOIN k ON length(keyword) <= n AND list_has_any({_pairs('m')}, {_pairs('keyword')})),
+q AS (SELECT *, length(s) AS z, {_less('s')} AS less FROM p),
+r AS (SELECT conv_id, turn, keyword, i, m, greatest(CASE WHEN contains(t, s) THEN 1 ELSE 0 END,
+    CASE WHEN z >= 7 AND len(list_filter(range(1, length(t) - z + 2), lambda j: list_has_any(less, {_less('substr(t, j::INT, z::INT)')}))) > 0 THEN (z - 1) / z ELSE 0 END,
+    CASE WHEN z >= 4 AND (list_contains(less, t[1 : z - 1]) OR list_contains(less, t[length(t) - z + 2 :])) THEN 2 * (z - 1) / (2 * z - 1) ELSE 0 END,
+    CASE WHEN z >= 8 AND list_has_any(list_distinct(flatten(list_transform(less, lambda y: {_less('y')}))), [t[1 : z - 2], t[length(t) - z + 3 :]]) THEN 2 * (z - 2) / (2 * z - 2) ELSE 0 END)::DOUBLE AS r FROM q),
+h AS (SELECT conv_id, turn, keyword, CASE WHEN d = 0 THEN 1 ELSE 2 END AS layer, i AS place, m AS matched, CASE WHEN d = 0 THEN 1.0 ELSE 0.4 END::DOUBLE AS confidence FROM near
+  UNION ALL SELECT conv_id, turn, keyword, 3, i, substr(m, 1, length(keyword)), r * 0.6 FROM r WHERE r > 0.85),
+heard AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY conv_id, turn, keyword ORDER BY layer, place) = 1)"""
+
+
+def _heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spark.createDataFrame([(w,) for w in _HEARD], "keyword string")
+    return H.heard(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", words)
+
+
+@query(f"WITH {_HEARS} SELECT conv_id, turn, keyword, layer, place, matched, round(confidence, 4) AS confidence FROM heard")
 def heard_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keywords that a segment holds exactly, by the matcher's table function (its nearer layers find more)."""
-    scan = F.udtf(U.ScanSegment, returnType="keyword string, layer int, score double")
-    c = table(spark, sf_dir, "conversations").withColumn("words", F.array(*map(F.lit, _HEARD)))
-    c.createOrReplaceTempView("_segments")
-    spark.udtf.register("_scan_segment", scan)
-    return spark.sql("SELECT conv_id, turn, keyword FROM _segments, LATERAL _scan_segment(text, words) WHERE layer = 1")
+    """Keywords that the turns of all conversations hold: exactly, but for one slip, or mostly."""
+    h = _heard(spark, sf_dir)
+    return h.select("conv_id", "turn", "keyword", "layer", "place", "matched", F.round("confidence", 4).alias("confidence"))
 
 
 @query("SELECT p_partkey, CASE WHEN contains(p_name, 'bolt') THEN NULL ELSE length(p_name) / 100.0 END::DOUBLE AS length, CASE WHEN contains(p_name, 'bolt') THEN NULL ELSE len(string_split(p_name, ' ')) END::DOUBLE AS words FROM part")
@@ -144,11 +172,10 @@ def kept_stage_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(total, "month").select("month", "stage", "n", r6(F.col("n") / F.col("t")).alias("share"))
 
 
-@query(rf"""WITH k(keyword) AS (VALUES {', '.join(f"('{w}')" for w in _HEARD)}), h AS (SELECT keyword, least(turn // 2, 9) AS bin, count(*) AS level FROM conversations, k
-WHERE contains(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', '', 'g'), replace(keyword, ' ', '')) GROUP BY 1, 2), g AS (SELECT keyword, b AS bin FROM (SELECT DISTINCT keyword FROM h), range(10) AS r(b)), f AS (SELECT keyword, bin, coalesce(level, 0) AS level FROM g LEFT JOIN h USING (keyword, bin))
+@query(f"""WITH {_HEARS}, l AS (SELECT keyword, least(turn // 2, 9) AS bin, count(*) AS level FROM heard GROUP BY 1, 2), g AS (SELECT keyword, b AS bin FROM (SELECT DISTINCT keyword FROM heard), range(10) AS r(b)), f AS (SELECT keyword, bin, coalesce(level, 0) AS level FROM g LEFT JOIN l USING (keyword, bin))
 SELECT keyword, bin::INT AS bin, level::BIGINT AS level, round(avg(level) OVER (PARTITION BY keyword ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS smooth FROM f""")
 def keyword_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heard keywords over the course of the conversations, in bins of two turns, and the centred mean of three."""
-    h = heard_keywords(spark, sf_dir).select("keyword", F.least(F.col("turn"), F.lit(19)).alias("at"), F.lit(1).alias("one"))
+    h = _heard(spark, sf_dir).select("keyword", F.least(F.col("turn"), F.lit(19)).alias("at"), F.lit(1).alias("one"))
     t = G.binned(h, "keyword", "at", "one", 2, 10)
     return t.select("keyword", "bin", F.col("level").cast("bigint").alias("level"), r6(F.col("smooth")).alias("smooth"))
