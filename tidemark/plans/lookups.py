@@ -203,12 +203,13 @@ def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run of the capture job into its daily store, and what stands there then."""
     import uuid
 
-    from tidemark.plans.streams import _stream
+    from tidemark.plans.streams import _CAPTURED, _stream
     from tidemark.sources.tables import working_dir
+    from tidemark.streaming import store
 
     at = f"{working_dir(spark)}/capture-{uuid.uuid4().hex}"
     jobs.capture(_stream(spark, sf_dir), f"{at}/out", f"{at}/checkpoint")
-    return spark.read.parquet(f"{at}/out").groupBy(F.date_format("dt", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    return store.rows(spark, f"{at}/out", _CAPTURED).groupBy(F.date_format("dt", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
 # ledger

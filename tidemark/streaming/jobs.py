@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.streaming import store
+
 
 def source(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 4) -> DataFrame:
     """A directory of Parquet files as a stream, a few files each trigger."""
@@ -69,10 +71,6 @@ def run_available(df: DataFrame, write: Callable[[DataFrame, int], None], checkp
     return q
 
 
-def capture(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append-only sink partitioned by day."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        batch.withColumn("dt", F.to_date("ts")).write.mode("append").partitionBy("dt").parquet(path)
-
-    return run_available(stream, write, checkpoint)
+def capture(stream: DataFrame, path: str, checkpoint: str, name: str = "capture", time: str = "ts", mode: str = "append") -> StreamingQuery:
+    """Append-only sink partitioned by day (store.py): a batch that is replayed is there once. One name for each checkpoint."""
+    return run_available(stream, lambda batch, number: store.append(batch, number, path, name, time), checkpoint, mode)
