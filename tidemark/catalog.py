@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _loaded() -> None:
-    from tidemark.plans import attention, curation, formulas, kernels, landed, lookups, macro, matching, orbits, regimes, rules, semantic, series, signals, spread, streams, surface  # noqa: F401
+    from tidemark.plans import attention, chance, curation, formulas, kernels, landed, lookups, macro, matching, orbits, regimes, rules, semantic, series, signals, spread, streams, surface  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

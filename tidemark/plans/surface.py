@@ -148,13 +148,13 @@ def delay_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, [(t, *(round(float(v), 6) for v in r)) for t, r in enumerate(np.asarray(e))], "t int, x double, y double")
 
 
-@query(f"WITH {AXIS}, {_STATES}, m AS (SELECT t, label, lag(label) OVER (ORDER BY t) AS p, x FROM j) SELECT count(*) AS switches, round(avg(x), 6) AS mean_at_switches, round((SELECT avg(x) FROM j), 6) AS mean FROM m WHERE p <> label")
+@query(f"WITH {AXIS}, {_STATES}, m AS (SELECT t, label, lead(label) OVER (ORDER BY t) AS p, x FROM j) SELECT count(*) AS switches, round(avg(x), 6) AS mean_at_switches, round((SELECT avg(x) FROM j), 6) AS mean FROM m WHERE p <> label")
 def axis_at_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The observed side of the permutation test: the axis where regimes switch, beside its mean."""
     from pyspark.sql import Window
 
     j = axis(spark, sf_dir).join(regime_sequence(spark, sf_dir).select("month", "label"), "month")
-    w = j.withColumn("p", F.lag("label").over(Window.partitionBy(F.lit(0)).orderBy("t")))
+    w = j.withColumn("p", F.lead("label").over(Window.partitionBy(F.lit(0)).orderBy("t")))
     at = w.filter("p <> label").agg(F.count("*").alias("switches"), r6(F.avg("x")).alias("mean_at_switches"))
     return at.join(j.agg(r6(F.avg("x")).alias("mean")))
 
