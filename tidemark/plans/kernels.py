@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.catalog import query
 from tidemark.functions import numerics as N
-from tidemark.operators import indicators as I, replicates as R, simulation as S
+from tidemark.operators import components as C, indicators as I, replicates as R, simulation as S
 from tidemark.plans.bindings import attention, axis, regime_sequence, table, vectors
 
 
@@ -18,6 +18,13 @@ def _wide(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, list[str]]:
     return R.matrix(w, "month", keys), keys
 
 
+def month_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """(month, v): an entry for each name in the table of nations, in the order of their keys."""
+    keys = [r["n_name"] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").collect()]
+    place = F.array_position(F.array(*map(F.lit, keys)), F.col("keyword")).cast("int") - 1
+    return C.wide(attention(spark, sf_dir).withColumn("i", place), "month", "i", "value", len(keys)), keys
+
+
 def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame([tuple(v.item() if isinstance(v, np.generic) else v for v in r) for r in rows], schema)
 
@@ -25,10 +32,9 @@ def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 @query()
 def state_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components for 90, 95 and 99 % of the variance of the standardised keyword matrix."""
-    x, _ = _wide(spark, sf_dir)
-    ratio = N.pca(N.standardised(x))[2]
-    d = N.dimensions(ratio)
-    return _frame(spark, [(len(x), x.shape[1], *d, round(float(ratio[0]), 6))], "n int, features int, d90 int, d95 int, d99 int, first double")
+    rows, keys = month_vectors(spark, sf_dir)
+    b = C.bases(rows, "v")[0]
+    return _frame(spark, [(b.n, len(keys), *b.dimensions(0.9, 0.95, 0.99), round(float(b.shares[0]), 6))], "n int, features int, d90 int, d95 int, d99 int, first double")
 
 
 @query()

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.catalog import query
 from tidemark.functions import numerics as N
 from tidemark.functions.columns import r6
-from tidemark.operators import attention as A, indicators as I, replicates as P, validation as V
+from tidemark.operators import attention as A, components as C, indicators as I, replicates as P, validation as V
 from tidemark.plans.attention import _STAGES
-from tidemark.plans.bindings import ATT, AXIS, attention, axis
-from tidemark.plans.kernels import _wide, indicator_states
+from tidemark.plans.bindings import ATT, AXIS, attention, axis, vectors
+from tidemark.plans.kernels import indicator_states, month_vectors
 from tidemark.plans.series import _STATES, frame, states
 
 _AXIS = AXIS[len(ATT) + 1 :]
@@ -77,10 +77,30 @@ f AS (SELECT v, l FROM p WHERE n = 4000), s AS (SELECT v, l, CASE WHEN list_max(
 SELECT keyword, round(sg * v[i], 4) + 0.0 AS loading, round(l / trace, 5) AS share FROM s, m, k""")
 def leading_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loadings of the standardised keywords on the first component, and its share of the variance."""
-    x, keys = _wide(spark, sf_dir)
-    _, comp, ratio = N.pca(N.standardised(x))
-    c = comp[0] * (1 if comp[0].max() >= -comp[0].min() else -1)
-    return frame(spark, [(k, round(float(v), 4) + 0.0, round(float(ratio[0]), 5)) for k, v in zip(keys, c, strict=True)], "keyword string, loading double, share double")
+    rows, keys = month_vectors(spark, sf_dir)
+    b = C.bases(rows, "v")[0]
+    c = b.components[0] * (1 if b.components[0].max() >= -b.components[0].min() else -1)
+    return frame(spark, [(k, round(float(v), 4) + 0.0, round(float(b.shares[0]), 5)) for k, v in zip(keys, c, strict=True)], "keyword string, loading double, share double")
+
+
+@query("""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT vec_id, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM v), a AS (SELECT i, avg(x) AS m FROM d GROUP BY i),
+z AS (SELECT vec_id, d.i, x - m AS z FROM d JOIN a USING (i)), c AS (SELECT a.i, b.i AS j, avg(a.z * b.z) AS c FROM z a JOIN z b USING (vec_id) GROUP BY 1, 2),
+m AS (SELECT list(r ORDER BY i) AS m, sum(tr) AS trace FROM (SELECT i, list(c ORDER BY j) AS r, sum(c) FILTER (i = j) AS tr FROM c GROUP BY i))
+SELECT i::INT AS i, j::INT AS j, round(c, 6) + 0.0 AS covariance, round(trace, 5) AS total FROM c, m WHERE i <= j""")
+def embedding_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariances of the embeddings' entries, from one aggregation of their products."""
+    b = C.bases(vectors(spark, sf_dir), "e", scaled=False)[0]
+    q, total = b.matrix, round(float(b.matrix.trace()), 5)
+    return frame(spark, [(i + 1, j + 1, round(float(q[i, j]), 6) + 0.0, total) for i in range(len(q)) for j in range(i, len(q))], "i int, j int, covariance double, total double")
+
+
+@query()
+def embedding_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's first three components. A test holds them against a singular value decomposition."""
+    v = vectors(spark, sf_dir)
+    b = C.bases(v, "e", scaled=False)[0]
+    s = v.select("vec_id", C.scores("e", b, 3).alias("s"))
+    return s.select("vec_id", *(F.col("s")[i].alias(f"z{i + 1}") for i in range(3)))
 
 
 _DENSE = f"""{AXIS}, {_STATES}, n AS (SELECT t, label, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x, (z - avg(z) OVER ()) / stddev_pop(z) OVER () AS z FROM j),
