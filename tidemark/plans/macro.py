@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.catalog import query
 from tidemark.functions import numerics as N
 from tidemark.functions.columns import r6
-from tidemark.operators import attention as A, components as C, indicators as I, replicates as P, validation as V
+from tidemark.operators import attention as A, components as C, hierarchy as H, indicators as I, replicates as P, validation as V
 from tidemark.plans.attention import _STAGES
 from tidemark.plans.bindings import ATT, AXIS, attention, axis, vectors
 from tidemark.plans.kernels import indicator_states, month_vectors
@@ -103,6 +103,21 @@ def embedding_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("vec_id", *(F.col("s")[i].alias(f"z{i + 1}") for i in range(3)))
 
 
+@query()
+def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ward's clusters of all embeddings: silhouette and inertia for each number of clusters from 2 to 12. Tests hold it against plain loops."""
+    return H.sweep(vectors(spark, sf_dir), "vec_id", "e")
+
+
+@query()
+def blind_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far Ward's clusters of the embeddings, as many as there are labels, agree with the labels: all five indices."""
+    v = vectors(spark, sf_dir)
+    k = v.select("label").distinct().count()
+    found = v.select("vec_id", "label").join(H.cut(H.ward(v, "vec_id", "e"), v, "vec_id", k), "vec_id")
+    return V.agreement(found, "label", "cluster").select(*(F.round(c, 6).alias(c) for c in ("ari", "nmi", "homogeneity", "completeness", "v")))
+
+
 _DENSE = f"""{AXIS}, {_STATES}, n AS (SELECT t, label, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x, (z - avg(z) OVER ()) / stddev_pop(z) OVER () AS z FROM j),
 e AS (SELECT a.t AS i, b.t AS j FROM n a, n b WHERE sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 0.45), core AS (SELECT i FROM e GROUP BY i HAVING count(*) >= 5),
 ce AS (SELECT e.i, e.j FROM e WHERE e.i IN (SELECT i FROM core) AND e.j IN (SELECT i FROM core)), r AS (SELECT i AS a, i AS b FROM core UNION SELECT r.a, ce.j FROM r JOIN ce ON r.b = ce.i),
