@@ -123,7 +123,7 @@ def curve_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def crowd_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.range(24).select("id", (0.02 + F.col("id") % 8 * 0.05).alias("contagion"), (F.floor(F.col("id") / 8) * 0.4).cast("double").alias("chaos"), (F.col("id") % 2 == 0).alias("scale_free"), F.col("id").alias("seed"))
+    c = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id")).select("id", (0.02 + F.col("id") % 8 * 0.05).alias("contagion"), (F.floor(F.col("id") / 8) % 3 * 0.4).cast("double").alias("chaos"), (F.col("id") % 2 == 0).alias("scale_free"), F.col("id").alias("seed"))
     return S.crowds(c.repartition(8))
 
 

@@ -242,6 +242,9 @@ def ledger_by_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.by_grade(ledger_rows(spark, sf_dir)).select("grade", "n", "free", r6(F.col("mean")).alias("mean"))
 
 
-@query("SELECT * FROM (VALUES ('attention', 'monthly volume', 'relative'), ('headlines', 'hourly ranks', 'absolute'), ('narratives', 'extracted text', 'interpretive')) AS t(source, frame, scale)")
+@query("""SELECT source, frame, scale, n FROM (VALUES ('attention', 'monthly volume', 'relative'), ('headlines', 'hourly ranks', 'absolute'), ('narratives', 'extracted text', 'interpretive')) AS t(source, frame, scale)
+JOIN (SELECT 'attention' AS source, count(*) AS n FROM orders UNION ALL SELECT 'headlines', count(*) FROM events UNION ALL SELECT 'narratives', count(*) FROM documents) USING (source)""")
 def operator_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.operator_registry(spark)
+    """The sources with what they can say, and how many rows of each there are."""
+    rows = [table(spark, sf_dir, t).agg(F.lit(s).alias("source"), F.count("*").alias("n")) for s, t in (("attention", "orders"), ("headlines", "events"), ("narratives", "documents"))]
+    return L.operator_registry(spark).join(rows[0].unionByName(rows[1]).unionByName(rows[2]), "source").select("source", "frame", "scale", "n")

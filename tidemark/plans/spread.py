@@ -44,35 +44,40 @@ o AS (SELECT sp.id, r0, peak, total, entropy, min(k) FILTER (i = peak) * {_H} AS
   CASE WHEN first_on IS NULL THEN 'never' WHEN last_on = 999 THEN 'endemic' ELSE 'died' END AS status, CASE WHEN last_on < 999 THEN last_on * {_H} END AS ended FROM sp JOIN y USING (id) GROUP BY ALL)"""
 
 
-_GRID = "SELECT range AS id, 0.05 + floor(range / 5) * 0.08 AS beta, 0.05 + range % 5 * 0.05 AS gamma, 0.0::DOUBLE AS sigma, 0.0::DOUBLE AS mu FROM range(60)"
+#: The suppliers as configurations of a sweep: their keys say which.
+_GRID = "SELECT s_suppkey AS id, 0.05 + floor(s_suppkey / 5) % 12 * 0.08 AS beta, 0.05 + s_suppkey % 5 * 0.05 AS gamma, 0.0::DOUBLE AS sigma, 0.0::DOUBLE AS mu FROM supplier"
 _MEASURES = ("r0", "peak", "peak_day", "total", "duration", "entropy")
 
 
+def configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("id"))
+
+
 @query(f"WITH RECURSIVE {spread_sql(_GRID)} SELECT id, {', '.join(f'round({m}::DOUBLE, 6) AS {m}' for m in _MEASURES)}, status FROM o")
 def outbreak_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contact by recovery rate, 12 x 5."""
-    grid = spark.range(60).select("id", (0.05 + F.floor(F.col("id") / 5) * 0.08).cast("double").alias("beta"), (0.05 + F.col("id") % 5 * 0.05).alias("gamma"), F.lit(0.0).alias("sigma"), F.lit(0.0).alias("mu"))
+    grid = configurations(spark, sf_dir).select("id", (0.05 + F.floor(F.col("id") / 5) % 12 * 0.08).cast("double").alias("beta"), (0.05 + F.col("id") % 5 * 0.05).alias("gamma"), F.lit(0.0).alias("sigma"), F.lit(0.0).alias("mu"))
     return S.outbreaks(grid.repartition(8)).select("id", *(r6(F.col(m)).alias(m) for m in _MEASURES), "status")
 
 
-_SWEEP = "SELECT range AS id, range * 0.1 + 0.05 AS beta, 0.1::DOUBLE AS gamma, 0.0::DOUBLE AS sigma, 0.0::DOUBLE AS mu FROM range(40)"
+_SWEEP = "SELECT s_suppkey AS id, s_suppkey % 40 * 0.1 + 0.05 AS beta, 0.1::DOUBLE AS gamma, 0.0::DOUBLE AS sigma, 0.0::DOUBLE AS mu FROM supplier"
 
 
 @query(f"WITH RECURSIVE {spread_sql(_SWEEP)} SELECT id, round(r0::DOUBLE, 6) AS r0, round(peak, 6) AS peak, r0 > 1 AS spreads FROM o")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks over a range of reproduction numbers: they rise with it, and spread begins at one."""
-    grid = spark.range(40).select("id", (F.col("id") * 0.1 + 0.05).alias("beta"), F.lit(0.1).alias("gamma"), F.lit(0.0).alias("sigma"), F.lit(0.0).alias("mu"))
+    grid = configurations(spark, sf_dir).select("id", (F.col("id") % 40 * 0.1 + 0.05).alias("beta"), F.lit(0.1).alias("gamma"), F.lit(0.0).alias("sigma"), F.lit(0.0).alias("mu"))
     return S.outbreaks(grid.repartition(8)).select("id", r6(F.col("r0")).alias("r0"), r6(F.col("peak")).alias("peak"), (F.col("r0") > 1).alias("spreads"))
 
 
-_ENDEMIC = "SELECT range AS id, 0.1 + (range % 6) * 0.12 AS beta, 0.1::DOUBLE AS gamma, floor(range / 12) * 0.015 AS sigma, floor(range / 6) % 2 * 0.1 AS mu FROM range(48)"
+_ENDEMIC = "SELECT s_suppkey AS id, 0.1 + (s_suppkey % 6) * 0.12 AS beta, 0.1::DOUBLE AS gamma, floor(s_suppkey / 12) % 4 * 0.015 AS sigma, floor(s_suppkey / 6) % 2 * 0.1 AS mu FROM supplier"
 
 
 @query(f"WITH RECURSIVE {spread_sql(_ENDEMIC)} SELECT id, round(peak, 6) AS peak, round(total, 6) AS total, round(birth, 6) AS birth, round(ended, 6) AS ended, status FROM o")
 def endemic_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With loss of immunity and mutation feedback: when a meme is born, and whether it ends."""
     k = F.col("id")
-    grid = spark.range(48).select("id", (0.1 + k % 6 * 0.12).alias("beta"), F.lit(0.1).alias("gamma"), (F.floor(k / 12) * 0.015).cast("double").alias("sigma"), (F.floor(k / 6) % 2 * 0.1).cast("double").alias("mu"))
+    grid = configurations(spark, sf_dir).select("id", (0.1 + k % 6 * 0.12).alias("beta"), F.lit(0.1).alias("gamma"), (F.floor(k / 12) % 4 * 0.015).cast("double").alias("sigma"), (F.floor(k / 6) % 2 * 0.1).cast("double").alias("mu"))
     return S.outbreaks(grid.repartition(8)).select("id", r6(F.col("peak")).alias("peak"), r6(F.col("total")).alias("total"), r6(F.col("birth")).alias("birth"), r6(F.col("ended")).alias("ended"), "status")
 
 
@@ -91,27 +96,27 @@ def spread_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TWO = {"sc": "-beta * {sc} * {ic}", "ic": "beta * {sc} * {ic} - gamma * {ic}", "rc": "gamma * {ic}",
         "sm": "-(mass * {sm} * {im} + across * {sm} * {ic})", "im": "mass * {sm} * {im} + across * {sm} * {ic} - gamma * {im}", "rm": "gamma * {im}"}
-_TWO_START = "SELECT range AS id, 0.5::DOUBLE AS beta, 0.15::DOUBLE AS mass, 0.1::DOUBLE AS gamma, 0.02 + range * 0.03 AS across, 0.99::DOUBLE AS sc, 0.01::DOUBLE AS ic, 0.0::DOUBLE AS rc, 1.0::DOUBLE AS sm, 0.0::DOUBLE AS im, 0.0::DOUBLE AS rm FROM range(12)"
+_TWO_START = "SELECT s_suppkey AS id, 0.5::DOUBLE AS beta, 0.15::DOUBLE AS mass, 0.1::DOUBLE AS gamma, 0.02 + s_suppkey % 12 * 0.03 AS across, 0.99::DOUBLE AS sc, 0.01::DOUBLE AS ic, 0.0::DOUBLE AS rc, 1.0::DOUBLE AS sm, 0.0::DOUBLE AS im, 0.0::DOUBLE AS rm FROM supplier"
 
 
 @query(f"""WITH RECURSIVE {_steps(_TWO, 'beta, mass, gamma, across', _TWO_START)}, p AS (SELECT id, max(ic) AS core_peak, max(im) AS mass_peak FROM y GROUP BY id)
 SELECT id, round(core_peak, 6) AS core_peak, round(mass_peak, 6) AS mass_peak, round(min(k) FILTER (ic = core_peak) * {_H}, 6) AS core_day, round(min(k) FILTER (im = mass_peak) * {_H}, 6) AS mass_day FROM p JOIN y USING (id) GROUP BY id, core_peak, mass_peak""")
 def two_population_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A core and the mass it spills over to, by the strength of the spill: the core peaks first."""
-    c = spark.range(12).select("id", F.lit(0.5).alias("beta"), F.lit(0.15).alias("mass"), F.lit(0.1).alias("gamma"), (0.02 + F.col("id") * 0.03).alias("across"))
+    c = configurations(spark, sf_dir).select("id", F.lit(0.5).alias("beta"), F.lit(0.15).alias("mass"), F.lit(0.1).alias("gamma"), (0.02 + F.col("id") % 12 * 0.03).alias("across"))
     return S.two_populations(c.repartition(4)).select("id", *(r6(F.col(x)).alias(x) for x in ("core_peak", "mass_peak", "core_day", "mass_day")))
 
 
-_NEAR = "SELECT range AS id, 0.15 + range % 5 * 0.1 AS beta, 0.1::DOUBLE AS gamma, 0.01::DOUBLE AS sigma, 0.0::DOUBLE AS mu FROM range(10)"
-_NEAR_START = f"SELECT id, beta, gamma, sigma, mu, 1 - i AS s, i, 0.0::DOUBLE AS r FROM (SELECT *, CASE WHEN id < 5 THEN 0.001 ELSE 0.0011 END::DOUBLE AS i FROM ({_NEAR}))"
+_NEAR = "SELECT 2 * s_suppkey + later AS id, 0.15 + s_suppkey % 5 * 0.1 AS beta, 0.1::DOUBLE AS gamma, 0.01::DOUBLE AS sigma, 0.0::DOUBLE AS mu FROM supplier, range(2) AS r(later)"
+_NEAR_START = f"SELECT id, beta, gamma, sigma, mu, 1 - i AS s, i, 0.0::DOUBLE AS r FROM (SELECT *, CASE WHEN id % 2 = 0 THEN 0.001 ELSE 0.0011 END::DOUBLE AS i FROM ({_NEAR}))"
 
 
 @query(f"""WITH RECURSIVE {_steps(_FIELD, 'beta, gamma, sigma, mu', _NEAR_START)},
-d AS (SELECT a.id, a.k, sqrt((a.s - b.s) ** 2 + (a.i - b.i) ** 2 + (a.r - b.r) ** 2) AS d FROM y a JOIN y b ON b.id = a.id + 5 AND a.k = b.k WHERE a.id < 5)
+d AS (SELECT a.id // 2 AS id, a.k, sqrt((a.s - b.s) ** 2 + (a.i - b.i) ** 2 + (a.r - b.r) ** 2) AS d FROM y a JOIN y b ON b.id = a.id + 1 AND a.k = b.k WHERE a.id % 2 = 0)
 SELECT id, round(ln(max(d) FILTER (k = 999) / max(d) FILTER (k = 0)) / 200, 6) AS rate FROM d GROUP BY id""")
 def divergence_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean log growth of the distance between two runs that start a little apart."""
-    c = spark.range(5).select("id", (0.15 + F.col("id") * 0.1).alias("beta"), F.lit(0.1).alias("gamma"), F.lit(0.01).alias("sigma"))
+    c = configurations(spark, sf_dir).select("id", (0.15 + F.col("id") % 5 * 0.1).alias("beta"), F.lit(0.1).alias("gamma"), F.lit(0.01).alias("sigma"))
     return S.divergences(c, 0.001, 0.0011).select("id", r6(F.col("rate")).alias("rate"))
 
 

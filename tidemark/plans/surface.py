@@ -96,15 +96,16 @@ def injected_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("p_partkey", F.try_element_at("scores", F.lit("length")).alias("length"), F.try_element_at("scores", F.lit("words")).alias("words"))
 
 
-_AGENTS = "ag AS (SELECT range AS id, -0.6 + range * 0.1::DOUBLE AS lean, 0.1 + range % 5 * 0.2::DOUBLE AS openness, 0.4 + range % 4 * 0.15::DOUBLE AS memory FROM range(13))"
+_AGENTS = "ag AS (SELECT s_suppkey AS id, -0.6 + s_suppkey % 13 * 0.1::DOUBLE AS lean, 0.1 + s_suppkey % 5 * 0.2::DOUBLE AS openness, 0.4 + s_suppkey % 4 * 0.15::DOUBLE AS memory FROM supplier)"
 _EVENTS = "ev AS (SELECT range + 1 AS k, ((range * 37) % 21 - 10) / 10.0::DOUBLE AS v FROM range(40))"
 _PATHS = f"""{_AGENTS}, {_EVENTS}, pa AS (SELECT id, 0 AS k, lean AS x, lean, openness, memory FROM ag UNION ALL
   SELECT id, pa.k + 1, least(greatest(memory * x + (1 - memory) * lean + openness * (v - x) * 0.2, -1), 1), lean, openness, memory FROM pa JOIN ev ON ev.k = pa.k + 1)"""
 
 
-def agents(spark: SparkSession) -> DataFrame:
+def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers as agents: their keys say what they are like."""
     k = F.col("id")
-    return spark.range(13).select("id", (-0.6 + k * 0.1).alias("lean"), (0.1 + k % 5 * 0.2).alias("openness"), (0.4 + k % 4 * 0.15).alias("memory"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("id")).select("id", (-0.6 + k % 13 * 0.1).alias("lean"), (0.1 + k % 5 * 0.2).alias("openness"), (0.4 + k % 4 * 0.15).alias("memory"))
 
 
 EVENTS = [((i * 37) % 21 - 10) / 10.0 for i in range(40)]
@@ -113,13 +114,13 @@ EVENTS = [((i * 37) % 21 - 10) / 10.0 for i in range(40)]
 @query(f"WITH RECURSIVE {_PATHS} SELECT id, k::INT AS step, round(x, 6) + 0.0 AS x FROM pa WHERE k > 0")
 def agent_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agents' leanings under a row of events, without noise."""
-    return S.agent_paths(agents(spark), EVENTS).select("id", "step", (F.round("x", 6) + F.lit(0.0)).alias("x"))
+    return S.agent_paths(agents(spark, sf_dir), EVENTS).select("id", "step", (F.round("x", 6) + F.lit(0.0)).alias("x"))
 
 
 @query(f"WITH RECURSIVE {_PATHS} SELECT a.id, round(avg((a.x - b.x) ** 2), 6) AS loss FROM pa a JOIN pa b ON b.id = 6 AND a.k = b.k WHERE a.k > 0 GROUP BY a.id")
 def agent_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean squared distance of each agent's path to an observed one."""
-    paths = S.agent_paths(agents(spark), EVENTS)
+    paths = S.agent_paths(agents(spark, sf_dir), EVENTS)
     seen = paths.filter("id = 6").select("step", F.col("x").alias("y"))
     return paths.join(seen, "step").groupBy("id").agg(r6(F.avg((F.col("x") - F.col("y")) ** 2)).alias("loss"))
 
