@@ -71,3 +71,25 @@ def test_catalogue(spark):
     assert p == [0.4]
     r = spark.createDataFrame([("a", [(1.0,), (5.0,)]), ("b", [(9.0,)])], "name string, nodes array<struct<r0:double>>")
     assert [x["name"] for x in C.ranked_by(r, "r0").collect()] == ["b", "a"]
+
+
+def test_windows_over_few_keys_are_cut_into_ranges(spark):
+    import random
+
+    from tidemark.operators import signals, windows
+
+    draw = random.Random(5)
+    rows = [("hot" if draw.random() < 0.9 else f"k{draw.randint(0, 3)}", draw.randint(0, 400), i, draw.choice([0, 1, 2, None])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, ts int, event_id int, platform int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or the few rows would be one part
+    by = {}
+    for r in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        by.setdefault(r[0], []).append(r)
+    got = {r["event_id"]: r["next"] for r in signals.platform_sequences(df, "k", ["ts", "event_id"]).collect()}
+    assert got == {a[2]: (b[3] if b else None) for own in by.values() for a, b in zip(own, [*own[1:], None])}
+    got = {r["event_id"]: (r["i"], r["n"]) for r in windows.placed(df, "k", ["ts", "event_id"]).collect()}
+    assert got == {r[2]: (i, len(own)) for own in by.values() for i, r in enumerate(own)}
+    parts = windows.ranged(df, "k", ["ts", "event_id"]).groupBy("_part").count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 0.7 * len(rows)  # the hot key is in several parts
+    assert signals.platform_sequences(df.limit(0), "k", ["ts", "event_id"]).count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

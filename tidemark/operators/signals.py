@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.columns import clip
+from tidemark.operators.windows import following, placed
 
 
 def best_rank(df: DataFrame, by: list[str], rank: str = "rank", tie: str = "event_id") -> DataFrame:
@@ -20,8 +21,8 @@ def summary(df: DataFrame, by: str) -> DataFrame:
 
 
 def platform_sequences(df: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """Adds the next platform in each key's events, in time order."""
-    return df.withColumn("next", F.lead("platform").over(Window.partitionBy(by).orderBy(*order)))
+    """Adds the next platform in each key's events, in time order; no task holds a key's whole history."""
+    return following(df, by, order, "platform")
 
 
 def platform_transitions(df: DataFrame, by: str, order: list[str]) -> DataFrame:
@@ -32,8 +33,7 @@ def platform_transitions(df: DataFrame, by: str, order: list[str]) -> DataFrame:
 
 def flow_patterns(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     """Per key with two events or more: entry platform, distinct platforms of either half, those new in the second, expanding or not."""
-    w = Window.partitionBy(by)
-    seq = df.withColumn("i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count("*").over(w)).filter("n >= 2")
+    seq = placed(df, by, order).filter("n >= 2")
     first = F.col("i") < F.floor(F.col("n") / 2)
     halves = seq.groupBy(by).agg(
         F.min_by("platform", "i").alias("entry"), F.sort_array(F.collect_set(F.when(first, F.col("platform")))).alias("early"),

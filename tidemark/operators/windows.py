@@ -147,3 +147,37 @@ def category_entropy(df: DataFrame, by: str, category: str, weight: str) -> Data
 def at_places(df: DataFrame, order: str, places: list[int]) -> DataFrame:
     """The rows of a series at the given places."""
     return df.filter(F.col(order).isin(*places))
+
+
+def ranged(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """df with ``_part``: rows dealt by ranges of (by, order), so that a key with most of the rows spans many parts. A table of its own: the parts stay
+    as they are. order must tell a key's rows apart."""
+    import uuid
+
+    from tidemark.sources.tables import working_dir
+
+    spark = df.sparkSession
+    at = f"{working_dir(spark)}/ranged-{uuid.uuid4().hex}"
+    dealt = df.repartitionByRange(by, *order).withColumn("_part", F.spark_partition_id())
+    dealt.write.parquet(at)
+    return spark.read.schema(dealt.schema).parquet(at)
+
+
+def placed(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """df with each row's place among its key's rows (``i``, from 0) and their number (``n``), counted part by part."""
+    r = ranged(df, by, order)
+    sizes = r.groupBy(by, "_part").agg(F.count("*").alias("_c"))  # a row for each key and part
+    w = Window.partitionBy(by).orderBy("_part")
+    before = sizes.select(by, "_part", (F.sum("_c").over(w) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy(by)).alias("n"))
+    own = F.row_number().over(Window.partitionBy("_part", by).orderBy(*order)) - 1
+    return r.withColumn("_own", own).join(before, [by, "_part"]).withColumn("i", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
+def following(df: DataFrame, by: str, order: list[str], column: str, name: str = "next") -> DataFrame:
+    """df with the ``column`` of the key's next row: inside a part by a window, at its end the first row of the key's next part."""
+    r = ranged(df, by, order)
+    w = Window.partitionBy("_part", by).orderBy(*order)
+    firsts = r.groupBy(by, "_part").agg(F.min_by(column, F.struct(*order)).alias("_first"))  # a row for each key and part
+    carried = firsts.select(by, "_part", F.lead("_first").over(Window.partitionBy(by).orderBy("_part")).alias("_carried"))
+    inside = r.withColumn("_inside", F.lead(F.struct(F.col(column).alias("v"))).over(w))
+    return inside.join(carried, [by, "_part"]).withColumn(name, F.when(F.col("_inside").isNotNull(), F.col("_inside.v")).otherwise(F.col("_carried"))).drop("_part", "_inside", "_carried")
