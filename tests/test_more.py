@@ -93,3 +93,24 @@ def test_windows_over_few_keys_are_cut_into_ranges(spark):
     assert len(parts) > 1 and max(r["count"] for r in parts) < 0.7 * len(rows)  # the hot key is in several parts
     assert signals.platform_sequences(df.limit(0), "k", ["ts", "event_id"]).count() == 0
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_first_rows_of_each_key_and_projections_beside_nodes(spark):
+    import random
+
+    from tidemark.operators import semantic, windows
+
+    draw = random.Random(9)
+    rows = [("hot" if i % 4 else f"k{i % 8}", draw.random(), i) for i in range(2000)]
+    got = {(r["k"], r["rank"]): r["i"] for r in windows.first_of_each(spark.createDataFrame(rows, "k string, x double, i int"), ["k"], ["x", "i"], 7, 8).collect()}
+    by = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[2])):
+        by.setdefault(r[0], []).append(r[2])
+    assert got == {(k, n + 1): i for k, own in by.items() for n, i in enumerate(own[:7])}
+    q = spark.createDataFrame([(i, [draw.gauss(0, 1) for _ in range(4)], i % 5) for i in range(60)], "id int, e array<double>, label int")
+    nodes = spark.createDataFrame([(j, [draw.gauss(0, 1) for _ in range(4)]) for j in range(5)] + [(7, [0.0] * 4)], "node int, v array<double>")
+    near = lambda rs: [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in sorted(rs)]
+    assert near(semantic.project(q, nodes).collect()) == near(semantic.project(q, nodes, most=0).collect())
+    assert tuple(semantic.retrieval(q, nodes, "label").first()) == tuple(semantic.retrieval(q, nodes, "label", most=0).first())
+    assert semantic.project(q, nodes.limit(0)).count() == 0
+    assert "Exchange hash" not in semantic.project(q, nodes)._jdf.queryExecution().executedPlan().toString()

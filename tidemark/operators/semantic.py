@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.columns import cosine, distance, norm
+from tidemark.functions.columns import cosine, distance, entropy_term, let, norm, vsum
 from tidemark.operators.matching import in_blocks
 
+#: Nodes up to which they stand beside each query in its row.
+STATED = 1000
+
 
 def long_form(df: DataFrame, keep: list[str], e: str = "e") -> DataFrame:
     return df.select(*keep, F.posexplode(e).alias("i", "x"))
@@ -104,15 +107,35 @@ def similarities(queries: DataFrame, nodes: DataFrame, by: list[str] | None = No
     return against(queries, nodes).groupBy(*(by or []), "node").agg(F.avg("cos").alias("mean_sim"), F.max("cos").alias("max_sim"), F.count_if(F.col("cos") > 0.5).alias("n_hits"))
 
 
-def project(queries: DataFrame, nodes: DataFrame, temperature: float = 0.1, noise: float = 0.30, ambiguous: float = 0.03) -> DataFrame:
-    """(id, best, top, gap, entropy, active, confidence, status): softmax over the cosines to the nodes, with two guards."""
-    w = Window.partitionBy("id")
-    s = against(queries, nodes)
-    s = s.withColumn("z", F.exp((F.col("cos") - F.max("cos").over(w)) / temperature)).withColumn("p", F.col("z") / F.sum("z").over(w))
-    g = s.groupBy("id").agg(
-        F.max(F.struct("cos", (-F.col("node")).alias("k"))).alias("t"), F.slice(F.sort_array(F.collect_list("cos"), False), 1, 2).alias("two"),
-        F.sum(F.when(F.col("p") > 0, -F.col("p") * F.ln("p")).otherwise(0.0)).alias("entropy"), F.count_if(F.col("p") > 0.01).alias("active"),
-    )
+def beside(queries: DataFrame, nodes: DataFrame, most: int = STATED) -> DataFrame | None:
+    """The queries with all nodes, and the cosine to each, in an array ``_s`` of struct(cos, k): k is the node's negative, so the largest entry is the best
+    node, the lowest name on a tie. None where there are more than ``most`` nodes: then they don't go to all tasks."""
+    if nodes.limit(most + 1).count() > most:
+        return None
+    all_ = nodes.agg(F.collect_list(F.struct("node", "v")).alias("_nodes"))
+    s = F.transform("_nodes", lambda n: F.struct(cosine(F.col("e"), n["v"]).alias("cos"), (-n["node"]).alias("k")))
+    return queries.join(F.broadcast(all_)).withColumn("_s", s).drop("_nodes")
+
+
+def project(queries: DataFrame, nodes: DataFrame, temperature: float = 0.1, noise: float = 0.30, ambiguous: float = 0.03, most: int = STATED) -> DataFrame:
+    """(id, best, top, gap, entropy, active, confidence, status): softmax over the cosines to the nodes, with two guards. While there are ``most`` nodes at most,
+    everything about a query happens in its row."""
+    s = beside(queries, nodes, most)
+    if s is not None:
+        top = F.array_max("_s")
+        cos = F.transform("_s", lambda x: x["cos"])
+        z = lambda c: F.transform(c, lambda x: F.exp((x - F.array_max(c)) / temperature))
+        shares = let(z(cos), lambda v: let(vsum(v), lambda total: F.transform(v, lambda x: x / total)))
+        s = s.filter(F.size("_s") > 0).select("id", top.alias("_t"), F.slice(F.sort_array(cos, False), 1, 2).alias("two"), shares.alias("_p"))
+        g = s.select("id", F.col("_t").alias("t"), "two", vsum(F.transform("_p", entropy_term)).alias("entropy"), F.size(F.filter("_p", lambda p: p > 0.01)).cast("bigint").alias("active"))
+    else:
+        w = Window.partitionBy("id")
+        s = against(queries, nodes)
+        s = s.withColumn("z", F.exp((F.col("cos") - F.max("cos").over(w)) / temperature)).withColumn("p", F.col("z") / F.sum("z").over(w))
+        g = s.groupBy("id").agg(
+            F.max(F.struct("cos", (-F.col("node")).alias("k"))).alias("t"), F.slice(F.sort_array(F.collect_list("cos"), False), 1, 2).alias("two"),
+            F.sum(F.when(F.col("p") > 0, -F.col("p") * F.ln("p")).otherwise(0.0)).alias("entropy"), F.count_if(F.col("p") > 0.01).alias("active"),
+        )
     top, gap = F.col("t.cos"), F.col("two")[0] - F.coalesce(F.get("two", F.lit(1)), F.lit(0.0))
     g = g.select("id", (-F.col("t.k")).alias("best"), top.alias("top"), gap.alias("gap"), "entropy", "active")
     level = F.when((F.col("top") > 0.55) & (F.col("gap") > 0.06), "HIGH").when((F.col("top") > 0.40) & (F.col("gap") > 0.03), "MEDIUM").otherwise("LOW")
@@ -126,10 +149,16 @@ def assessed(projected: DataFrame) -> DataFrame:
     return projected.withColumn("state", state)
 
 
-def retrieval(queries: DataFrame, nodes: DataFrame, truth: str, k: int = 3) -> DataFrame:
+def retrieval(queries: DataFrame, nodes: DataFrame, truth: str, k: int = 3, most: int = STATED) -> DataFrame:
     """Share of queries whose true node (column of queries) is first, and among the first k."""
-    w = Window.partitionBy("id").orderBy(F.desc("cos"), "node")
-    r = against(queries, nodes).withColumn("rank", F.row_number().over(w)).filter(F.col("node") == F.col(truth))
+    s = beside(queries, nodes, most)
+    if s is not None:
+        own = F.filter("_s", lambda x: x["k"] == -F.col(truth))
+        s = s.withColumn("_own", F.get(own, F.lit(0))).filter("_own is not null")
+        r = s.withColumn("rank", 1 + F.size(F.filter("_s", lambda x: x > F.col("_own"))))
+    else:
+        w = Window.partitionBy("id").orderBy(F.desc("cos"), "node")
+        r = against(queries, nodes).withColumn("rank", F.row_number().over(w)).filter(F.col("node") == F.col(truth))
     return r.agg(F.count("*").alias("n"), F.avg((F.col("rank") == 1).cast("double")).alias("top1"), F.avg((F.col("rank") <= k).cast("double")).alias("topk"))
 
 

@@ -181,3 +181,10 @@ def following(df: DataFrame, by: str, order: list[str], column: str, name: str =
     carried = firsts.select(by, "_part", F.lead("_first").over(Window.partitionBy(by).orderBy("_part")).alias("_carried"))
     inside = r.withColumn("_inside", F.lead(F.struct(F.col(column).alias("v"))).over(w))
     return inside.join(carried, [by, "_part"]).withColumn(name, F.when(F.col("_inside").isNotNull(), F.col("_inside.v")).otherwise(F.col("_carried"))).drop("_part", "_inside", "_carried")
+
+
+def first_of_each(df: DataFrame, by: list[str], order: list, most: int, buckets: int = 256) -> DataFrame:
+    """The first ``most`` rows of each key, with ``rank`` from 1: first those of buckets of its rows, so that no task sorts all of a key's. order must tell rows apart."""
+    own = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    few = own.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))).filter(F.col("rank") <= most)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= most).drop("_b")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.catalog import query
 from tidemark.functions.columns import r6
+from tidemark.operators.windows import first_of_each
 from tidemark.sources import tables as T
 from tidemark.plans.bindings import ATT, attention, table
 
@@ -32,9 +33,18 @@ def put(spark: SparkSession, path: str, text: str) -> None:
 _DAILY = "e AS (SELECT ts::DATE AS day, event_id, event_type || '_' || event_id AS title, round(value * 100)::BIGINT AS hot, row_number() OVER (PARTITION BY ts::DATE ORDER BY event_id) AS rank FROM events)"
 
 
-def daily_lists(spark: SparkSession, sf_dir: str, entry) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.to_date("ts").alias("day")).agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type", "value"))), entry).alias("items"))
+def daily_lists(spark: SparkSession, sf_dir: str, entry, most: int = 60) -> DataFrame:
+    """Each day's list of its first events: the sources' lists have some dozens of entries."""
+    e = first_of_each(table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), ["day"], ["event_id"], most)
+    return e.groupBy("day").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type", "value"))), entry).alias("items"))
+
+
+def lists(rows: DataFrame, entry: str, path: str, each: int = 500) -> None:
+    """Rows as JSON documents, lists of about ``each`` entries, a file for each."""
+    files = max(1, -(-rows.count() // each))
+    own = rows.withColumn("file", F.pmod(F.xxhash64(F.to_json(entry)), F.lit(files)))
+    made = own.groupBy("file").agg(F.to_json(F.collect_list(entry)).alias("value"))
+    made.repartition("file").write.mode("overwrite").partitionBy("file").text(path)
 
 
 def _title(x):
@@ -51,11 +61,11 @@ def ranked_list_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.ranked_list(spark, path)
 
 
-@query(f"WITH {_DAILY} SELECT rank::INT AS rank, title, 0::BIGINT AS hot_score, '/q/' || title AS url, 'nested' AS platform FROM e")
+@query(f"WITH {_DAILY} SELECT rank::INT AS rank, title, 0::BIGINT AS hot_score, '/q/' || title AS url, 'nested' AS platform FROM e WHERE rank <= 50")
 def nested_list_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = lambda x: F.struct(F.struct(_title(x).alias("title"), F.concat(F.lit("/q/"), _title(x)).alias("url")).alias("target"))
     path = place(spark, "nested")
-    land_json(daily_lists(spark, sf_dir, entry).withColumnRenamed("items", "data"), "day", path)
+    land_json(daily_lists(spark, sf_dir, entry, 50).withColumnRenamed("items", "data"), "day", path)
     return T.nested_list(spark, path)
 
 
@@ -145,8 +155,7 @@ def curated_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.struct(name.alias("name"), F.when(k % 2 == 0, F.array("p_name")).alias("aliases"), F.when(k % 3 != 0, F.col("p_type")).alias("category"), F.lit(2020).alias("year"),
                      F.when(s > 45, 999.0).when(s % 10 != 0, s.cast("double")).alias("duration_months"))
     path = place(spark, "curated")
-    made = p.groupBy("p_brand", (k % 16).alias("h")).agg(F.to_json(F.collect_list(entry)).alias("value"))
-    made.withColumn("file", F.concat_ws("_", "p_brand", "h")).select("file", "value").repartition("file").write.mode("overwrite").partitionBy("file").text(path)
+    lists(p.select(entry.alias("x")), "x", path)
     c = T.curated(spark, path, ("excluded",))
     return c.select("name", F.size("aliases").alias("n_aliases"), "category", "duration_months", "chaos")
 
@@ -157,10 +166,10 @@ def narrative_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two folders of landed records: the first seen of a name, unless a later one carries a source."""
     n = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("meme_name")).agg(F.min("p_partkey").alias("k"))
     a, b = place(spark, "narratives/a"), place(spark, "narratives/b")
-    doc = lambda d: d.agg(F.to_json(F.collect_list(F.struct("meme_name", "v", "_source"))).alias("value"))  # noqa: E731  a row for each of a few dozen names
-    doc(n.filter("k % 3 <> 0").select("meme_name", F.lit("first").alias("v"), F.lit(None).cast("string").alias("_source"))).write.mode("overwrite").text(a)
-    doc(n.select("meme_name", F.lit("second").alias("v"), F.when(F.col("k") % 2 == 0, "model").alias("_source"))).write.mode("overwrite").text(b)
-    return T.narratives(spark, [a, b], "meme_name string, v string, _source string").select("meme_name", "v")
+    record = F.struct("meme_name", "v", "_source").alias("x")
+    lists(n.filter("k % 3 <> 0").select("meme_name", F.lit("first").alias("v"), F.lit(None).cast("string").alias("_source")).select(record), "x", a)
+    lists(n.select("meme_name", F.lit("second").alias("v"), F.when(F.col("k") % 2 == 0, "model").alias("_source")).select(record), "x", b)
+    return T.narratives(spark, [f"{a}/*", f"{b}/*"], "meme_name string, v string, _source string").select("meme_name", "v")
 
 
 @query(f"WITH {ATT} SELECT keyword, month, value FROM att")
@@ -215,10 +224,11 @@ def expired_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT date_trunc('hour', ts) AS ts, event_id, trim(CASE WHEN event_id % 11 = 0 THEN ' ' ELSE ' ' || event_type || event_id || ' ' END) AS title, (user_id % 3)::INT AS p FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY ts, p ORDER BY event_id) AS rank FROM e)
-SELECT strftime(ts, '%Y-%m-%d %H') AS hour, ['weibo', 'zhihu', 'baidu'][p + 1] AS platform, rank::INT AS rank, title, '2.0-backfill' AS version FROM r WHERE title <> ''""")
+SELECT strftime(ts, '%Y-%m-%d %H') AS hour, ['weibo', 'zhihu', 'baidu'][p + 1] AS platform, rank::INT AS rank, title, '2.0-backfill' AS version FROM r WHERE title <> '' AND rank <= 10""")
 def migrated_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-version captures (three arrays) as flat items of the new version; blank titles go."""
     e = table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").alias("ts"), "event_id", (F.col("user_id") % 3).alias("p"), F.when(F.col("event_id") % 11 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), "event_type", "event_id", F.lit(" "))).alias("title"))
+    e = first_of_each(e, ["ts", "p"], ["event_id"], 10)  # a capture has the first ten of each platform
     # no array where an hour has nothing of a platform
     arrays = [F.transform(F.sort_array(F.collect_list(F.when(F.col("p") == i, F.struct("event_id", "title")))), lambda s: s["title"]).alias(f"{n}_top10") for i, n in enumerate(("weibo", "zhihu", "baidu"))]
     m = T.migrated(e.groupBy("ts").agg(*arrays))
