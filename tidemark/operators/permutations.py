@@ -73,3 +73,27 @@ def reversal_test(series: DataFrame, values: list[str], order: str, n: int = 500
     own = mean_step(series.withColumn("rep", F.lit(-1).cast("bigint")), ["rep"], values, order).select(F.col("step").alias("observed"))
     null = mean_step(replicated(series.select(order, *values), order, n), ["rep"], values, "rank")
     return null.crossJoin(F.broadcast(own)).groupBy("observed").agg(F.avg("step").alias("null_mean"), F.avg((F.round("step", 9) >= F.round("observed", 9)).cast("double")).alias("p"))
+
+
+def drawn(rows: DataFrame, place: str, size: Column, n: int, salt: str = "") -> DataFrame:
+    """(rep, draw, place): of each replicate and each row one draw, with replacement, of a place from 0 to ``size``: the first eight hexadecimal digits of
+    md5(rep:row:salt), modulo size. rows: (place, ...) of some hundreds."""
+    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    digits = F.substring(F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col(place).cast("string"), F.lit(salt)).cast("binary")), 1, 8)
+    return reps.withColumn("draw", F.conv(digits, 16, 10).cast("bigint") % size)
+
+
+def transition_intervals(moves: DataFrame, by: str, src: str, dst: str, place: str, n: int = 5000) -> DataFrame:
+    """(by, src, dst, n, p, lo, hi): of each part's transitions their share and a 95 % interval over ``n`` resamples of its moves. moves: a row for each
+    move, numbered from 0 in its part by ``place``."""
+    sizes = moves.groupBy(by).agg(F.count("*").alias("_size"))
+    d = drawn(moves.join(sizes, by).select(by, place, "_size"), place, F.col("_size"), n)
+    got = d.select(by, "rep", F.col("draw").alias(place)).join(F.broadcast(moves.select(by, place, src, dst)), [by, place])  # some hundreds of moves
+    c = got.groupBy(by, "rep", src, dst).agg(F.count("*").alias("_c"))
+    t = c.groupBy(by, "rep", src).agg(F.sum("_c").alias("_t"))
+    own = moves.groupBy(by, src, dst).agg(F.count("*").alias("n"))
+    whole = own.groupBy(by, src).agg(F.sum("n").alias("_n"))
+    p = own.join(whole, [by, src]).select(by, src, dst, "n", (F.col("n") / F.col("_n")).alias("p"))
+    grid = p.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    each = grid.join(c.join(t, [by, "rep", src]), [by, "rep", src, dst], "left").withColumn("_p", F.coalesce(F.col("_c") / F.col("_t"), F.lit(0.0)))
+    return each.groupBy(by, src, dst, "n", "p").agg(F.percentile("_p", 0.025).alias("lo"), F.percentile("_p", 0.975).alias("hi"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.catalog import query
-from tidemark.functions.columns import r6
-from tidemark.operators import permutations as P
+from tidemark.functions import rules as R
+from tidemark.functions.columns import clip, r6
+from tidemark.operators import permutations as P, validation as V
 from tidemark.plans.bindings import AXIS, REGIME, axis, regime_sequence
+from tidemark.plans.rules import _X, curated
 from tidemark.plans.series import _STATES, states
 
 SWITCH_DRAWS, DIFFERENCE_DRAWS, REVERSAL_DRAWS = 10000, 5000, 500
@@ -49,3 +53,45 @@ def reversal_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the state's steps are as long as those of its months in random order."""
     t = P.reversal_test(axis(spark, sf_dir).withColumn("z", F.ln("total")), ["x", "z"], "t", REVERSAL_DRAWS)
     return t.select(*(r6(F.col(c)).alias(c) for c in ("observed", "null_mean", "p")))
+
+
+RESAMPLES = 5000
+
+
+@query(f"""WITH {REGIME}, h AS (SELECT t, label, t >= (SELECT count(*) // 2 FROM regime) AS late FROM regime), w AS (SELECT late, t, label AS src, lead(label) OVER (PARTITION BY late ORDER BY t) AS dst FROM h),
+m AS (SELECT late, src, dst, row_number() OVER (PARTITION BY late ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY late) AS size FROM w WHERE dst IS NOT NULL),
+d AS (SELECT late, rep, ('0x' || substr(md5(rep || ':' || i || ':'), 1, 8))::BIGINT % size AS i FROM m, range({RESAMPLES}) AS g(rep)),
+c AS (SELECT d.late, rep, src, dst, count(*) AS c FROM d JOIN m ON m.late = d.late AND m.i = d.i GROUP BY ALL), s AS (SELECT late, rep, src, sum(c) AS t FROM c GROUP BY ALL),
+o AS (SELECT late, src, dst, count(*) AS n FROM m GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY late, src) AS p FROM o),
+e AS (SELECT p.late, p.src, p.dst, n, p, coalesce(c / t, 0) AS x FROM p CROSS JOIN range({RESAMPLES}) AS g(rep) LEFT JOIN c ON c.late = p.late AND c.rep = g.rep AND c.src = p.src AND c.dst = p.dst LEFT JOIN s ON s.late = p.late AND s.rep = g.rep AND s.src = p.src)
+SELECT late, src, dst, n, round(p, 6) AS p, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi FROM e GROUP BY late, src, dst, n, p""")
+def transition_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transitions of either half of the series, with intervals from resampled moves."""
+    r = regime_sequence(spark, sf_dir)
+    w = Window.partitionBy("late").orderBy("t")
+    m = r.withColumn("late", F.col("t") >= F.lit(r.count() // 2)).select("late", "t", F.col("label").alias("src"), F.lead("label").over(w).alias("dst")).filter("dst is not null")
+    t = P.transition_intervals(m.withColumn("i", F.row_number().over(w) - 1), "late", "src", "dst", "i", RESAMPLES)
+    return t.select("late", "src", "dst", "n", *(r6(F.col(c)).alias(c) for c in ("p", "lo", "hi")))
+
+
+NOISE_DRAWS, NOISE = 200, 0.05
+
+
+def _uniform(key: str) -> str:
+    return f"((('0x' || substr(md5({key}), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)"
+
+
+@query(f"""WITH {_X}, n AS (SELECT k, p_partkey, r0, least(greatest(x + {NOISE} * sqrt(-2 * ln({_uniform("k || ':' || p_partkey || ':a'")})) * cos(2 * pi() * {_uniform("k || ':' || p_partkey || ':b'")}), 0.03), 0.92) AS y FROM r, range({NOISE_DRAWS}) AS g(k)),
+c AS (SELECT k, p_partkey, r0, -0.999 * ln(greatest(1e-12, 1 - y / 0.999)) / y AS r1 FROM n),
+o AS (SELECT k, r0 > 1 AS f, r1 > 1 AS g, row_number() OVER (PARTITION BY k ORDER BY r0, p_partkey) AS a, row_number() OVER (PARTITION BY k ORDER BY r1, p_partkey) AS b FROM c),
+s AS (SELECT k, corr(a, b) AS rho, avg((f = g)::INT) AS same FROM o GROUP BY k)
+SELECT count(*) AS draws, round(avg(rho), 5) AS mean_rank_correlation, round(min(rho), 5) AS least, round(avg(same), 5) AS same_side FROM s""")
+def noise_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the entries' order by R0, and whether they spread, stand normal noise in the share reached: two hundred draws."""
+    u = lambda s: (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("k").cast("string"), F.col("p_partkey").cast("string"), F.lit(s)).cast("binary")), 1, 8), 16, 10).cast("bigint") + 0.5) / 4294967296.0
+    draws = curated(spark, sf_dir).select("p_partkey", "r0", "x", F.explode(F.sequence(F.lit(0), F.lit(NOISE_DRAWS - 1))).alias("k"))
+    noise = NOISE * F.sqrt(-2 * F.ln(u("a"))) * F.cos(2 * math.pi * u("b"))
+    moved = draws.withColumn("r1", R.r0_of(clip(F.col("x") + noise, 0.03, 0.92)))
+    rho = V.rank_correlation(moved, "k", "r0", "r1", "p_partkey")
+    same = moved.groupBy("k").agg(F.avg(((F.col("r0") > 1) == (F.col("r1") > 1)).cast("double")).alias("same"))
+    return rho.join(same, "k").agg(F.count("*").alias("draws"), F.round(F.avg("r"), 5).alias("mean_rank_correlation"), F.round(F.min("r"), 5).alias("least"), F.round(F.avg("same"), 5).alias("same_side"))
