@@ -156,3 +156,29 @@ def test_replicates_repeat(spark):
     assert stay > np.diag(t).mean()
     p = R.permutation_p(spark, 3.0, lambda g: g.normal(), 400).first()
     assert p["p"] < 0.05
+
+
+def test_likelihoods_of_many_series_are_those_of_one_by_one():
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 1, (3, 40)).cumsum(axis=1)
+    both = [N.ar_design(v, 2) for v in x]
+    q = np.array([0.0, 1e-3, 0.5])
+    got = N.kalman_likelihoods(np.stack([b[0] for b in both]), np.stack([b[1] for b in both]), q)
+    want = [[N.kalman(z, y, v)[0] for v in q] for z, y in both]
+    assert np.allclose(got, want, rtol=1e-7, atol=1e-7)
+
+
+def test_surrogates_are_constant_and_the_same_however_they_are_dealt(spark):
+    from tidemark.operators import replicates
+
+    rng = np.random.default_rng(4)
+    y = np.zeros(70)
+    for t in range(1, 70):
+        y[t] = 0.5 * y[t - 1] + rng.normal()
+    q, lr = N.drifting_surrogates(y, 1, np.arange(40), N.Q_GRID)
+    one = [N.drifting_surrogates(y, 1, np.array([s]), N.Q_GRID) for s in range(40)]
+    assert np.allclose(lr, [o[1][0] for o in one]) and (lr >= -1e-9).all() and (q == 0).mean() > 0.3
+    r = replicates.drifting_test(spark, y, 40, 7).first()
+    order = N.ar_order(y)
+    want = N.drifting_surrogates(y, order, np.arange(40), N.Q_GRID)[1]
+    assert r["order"] == order and r["p"] == pytest.approx((np.round(want, 9) >= round(r["lr"], 9)).mean())

@@ -397,6 +397,45 @@ def kalman(z: np.ndarray, y: np.ndarray, q: float, smooth: bool = False, prior:
     return -0.5 * (used * math.log(max(v2 / used, 1e-300)) + logf), paths
 
 
+def kalman_likelihoods(z: np.ndarray, y: np.ndarray, q: np.ndarray, prior: float = 1e6) -> np.ndarray:
+    """kalman()'s likelihoods of many regressions, (series, steps, features) and (series, steps), at many variance ratios: (series, ratios), all steps taken together."""
+    n, steps, k = z.shape
+    b = np.zeros((n, len(q), k))
+    cov = np.broadcast_to(prior * np.eye(k), (n, len(q), k, k)).copy()
+    walk = q[None, :, None, None] * np.eye(k)
+    v2, logf = np.zeros((n, len(q))), np.zeros((n, len(q)))
+    for t in range(steps):
+        cov = cov + walk
+        cz = np.einsum("ngij,nj->ngi", cov, z[:, t])
+        f = np.einsum("ngi,ni->ng", cz, z[:, t]) + 1
+        v = y[:, t, None] - np.einsum("ngi,ni->ng", b, z[:, t])
+        gain = cz / f[..., None]
+        b = b + gain * v[..., None]
+        cov = cov - gain[..., :, None] * cz[..., None, :]
+        if t >= k:
+            v2, logf = v2 + v * v / f, logf + np.log(f)
+    used = steps - k
+    return -0.5 * (used * np.log(np.maximum(v2 / used, 1e-300)) + logf)
+
+
+def drifting_surrogates(y: np.ndarray, p: int, seeds: np.ndarray, grid: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(variance ratio, likelihood ratio) of surrogates with constant coefficients, one for each seed: the fitted autoregression with its residuals drawn again."""
+    x = (y - y.mean()) / (y.std() or 1)
+    z, t = ar_design(x, p)
+    beta = np.linalg.lstsq(z, t, rcond=None)[0]
+    residual = t - z @ beta
+    e = np.stack([np.random.default_rng([7, int(s)]).choice(residual, len(x)) for s in seeds])
+    made = np.zeros((len(seeds), len(x)))
+    made[:, :p] = x[:p]
+    for i in range(p, len(x)):
+        made[:, i] = beta[0] + made[:, i - p : i][:, ::-1] @ beta[1:] + e[:, i]
+    made = (made - made.mean(axis=1, keepdims=True)) / (made.std(axis=1, keepdims=True) + 1e-12)
+    both = [ar_design(m, p) for m in made]
+    like = kalman_likelihoods(np.stack([b[0] for b in both]), np.stack([b[1] for b in both]), np.array(grid))
+    best = like.argmax(axis=1)
+    return np.array(grid)[best], 2 * (like.max(axis=1) - like[:, 0])
+
+
 Q_GRID = (0.0, *(10 ** np.linspace(-6, 1, 50)).tolist())
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.functions.columns import distance
+from tidemark.functions.columns import distance, entropy_term
 
 
 def far_pairs(df: DataFrame, order: str, x: str, apart: int = 12) -> DataFrame:
@@ -26,7 +26,8 @@ def group_distances(df: DataFrame, group: str, x: str) -> DataFrame:
 
 
 def quantification(df: DataFrame, order: str, x: str, quantile: float = 0.1, shortest: int = 2) -> DataFrame:
-    """Recurrence rate, determinism, laminarity (main diagonal included), longest diagonal off the main one, trapping time."""
+    """Recurrence rate, determinism, laminarity (main diagonal included), longest diagonal off the main one, trapping time; mean length of the diagonals
+    and the entropy of their lengths over twenty equal bins, or as many as there are diagonals if those are fewer (0 where all fall in one)."""
     a = df.select(F.col(order).alias("i"), F.col(x).alias("xa"))
     b = df.select(F.col(order).alias("j"), F.col(x).alias("xb"))
     pairs = a.join(b).select("i", "j", F.abs(F.col("xa") - F.col("xb")).alias("d"))
@@ -38,10 +39,16 @@ def quantification(df: DataFrame, order: str, x: str, quantile: float = 0.1, sho
         return r.withColumn("g", g).groupBy(by, "g").agg(F.count("*").alias("l"))
 
     long = F.when(F.col("l") >= shortest, F.col("l"))
-    diagonal = lines("k").agg((F.sum(long) / F.sum("l")).alias("det"), F.max(F.when(F.col("k") != 0, F.col("l"))).alias("l_max"), F.sum("l").alias("points"))
+    across = lines("k")
+    diagonal = across.agg((F.sum(long) / F.sum("l")).alias("det"), F.max(F.when(F.col("k") != 0, F.col("l"))).alias("l_max"), F.sum("l").alias("points"), F.avg(long).alias("l_mean"))
+    some = across.filter(F.col("l") >= shortest)
+    ends = some.agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count("*").alias("all"))
+    bins = F.least(F.col("all"), F.lit(20))
+    place = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor(F.round((F.col("l") - F.col("lo")) * bins / (F.col("hi") - F.col("lo")), 9)), bins - 1))
+    entropy = some.join(ends).groupBy(place.alias("bin"), "all").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(entropy_term(F.col("c") / F.col("all"))), F.lit(0.0)).alias("entr"))
     vertical = lines("j").agg((F.sum(long) / F.sum("l")).alias("lam"), F.avg(long).alias("trapping"))
     n = df.agg(F.count("*").alias("n"))
-    return diagonal.join(vertical).join(n).select((F.col("points") / (F.col("n") * F.col("n"))).alias("rec"), "det", "lam", "l_max", "trapping")
+    return diagonal.join(vertical).join(n).join(entropy).select((F.col("points") / (F.col("n") * F.col("n"))).alias("rec"), "det", "lam", "l_max", "trapping", "l_mean", "entr")
 
 
 def autocorrelation(df: DataFrame, value: str, order: str, most: int) -> DataFrame:

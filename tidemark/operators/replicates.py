@@ -115,3 +115,24 @@ def block_null(spark: SparkSession, x: np.ndarray, size: int, draws: int = 800,
 
     r = replicated(spark, draws, draw, "angle double, gap double", seed)
     return r.agg(F.percentile("angle", 0.95).alias("angle_p95"), F.percentile("gap", 0.95).alias("gap_p95"))
+
+
+def drifting_test(spark: SparkSession, y: np.ndarray, n: int = 500, together: int = 16) -> DataFrame:
+    """(order, q, lr, p, at_zero): the variance ratio of a series' drifting coefficients, its likelihood ratio, the share of ``n`` surrogates with constant
+    coefficients whose ratio is as large, and of those whose variance ratio is 0. Surrogates are seeded by number and spread over tasks, some at a time."""
+    from tidemark.functions import numerics as N
+
+    order = N.ar_order(y)
+    own = N.drifting_ar(y, order)
+    lr = own["lr"]
+
+    def run(frames):
+        for f in frames:
+            for lo in range(0, len(f), together):
+                q, ratio = N.drifting_surrogates(y, order, f["id"].to_numpy()[lo : lo + together], N.Q_GRID)
+                yield pd.DataFrame({"q": q, "lr": ratio})
+
+    tasks = max(1, min(n // together, spark.sparkContext.defaultParallelism))
+    null = spark.range(n).repartition(tasks).mapInPandas(run, "q double, lr double")
+    as_large = F.avg((F.round("lr", 9) >= F.round(F.lit(lr), 9)).cast("double")).alias("p")
+    return null.agg(as_large, F.avg((F.col("q") == 0).cast("double")).alias("at_zero")).select(F.lit(order).alias("order"), F.lit(own["q"]).alias("q"), F.lit(lr).alias("lr"), "p", "at_zero")

@@ -88,6 +88,12 @@ def drifting_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame(spark, [(p, d["q"], d["lr"], d["root_first"], d["root_second"])], "order int, q double, lr double, root_first double, root_second double")
 
 
+@query()
+def drifting_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the coefficients drift more than chance lets constant ones seem to: five hundred surrogates."""
+    return R.drifting_test(spark, R.matrix(axis(spark, sf_dir), "t", ["x"])[:, 0])
+
+
 @query()
 def cluster_discreteness(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, _ = _wide(spark, sf_dir)

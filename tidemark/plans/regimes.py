@@ -137,10 +137,12 @@ r AS (SELECT i, j, j - i AS k FROM p, eps WHERE d <= e), n AS (SELECT count(*) A
 dg AS (SELECT k, i - row_number() OVER (PARTITION BY k ORDER BY i) AS g FROM r), dr AS (SELECT k, g, count(*) AS l FROM dg GROUP BY k, g),
 vt AS (SELECT j, i - row_number() OVER (PARTITION BY j ORDER BY i) AS g FROM r), vr AS (SELECT j, g, count(*) AS l FROM vt GROUP BY j, g)
 SELECT round((SELECT count(*) FROM r) / (n * n), 6) AS rec, round((SELECT sum(l) FILTER (l >= 2) / sum(l) FROM dr), 6) AS det, round((SELECT sum(l) FILTER (l >= 2) / sum(l) FROM vr), 6) AS lam,
-       (SELECT max(l) FROM dr WHERE k <> 0) AS l_max, round((SELECT avg(l) FROM vr WHERE l >= 2), 6) AS trapping FROM n""")
+       (SELECT max(l) FROM dr WHERE k <> 0) AS l_max, round((SELECT avg(l) FROM vr WHERE l >= 2), 6) AS trapping, round((SELECT avg(l) FROM dr WHERE l >= 2), 6) AS l_mean,
+       (SELECT round(coalesce(sum(-c / a * ln(c / a)), 0), 6) + 0.0 FROM (SELECT count(*) AS c, any_value(a) AS a FROM (SELECT l, a, CASE WHEN hi = lo THEN 0 ELSE least(floor(round((l - lo) * least(a, 20) / (hi - lo), 9)), least(a, 20) - 1) END AS bin
+         FROM (SELECT l, min(l) OVER () AS lo, max(l) OVER () AS hi, count(*) OVER () AS a FROM dr WHERE l >= 2)) GROUP BY bin)) AS entr FROM n""")
 def rqa_det_lam(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = R.quantification(axis(spark, sf_dir), "t", "x")
-    return q.select(*(r6(F.col(c)).alias(c) for c in ("rec", "det", "lam")), "l_max", r6(F.col("trapping")).alias("trapping"))
+    return q.select(*(r6(F.col(c)).alias(c) for c in ("rec", "det", "lam")), "l_max", *(r6(F.col(c)).alias(c) for c in ("trapping", "l_mean")), (r6(F.col("entr")) + F.lit(0.0)).alias("entr"))
 
 
 @query(f"""WITH {AXIS}, l AS (SELECT unnest(range(1, 21)) AS tau), m AS (SELECT avg(x) AS m, var_pop(x) AS v, count(*) AS n FROM axis)
