@@ -30,6 +30,11 @@ def _kept(df: DataFrame, at: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{at}/{name}")
 
 
+def table_of(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of its own in the shared folder."""
+    return _kept(df, f"{working_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", "rows")
+
+
 def nearest(clusters: DataFrame, count: int) -> DataFrame:
     """(id, other, height): each cluster's nearest one. clusters: (id, n, c)."""
     blocks = -(-count // BLOCK)
@@ -195,6 +200,37 @@ def silhouettes(df: DataFrame, label: str, vector: str) -> DataFrame:
     return out.withColumn("silhouette", value).drop("_all", "_q", "_a", "_b")
 
 
+def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 50) -> DataFrame:
+    """(key, cluster): Lloyd's rounds from k rows far apart: the first by ``key``, then each time the row farthest from those taken. Clusters are numbered in that
+    order. What goes to and fro are k centres; rows are assigned inside the row, the lower number on a tie."""
+    v = F.transform(vector, lambda x: x.cast("double"))
+    rows = table_of(df.select(key, v.alias("_v")), "kmeans")
+    first = rows.orderBy(key).first()
+    if first is None:
+        return rows.select(key, F.lit(0).alias("cluster"))
+    taken = [list(first["_v"])]
+
+    def away(centres: list[list[float]]) -> Column:
+        return F.array(*(F.aggregate(F.zip_with("_v", F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) for c in centres))
+
+    while len(taken) < k:
+        far = rows.select(key, "_v", F.array_min(away(taken)).alias("d")).orderBy(F.desc("d"), key).first()
+        if not far["d"]:
+            break  # fewer distinct rows than k
+        taken.append(list(far["_v"]))
+    centres = taken
+    for _ in range(rounds):
+        d = away(centres)
+        placed = rows.select(key, "_v", (F.array_position(d, F.array_min(d)) - 1).cast("int").alias("cluster"))
+        means = placed.groupBy("cluster").agg(F.array(*(F.avg(F.col("_v")[i]) for i in range(len(centres[0])))).alias("c")).collect()  # k rows
+        moved = {r["cluster"]: list(r["c"]) for r in means}
+        following = [moved.get(i, c) for i, c in enumerate(centres)]
+        if all(abs(a - b) <= 1e-12 * max(1.0, abs(b)) for c, o in zip(following, centres, strict=True) for a, b in zip(c, o, strict=True)):
+            break
+        centres = following
+    return placed.select(key, "cluster")
+
+
 def sweep(df: DataFrame, key: str, vector: str, ks: range = range(2, 13)) -> DataFrame:
     """(k, silhouette, inertia): of Ward's clusters for each k. inertia: summed squared distances to the centres."""
     spark = df.sparkSession

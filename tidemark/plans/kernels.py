@@ -140,12 +140,12 @@ def indicator_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     a = attention(spark, sf_dir)
     placed = A.stage_of(a, A.stage_intervals(a, "keyword", "month"), "keyword", "month").groupBy("month").agg(
-        *(F.avg((F.col("stage") == s).cast("double")).alias(s) for s in ("origin", "emergence", "fixation"))
+        *(F.avg((F.col("stage") == s).cast("double")).alias(s) for s in I.STAGES)
     )
     m = axis(spark, sf_dir)
-    s = state(spark, sf_dir).drop("t").join(placed, "month", "left").na.fill(0.0, ["origin", "emergence", "fixation"])
+    s = state(spark, sf_dir).drop("t").join(placed, "month", "left").na.fill(0.0, list(I.STAGES))
     own = m.select("t", "month", F.array("x", F.ln("total")).alias("u"), F.abs("x").alias("mutation"), F.abs("x").alias("drift"))
-    return own.join(s.select("month", "x", "origin", "emergence", "fixation"), "month")
+    return own.join(s.select("month", "x", *I.STAGES), "month")
 
 
 @query()

@@ -42,18 +42,39 @@ ind AS (SELECT q.t, q.month, 0.4 * least(greatest(fixation / (greatest(origin +
   CASE WHEN sensitivity > 0.60 THEN 'high' WHEN sensitivity > 0.35 THEN 'medium' ELSE 'low' END AS sensitivity_label, round(recovery, 5) AS recovery, round(fragility, 5) AS fragility, shocks, round(temperature, 5) AS temperature FROM ind""")
 def macro_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inertia, sensitivity, and what resilience is made of (its spectral radius apart), as of each month."""
-    h = I.labelled(I.history(indicator_states(spark, sf_dir)))
+    h = I.labelled(I.history(indicator_states(spark, sf_dir), cells=False))
     five = lambda c: F.round(c, 5).alias(c)
     return h.select("t", "month", five("inertia"), "inertia_label", five("sensitivity"), "sensitivity_label", five("recovery"), five("fragility"), "shocks", five("temperature"))
 
 
+_FIVE = ("origin", "emergence", "peak", "controversy", "fixation")
+_POSITION = f"""{_STAGES}, {_AXIS}, o AS (SELECT month, stage, row_number() OVER (PARTITION BY i.keyword, i.i ORDER BY pos) AS k FROM i JOIN st ON i.keyword = st.keyword AND i.i BETWEEN lo AND hi),
+occ AS (SELECT month, {', '.join(f"avg((stage = '{s}')::INT) AS {s}" for s in _FIVE)} FROM o WHERE k = 1 GROUP BY month), five AS (SELECT t, a.month, [{', '.join(f'coalesce({s}, 0)' for s in _FIVE)}] AS s FROM axis a LEFT JOIN occ USING (month)),
+ranked AS (SELECT t, month, i, row_number() OVER (PARTITION BY t ORDER BY s[i] DESC, i) AS r FROM (SELECT *, unnest(range(1, 6)) AS i FROM five)),
+two AS (SELECT t, month, max(i) FILTER (r = 1) AS d, max(i) FILTER (r = 2) AS e FROM ranked GROUP BY t, month), moved AS (SELECT *, coalesce((lag(d) OVER (ORDER BY t) <> d)::INT, 0) AS m FROM two)"""
+
+
+@query(f"""WITH {_POSITION} SELECT t, month, [{', '.join(f"'{s}'" for s in _FIVE)}][d] AS dominant, [{', '.join(f"'{s}'" for s in _FIVE)}][e] AS second, sum(m) OVER (ORDER BY t RANGE BETWEEN 12 PRECEDING AND CURRENT ROW)::BIGINT AS moves FROM moved""")
+def stage_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each month's first and second stage, and how often the first has changed in a year."""
+    return I.positions(indicator_states(spark, sf_dir))
+
+
+@query()
+def attractor_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each month's cell of the state space: how many months are in it, and whether the month is a typical one. Tests hold it against plain loops."""
+    s = indicator_states(spark, sf_dir)
+    cells = H.kmeans(s, "t", "x", max(1, min(5, s.count() // 12))).withColumnRenamed("cluster", "cell")
+    return I.basins(s, cells)
+
+
 @query(f"""WITH {_MACRO} SELECT month, round(inertia, 5) AS inertia, round(sensitivity, 5) AS sensitivity, shocks FROM ind ORDER BY month DESC LIMIT 1""")
 def macro_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query interface in its macro mode: the latest month's state."""
     from tidemark.plans.bindings import regime_sequence, vectors
 
     nodes = vectors(spark, sf_dir).limit(0).select(F.col("label").alias("node"), F.col("e").alias("v"))
-    engine = I.Engine(I.history(indicator_states(spark, sf_dir)), regime_sequence(spark, sf_dir), nodes)
+    engine = I.Engine(I.history(indicator_states(spark, sf_dir), cells=False), regime_sequence(spark, sf_dir), nodes)
     return engine.query("macro").select("month", F.round("inertia", 5).alias("inertia"), F.round("sensitivity", 5).alias("sensitivity"), "shocks")
 
 
