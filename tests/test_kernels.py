@@ -129,7 +129,7 @@ class TestSpread:
         y = D.rk4(D.Spread(0.4, 0.12).field, np.array([0.99, 0.01, 0]), t)[:, 1]
         s = D.fitted(t, y, 0.01)
         assert s.beta == pytest.approx(0.4, rel=0.1) and s.gamma == pytest.approx(0.12, rel=0.1)
-        assert D.robustly_fitted(t, 0.5 * y)[1] > 0
+        assert D.robustly_fitted([0.5 * y], np.array([0.5]))[0]["scale"] > 0
 
     def test_crowd_and_networks(self):
         e = D.scale_free_network(100, 3, 1)
@@ -182,3 +182,32 @@ def test_surrogates_are_constant_and_the_same_however_they_are_dealt(spark):
     order = N.ar_order(y)
     want = N.drifting_surrogates(y, order, np.arange(40), N.Q_GRID)[1]
     assert r["order"] == order and r["p"] == pytest.approx((np.round(want, 9) >= round(r["lr"], 9)).mean())
+
+
+def test_robust_fits_of_known_series(spark):
+    """Series made by the model come back: the curve is matched, and what the data say of the parameters is found; batches don't matter."""
+    from tidemark.operators import simulation
+
+    made, known = [], [(0.9, 0.2, 0.05, 0.02), (1.4, 0.35, 0.1, 0.0), (0.6, 0.15, 0.02, 0.05)]
+    for b, s, g, m in known:
+        i0 = 0.02
+        t = np.arange(40 * 10 + 1) / 10
+        i = D.rk4(lambda y: D.mutating_field(y, b, s, g, m, 0.7), np.array([0.7 - i0, i0, 0.3]), t)[::10, 1]
+        made.append(2.0 * i / 1.0)
+    got = D.robustly_fitted([*made, np.zeros(9), np.ones(3)], np.array([k[0] for k in known] + [0.5, 0.5]))
+    assert got[3] is None and got[4] is None
+    for f, (b, s, g, m), seen in zip(got, known, made):
+        assert f["loss"] < 0.02 * float((seen**2).sum()) and abs(f["beta"] - b) < 0.35 * b and 0.01 <= f["sigma"] <= 1.5 and f["active"] == 41 and f["r0"] == f["beta"] / f["sigma"]
+    one = D.robustly_fitted([made[1]], np.array([known[1][0]]))[0]
+    assert one == pytest.approx(got[1], rel=1e-6)
+    rows = [(f"k{k}", i, float(v), "攻击发泄" if k == 0 else None) for k, s in enumerate([*made, np.zeros(9)]) for i, v in enumerate(s)]
+    fits = {r["k"]: r for r in simulation.robust_fits(spark.createDataFrame(rows, "k string, t int, v double, c string"), "k", "t", "v", "c").collect()}
+    assert fits["k3"]["beta"] is None and fits["k3"]["points"] == 9 and fits["k1"]["points"] == 41
+    want = D.robustly_fitted([made[0]], np.array([0.8]))[0]
+    assert fits["k0"]["beta"] == pytest.approx(want["beta"], rel=1e-6)
+
+
+def test_the_mutating_field_keeps_the_whole():
+    y = np.array([0.5, 0.2, 0.3])
+    d = D.mutating_field(y, 0.8, 0.2, 0.1, 0.05)
+    assert d.sum() == pytest.approx(0) and d == pytest.approx([0.1 * 0.3 - 0.08, 0.08 - 0.04 + 0.015, 0.04 - 0.03 - 0.015])

@@ -105,22 +105,83 @@ def fitted(t: np.ndarray, seen: np.ndarray, i0: float | None = None) -> Spread:
     return Spread(*minimised(loss, min(seeds, key=loss), lo, hi))
 
 
-def robustly_fitted(t: np.ndarray, seen: np.ndarray, prior: float = 0.5, s0: float = 0.7) -> tuple[Spread, float]:
-    """SIRS with mutation feedback: squared error on active points plus priors; the scale has a closed form."""
-    active = seen > 0.02 * seen.max()
-    i0 = 0.01
-
-    def parts(p: np.ndarray) -> tuple[np.ndarray, float]:
-        i = rk4(Spread(p[0], p[2], p[1], p[3]).field, np.array([s0 - i0, i0, 1 - s0]), t)[:, 1]
-        a = float(np.clip((i * seen)[active].sum() / max((i * i)[active].sum(), 1e-12), 0.1, 10))
-        return i, a
-
-    def loss(p: np.ndarray) -> float:
-        i, a = parts(p)
-        return float(((a * i - seen)[active] ** 2).sum() + 0.1 * (p[0] - prior) ** 2 + 0.2 * p[3] ** 2)
-
-    p = minimised(loss, np.array([prior, 0.1, 0.1, 0.05]), np.array([0.01, 0.01, 1e-3, 0.0]), np.array([5, 1.5, 0.5, 0.5]), 60)
-    return Spread(p[0], p[2], p[1], p[3]), parts(p)[1]
+#: Fixed values of the robust fit: bounds of contact, recovery, loss of immunity and mutation; where the search starts (contact at its prior); weights of the
+#: priors; contact's prior by category, and without one; bounds of the scale; the share of the peak above which a point counts.
+ROBUST_BOUNDS = ((0.01, 5.0), (0.01, 1.5), (0.0, 0.5), (0.0, 0.5))
+ROBUST_START, PRIOR_WEIGHTS, SCALE, ACTIVE = (0.3, 0.1, 0.05), (0.1, 0.2), (0.1, 10.0), 0.02
+CONTACT_PRIOR = {"攻击发泄": 0.8, "虚无退却": 0.5, "解构自嘲": 0.35, "身份认同": 0.4, "纯粹娱乐": 0.6}
+NO_PRIOR = 0.5
+
+
+def mutating_field(y: np.ndarray, beta, sigma, gamma, mu, n: float = 1.0) -> np.ndarray:
+    """Spread in which some of those who are over it take it up again in another form: sigma recovers, gamma loses immunity, mu leads straight back."""
+    s, i, r = y
+    new = beta * s * i / n
+    return np.array([gamma * r - new, new - sigma * i + mu * r, sigma * i - gamma * r - mu * r])
+
+
+def robustly_fitted(series: list[np.ndarray], priors: np.ndarray, s0: float = 0.7, rounds: int = 60, inside: int = 4) -> list[dict | None]:
+    """Fits of mutating_field() to many series of counts at whole times, moved together: squared error of the scaled infected share on active points, plus
+    the priors' terms. The scale has a closed form. Each series has its own bounded pattern search; one solution of the model tries a step of all.
+
+    A series of under five points, or of zeros, has no fit. With under five active points all points count; a series begins at its first point that counts.
+    """
+    usable = [k for k, v in enumerate(series) if len(v) >= 5 and v.max() >= 1e-6]
+    out: list[dict | None] = [None] * len(series)
+    if not usable:
+        return out
+    cut, masks = [], []
+    for k in usable:
+        v = np.asarray(series[k], float)
+        on = v > ACTIVE * v.max()
+        on = on if on.sum() >= 5 else np.ones(len(v), bool)
+        first, last = int(on.argmax()), len(v) - int(on[::-1].argmax())
+        cut.append(v[first:last])
+        masks.append(on[first:last])
+    n, most = len(cut), max(map(len, cut))
+    seen, mask = np.zeros((most, n)), np.zeros((most, n), bool)
+    for c, (v, m) in enumerate(zip(cut, masks, strict=True)):
+        seen[: len(v), c], mask[: len(v), c] = v, m
+    peak = np.array([np.asarray(series[k]).max() for k in usable])
+    i0 = np.maximum(0.001, seen[0] / np.maximum(1.0, peak))
+    start = np.array([s0 - i0, i0, np.full(n, 1 - s0)])
+    t = np.arange((most - 1) * inside + 1) / inside
+    prior = np.asarray(priors, float)[usable]
+
+    def tried(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(all="ignore"):
+            i = rk4(lambda y: mutating_field(y, *p, s0), start, t)[::inside, 1]
+            i = np.where(np.isfinite(i), i, 1e6)
+            own = np.where(mask, i, 0)
+            square = (own * own).sum(0)
+            scale = np.where(square < 1e-12, 1.0, np.clip((own * seen).sum(0) / np.maximum(square, 1e-300), *SCALE))
+            error = (np.where(mask, scale * i - seen, 0) ** 2).sum(0)
+        return error + PRIOR_WEIGHTS[0] * (p[0] - prior) ** 2 + PRIOR_WEIGHTS[1] * p[3] ** 2, scale
+
+    lo, hi = (np.array([b[e] for b in ROBUST_BOUNDS])[:, None] for e in (0, 1))
+    p = np.clip(np.vstack([prior, *(np.full(n, v) for v in ROBUST_START)]), lo, hi)
+    step = np.repeat((hi - lo) / 4, n, axis=1)
+    best, scale = tried(p)
+    for _ in range(rounds):
+        alive = (step >= 1e-6 * (hi - lo)).any(axis=0)  # each series stops by itself, whatever it is tried with
+        if not alive.any():
+            break
+        moved = ~alive
+        for k in range(4):
+            taken = np.zeros(n, bool)
+            for sign in (1, -1):
+                z = p.copy()
+                z[k] = np.where(taken, p[k], np.clip(p[k] + sign * step[k], lo[k], hi[k]))
+                loss, a = tried(z)
+                better = (loss < best) & ~taken & alive
+                p[k], best, scale = np.where(better, z[k], p[k]), np.where(better, loss, best), np.where(better, a, scale)
+                taken |= better
+            moved |= taken
+        step = np.where(moved, step, step / 2)
+    for c, k in enumerate(usable):
+        beta, sigma, gamma, mu = (float(v) for v in p[:, c])
+        out[k] = {"beta": beta, "sigma": sigma, "gamma": gamma, "mu": mu, "r0": beta / sigma, "scale": float(scale[c]), "loss": float(best[c]), "active": int(mask[:, c].sum())}
+    return out
 
 
 def divergence(a: np.ndarray, b: np.ndarray, days: float) -> float:

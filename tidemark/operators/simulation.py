@@ -121,3 +121,33 @@ def fits(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
         return {"beta": s.beta, "gamma": s.gamma, "r0": s.r0}
 
     return by_group(df, key, order, [value], kernel, "beta double, gamma double, r0 double")
+
+
+_ROBUST = "beta double, sigma double, gamma double, mu double, r0 double, scale double, loss double, active int"
+
+
+def robust_fits(df: DataFrame, key: str, order: str, value: str, category: str | None = None) -> DataFrame:
+    """(key, points, beta, sigma, gamma, mu, r0, scale, loss, active): robust fits to each key's series (a row for each whole time, some hundreds at most),
+    TOGETHER at a time; nulls where a series can't be fitted. category: a column that chooses the prior."""
+    kind = F.max(category) if category else F.lit(None).cast("string")
+    rows = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("v"), kind.alias("c"))
+
+    def run(frames):
+        for f in frames:
+            for lo in range(0, len(f), TOGETHER):
+                some = f.iloc[lo : lo + TOGETHER]
+                priors = np.array([D.CONTACT_PRIOR.get(c, D.NO_PRIOR) for c in some["c"]])
+                made = D.robustly_fitted([np.asarray(v, float) for v in some["v"]], priors)
+                names = [x.split()[0] for x in _ROBUST.split(", ")]
+                out = pd.DataFrame([{n: (m or {}).get(n) for n in names} for m in made], columns=names)
+                out["active"] = out["active"].astype("Int32")
+                yield pd.concat([some[[key]].reset_index(drop=True), pd.Series([len(v) for v in some["v"]], name="points", dtype="int32"), out], axis=1)
+
+    return rows.mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, points int, {_ROBUST}")
+
+
+def mutating_fields(df: DataFrame) -> DataFrame:
+    """df with ds, di, dr: the model with mutation at rows (s, i, r, beta, sigma, gamma, mu)."""
+    new, back = F.col("beta") * F.col("s") * F.col("i"), F.col("mu") * F.col("r")
+    out = F.col("sigma") * F.col("i")
+    return df.withColumn("ds", F.col("gamma") * F.col("r") - new).withColumn("di", new - out + back).withColumn("dr", out - F.col("gamma") * F.col("r") - back)

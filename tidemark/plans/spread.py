@@ -94,6 +94,16 @@ def spread_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fields(x).select("id", *((F.round(f"d{v}", 9) + F.lit(0.0)).alias(f"d{v}") for v in "sir"), (F.abs(F.col("ds") + F.col("di") + F.col("dr")) < 1e-12).alias("conserved"))
 
 
+@query(f"""WITH x AS (SELECT *, a * (1 - b) AS s, a * b AS i, 1 - a AS r FROM ({_POINTS}))
+SELECT id, round(gamma * r - beta * s * i, 9) + 0.0 AS ds, round(beta * s * i - sigma * i + mu * r, 9) + 0.0 AS di, round(sigma * i - gamma * r - mu * r, 9) + 0.0 AS dr FROM x""")
+def mutation_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field in which those who are over it take it up again in another form, at many states."""
+    p, k = F.col("p_size"), F.col("p_partkey")
+    a, b = p % 10 / F.lit(10.0), k % 7 / F.lit(7.0)
+    x = table(spark, sf_dir, "part").select(k.alias("id"), (a * (1 - b)).alias("s"), (a * b).alias("i"), (1 - a).alias("r"), (k % 9 / F.lit(10.0)).alias("beta"), (p % 5 / F.lit(10.0)).alias("gamma"), (k % 4 / F.lit(50.0)).alias("sigma"), (p % 3 / F.lit(10.0)).alias("mu"))
+    return S.mutating_fields(x).select("id", *((F.round(f"d{v}", 9) + F.lit(0.0)).alias(f"d{v}") for v in "sir"))
+
+
 _TWO = {"sc": "-beta * {sc} * {ic}", "ic": "beta * {sc} * {ic} - gamma * {ic}", "rc": "gamma * {ic}",
         "sm": "-(mass * {sm} * {im} + across * {sm} * {ic})", "im": "mass * {sm} * {im} + across * {sm} * {ic} - gamma * {im}", "rm": "gamma * {im}"}
 _TWO_START = "SELECT s_suppkey AS id, 0.5::DOUBLE AS beta, 0.15::DOUBLE AS mass, 0.1::DOUBLE AS gamma, 0.02 + s_suppkey % 12 * 0.03 AS across, 0.99::DOUBLE AS sc, 0.01::DOUBLE AS ic, 0.0::DOUBLE AS rc, 1.0::DOUBLE AS sm, 0.0::DOUBLE AS im, 0.0::DOUBLE AS rm FROM supplier"

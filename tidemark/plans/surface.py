@@ -180,3 +180,10 @@ def keyword_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _heard(spark, sf_dir).select("keyword", F.least(F.col("turn"), F.lit(19)).alias("at"), F.lit(1).alias("one"))
     t = G.binned(h, "keyword", "at", "one", 2, 10)
     return t.select("keyword", "bin", F.col("level").cast("bigint").alias("level"), r6(F.col("smooth")).alias("smooth"))
+
+
+@query()
+def keyword_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords heard in the conversations, their timelines, and the robust fit of each: match, timeline and fit in one query."""
+    h = _heard(spark, sf_dir).select("keyword", F.least(F.col("turn"), F.lit(19)).alias("at"), F.col("confidence").alias("one"))
+    return S.robust_fits(G.binned(h, "keyword", "at", "one", 1, 20), "keyword", "bin", "smooth")
