@@ -9,7 +9,7 @@ from tidemark.functions import rules, udfs
 from tidemark.functions.columns import bigrams, ngrams, soft_score
 from tidemark.operators import attention as A, curation as C, indicators as I, matching as M, semantic as S, signals as G, validation as V, windows as W
 from tidemark.sources import tables as T
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, store
 
 
 def value(spark, col, **cols):
@@ -167,7 +167,7 @@ def test_streams_agree_with_batches_and_drop_late_rows(spark, tmp_path):
     jobs.run_available(jobs.live_levels(s), lambda b, _: levels.extend(b.collect()), f"{tmp_path}/c2", "update")
     assert {r["meme"]: r["best"] for r in levels} == {"n": 1, "m": 2}
     jobs.capture(s, f"{tmp_path}/out", f"{tmp_path}/c3")
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 16
+    assert store.rows(spark, f"{tmp_path}/out", "event_id bigint, ts timestamp, user_id bigint, meme string, platform int, rank int, score double").count() == 16
     late = d.limit(1).withColumn("ts", F.to_timestamp(F.lit("2023-06-01 00:00:00"))).select("event_id", "user_id", "event_type", "value", "props", "ts")
     late.write.mode("append").parquet(src)
     before = len(seen)
