@@ -616,3 +616,27 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
     left = {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert left == {*range(2, 40), 50, 51, 62}
     assert {r["doc_id"] for r in P.run(spark, str(tmp_path)).collect()} == left
+
+
+def test_op9_the_driver_gathers_no_table_that_grows(spark, docs, monkeypatch):
+    """No join of the classes or their components is a broadcast, however small its tables are here."""
+    from tidemark.llm import shared
+
+    plans, write = [], shared.kept
+
+    def seen(df, *a, **b):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *a, **b)
+
+    monkeypatch.setattr(shared, "kept", seen)
+    monkeypatch.setattr(simhash, "kept", seen)
+    out = simhash.near_classes(docs)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_components_of_no_links(spark):
+    from tidemark.llm import shared
+
+    assert not shared.components(spark.createDataFrame([], "a bigint, b bigint")).count()
+    assert {tuple(r) for r in shared.components(spark.createDataFrame([(5, 2), (9, 5), (7, 8)], "a bigint, b bigint")).collect()} == {(5, 2), (9, 2), (8, 7)}

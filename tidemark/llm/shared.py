@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 #: The internal document key: rows with equal doc_id and text are one document, other rows never are.
 KEY = "_key"
@@ -163,7 +163,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for links (a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star steps over DataFrames. A node's links are never gathered:
-    its smallest neighbour comes from a partial aggregation and is joined back to the links.
+    its smallest neighbour comes from a partial aggregation and is joined back to the links. Joins are hinted
+    to merge: none of a round's tables is gathered by the driver, whatever the session broadcasts. A round's
+    end is told by numbers that its last write carries.
     """
     links = kept(
         edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u <> v").distinct(), "links"
@@ -174,18 +176,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # tables of their own: both sides of each join are plain exchanges then, so a hub's links can be split
         least = kept(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")), "least")
         # large star: every larger neighbour u of v is tied to the smallest of v's neighbourhood
-        large = kept(both.join(least, "v").filter("u > v and u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct(), "large")
+        large = kept(both.join(least.hint("merge"), "v").filter("u > v and u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct(), "large")
         # small star: every smaller neighbour of v, and v itself, is tied to the smallest of them
         down = kept(large.groupBy("v").agg(F.min("u").alias("m")), "down")
         small = (
-            large.join(down, "v")
+            large.join(down.hint("merge"), "v")
             .select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
             .filter("u <> v")
             .unionByName(down.select("v", F.col("m").alias("u")))
             .distinct()
         )
-        following = kept(small, "links")
-        now = following.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")).first()
+        told = Observation()
+        following = kept(small.observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")), "links")
+        now = told.get
         dropped(links, least, large, down)
         links = following
         if now == seen:

@@ -8,6 +8,9 @@ is perfect, so they are the same number for all), and the one that is its neares
 nearest anchor of x is within 2 of every y that differs from x in at most one bit of the half, so
 each link is seen where one end is at home, and only homes are compared with visitors.
 
+Tables here grow with the input, so their joins are hinted to merge and none passes through the driver as a broadcast;
+the rejected documents' keys alone go to all tasks, while they are few.
+
 Skew: copies share a fingerprint and are one row from the start. An anchor with more than TILE
 homes or visitors is cut into a grid of tiles of homes x visitors, each compared in a task of its
 own; nothing is capped. A tile returns a spanning forest of its links, not the links; components
@@ -179,9 +182,9 @@ def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     spread = replicated(fps)
     homes = spread.filter("home").groupBy("half", "anchor").agg(F.count("*").alias("n_homes"))
     # visitors of anchors where nobody is at home can meet nobody
-    met = kept(spread.join(homes, ["half", "anchor"]), "anchors")
+    met = kept(spread.join(homes.hint("merge"), ["half", "anchor"]), "anchors")
     busy = met.groupBy("half", "anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = met.join(busy, ["half", "anchor"])
+    sized = met.join(busy.hint("merge"), ["half", "anchor"])
     nh = F.ceil(F.col("n_homes") / F.lit(tile)).cast("int")
     nv = F.ceil(F.col("n") / F.lit(tile)).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(1)), nh).cast("int"), F.pmod(F.xxhash64("fp", F.lit(2)), nv).cast("int")
@@ -199,10 +202,10 @@ def classes(docs: DataFrame, tile: int = TILE) -> DataFrame:
     with scratch():
         fps = kept(each.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
         joined = components(links(fps, tile)).withColumnRenamed("node", "fp")
-        whole = fps.join(joined, "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
+        whole = fps.join(joined.hint("merge"), "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
         least = kept(whole.groupBy("component").agg(F.min("least_id").alias("component_id")), "component-ids")
-        ids = kept(whole.join(least, "component").select("fp", "component", "component_id"), "fingerprint-components", stay=True)
-    return each.join(ids, "fp")
+        ids = kept(whole.join(least.hint("merge"), "component").select("fp", "component", "component_id"), "fingerprint-components", stay=True)
+    return each.join(ids.hint("merge"), "fp")
 
 
 def near_classes(docs: DataFrame, tile: int = TILE) -> DataFrame:
@@ -227,5 +230,5 @@ def rejected(docs: DataFrame) -> DataFrame:
     each = kept(classes(docs).select("component", "component_id", "doc_id", "text_key").distinct(), "near-classes")
     own = each.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = own.groupBy("component").agg(F.min("text_key").alias("stay_key"))
-    gone = each.join(stay, "component").filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("text_key") != F.col("stay_key")))
+    gone = each.join(stay.hint("merge"), "component").filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("text_key") != F.col("stay_key")))
     return gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_text")).distinct()
