@@ -47,3 +47,22 @@ def test_signals_take_every_event(spark):
     assert {r["meme"] for r in QUERIES["platform_expanding"](spark, DIR).collect()} == memes
     assert sum(r["signals"] for r in QUERIES["daily_turnover_jaccard"](spark, DIR).collect()) == events.count()
     assert QUERIES["micro_burst"](spark, DIR).count() == 1
+
+
+@pytest.mark.parametrize("page", [7, 500])
+def test_lists_are_landed_whole(spark, monkeypatch, page):
+    from tidemark.plans import landed
+
+    monkeypatch.setattr(landed, "PAGE", page)
+    events = spark.read.parquet(f"{DIR}/events.parquet")
+    got = QUERIES["nested_list_source"](spark, DIR).collect()
+    longest = max(r["count"] for r in events.selectExpr("to_date(ts) as day").groupBy("day").count().collect())
+    assert len(got) == events.count() and max(r["rank"] for r in got) == longest > 7
+
+
+def test_numbers_of_a_keys_rows(spark):
+    from tidemark.operators.windows import numbered
+
+    rows = [(k, v) for k in ("a", None, "b") for v in (-9, -3, 0, 4, 5, 12, 13, 700)]
+    got = numbered(spark.createDataFrame(rows, "k string, v bigint"), ["k"], "v", width=4).collect()
+    assert {(r["k"], r["v"]): r["rank"] for r in got} == {(k, v): i for k in ("a", None, "b") for i, v in enumerate(sorted({v for _, v in rows}), 1)} and len(got) == len(rows)

@@ -188,3 +188,18 @@ def first_of_each(df: DataFrame, by: list[str], order: list, most: int, buckets:
     own = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     few = own.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))).filter(F.col("rank") <= most)
     return few.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= most).drop("_b")
+
+
+def numbered(df: DataFrame, by: list[str], order: str, name: str = "rank", width: int = 4096) -> DataFrame:
+    """The rows with their number within the key, from 1, by ``order`` (whole numbers that tell a key's rows apart): numbers within stretches of ``width``
+    values of it, behind the counts of the stretches before. No task sorts all of a key's rows."""
+    own = df.withColumn("_s", F.floor(F.col(order) / width))
+    counts = own.groupBy(*by, "_s").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_s")) - F.col("_n")).drop("_n")
+    # a value for each row is there on both sides: nulls of the key meet
+    meets = F.lit(True)
+    right = before.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_s"])), "_before")
+    for i, c in enumerate([*by, "_s"]):
+        meets = meets & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    place = F.row_number().over(Window.partitionBy(*by, "_s").orderBy(order))
+    return own.withColumn("_i", place).join(right, meets).withColumn(name, F.col("_i") + F.col("_before")).drop("_s", "_i", "_before", *(f"_k{i}" for i in range(len(by) + 1)))

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.catalog import query
 from tidemark.functions.columns import r6
-from tidemark.operators.windows import first_of_each
+from tidemark.operators.windows import first_of_each, numbered
 from tidemark.sources import tables as T
 from tidemark.plans.bindings import ATT, attention, table
 
 
+#: Entries of one document of a list that is landed whole.
+PAGE = 10_000
+
+
 def place(spark: SparkSession, name: str) -> str:
     """A folder of the shared one for a landing; a later run of the session lands over it."""
     return f"{T.working_dir(spark)}/tidemark/landed/{spark.sparkContext.applicationId}/{name}"
@@ -61,12 +65,15 @@ def ranked_list_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.ranked_list(spark, path)
 
 
-@query(f"WITH {_DAILY} SELECT rank::INT AS rank, title, 0::BIGINT AS hot_score, '/q/' || title AS url, 'nested' AS platform FROM e WHERE rank <= 50")
+@query(f"WITH {_DAILY} SELECT rank::INT AS rank, title, 0::BIGINT AS hot_score, '/q/' || title AS url, 'nested' AS platform FROM e")
 def nested_list_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries of each day's list, which is landed in pages."""
     entry = lambda x: F.struct(F.struct(_title(x).alias("title"), F.concat(F.lit("/q/"), _title(x)).alias("url")).alias("target"))
     path = place(spark, "nested")
-    land_json(daily_lists(spark, sf_dir, entry, 50).withColumnRenamed("items", "data"), "day", path)
-    return T.nested_list(spark, path)
+    e = numbered(table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), ["day"], "event_id")
+    pages = e.groupBy("day", F.floor((F.col("rank") - 1) / PAGE).alias("page")).agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type", "value"))), entry).alias("data"))
+    pages.repartition("day", "page").write.mode("overwrite").partitionBy("day", "page").json(path)
+    return T.nested_list(spark, path, PAGE)
 
 
 @query("""WITH p AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS t, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS u, regexp_extract_all(html, 'track\\(([0-9]+)\\)', 1) AS s FROM pages),

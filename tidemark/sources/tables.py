@@ -38,10 +38,11 @@ def ranked_list(spark: SparkSession, path: str, most: int = 50) -> DataFrame:
     )
 
 
-def nested_list(spark: SparkSession, path: str) -> DataFrame:
-    """Items of payloads that nest the entry under ``target``; they carry no heat."""
+def nested_list(spark: SparkSession, path: str, page: int = 0) -> DataFrame:
+    """Items of payloads that nest the entry under ``target``; they carry no heat. page: entries of a payload, where a list is landed in pages (folders ``page=`` from 0)."""
     raw = spark.read.schema(NESTED_LIST).option("mode", "DROPMALFORMED").option("multiLine", True).json(path)
-    return raw.select(F.posexplode("data.target").alias("p", "x")).select((F.col("p") + 1).alias("rank"), F.col("x.title").alias("title"), F.lit(0).cast("bigint").alias("hot_score"), F.col("x.url").alias("url"), F.lit("nested").alias("platform"))
+    before = (F.col("page") * page).cast("int") if page else F.lit(0)
+    return raw.select(before.alias("_b"), F.posexplode("data.target").alias("p", "x")).select((F.col("_b") + F.col("p") + 1).alias("rank"), F.col("x.title").alias("title"), F.lit(0).cast("bigint").alias("hot_score"), F.col("x.url").alias("url"), F.lit("nested").alias("platform"))
 
 
 def html_items(pages: DataFrame, title: str, score: str, url: str, most: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -92,11 +93,12 @@ def hourly(items: DataFrame, signals: DataFrame, version: str = "2.0") -> DataFr
     return doc.join(sig, "ts", "left").withColumn("version", F.lit(version))
 
 
-def migrated(v1: DataFrame) -> DataFrame:
-    """First-version captures (three arrays) as flat items with the new version's label."""
+def migrated(v1: DataFrame, page: int = 0) -> DataFrame:
+    """First-version captures (three arrays) as flat items with the new version's label. page: items of an array, where a capture is in pages (column ``page`` from 0)."""
     one = F.array(*(F.struct(F.lit(p).alias("platform"), F.col(f"{p}_top10").alias("items")) for p in ("weibo", "zhihu", "baidu")))
-    flat = v1.select("ts", F.inline(one)).select("ts", "platform", F.posexplode("items").alias("p", "title"))
-    return flat.select("ts", "platform", (F.col("p") + 1).alias("rank"), F.trim("title").alias("title"), F.lit("2.0-backfill").alias("version")).filter("title <> ''")
+    before = (F.col("page") * page).cast("int") if page else F.lit(0)
+    flat = v1.select("ts", before.alias("_b"), F.inline(one)).select("ts", "_b", "platform", F.posexplode("items").alias("p", "title"))
+    return flat.select("ts", "platform", (F.col("_b") + F.col("p") + 1).alias("rank"), F.trim("title").alias("title"), F.lit("2.0-backfill").alias("version")).filter("title <> ''")
 
 
 def append_by_day(df: DataFrame, path: str, time: str = "ts") -> None:
