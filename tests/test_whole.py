@@ -60,6 +60,17 @@ def test_lists_are_landed_whole(spark, monkeypatch, page):
     assert len(got) == events.count() and max(r["rank"] for r in got) == longest > 7
 
 
+@pytest.mark.parametrize("page", [2, 500])
+def test_captures_are_migrated_whole(spark, monkeypatch, page):
+    from tidemark.plans import landed
+
+    monkeypatch.setattr(landed, "PAGE", page)
+    one_hour = spark.range(40).selectExpr("id as event_id", "timestamp'2024-01-05 10:20:00' as ts", "id % 2 * 3 + 1 as user_id", "'view' as event_type", "1.5D as value", "'{}' as props")
+    monkeypatch.setattr(landed, "table", lambda *a: one_hour)
+    got = QUERIES["migrated_captures"](spark, DIR).collect()
+    assert sorted((r["rank"], r["title"]) for r in got) == [(i + 1, f"view{i}") for i in range(40) if i % 11]
+
+
 def test_numbers_of_a_keys_rows(spark):
     from tidemark.operators.windows import numbered
 

@@ -231,14 +231,14 @@ def expired_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT date_trunc('hour', ts) AS ts, event_id, trim(CASE WHEN event_id % 11 = 0 THEN ' ' ELSE ' ' || event_type || event_id || ' ' END) AS title, (user_id % 3)::INT AS p FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY ts, p ORDER BY event_id) AS rank FROM e)
-SELECT strftime(ts, '%Y-%m-%d %H') AS hour, ['weibo', 'zhihu', 'baidu'][p + 1] AS platform, rank::INT AS rank, title, '2.0-backfill' AS version FROM r WHERE title <> '' AND rank <= 10""")
+SELECT strftime(ts, '%Y-%m-%d %H') AS hour, ['weibo', 'zhihu', 'baidu'][p + 1] AS platform, rank::INT AS rank, title, '2.0-backfill' AS version FROM r WHERE title <> ''""")
 def migrated_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-version captures (three arrays) as flat items of the new version; blank titles go."""
+    """First-version captures (three arrays, in pages) as flat items of the new version; blank titles go."""
     e = table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").alias("ts"), "event_id", (F.col("user_id") % 3).alias("p"), F.when(F.col("event_id") % 11 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), "event_type", "event_id", F.lit(" "))).alias("title"))
-    e = first_of_each(e, ["ts", "p"], ["event_id"], 10)  # a capture has the first ten of each platform
+    e = numbered(e, ["ts", "p"], "event_id").withColumn("page", F.floor((F.col("rank") - 1) / PAGE))
     # no array where an hour has nothing of a platform
     arrays = [F.transform(F.sort_array(F.collect_list(F.when(F.col("p") == i, F.struct("event_id", "title")))), lambda s: s["title"]).alias(f"{n}_top10") for i, n in enumerate(("weibo", "zhihu", "baidu"))]
-    m = T.migrated(e.groupBy("ts").agg(*arrays))
+    m = T.migrated(e.groupBy("ts", "page").agg(*arrays), PAGE)
     return m.select(F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), "platform", "rank", "title", "version")
 
 
