@@ -233,3 +233,29 @@ def test_collective_states(spark):
     assert [of(2.0, -0.4), of(2.0, -0.41), of(1.2, -0.6), of(1.2, 0.3), of(0.5, 0.2), of(0.5, 0.9), of(1.5, 0.1)] == [
         "constructive_irony", "aggressive_venting", "nihilistic_retreat", "identity_construction", "neutral_entertainment", None, "neutral_entertainment"
     ]
+
+
+def test_configurations_solved_together_are_those_solved_alone():
+    import numpy as np
+
+    from tidemark.functions import dynamics as D
+
+    beta, gamma, sigma = np.array([0.15, 0.35, 0.55]), np.array([0.1, 0.2, 0.1]), np.array([0.01, 0.0, 0.03])
+    s = D.Spread(beta, gamma, sigma)
+    rates = D.divergence(s.solve(i0=0.001)[1], s.solve(i0=0.0011)[1], 200.0)
+    across = np.array([0.02, 0.1, 0.3])
+    both = D.two_populations(D.Spread(beta, gamma), D.Spread(0.15, gamma), across)[1]
+    paths = D.individual(np.array([beta, gamma, np.full(3, 0.05), sigma]), np.array([0.3, -0.4, 0.9]))
+    for i in range(3):
+        one = D.Spread(beta[i], gamma[i], sigma[i])
+        assert rates[i] == D.divergence(one.solve(i0=0.001)[1], one.solve(i0=0.0011)[1], 200.0)
+        assert (both[:, :, i] == D.two_populations(D.Spread(beta[i], gamma[i]), D.Spread(0.15, gamma[i]), across[i])[1]).all()
+        assert (paths[:, i] == D.individual(np.array([beta[i], gamma[i], 0.05, sigma[i]]), np.array([0.3, -0.4, 0.9]))).all()
+
+
+def test_configurations_of_one_file_go_to_all_cores(spark):
+    from tidemark.operators import simulation as S
+
+    one = spark.range(50).coalesce(1).selectExpr("id", "0.3D as beta", "0.1D as gamma", "0.01D as sigma")
+    made = S.divergences(S.dealt(one), 0.001, 0.0011)
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and made.count() == 50

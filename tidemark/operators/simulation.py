@@ -67,38 +67,54 @@ def fields(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, "id bigint, ds double, di double, dr double")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Configurations dealt to all cores: their table is small beside what they cost, so its files are too few."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def together(df: DataFrame, solved: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """solved() over some hundreds of rows at a time."""
+
+    def run(frames):
+        for f in frames:
+            for lo in range(0, len(f), TOGETHER):
+                yield solved(f.iloc[lo : lo + TOGETHER])
+
+    return df.mapInPandas(run, schema)
+
+
 def two_populations(df: DataFrame) -> DataFrame:
-    """(id, core_peak, mass_peak, core_day, mass_day) of rows (id, beta, mass, gamma, across)."""
+    """(id, core_peak, mass_peak, core_day, mass_day) of rows (id, beta, mass, gamma, across), some hundreds solved together."""
 
-    def solve(r: dict) -> dict:
-        t, y = D.two_populations(D.Spread(r["beta"], r["gamma"]), D.Spread(r["mass"], r["gamma"]), r["across"])
-        core, mass = y[:, 1], y[:, 4]
-        return {"id": r["id"], "core_peak": core.max(), "mass_peak": mass.max(), "core_day": t[core.argmax()], "mass_day": t[mass.argmax()]}
+    def solved(f: pd.DataFrame) -> pd.DataFrame:
+        beta, mass, gamma, across = (f[c].to_numpy(float) for c in ("beta", "mass", "gamma", "across"))
+        t, y = D.two_populations(D.Spread(beta, gamma), D.Spread(mass, gamma), across)
+        core, many = y[:, 1], y[:, 4]
+        return pd.DataFrame({"id": f["id"], "core_peak": core.max(0), "mass_peak": many.max(0), "core_day": t[core.argmax(0)], "mass_day": t[many.argmax(0)]})
 
-    return per_row(df, solve, "id bigint, core_peak double, mass_peak double, core_day double, mass_day double")
+    return together(df, solved, "id bigint, core_peak double, mass_peak double, core_day double, mass_day double")
 
 
 def divergences(df: DataFrame, first: float, second: float) -> DataFrame:
-    """(id, rate) of rows (id, beta, gamma, sigma): growth of the distance of two runs from two starts."""
+    """(id, rate) of rows (id, beta, gamma, sigma): growth of the distance of two runs from two starts, some hundreds solved together."""
 
-    def solve(r: dict) -> dict:
-        s = D.Spread(r["beta"], r["gamma"], r["sigma"])
-        return {"id": r["id"], "rate": D.divergence(s.solve(i0=first)[1], s.solve(i0=second)[1], 200.0)}
+    def solved(f: pd.DataFrame) -> pd.DataFrame:
+        s = D.Spread(*(f[c].to_numpy(float) for c in ("beta", "gamma", "sigma")))
+        return pd.DataFrame({"id": f["id"], "rate": D.divergence(s.solve(i0=first)[1], s.solve(i0=second)[1], 200.0)})
 
-    return per_row(df, solve, "id bigint, rate double")
+    return together(df, solved, "id bigint, rate double")
 
 
 def agent_paths(df: DataFrame, events: list[float], noise: float = 0.0, seed: int = 42) -> DataFrame:
-    """(id, step, x) of agents (id, lean, openness, memory) under a row of events."""
+    """(id, step, x) of agents (id, lean, openness, memory) under a row of events, some hundreds walking together."""
     v = np.array(events)
 
-    def run(frames):
-        for f in frames:
-            for r in f.to_dict("records"):
-                x = D.individual(np.array([r["lean"], r["openness"], noise, r["memory"]]), v, seed)
-                yield pd.DataFrame({"id": r["id"], "step": np.arange(1, len(v) + 1, dtype=np.int32), "x": x})
+    def walked(f: pd.DataFrame) -> pd.DataFrame:
+        lean, openness, memory = (f[c].to_numpy(float) for c in ("lean", "openness", "memory"))
+        x = D.individual(np.array([lean, openness, np.full(len(f), noise), memory]), v, seed)
+        return pd.DataFrame({"id": np.repeat(f["id"].to_numpy(), len(v)), "step": np.tile(np.arange(1, len(v) + 1, dtype=np.int32), len(f)), "x": x.T.reshape(-1)})
 
-    return df.mapInPandas(run, "id bigint, step int, x double")
+    return together(df, walked, "id bigint, step int, x double")
 
 
 def crowds(df: DataFrame) -> DataFrame:

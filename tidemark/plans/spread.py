@@ -127,7 +127,7 @@ SELECT id, round(ln(max(d) FILTER (k = 999) / max(d) FILTER (k = 0)) / 200, 6) A
 def divergence_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean log growth of the distance between two runs that start a little apart."""
     c = configurations(spark, sf_dir).select("id", (0.15 + F.col("id") % 5 * 0.1).alias("beta"), F.lit(0.1).alias("gamma"), F.lit(0.01).alias("sigma"))
-    return S.divergences(c, 0.001, 0.0011).select("id", r6(F.col("rate")).alias("rate"))
+    return S.divergences(S.dealt(c), 0.001, 0.0011).select("id", r6(F.col("rate")).alias("rate"))
 
 
 _PARTS = f"WITH RECURSIVE {_X}, {spread_sql('SELECT p_partkey AS id, r0 * gamma AS beta, gamma, 0.0::DOUBLE AS sigma, 0.0::DOUBLE AS mu FROM r')}"
