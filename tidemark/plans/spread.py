@@ -114,7 +114,7 @@ SELECT id, round(core_peak, 6) AS core_peak, round(mass_peak, 6) AS mass_peak, r
 def two_population_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A core and the mass it spills over to, by the strength of the spill: the core peaks first."""
     c = configurations(spark, sf_dir).select("id", F.lit(0.5).alias("beta"), F.lit(0.15).alias("mass"), F.lit(0.1).alias("gamma"), (0.02 + F.col("id") % 12 * 0.03).alias("across"))
-    return S.two_populations(c.repartition(4)).select("id", *(r6(F.col(x)).alias(x) for x in ("core_peak", "mass_peak", "core_day", "mass_day")))
+    return S.two_populations(S.dealt(c)).select("id", *(r6(F.col(x)).alias(x) for x in ("core_peak", "mass_peak", "core_day", "mass_day")))
 
 
 _NEAR = "SELECT 2 * s_suppkey + later AS id, 0.15 + s_suppkey % 5 * 0.1 AS beta, 0.1::DOUBLE AS gamma, 0.01::DOUBLE AS sigma, 0.0::DOUBLE AS mu FROM supplier, range(2) AS r(later)"
