@@ -114,15 +114,15 @@ EVENTS = [((i * 37) % 21 - 10) / 10.0 for i in range(40)]
 @query(f"WITH RECURSIVE {_PATHS} SELECT id, k::INT AS step, round(x, 6) + 0.0 AS x FROM pa WHERE k > 0")
 def agent_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agents' leanings under a row of events, without noise."""
-    return S.agent_paths(agents(spark, sf_dir), EVENTS).select("id", "step", (F.round("x", 6) + F.lit(0.0)).alias("x"))
+    return S.agent_paths(S.dealt(agents(spark, sf_dir)), EVENTS).select("id", "step", (F.round("x", 6) + F.lit(0.0)).alias("x"))
 
 
 @query(f"WITH RECURSIVE {_PATHS} SELECT a.id, round(avg((a.x - b.x) ** 2), 6) AS loss FROM pa a JOIN pa b ON b.id = 6 AND a.k = b.k WHERE a.k > 0 GROUP BY a.id")
 def agent_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean squared distance of each agent's path to an observed one."""
-    paths = S.agent_paths(agents(spark, sf_dir), EVENTS)
-    seen = paths.filter("id = 6").select("step", F.col("x").alias("y"))
-    return paths.join(seen, "step").groupBy("id").agg(r6(F.avg((F.col("x") - F.col("y")) ** 2)).alias("loss"))
+    a = agents(spark, sf_dir)
+    seen = S.agent_paths(a.filter("id = 6"), EVENTS).select("step", F.col("x").alias("y"))  # one agent's path
+    return S.agent_paths(S.dealt(a), EVENTS).join(F.broadcast(seen), "step").groupBy("id").agg(r6(F.avg((F.col("x") - F.col("y")) ** 2)).alias("loss"))
 
 
 @query(f"""WITH {AXIS}, b AS (SELECT min(x) - 0.5 * (max(x) - min(x)) AS lo, 2 * (max(x) - min(x)) AS span, stddev_samp(x) AS sd FROM axis), w(h) AS (VALUES (0.1::DOUBLE), (0.2), (0.4), (0.8)),
