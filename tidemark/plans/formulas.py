@@ -400,7 +400,10 @@ _SCENES = "o AS (SELECT p_partkey AS id, s.*, NULL::DOUBLE AS rsl, NULL::DOUBLE
 def agent_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of individuals of whom only a scenario is known."""
     name = F.get(F.array(*map(F.lit, B.SCENARIOS)), (F.col("p_partkey") % 4).cast("int"))
-    return _flat(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), B.scenario(name).alias("x")), "id")
+    # a scenario's profile is the same for all of whom it is known: made once for each, then looked up
+    known = spark.createDataFrame([(s,) for s in B.SCENARIOS], "name string").select("name", B.scenario(F.col("name")).alias("x"))
+    people = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name.alias("name"))
+    return _flat(people.join(F.broadcast(known), "name", "left"), "id")
 
 
 @query("SELECT vec_id, unnest(range(1, len(embedding) + 1))::INT AS i, round(unnest(embedding)::DOUBLE, 4) AS x FROM embeddings")
