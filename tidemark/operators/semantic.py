@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.columns import cosine, distance, entropy_term, let, norm, vsum
@@ -162,17 +166,55 @@ def retrieval(queries: DataFrame, nodes: DataFrame, truth: str, k: int = 3, most
     return r.agg(F.count("*").alias("n"), F.avg((F.col("rank") == 1).cast("double")).alias("top1"), F.avg((F.col("rank") <= k).cast("double")).alias("topk"))
 
 
-def nearest_rows(queries: DataFrame, base: DataFrame, k: int = 5, block: int = 256) -> DataFrame:
-    """(id, rank, vec_id, cos): exact k nearest rows of a stated query set, in blocks of queries against all rows.
+#: Cosines are ranked at nine digits: what a product of matrices puts further below the k-th best is not among the k best.
+_SLACK = 2e-9
+
+
+def nearest_rows(queries: DataFrame, base: DataFrame, k: int = 5, block: int = 1024, rows: int = 8192) -> DataFrame:
+    """(id, rank, vec_id, cos): exact k nearest rows of a stated query set.
 
-    Queries are packed ``block`` to a row and meet each row once per block; each task keeps its k best by partial aggregation.
+    Blocks of queries meet blocks of rows. A product of matrices tells which rows of a block can be among a query's k best; their cosines are then
+    computed as cosine() does. Of equal vectors in a block the first k + 1 are enough, the query itself may be one of them.
     """
-    n = max(1, -(-queries.count() // block))
-    packed = queries.select("id", "e", F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"))
-    sides = packed.groupBy("b").agg(F.collect_list(F.struct("id", "e")).alias("qs"))
-    pairs = base.select("vec_id", F.col("e").alias("v")).join(sides).select("vec_id", F.explode(F.transform("qs", lambda q: F.struct(q["id"].alias("id"), cosine(q["e"], F.col("v")).alias("cos")))).alias("m"))
+    n, m = max(1, -(-queries.count() // block)), max(1, -(-base.count() // rows))
+    left = queries.filter("e is not null").groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("_b")).agg(F.collect_list(F.struct("id", "e")).alias("qs"))
+    right = base.filter("e is not null").groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(m)).alias("_c")).agg(F.collect_list(F.struct(F.col("vec_id").alias("id"), "e")).alias("vs"))
+
+    def side(held: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        ids, e = held.values.field("id"), held.values.field("e")
+        return ids.to_numpy(zero_copy_only=False), e.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+
+    def summed(x: np.ndarray) -> np.ndarray:
+        return np.add.accumulate(x, axis=1)[:, -1]  # from left to right
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qs, vs in zip(batch.column(0), batch.column(1), strict=True):
+                (own, q), (ids, v) = side(qs), side(vs)
+                order = np.argsort(ids, kind="stable")
+                ids, v = ids[order], v[order]
+                _, first, kind = np.unique(v, axis=0, return_index=True, return_inverse=True)
+                kind = kind.reshape(-1)
+                by = np.argsort(kind, kind="stable")  # rows by vector, their ids rising
+                begin = np.searchsorted(kind[by], np.arange(len(first) + 1))
+                v = v[first]
+                nq, nv = np.sqrt(summed(q * q)), np.sqrt(summed(v * v))
+                for lo in range(0, len(q), 128):
+                    some = slice(lo, lo + 128)
+                    size = nq[some, None] * nv[None]
+                    near = np.divide(q[some] @ v.T, size, out=np.zeros_like(size), where=size > 0)
+                    best = min(k + 1, len(v))  # one may be the query itself
+                    least = np.partition(near, len(v) - best, axis=1)[:, len(v) - best]
+                    i, j = np.nonzero(near >= least[:, None] - _SLACK)
+                    i += lo
+                    d = np.concatenate([summed(q[i[x : x + 65536]] * v[j[x : x + 65536]]) for x in range(0, len(i), 65536)])
+                    size = nq[i] * nv[j]
+                    cos = np.divide(d, size, out=np.zeros_like(d), where=size > 0)
+                    times = np.minimum(begin[j + 1] - begin[j], k + 1)
+                    at = np.repeat(begin[j] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                    yield pa.record_batch([pa.array(own[np.repeat(i, times)], pa.int64()), pa.array(ids[by[at]], pa.int64()), pa.array(np.repeat(cos, times))], names=["id", "vec_id", "cos"])
+
+    pairs = left.join(right, F.lit(True)).repartition(max(1, min(n * m, 2000)), "_b", "_c").select("qs", "vs")
+    s = pairs.mapInArrow(task, "id bigint, vec_id bigint, cos double").withColumn("cos", F.round("cos", 9)).filter(F.col("id") != F.col("vec_id"))
     w = Window.partitionBy("id").orderBy(F.desc("cos"), "vec_id")
-    s = pairs.select(F.col("m.id").alias("id"), "vec_id", F.round("m.cos", 9).alias("cos")).filter(F.col("id") != F.col("vec_id"))
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "rank", "vec_id", "cos")
-
-
