@@ -114,3 +114,38 @@ def test_embeddings_components(spark):
     u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
     z = np.array([[r["z1"], r["z2"], r["z3"]] for r in rows])
     assert np.abs(z) == pytest.approx(np.abs(u[:, :3] * s[:3]), abs=1e-6)
+
+
+def test_least_heights_are_those_of_differences():
+    import numpy as np
+
+    from tidemark.operators import hierarchy as H
+
+    r = np.random.default_rng(3)
+    c = np.concatenate([r.normal(0, 1, (60, 20)), np.repeat(r.normal(0, 1, (2, 20)), 4, axis=0), 1e4 + 1e-5 * r.normal(0, 1, (6, 20))])
+    n, i = r.integers(1, 9, len(c)).astype(float), np.arange(len(c))
+    whole = sum(((c[:, None, lo : lo + 8] - c[None, :, lo : lo + 8]) ** 2).sum(-1) for lo in range(0, 20, 8)) * (n[:, None] * n[None] / (n[:, None] + n[None]))
+    np.fill_diagonal(whole, np.inf)
+    got = H.least_heights(i, n, c, i, n, c)
+    low = whole.min(axis=1)
+    assert (got.min(axis=1) == low).all() and ((got == low[:, None]) == (whole == low[:, None])).all()
+
+
+def test_nearest_rows_by_nested_loops(spark):
+    """Copies, a vector without length, near ties, and blocks smaller than the table."""
+    import numpy as np
+
+    from tidemark.operators import semantic as S
+
+    r = np.random.default_rng(5)
+    v = [list(map(float, x)) for x in r.integers(-2, 3, (90, 3))] + [[0.0, 0.0, 0.0]] * 2 + [[1.0, 1.0, 0.5]] * 12
+    base = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "vec_id bigint, e array<double>")
+
+    def cos(a, b):
+        s = lambda x, y: sum((p * q for p, q in zip(x, y)), 0.0)
+        n = s(a, a) ** 0.5 * s(b, b) ** 0.5
+        return s(a, b) / n if n > 0 else 0.0
+
+    want = {(i, k + 1, j) for i in range(0, len(v), 7) for k, (_, j) in enumerate(sorted((-round(cos(v[i], x), 9), j) for j, x in enumerate(v) if j != i)[:5])}
+    got = S.nearest_rows(base.filter("vec_id % 7 = 0").selectExpr("vec_id as id", "e"), base, 5, 4, 16).collect()
+    assert {(x["id"], x["rank"], x["vec_id"]) for x in got} == want and len(got) == len(want)

@@ -35,6 +35,30 @@ def table_of(df: DataFrame, name: str) -> DataFrame:
     return _kept(df, f"{working_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", "rows")
 
 
+def least_heights(i: np.ndarray, n: np.ndarray, c: np.ndarray, j: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Ward's distances of clusters i to clusters j where they can be the least of a row, infinite elsewhere and to itself.
+
+    A product of matrices bounds all distances; those that its error leaves open are then summed from differences, so that equal centres are at no
+    distance to the bit, from either side.
+    """
+    a, b = (c * c).sum(-1), (d * d).sum(-1)
+    scale = n[:, None] * m[None] / (n[:, None] + m[None])
+    rough = a[:, None] + b[None] - 2 * (c @ d.T)
+    slack = 4 * (c.shape[1] + 4) * np.finfo(float).eps * (a[:, None] + b[None]) * scale
+    rough *= scale
+    rough[i[:, None] == j[None]] = np.inf
+    x, y = np.nonzero(rough - slack <= (rough + slack).min(axis=1)[:, None])
+    far = np.full(rough.shape, np.inf)
+    for at in range(0, len(x), 1 << 16):
+        p, q = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+        total = np.zeros(len(p))
+        for lo in range(0, c.shape[1], 8):
+            total += ((c[p, lo : lo + 8] - d[q, lo : lo + 8]) ** 2).sum(-1)
+        far[p, q] = total * scale[p, q]
+    far[i[:, None] == j[None]] = np.inf
+    return far
+
+
 def nearest(clusters: DataFrame, count: int) -> DataFrame:
     """(id, other, height): each cluster's nearest one. clusters: (id, n, c)."""
     blocks = -(-count // BLOCK)
@@ -50,11 +74,7 @@ def nearest(clusters: DataFrame, count: int) -> DataFrame:
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 (i, n, c), (j, m, d) = matrix(x.values), matrix(y.values)
-                far = np.zeros((len(i), len(j)))
-                for lo in range(0, c.shape[1], 8):  # differences, not a product: equal centres are at no distance to the bit, from either side
-                    far += ((c[:, None, lo : lo + 8] - d[None, :, lo : lo + 8]) ** 2).sum(-1)
-                far *= n[:, None] * m[None] / (n[:, None] + m[None])
-                far[i[:, None] == j[None]] = np.inf
+                far = least_heights(i, n, c, j, m, d)
                 low = far.min(axis=1)
                 tie = np.where(far == low[:, None], np.minimum(i[:, None], j[None]), np.iinfo(np.int64).max)
                 tie2 = np.where(tie == tie.min(axis=1)[:, None], np.maximum(i[:, None], j[None]), np.iinfo(np.int64).max)
