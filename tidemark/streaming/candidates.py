@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -50,7 +51,7 @@ def transitions(stream: DataFrame, scorer: Callable[[str], float | None], known:
             else:
                 state.update((status, None, n))
         elif status not in ("scored", "rejected"):
-            scrapes = sorted({t.to_pydatetime() for f in frames for t in f["scrape"]})
+            scrapes = list(pd.DatetimeIndex(np.unique(np.concatenate([f["scrape"].to_numpy() for f in frames]))).to_pydatetime())
             if not state.exists and not acceptable(title, known, noise):
                 to("rejected", scrapes[0])
             for at in scrapes if status != "rejected" else ():
