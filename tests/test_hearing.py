@@ -86,3 +86,26 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "hello")], "id int, t string")
     plan = H.heard(df, ["id"], "t", spark.createDataFrame([("hallo",)], "keyword string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_a_window_is_weighed_once_however_often_it_stands(spark, monkeypatch):
+    """Layer 3's likenesses are made of distinct windows: a row of the segments is not in their plan's grouping."""
+    seen = []
+    whole = H.partial_ratios
+    monkeypatch.setattr(H, "partial_ratios", lambda a, b, *c: seen.append(b) or whole(a, b, *c))
+    segments = spark.createDataFrame([(i, "meant elle " * 5) for i in range(30)], "id bigint, t string")
+    words = spark.createDataFrame([("mentelle",), ("nt el",)], "keyword string")
+    out = H.heard(segments, ["id"], "t", words)
+    assert len(seen) == 1 and "keys=[_w" in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r["keyword"], r["place"]) for r in out.collect()} == {("nt el", plainly("meant elle " * 5, "nt el")[1])} | ({("mentelle", plainly("meant elle " * 5, "mentelle")[1])} if plainly("meant elle " * 5, "mentelle") else set())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_halves_find_all_that_is_one_edit_away(spark, seed):
+    r = random.Random(seed)
+    texts = ["".join(r.choice("abAB") for _ in range(r.randint(1, 14))) for _ in range(40)]
+    words = sorted({"".join(r.choice("ab") for _ in range(r.randint(1, 9))) for _ in range(12)})
+    segments = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    got = {(x["id"], x["keyword"]): (x["layer"], x["place"], x["matched"], x["confidence"]) for x in H.heard(segments, ["id"], "t", spark.createDataFrame([(w,) for w in words], "keyword string")).collect()}
+    want = {(i, w): p for i, t in enumerate(texts) for w in words if (p := plainly(t, w))}
+    assert got == want

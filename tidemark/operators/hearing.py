@@ -2,8 +2,8 @@
 
 A segment's windows are looked up in an index of the keywords, never tried one by one:
 
-1. and 2. Both a window of a keyword's length and the keyword are listed with each one of their characters left out (and whole).
-   Two texts that are one edit apart share an entry, so an equality join finds all pairs that can match; their edit distance decides.
+1. and 2. One edit leaves either the first or the second half of a keyword as it is, at the beginning or the end of the window: an equality
+   join by halves finds all pairs that can match (windows with neither half of any keyword go before it); their edit distance decides.
 3. A window of fixed width and a keyword that agree in most of their characters share pairs of neighbouring characters: each missing
    or added character undoes two of them. Windows meet keywords by such pairs, those with too few in common go, and the rest is
    scored by the longest common subsequence.
@@ -38,6 +38,13 @@ def pairs(text: Column) -> Column:
     return F.when(n > 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
+def window_pairs(text: Column, width: int) -> Column:
+    """pairs() of a window of ``width`` characters, place by place; of a shorter one (a whole short text) by the general form."""
+    if not 1 < width <= 64:
+        return pairs(text)
+    return F.when(F.length(text) == width, F.array_distinct(F.array(*(F.substring(text, i, 2) for i in range(1, width))))).otherwise(pairs(text))
+
+
 def letters(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
@@ -105,12 +112,25 @@ def heard(segments: DataFrame, ids: list[str], text: str, keywords: DataFrame, k
     own = segments.select(*ids, F.col(text).alias("_text")).filter(F.length("_text") >= 2)
     if not lengths:
         return own.select(*ids, F.lit("").alias("keyword"), F.lit(1).alias("layer"), F.lit(0).alias("place"), F.col("_text").alias("matched"), F.lit(0.0).alias("confidence")).limit(0)
-    cut = own.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).filter(F.col("n") <= F.length("_text"))
-    cut = cut.withColumn("place", F.explode(F.sequence(F.lit(0), F.length("_text") - F.col("n")))).select(*ids, "n", "place", F.substring("_text", F.col("place") + 1, F.col("n")).alias("matched"))
+    halved = known.withColumn("head", F.floor(F.length("sound") / 2).cast("int")).withColumn("tail", F.length("sound") - F.col("head"))
+    kinds = [tuple(r) for r in halved.select("n", "head", "tail").distinct().collect()]  # about as many as lengths
+    cut = own.withColumn("_k", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(h).alias("head"), F.lit(t).alias("tail")) for n, h, t in kinds)))).select(*ids, "_text", "_k.*").filter(F.col("n") <= F.length("_text"))
+    cut = cut.withColumn("place", F.explode(F.sequence(F.lit(0), F.length("_text") - F.col("n")))).select(*ids, "n", "head", "tail", "place", F.substring("_text", F.col("place") + 1, F.col("n")).alias("matched"))
     said = cut.withColumn("said", sound(F.col("matched")))
-    entry = F.explode(shortened(F.col("said"))).alias("entry")
-    entries = known.select("keyword", "sound", "n", F.explode(shortened(F.col("sound"))).alias("entry"))
-    met = said.select(*ids, "n", "place", "matched", "said", entry).join(along(entries), ["n", "entry"])
+
+    def halves(text: Column) -> tuple[Column, Column]:
+        """Both halves with their kind: as long as those of the keyword."""
+        at = lambda side: F.concat_ws(":", F.lit(side), F.col("n"), F.col("head"), F.col("tail"))
+        return F.concat(at("<"), F.lit(":"), F.substring(text, F.lit(1), F.col("head"))), F.concat(at(">"), F.lit(":"), F.substring(text, F.greatest(F.length(text) - F.col("tail"), F.lit(0)) + 1, F.col("tail")))
+
+    entries = halved.select("keyword", "sound", F.explode(F.array(*halves(F.col("sound")))).alias("entry"))
+    first, second = halves(F.col("said"))
+    said = said.withColumn("_first", first).withColumn("_second", second)
+    if small:
+        listed = [r["entry"] for r in entries.select("entry").distinct().collect()]  # two for each of a small dictionary
+        said = said.filter(F.col("_first").isin(listed) | F.col("_second").isin(listed))
+    entry = F.explode(F.array("_first", "_second")).alias("entry")
+    met = said.select(*ids, "place", "matched", "said", entry).join(along(entries), "entry")
     slips = F.levenshtein("said", "sound")
     near = met.withColumn("_d", slips).filter((F.col("_d") <= 1) & (F.length("said") >= SHORTEST_SHARE * F.length("sound")))
     close = near.select(*ids, "keyword", F.when(F.col("_d") == 0, 1).otherwise(2).alias("layer"), "place", "matched", F.when(F.col("_d") == 0, 1.0).otherwise(SLIP[0] - SLIP[1]).alias("confidence"))
@@ -118,12 +138,15 @@ def heard(segments: DataFrame, ids: list[str], text: str, keywords: DataFrame, k
     wide = own.withColumn("place", F.explode(F.sequence(F.lit(0), F.greatest(F.length("_text") - window, F.lit(0)))))
     wide = wide.select(*ids, "place", F.length("_text").alias("_all"), F.substring("_text", F.col("place") + 1, F.lit(window)).alias("_w"))
     by_pair = known.select("keyword", "n", F.size(pairs(F.col("keyword"))).alias("_own"), F.explode(pairs(F.col("keyword"))).alias("pair"))
-    shared = wide.select("*", F.size(pairs(F.col("_w"))).alias("_there"), F.explode(pairs(F.col("_w"))).alias("pair")).join(along(by_pair), "pair").filter("n <= _all")
-    counted = shared.groupBy(*ids, "place", "_w", "_there", "keyword", "n", "_own").agg(F.count("*").alias("_both"))
-    short, kinds = F.least(F.col("n"), F.length("_w")), F.when(F.col("n") <= F.length("_w"), F.col("_own")).otherwise(F.col("_there"))
-    likely = counted.filter(F.col("_both") >= F.greatest(F.lit(1), kinds - undone(short)))
-    alike = likely.select(*ids, "keyword", "n", "place", "_w", F.explode(partial_ratios(F.col("keyword"), F.col("_w"))).alias("_r"))
-    mostly = alike.select(*ids, "keyword", F.lit(3).alias("layer"), "place", F.substring("_w", F.lit(1), F.col("n")).alias("matched"), (F.col("_r") * ALMOST).alias("confidence"))
+    unlike = wide.select("_w").distinct().withColumn("_pairs", window_pairs(F.col("_w"), window))
+    shared = unlike.select("_w", F.size("_pairs").alias("_there"), F.explode("_pairs").alias("pair")).join(along(by_pair), "pair")
+    counted = shared.groupBy("_w", "_there", "keyword", "n", "_own").agg(F.count("*").alias("_both"))
+    short, of = F.least(F.col("n"), F.length("_w")), F.when(F.col("n") <= F.length("_w"), F.col("_own")).otherwise(F.col("_there"))
+    likely = counted.filter(F.col("_both") >= F.greatest(F.lit(1), of - undone(short)))
+    # outer: an inner explode would have the likenesses computed once more, to filter empty ones before
+    each = likely.select("_w", "keyword", "n", F.explode_outer(partial_ratios(F.col("keyword"), F.col("_w"))).alias("_r"))
+    alike = each.filter("_r is not null").groupBy("_w", "keyword", "n").agg(F.max("_r").alias("_r"))
+    mostly = wide.join(alike, "_w").filter("n <= _all").select(*ids, "keyword", F.lit(3).alias("layer"), "place", F.substring("_w", F.lit(1), F.col("n")).alias("matched"), (F.col("_r") * ALMOST).alias("confidence"))
     first = F.min(F.struct("layer", "place", (-F.col("confidence")).alias("_less"), "matched")).alias("_m")  # of a window's likenesses the best
     best = close.unionByName(mostly).groupBy(*ids, "keyword").agg(first)
     return best.select(*ids, "keyword", "_m.layer", "_m.place", "_m.matched", (-F.col("_m._less")).alias("confidence"))

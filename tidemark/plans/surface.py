@@ -73,7 +73,10 @@ heard AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY conv_id, turn,
 
 def _heard(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spark.createDataFrame([(w,) for w in _HEARD], "keyword string")
-    return H.heard(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", words)
+    turns, cores = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), spark.sparkContext.defaultParallelism
+    if turns.rdd.getNumPartitions() < cores:  # a few files: a turn costs far more than it takes to move it
+        turns = turns.repartition(2 * cores)
+    return H.heard(turns, ["conv_id", "turn"], "text", words)
 
 
 @query(f"WITH {_HEARS} SELECT conv_id, turn, keyword, layer, place, matched, round(confidence, 4) AS confidence FROM heard")
