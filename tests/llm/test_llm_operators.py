@@ -578,6 +578,17 @@ def test_intermediate_tables_are_removed(spark, docs, tmp_path, monkeypatch):
     assert not os.listdir(f"{tmp_path}/tidemark")
 
 
+def test_substring_dedup_writes_one_table_on_its_way(spark, docs, tmp_path, monkeypatch):
+    """Counts of windows and intervals are not written, the cuts of a document are; crowded parts are found all the same."""
+    names, kept = [], substring_dedup.kept
+    monkeypatch.setattr(substring_dedup, "kept", lambda df, name, **more: names.append(name) or kept(df, name, **more))
+    substring_dedup.digested(docs)
+    assert names == ["repeated-windows"]
+    many = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(30))) for i in range(40)], "doc_id bigint, text string")
+    assert len(substring_dedup.crowded_parts(many, 20, 5, 64, 10)) and not len(substring_dedup.crowded_parts(many, 20, 5, 64, 10**6))
+    assert not len(substring_dedup.crowded_parts(many.limit(0), 20, 5, 64, 10))
+
+
 def test_a_session_without_a_shared_folder(spark, monkeypatch):
     """A single process gets a folder of its own, the same each time; the session's settings stay as they are."""
     from types import SimpleNamespace

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from . import blocks as B
 from .shared import KEY, document_key, kept, mapped, partitions_for, scratch
@@ -229,9 +229,10 @@ def counted(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
 def crowded_parts(docs: DataFrame, window: int, gram: int, parts: int, most: int) -> np.ndarray:
     """The parts with more windows than are sorted in memory together: ``parts`` numbers at most, far fewer as a rule."""
     counts = mapped(docs.select("doc_id", "text"), lambda it: loads(it, window, gram, parts), "part int, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
-    counts = kept(counts, "window-counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    return np.array(sorted(r["part"] for r in counts.filter(F.col("n") > max(most, 4 * total // parts)).select("part").collect()), np.int64)
+    told = Observation()  # the total comes with the parts themselves: nothing is written for it
+    over = counts.observe(told, F.coalesce(F.sum("n"), F.lit(0)).alias("n")).filter(F.col("n") > most).collect()
+    limit = max(most, 4 * told.get["n"] // parts)
+    return np.array(sorted(r["part"] for r in over if r["n"] > limit), np.int64)
 
 
 def crowded_intervals(docs: DataFrame, window: int, gram: int, parts: int, crowded: np.ndarray) -> DataFrame:
@@ -267,9 +268,9 @@ def remaining(words: list[bytes], intervals: list[tuple[int, int]]) -> list[byte
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, parts: int = PARTS, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (what is left, one space between words): a row for each input row."""
     with scratch():
-        spans = kept(repeated_intervals(docs, window, gram, parts, most), "repeated-windows", stay=True)
-    # a table of its own: both sides of the join are plain exchanges then, so a document that is there many times can be split
-    own = kept(spans.groupBy("key", "doc").agg(F.collect_set(F.struct("lo", "hi")).alias("cut")), "cut-windows")
+        # a table of its own: both sides of the join are plain exchanges then, so a document that is there many times can be split
+        cuts = repeated_intervals(docs, window, gram, parts, most).groupBy("key", "doc").agg(F.collect_set(F.struct("lo", "hi")).alias("cut"))
+        own = kept(cuts, "repeated-windows", stay=True)
     rows = docs.select("doc_id", document_key().alias("key"), F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"), "text")
     rows = rows.join(own.hint("shuffle_hash"), ["key", "doc"], "left").select("doc_id", "text", "cut")
 
