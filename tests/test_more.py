@@ -114,3 +114,37 @@ def test_first_rows_of_each_key_and_projections_beside_nodes(spark):
     assert tuple(semantic.retrieval(q, nodes, "label").first()) == tuple(semantic.retrieval(q, nodes, "label", most=0).first())
     assert semantic.project(q, nodes.limit(0)).count() == 0
     assert "Exchange hash" not in semantic.project(q, nodes)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_md5_of_many_at_once():
+    import hashlib
+
+    from tidemark.functions.numerics import md5_head
+
+    words = [b"", b"0:1:a", b"199:7200000:b", b"x" * 55] + [f"{i}:{i * i}:a".encode() for i in range(9000)]
+    assert md5_head(np.array(words)).tolist() == [int(hashlib.md5(w).hexdigest()[:8], 16) for w in words]
+
+
+def test_ranks_after_noise_by_sorting_all(spark, monkeypatch):
+    """Rows are not multiplied by the draws, and ranges sorted apart give the ranks that sorting all gives."""
+    import hashlib
+    import math
+
+    from tidemark.operators import permutations as P
+
+    r0 = lambda x: -0.999 * math.log(max(1e-12, 1 - x / 0.999)) / x
+    rows = [(i, r0(x), x) for i, x in ((i, 0.02 + 0.93 * ((i * 37) % 101) / 101) for i in range(1, 400))]
+    u = lambda k, i, s: (int(hashlib.md5(f"{k}:{i}:{s}".encode()).hexdigest()[:8], 16) + 0.5) / 4294967296
+    want = {}
+    for k in range(3):
+        after = [(i, a, r0(min(0.92, max(0.03, x + 0.05 * math.sqrt(-2 * math.log(u(k, i, "a"))) * math.cos(2 * math.pi * u(k, i, "b")))))) for i, a, x in rows]
+        places = [{i: n for n, i in enumerate(i for i, *_ in sorted(after, key=lambda t: (t[c], t[0])))} for c in (1, 2)]
+        want[k] = np.corrcoef(*([p[i] for i, *_ in rows] for p in places))[0, 1], sum((a > 1) == (b > 1) for _, a, b in after) / len(after)
+    df = spark.createDataFrame(rows, "p_partkey bigint, r0 double, x double")
+    for size in (1 << 20, 40):
+        monkeypatch.setattr(P, "RANGE", size)
+        out = P.rank_robustness(df.repartition(3), 3, 0.05)
+        assert "explode" not in out._jdf.queryExecution().toString()
+        for r in out.collect():
+            assert (r["r"], r["same"]) == pytest.approx(want[r["k"]], abs=1e-9)
+    assert P.rank_robustness(df.limit(0), 3, 0.05).count() == 0

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.catalog import query
-from tidemark.functions import rules as R
-from tidemark.functions.columns import clip, r6
-from tidemark.operators import permutations as P, validation as V
+from tidemark.functions.columns import r6
+from tidemark.operators import permutations as P
 from tidemark.plans.bindings import AXIS, REGIME, axis, regime_sequence
 from tidemark.plans.rules import _X, curated
 from tidemark.plans.series import _STATES, states
@@ -88,10 +85,6 @@ s AS (SELECT k, corr(a, b) AS rho, avg((f = g)::INT) AS same FROM o GROUP BY k)
 SELECT count(*) AS draws, round(avg(rho), 5) AS mean_rank_correlation, round(min(rho), 5) AS least, round(avg(same), 5) AS same_side FROM s""")
 def noise_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the entries' order by R0, and whether they spread, stand normal noise in the share reached: two hundred draws."""
-    u = lambda s: (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("k").cast("string"), F.col("p_partkey").cast("string"), F.lit(s)).cast("binary")), 1, 8), 16, 10).cast("bigint") + 0.5) / 4294967296.0
-    draws = curated(spark, sf_dir).select("p_partkey", "r0", "x", F.explode(F.sequence(F.lit(0), F.lit(NOISE_DRAWS - 1))).alias("k"))
-    noise = NOISE * F.sqrt(-2 * F.ln(u("a"))) * F.cos(2 * math.pi * u("b"))
-    moved = draws.withColumn("r1", R.r0_of(clip(F.col("x") + noise, 0.03, 0.92)))
-    rho = V.rank_correlation(moved, "k", "r0", "r1", "p_partkey")
-    same = moved.groupBy("k").agg(F.avg(((F.col("r0") > 1) == (F.col("r1") > 1)).cast("double")).alias("same"))
-    return rho.join(same, "k").agg(F.count("*").alias("draws"), F.round(F.avg("r"), 5).alias("mean_rank_correlation"), F.round(F.min("r"), 5).alias("least"), F.round(F.avg("same"), 5).alias("same_side"))
+    parts = curated(spark, sf_dir).select("p_partkey", "r0", "x")
+    each = P.rank_robustness(parts, NOISE_DRAWS, NOISE)
+    return each.agg(F.count("*").alias("draws"), F.round(F.avg("r"), 5).alias("mean_rank_correlation"), F.round(F.min("r"), 5).alias("least"), F.round(F.avg("same"), 5).alias("same_side"))
