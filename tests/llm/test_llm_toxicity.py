@@ -113,3 +113,25 @@ def test_languages_are_learnt_from_texts():
     got = [m.language(t) for t in texts]
     assert len(set(zip(kind, got))) == 3 and m.language(b"") == m.language(b"?") == 0
     assert T.centres([b"", b"x"]).shape == (1, T.PROFILE)
+
+
+def test_all_labelled_rows_are_learnt_from(spark, monkeypatch):
+    """Many shares: every labelled row that isn't held out is in one, and the scores don't follow the partitions."""
+    import zlib
+
+    r = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{k}" for k in r.integers(0, 300, 20)) + (" vermin" if i % 3 == 0 else "")) for i in range(900)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    monkeypatch.setattr(T, "SHARE_ROWS", 60)
+    monkeypatch.setattr(T, "TOGETHER", 3)
+    monkeypatch.setattr(T, "STEPS", 320)
+    got, shares, kinds = T.examples(docs, labels)
+    want = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert shares == -(-len(want) // 60) > 9 and kinds == 2 and {x["doc_id"] for x in got.collect()} == want
+    models = [T.learnt(docs.repartition(n), labels) for n in (1, 5)]
+    texts = [t.encode() for _, t in rows]
+    a, b = (m.scores(texts) for m in models)
+    assert (a == b).all()
+    held = np.array([i not in want for i, _ in rows])
+    assert ((a >= T.CUT) == np.array([i % 3 == 0 for i, _ in rows]))[held].mean() > 0.95
