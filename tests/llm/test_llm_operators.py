@@ -651,3 +651,21 @@ def test_components_of_no_links(spark):
 
     assert not shared.components(spark.createDataFrame([], "a bigint, b bigint")).count()
     assert {tuple(r) for r in shared.components(spark.createDataFrame([(5, 2), (9, 5), (7, 8)], "a bigint, b bigint")).collect()} == {(5, 2), (9, 2), (8, 7)}
+
+
+def test_stage_3_the_driver_gathers_no_dropped_keys_that_grow(spark, monkeypatch):
+    """20,000 keys to drop meet the documents in a merge join, though the session would broadcast them; a few go to all tasks."""
+    rows = [(i, str(i)) for i in range(30)] + [(3, "other"), (None, "x"), (40_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def left(n):
+        gone = spark.range(n).select(F.col("id").alias("_gone_id"), F.unhex(F.md5(F.col("id").cast("string").cast("binary"))).alias("_gone_text"))
+        monkeypatch.setattr(simhash, "rejected", lambda _: gone)
+        out = simhash.one_of_each(docs)
+        return out._jdf.queryExecution().executedPlan().toString(), {tuple(r) for r in out.collect()}
+
+    plan, got = left(20_000)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert got == {(3, "other"), (None, "x"), (40_000, None)}
+    plan, got = left(20)
+    assert "Broadcast" in plan and got == set(rows[20:])

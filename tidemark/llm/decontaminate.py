@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import blocks as B
-from .shared import few, kept, mapped, scratch
+from .shared import few_dropped, kept, mapped, scratch
 
 GUARANTEE, K = 13, 8
 #: 64-bit words of the bitmap at most (16 MB).
@@ -271,5 +271,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones. Whether a text is contaminated depends on its words alone, so the rejected texts' keys suffice."""
     with scratch():
         bad = contamination(docs, benchmark).filter(contaminated()).select(F.col("text_key").alias("_bad_text")).distinct()
-        bad = few(kept(bad, "rejected", stay=True), 64)
+        bad = few_dropped(kept(bad, "rejected", stay=True))
     return docs.join(bad, text_key(docs["text"]) == bad["_bad_text"], "left_anti")

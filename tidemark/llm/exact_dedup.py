@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import KEY, copies, document_key, few, kept, scratch
+from .shared import KEY, copies, document_key, few_dropped, kept, scratch
 
 MIN_CHUNK, MAX_CHUNK = 512, 8192
 #: A cut may follow white space after one of these characters; about one word in ten ends so.
@@ -101,6 +101,6 @@ def without_copies(docs: DataFrame) -> DataFrame:
     rejected rows' keys; texts do only where those are too many to broadcast."""
     with scratch():
         gone = exact_classes(docs).filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.unhex("text_sha256").alias("_gone_text")).distinct()
-        gone = few(kept(gone, "rejected", stay=True), 96)
+        gone = few_dropped(kept(gone, "rejected", stay=True))
     digest = F.unhex(F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (digest == gone["_gone_text"]), "left_anti")

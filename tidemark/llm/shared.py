@@ -22,6 +22,9 @@ def document_key() -> Column:
 
 #: Bytes of keys up to which a table of keys goes to all tasks; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: The same for the keys of the rows that a stage of the pipeline drops: each stage has such a table and it follows the input, so the driver
+#: gathers a small fixed amount only. A row of such keys takes some 150 bytes of a broadcast table, whatever its file has.
+DROPPED_BYTES, DROPPED_ROW = 2 << 20, 150
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +104,14 @@ def few(keys: DataFrame, row_bytes: int, otherwise: str = "") -> DataFrame:
     return keys.hint(otherwise) if otherwise else keys
 
 
+def few_dropped(keys: DataFrame) -> DataFrame:
+    """keys (a kept table) of rows to drop, marked for broadcast if they take DROPPED_BYTES at most; else for a merge join, whatever the
+    session broadcasts: the driver gathers none of them."""
+    if keys.count() * DROPPED_ROW <= min(DROPPED_BYTES, BROADCAST_BYTES):
+        return F.broadcast(keys)
+    return keys.hint("merge")
+
+
 #: Of each kind of task that keeps something between its tasks, how to drop it.
 kept_between: dict[str, Callable[[], None]] = {}
 

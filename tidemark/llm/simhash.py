@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import blocks as B
 from .blocks import U64
-from .shared import components, few, kept, mapped, scratch
+from .shared import components, few_dropped, kept, mapped, scratch
 
 SHINGLE, SEED, MAX_BITS, TILE = 3, 42, 3, 4096
 _NO_ID = 2**63 - 1
@@ -220,7 +220,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     the rejected documents' keys; texts do only where those are too many to broadcast.
     """
     with scratch():
-        gone = few(kept(rejected(docs), "rejected", stay=True), 80)
+        gone = few_dropped(kept(rejected(docs), "rejected", stay=True))
     key = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_text"]), "left_anti")
 
