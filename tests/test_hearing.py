@@ -1,6 +1,7 @@
 """The keyword matcher against a plain one that tries each keyword at each place."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,51 @@ def test_halves_find_all_that_is_one_edit_away(spark, seed):
     got = {(x["id"], x["keyword"]): (x["layer"], x["place"], x["matched"], x["confidence"]) for x in H.heard(segments, ["id"], "t", spark.createDataFrame([(w,) for w in words], "keyword string")).collect()}
     want = {(i, w): p for i, t in enumerate(texts) for w in words if (p := plainly(t, w))}
     assert got == want
+
+
+def test_windows_that_can_match_nothing_are_not_made(spark):
+    """A long text costs what it holds: its windows are told by the places of halves and of forms; stretches overlap."""
+    draw = random.Random(4)
+    text = "".join(draw.choices("xyz ", k=40_000))
+    at = [0, 250, 255, 256, 505, 20_000, 39_992]
+    words = ["mentelle", "queeau", "thatat of the"]
+    for i, p in enumerate(at):
+        w = ("mentelle", "menteele", "mentelxe", "ueeau")[i % 4]
+        text = text[:p] + w + text[p + len(w) :]
+    known = spark.createDataFrame([(w,) for w in words], "keyword string")
+    turns = spark.createDataFrame([(i, text[lo:]) for i, lo in enumerate([0, 1, 251, 256, 257, 510, 20_001])], "id bigint, t string")
+    found = H.heard(turns, ["id"], "t", known)
+    got = {(r["id"], r["keyword"]): (r["layer"], r["place"], r["matched"], r["confidence"]) for r in found.collect()}
+    whole = [r["t"] for r in turns.orderBy("id").collect()]
+    near = lambda t, w: [p for p in range(len(t) - 7) if any(c in t[p : p + 8] for c in "mnteluaq")]
+    for i, t in enumerate(whole):
+        for w in words:
+            places, n = near(t, w), len(w)
+            want = None
+            for layer, far in ((1, 0), (2, 1)):
+                want = want or next(((layer, p, t[p : p + n], 1.0 if layer == 1 else pytest.approx(0.4)) for p in places if p + n <= len(t) and edits(t[p : p + n], w) == far), None)
+            want = want or next(((3, p, t[p : p + 8][:n], pytest.approx(0.6 * r)) for p in places if (r := likeness(w, t[p : p + 8])) > 0.85), None)
+            assert got.get((i, w)) == want
+    made = []
+    for pattern in (H.pattern_of(some) for some in H.windows_of(words, 8).values()):
+        made.append(turns.select(F.size(H.begins(F.col("t"), pattern)).alias("n")).agg(F.sum("n")).first()[0])
+    assert sum(made) < 1000
+
+
+@pytest.mark.parametrize("word", ["c", "ab", "abcd", "aabbc", "abcabca", "abcdabcd", "abcdabcdabc", "a.(b]\\c"])
+def test_forms_are_those_of_the_likeness(word):
+    draw, forms = random.Random(2), H.windows_of([word], 8)
+    for _ in range(300):
+        window = "".join(draw.choices("abcd" if draw.random() < 0.7 else word, k=8))
+        assert any(re.match(H.pattern_of(some), window[o:], re.S) for (_, at), some in forms.items() for o in at) == (likeness(word, window) > 0.85)
+
+
+def test_characters_that_change_alone_or_take_two_units(spark):
+    texts = ["x\u0130stanbul y", "\u039f\u0394\u039f\u03a3 \u03bf", "\U0001f600\U0001f601nich\U0001f600", "ab\U0001f600mentxlle"]
+    words = ["istanb", "\u03bf\u03b4\u03bf\u03c2", "\u03bf\u03b4\u03bf\u03c3", "nich", "\U0001f600a", "mentelle"]
+    turns = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    known = spark.createDataFrame([(w,) for w in words], "keyword string")
+    plain = lambda c: F.concat(F.lower(c), F.lit(""))
+    told = {tuple(r) for r in H.heard(turns, ["id"], "t", known).collect()}
+    every = {tuple(r) for r in H.heard(turns, ["id"], "t", known, sound=plain).collect()}  # not narrowed: not known to be lower()
+    assert told == every and {(r[0], r[1]) for r in told} >= {(2, "nich"), (3, "mentelle")}
