@@ -149,3 +149,36 @@ def test_nearest_rows_by_nested_loops(spark):
     want = {(i, k + 1, j) for i in range(0, len(v), 7) for k, (_, j) in enumerate(sorted((-round(cos(v[i], x), 9), j) for j, x in enumerate(v) if j != i)[:5])}
     got = S.nearest_rows(base.filter("vec_id % 7 = 0").selectExpr("vec_id as id", "e"), base, 5, 4, 16).collect()
     assert {(x["id"], x["rank"], x["vec_id"]) for x in got} == want and len(got) == len(want)
+
+
+def test_later_rounds_compare_what_is_new(spark, points, monkeypatch):
+    """A cluster whose nearest one is still there meets the new clusters alone."""
+    monkeypatch.setattr(H, "BLOCK", 2)
+    monkeypatch.setattr(H, "ONE_TASK", 12)
+    met, counts, plain = [], [], H.nearest
+
+    def seen(some, few, clusters, count):
+        assert some.count() == few and clusters.count() == count
+        met.append(few * count)
+        counts.append(max(few, count))
+        return plain(some, few, clusters, count)
+
+    monkeypatch.setattr(H, "nearest", seen)
+    x = np.concatenate([points, points[:9] + 0.25])
+    got = members(H.ward(frame(spark, x), "id", "v").collect())
+    want = {frozenset(s): h for h, s in ward_plainly(x)}
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], rel=1e-9) for s in want)
+    whole = counts[0] ** 2 + sum(c**2 for c in counts[1::2])
+    assert len(met) > 3 and sum(met) < whole
+
+
+@pytest.mark.parametrize("scale", [1e-25, 1e-9, 1.0, 1e7, 1e25])
+def test_least_distances_in_any_unit(scale):
+    r = np.random.default_rng(9)
+    c = np.concatenate([r.normal(0, 1, (40, 12)), np.zeros((3, 12)), 1e3 + 1e-6 * r.normal(0, 1, (5, 12))]) * scale
+    n, i = r.integers(1, 99, len(c)).astype(float), np.arange(len(c))
+    whole = sum(((c[:, None, lo : lo + 8] - c[None, :, lo : lo + 8]) ** 2).sum(-1) for lo in range(0, 12, 8)) * (n[:, None] * n[None] / (n[:, None] + n[None]))
+    np.fill_diagonal(whole, np.inf)
+    got = H.least_heights(i, n, c, i, n, c)
+    low = whole.min(axis=1)
+    assert (got.min(axis=1) == low).all() and ((got == low[:, None]) == (whole == low[:, None])).all()

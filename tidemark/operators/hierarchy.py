@@ -2,7 +2,7 @@
 
 Ward's distance of two clusters follows from their sizes and centres alone, n m / (n + m) |c - d|^2. In each round every cluster finds its
 nearest one, block against block of clusters, and pairs that are nearest to each other merge; as merging never brings a cluster nearer to a
-third, the tree is that of merging the nearest pair each time. Ties go by the pair's smaller, then larger name, so some pair always merges.
+third, the tree is that of merging the nearest pair each time, and a cluster whose nearest one is still there meets the new clusters alone. Ties go by the pair's smaller, then larger name, so some pair always merges.
 
 Silhouettes are those of squared Euclidean distance, in closed form: the mean distance of a point to a cluster's members is its squared distance to their
 centre and their variance, so clusters' sums are enough and no pair of points is made.
@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.columns import dot
 from tidemark.sources.tables import working_dir
 
-#: Clusters that stand in one block; a round's tasks compare two blocks each.
-BLOCK = 1024
+#: Clusters that are compared with as many at once (four times as many travel together), and clusters up to which the rounds go on within one task.
+BLOCK, ONE_TASK = 1024, 16_384
 _MERGE = "node bigint, a bigint, b bigint, height double, n bigint"
 
 
@@ -35,36 +35,85 @@ def table_of(df: DataFrame, name: str) -> DataFrame:
     return _kept(df, f"{working_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", "rows")
 
 
-def least_heights(i: np.ndarray, n: np.ndarray, c: np.ndarray, j: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Ward's distances of clusters i to clusters j where they can be the least of a row, infinite elsewhere and to itself.
+def open_pairs(i: np.ndarray, n: np.ndarray, c: np.ndarray, j: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, height): Ward's distances of clusters i[x] to clusters j[y] where they can be the least of a row; none to itself.
 
-    A product of matrices bounds all distances; those that its error leaves open are then summed from differences, so that equal centres are at no
-    distance to the bit, from either side.
+    A product of matrices in single precision bounds all distances from below; those that its error leaves open are then summed from differences, so that
+    equal centres are at no distance to the bit, from either side.
     """
-    a, b = (c * c).sum(-1), (d * d).sum(-1)
-    scale = n[:, None] * m[None] / (n[:, None] + m[None])
-    rough = a[:, None] + b[None] - 2 * (c @ d.T)
-    slack = 4 * (c.shape[1] + 4) * np.finfo(float).eps * (a[:, None] + b[None]) * scale
-    rough *= scale
-    rough[i[:, None] == j[None]] = np.inf
-    x, y = np.nonzero(rough - slack <= (rough + slack).min(axis=1)[:, None])
-    far = np.full(rough.shape, np.inf)
+    far = (c * c).sum(-1), (d * d).sum(-1)
+    middle = c.mean(axis=0)
+    p, q = c - middle, d - middle
+    a, b = (p * p).sum(-1), (q * q).sum(-1)
+    error = 4 * (c.shape[1] + 6) * (np.finfo(np.float32).eps * (a + b.max()) + np.finfo(float).eps * (far[0] + far[1].max()))
+    with np.errstate(over="ignore", invalid="ignore"):
+        left = np.concatenate([-2 * p, (a - error)[:, None], np.ones((len(p), 1))], axis=1).astype(np.float32)
+        right = np.concatenate([q, np.ones((len(q), 1)), b[:, None]], axis=1).astype(np.float32)
+        low = left @ right.T
+        share = (1 / n).astype(np.float32)[:, None] + (1 / m).astype(np.float32)[None]
+        low /= share
+    if len(same := np.intersect1d(i, j)):
+        order = np.argsort(i), np.argsort(j)
+        low[order[0][np.searchsorted(i, same, sorter=order[0])], order[1][np.searchsorted(j, same, sorter=order[1])]] = np.inf
+    at = low.argmin(axis=1)
+    least = low[np.arange(len(low)), at].astype(float)
+    most = least + 3 * error / share[np.arange(len(low)), at]
+    # too large for single precision, or too small for it: all are open
+    plain = ~np.isfinite(a + b.max()) | (a + b.max() > 1e30) | (error < 1e-30)
+    limit = np.nextafter(most.astype(np.float32), np.float32(np.inf))
+    x, y = np.nonzero((low <= limit[:, None]) | plain[:, None])
+    own = i[x] == j[y]
+    x, y = x[~own], y[~own]
+    height = np.empty(len(x))
     for at in range(0, len(x), 1 << 16):
-        p, q = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
-        total = np.zeros(len(p))
+        u, v = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+        total = np.zeros(len(u))
         for lo in range(0, c.shape[1], 8):
-            total += ((c[p, lo : lo + 8] - d[q, lo : lo + 8]) ** 2).sum(-1)
-        far[p, q] = total * scale[p, q]
-    far[i[:, None] == j[None]] = np.inf
+            total += ((c[u, lo : lo + 8] - d[v, lo : lo + 8]) ** 2).sum(-1)
+        height[at : at + (1 << 16)] = total * (n[u] * m[v] / (n[u] + m[v]))
+    return x, y, height
+
+
+def least_heights(i: np.ndarray, n: np.ndarray, c: np.ndarray, j: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """open_pairs() as a matrix, infinite elsewhere."""
+    far = np.full((len(i), len(j)), np.inf)
+    x, y, height = open_pairs(i, n, c, j, m, d)
+    far[x, y] = height
     return far
 
 
-def nearest(clusters: DataFrame, count: int) -> DataFrame:
-    """(id, other, height): each cluster's nearest one. clusters: (id, n, c)."""
-    blocks = -(-count // BLOCK)
-    dealt = clusters.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    held = dealt.groupBy("_b").agg(F.collect_list(F.struct("id", "n", "c")).alias("rows"))  # a block's rows: BLOCK or so
-    pairs = held.select(F.col("_b").alias("p"), F.col("rows").alias("x")).join(held.select(F.col("_b").alias("q"), F.col("rows").alias("y")), F.lit(True)).repartition(max(1, min(blocks * blocks, 2000)), "p", "q")
+def nearest_of(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, other, height) by id: for each cluster of x the nearest one of y. Both: names, sizes, centres. What has none but itself is left out."""
+    (i, n, c), (j, m, d) = x, y
+    found = [(i[:0], j[:0], np.zeros(0))]
+    for lo in range(0, len(i), BLOCK):
+        here = slice(lo, lo + BLOCK)
+        for at in range(0, len(j), BLOCK):
+            there = slice(at, at + BLOCK)
+            u, v, height = open_pairs(i[here], n[here], c[here], j[there], m[there], d[there])
+            found.append((i[here][u], j[there][v], height))
+    return nearest_rows(*(np.concatenate(f) for f in zip(*found, strict=True)))
+
+
+def nearest_rows(a: np.ndarray, b: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each a the row with the least height, by names where several have it."""
+    order = np.lexsort((np.maximum(a, b), np.minimum(a, b), height, a))
+    a, b, height = a[order], b[order], height[order]
+    first = np.ones(len(a), bool)
+    first[1:] = a[1:] != a[:-1]
+    return a[first], b[first], height[first]
+
+
+def nearest(some: DataFrame, few: int, clusters: DataFrame, count: int) -> DataFrame:
+    """(id, other, height): for each of some clusters (``few`` of them) the nearest of all clusters. Both: (id, n, c)."""
+
+    def held(df: DataFrame, rows: int, name: str, into: str) -> tuple[DataFrame, int]:
+        blocks = max(1, -(-rows // (4 * BLOCK)))
+        dealt = df.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        return dealt.groupBy(F.col("_b").alias(name)).agg(F.collect_list(F.struct("id", "n", "c")).alias(into)), blocks  # a block's rows: 4 * BLOCK or so
+
+    (left, p), (right, q) = held(some, few, "p", "x"), held(clusters, count, "q", "y")
+    pairs = left.join(right, F.lit(True)).repartition(max(1, min(p * q, 2000)), "p", "q")
 
     def matrix(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, n, c = (rows.field(f) for f in ("id", "n", "c"))
@@ -74,21 +123,22 @@ def nearest(clusters: DataFrame, count: int) -> DataFrame:
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 (i, n, c), (j, m, d) = matrix(x.values), matrix(y.values)
-                far = least_heights(i, n, c, j, m, d)
-                low = far.min(axis=1)
-                tie = np.where(far == low[:, None], np.minimum(i[:, None], j[None]), np.iinfo(np.int64).max)
-                tie2 = np.where(tie == tie.min(axis=1)[:, None], np.maximum(i[:, None], j[None]), np.iinfo(np.int64).max)
-                at = np.where(np.isinf(low)[:, None], np.iinfo(np.int64).max, tie2).argmin(axis=1)
-                ok = np.isfinite(low)
-                yield pa.record_batch([pa.array(i[ok]), pa.array(j[at][ok]), pa.array(low[ok])], names=["id", "other", "height"])
-
-    each = pairs.select("x", "y").mapInArrow(task, "id bigint, other bigint, height double")
+                yield pa.record_batch(list(map(pa.array, nearest_of((i, n, c), (j, m, d)))), names=["id", "other", "height"])
+
+    return pairs.select("x", "y").mapInArrow(task, "id bigint, other bigint, height double")
+
+
+def nearer(*each: DataFrame) -> DataFrame:
+    """Of several (id, other, height) the nearest for each id."""
+    every = each[0]
+    for e in each[1:]:
+        every = every.unionByName(e)
     best = F.min(F.struct("height", F.least("id", "other").alias("lo"), F.greatest("id", "other").alias("hi"), "other")).alias("m")
-    return each.groupBy("id").agg(best).select("id", "m.other", "m.height")
+    return every.groupBy("id").agg(best).select("id", "m.other", "m.height")
 
 
 def finished(clusters: DataFrame, done: int) -> DataFrame:
-    """The merges of BLOCK clusters at most, nearest pair after nearest pair in one task."""
+    """The merges of ONE_TASK clusters at most in one task: by rounds as before, and of the last 2 * BLOCK nearest pair after nearest pair."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,6 +147,27 @@ def finished(clusters: DataFrame, done: int) -> DataFrame:
                 ids, n, c = ids.to_numpy(zero_copy_only=False).copy(), n.to_numpy(zero_copy_only=False).astype(float), c.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).copy()
                 order = np.argsort(ids)
                 ids, n, c = ids[order], n[order], c[order]
+                out, made = [], done
+                if len(ids) > 2 * BLOCK:
+                    _, to, height = nearest_of((ids, n, c), (ids, n, c))
+                while len(ids) > 2 * BLOCK:
+                    at = np.searchsorted(ids, to)
+                    i = np.nonzero((to[at] == ids) & (ids < to))[0]
+                    j = at[i]
+                    size, names = n[i] + n[j], -(made + 1 + np.arange(len(i)))
+                    centre = (c[i] * n[i][:, None] + c[j] * n[j][:, None]) / size[:, None]
+                    out += zip(*(v.tolist() for v in (names, ids[i], ids[j], height[i], size.astype(int))), strict=True)
+                    made += len(i)
+                    gone = np.zeros(len(ids), bool)
+                    gone[i] = gone[j] = True
+                    good, stale = ~gone & ~gone[at], ~gone & gone[at]
+                    new, kept = (names, size, centre), (ids[good], n[good], c[good])
+                    rest = tuple(map(np.concatenate, zip(new, (ids[stale], n[stale], c[stale]), strict=True)))
+                    known = (ids[good], to[good], height[good])
+                    ids, n, c = map(np.concatenate, zip(rest, kept, strict=True))
+                    order = np.argsort(ids)
+                    ids, n, c = ids[order], n[order], c[order]
+                    _, to, height = nearest_rows(*map(np.concatenate, zip(known, nearest_of(rest, (ids, n, c)), nearest_of(kept, new), strict=True)))
 
                 def away(i: int) -> np.ndarray:
                     d = ((c - c[i]) ** 2).sum(axis=1) * n * n[i] / (n + n[i])
@@ -104,20 +175,33 @@ def finished(clusters: DataFrame, done: int) -> DataFrame:
                     return d
 
                 far = np.stack([away(i) for i in range(len(ids))])
-                out = []
+                low, to = np.full(len(ids), np.inf), np.zeros(len(ids), int)
+
+                def look(r: int) -> None:
+                    """The nearest one of r; by names where several are."""
+                    low[r] = far[r].min()
+                    at = np.nonzero(far[r] == low[r])[0]
+                    to[r] = at[0] if len(at) == 1 else min(at, key=lambda y: (min(ids[r], ids[y]), max(ids[r], ids[y])))
+
+                for r in range(len(ids)):
+                    look(r)
                 for k in range(len(ids) - 1):
-                    low = far.min()
-                    x, y = np.nonzero(far == low)
-                    pick = min(range(len(x)), key=lambda p: (min(ids[x[p]], ids[y[p]]), max(ids[x[p]], ids[y[p]])))
-                    i, j = int(x[pick]), int(y[pick])
+                    x = np.nonzero(low == low.min())[0]
+                    i = int(min(x, key=lambda p: (min(ids[p], ids[to[p]]), max(ids[p], ids[to[p]]))))
+                    j, height = int(to[i]), low[i]
                     a, b = sorted((int(ids[i]), int(ids[j])))
                     c[i], total = (c[i] * n[i] + c[j] * n[j]) / (n[i] + n[j]), n[i] + n[j]
-                    n[i], ids[i] = total, -(done + k + 1)
+                    n[i], ids[i] = total, -(made + k + 1)
                     gone = np.isinf(far[i])  # of those merged before, and itself
-                    out.append((int(ids[i]), a, b, float(low), int(total)))
+                    out.append((int(ids[i]), a, b, float(height), int(total)))
                     row = np.where(gone, np.inf, away(i))
                     far[i], far[:, i] = row, row
                     far[j], far[:, j] = np.inf, np.inf
+                    low[j] = np.inf
+                    if k < len(ids) - 2:
+                        for r in np.nonzero((np.isfinite(low) & ((to == i) | (to == j))) | (far[:, i] <= low) & np.isfinite(far[:, i]))[0]:
+                            look(r)
+                        look(i)
                 yield pa.RecordBatch.from_pylist([dict(zip(("node", "a", "b", "height", "n"), r, strict=True)) for r in out], pa.schema([("node", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("height", pa.float64()), ("n", pa.int64())]))
 
     held = clusters.agg(F.collect_list(F.struct("id", "n", "c")).alias("rows"))
@@ -132,12 +216,21 @@ def ward(df: DataFrame, key: str, vector: str) -> DataFrame:
     now = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.lit(1).cast("bigint").alias("n"), F.col(vector).cast("array<double>").alias("c"))
     clusters = _kept(now, at, "clusters-0")
     merges, done, count, k = [], 0, clusters.count(), 0
+    kept = new = None
+    fresh = 0
     while count > 1:
         k += 1
-        if count <= BLOCK:  # what fits one block is finished there
+        if count <= ONE_TASK:  # what one task can hold is finished there
             merges.append(_kept(finished(clusters, done), at, "finished"))
             break
-        near = _kept(nearest(clusters, count), at, f"near-{k}")
+        if kept is None:
+            near = nearer(nearest(clusters, count, clusters, count))
+        else:
+            old = clusters.join(kept.select("id"), "id", "left_semi").select("id", "n", "c")
+            rest = clusters.join(kept.select("id"), "id", "left_anti").select("id", "n", "c")
+            n = kept.count()
+            near = nearer(kept, nearest(rest, count - n, clusters, count), nearest(old, n, new, fresh))
+        near = _kept(near, at, f"near-{k}")
         back = near.select(F.col("id").alias("other"), F.col("other").alias("_back"))
         pairs = near.join(back, "other").filter("_back = id and id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), "height")
         named = _kept(_numbered(pairs, done), at, f"named-{k}")
@@ -150,7 +243,9 @@ def ward(df: DataFrame, key: str, vector: str) -> DataFrame:
         rest = clusters.join(gone, "id", "left_anti").select("id", "n", "c").unionByName(made.select(F.col("node").alias("id"), "n", "c"))
         clusters = _kept(rest, at, f"clusters-{k}")
         left = clusters.count()
-        done, count = done + count - left, left
+        fresh, new = count - left, made.select(F.col("node").alias("id"), "n", "c")
+        kept = _kept(near.join(gone, "id", "left_anti").join(gone.select(F.col("id").alias("other")), "other", "left_anti").select("id", "other", "height"), at, f"kept-{k}")
+        done, count = done + fresh, left
     if not merges:
         return spark.createDataFrame([], _MERGE)
     out = merges[0]
